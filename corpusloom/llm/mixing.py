@@ -17,7 +17,7 @@ from .common import GAP_PATTERN, WORD_SEPARATORS, materialize, n_words, table
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Rows of one bucket of the key range, over all sources, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
