@@ -75,3 +75,18 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def text_slices(batch, column: str, limit: int = 4_000_000):
+    """Cuts an Arrow batch into pieces whose ``column`` holds about ``limit`` bytes, or one row if that is longer."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
