@@ -5,6 +5,7 @@ from __future__ import annotations
 from .html_extract import op5_html_extract
 from .langid import op9_language_id
 from .mixing import OP8_SQL, op8_mixing
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_html_extract": op5_html_extract,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {
