@@ -7,8 +7,10 @@ from .langid import op9_language_id
 from .mixing import OP8_SQL, op8_mixing
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
+from .url_filter import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op5_html_extract": op5_html_extract,
     "op8_mixing": op8_mixing,
