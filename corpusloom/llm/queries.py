@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontamination
 from .html_extract import op5_html_extract
 from .langid import op9_language_id
 from .mixing import OP8_SQL, op8_mixing
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op5_html_extract": op5_html_extract,
+    "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
