@@ -8,11 +8,13 @@ from .langid import op9_language_id
 from .mixing import OP8_SQL, op8_mixing
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
+from .token_output import op4_token_output
 from .url_filter import op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_output": op4_token_output,
     "op5_html_extract": op5_html_extract,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
