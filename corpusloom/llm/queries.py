@@ -6,6 +6,7 @@ from .decontaminate import op7_decontamination
 from .html_extract import op5_html_extract
 from .langid import op9_language_id
 from .mixing import OP8_SQL, op8_mixing
+from .partenum import op2_near_duplicates
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .token_output import op4_token_output
@@ -13,6 +14,7 @@ from .url_filter import op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_output": op4_token_output,
     "op5_html_extract": op5_html_extract,
