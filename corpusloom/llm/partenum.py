@@ -30,11 +30,15 @@ WORDS = 5
 #: Two sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Documents that frequent shingles are looked for in, at most about, and in how many of those a frequent one is.
-SAMPLE_DOCS, SAMPLE_TIMES = 20_000, 4
+SAMPLE_DOCS, SAMPLE_TIMES = 5_000, 3
 #: Signatures of one bucket on average.
 BUCKET_SIGNATURES = 1_000_000
 #: Nodes of a group that are compared in one task at a time.
 GROUP_NODES = 500
+#: Rows of groups that one call works on, on average.
+BUCKET_NODES = 10_000
+#: In the first comparison inside groups, so many of a node's nearest are compared; the second compares what is still open.
+NEAREST = 3
 #: Rows that may be broadcast: 16 bytes each.
 BROADCAST_ROWS = 2_000_000
 _GAPS = r"[ \t\n\x0b\x0c\r]+"
@@ -65,18 +69,24 @@ def shingle_sets(text: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nda
     for k in range(words):
         rolled += codes[k : k + len(rolled)] * _ODD[k % 5] + np.uint64(k // 5)
     rolled = _mix(rolled)
-    out, sizes = [], np.zeros(len(starts), np.int64)
-    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        if b - a >= words:
-            own = np.unique(rolled[a : b - words + 1])
-        elif b > a:
-            short = (codes[a:b] * _ODD[np.arange(b - a) % 5] + np.uint64(b - a)).sum(dtype=np.uint64)
-            own = _mix(np.array([short ^ _ODD[(b - a) % 5]], np.uint64))
-        else:
-            continue
-        out.append(own)
-        sizes[i] = len(own)
-    return np.concatenate([*out, np.zeros(0, np.uint64)]), sizes
+    windows = np.maximum(0, ends - starts - words + 1)
+    tails = np.cumsum(windows)
+    values = rolled[np.arange(tails[-1] if len(tails) else 0) + np.repeat(starts - (tails - windows), windows)]
+    for a, b in zip((tails - windows).tolist(), tails.tolist(), strict=True):
+        if b - a > 1:
+            values[a:b].sort()
+    of = np.repeat(np.arange(len(starts)), windows)
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+    values, of = values[new], of[new]
+    if len(short := np.flatnonzero((ends > starts) & (windows == 0))):
+        whole = []
+        for a, b in zip(starts[short].tolist(), ends[short].tolist(), strict=True):
+            at = np.arange(b - a)
+            whole.append((codes[a:b] * _ODD[at % 5] + np.uint64(b - a) + (at // 5).astype(np.uint64)).sum(dtype=np.uint64) ^ _ODD[(b - a) % 5])
+        place = np.searchsorted(of, short)
+        values, of = np.insert(values, place, _mix(np.array(whole, np.uint64))), np.insert(of, place, short)
+    return values, np.bincount(of, minlength=len(starts))
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -246,8 +256,21 @@ def _groups(docs: DataFrame, largest: int, total: int, frequent: np.ndarray, per
     return dealt.groupBy("bucket").applyInArrow(meet, "g long, node long").distinct()
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """An odd sketch: the parity of how many elements fall on each bit, 64 bits a word, at least two bits an element.
+
+    Two sketches differ in no more bits than the sets do in elements, also after ``_folded`` made them equally long.
+    """
+    bits = min(1 << 16, max(256, 1 << int(2 * len(values) - 1).bit_length()))
+    return np.packbits(np.bincount((_mix(values ^ _ODD[4]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").view(np.uint64)
+
+
+def _folded(words: np.ndarray, length: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(words.reshape(-1, length), axis=0)
+
+
 def _sets(docs: DataFrame, profile: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles: the sets of the given nodes, from one document of each."""
+    """node, n, sketch, shingles: the sets of the given nodes, from one document of each."""
     chosen = materialize(profile.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("of_doc")), "near-documents")
     wanted = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
 
@@ -258,10 +281,11 @@ def _sets(docs: DataFrame, profile: DataFrame, nodes: DataFrame) -> DataFrame:
                 ends = np.cumsum(sizes)
                 same = nodes_of(values, sizes) == piece.column("node").to_numpy()  # a repeated id may have another text
                 cells = [values[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(cells, pa.binary())], names=["node", "shingles"]).filter(pa.array(same))
+                sketches = [sketch(values[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(sizes), pa.array(sketches, pa.binary()), pa.array(cells, pa.binary())], names=["node", "n", "sketch", "shingles"]).filter(pa.array(same))
 
     rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("of_doc")).select("node", "text")
-    return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, n long, sketch binary, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -285,31 +309,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _links_in_group(t: pa.Table, percent: int) -> pa.Table:
-    """Of a block of nodes: for each two labels that a similar pair connects, one such pair. Intersections come from products of 0/1 matrices."""
-    nodes, index = np.unique(t.column("node").to_numpy(), return_index=True)
-    labels = t.column("label").to_numpy()[index]
-    sets = [np.frombuffer(t.column("shingles")[int(i)].as_buffer(), np.uint64) for i in index]
-    sizes = np.array([len(s) for s in sets])
-    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    shared = times[column] > 1
-    row, column = row[shared], column[shared]
-    used, column = np.unique(column, return_inverse=True)
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for at in range(0, len(used), width):
-        a, b = np.searchsorted(column, [at, at + width])
-        x = np.zeros((len(sets), width), np.float32)
-        x[row[a:b], column[a:b] - at] = 1
-        common += x @ x.T
-    inter = common.astype(np.int64)
-    similar = (100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)) & (labels[:, None] < labels[None, :])
-    i, j = np.nonzero(similar)
-    pick = np.unique(np.stack([labels[i], labels[j]]), axis=1, return_index=True)[1] if len(i) else i
-    return pa.table({"a": nodes[i[pick]], "b": nodes[j[pick]]})
+def _near_pairs(x: np.ndarray, labels: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs with different labels that sizes and sketches do not tell apart, and in how many bits the sketches differ."""
+    found = []
+    m = len(x)
+    step = m if m <= 64 else 1  # small groups at once, large ones a row at a time
+    for at in range(0, m, step):
+        i, j = np.triu_indices(m, 1) if step == m else (np.full(m - at - 1, at), np.arange(at + 1, m))
+        open_ = (labels[i] != labels[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[open_], j[open_]
+        apart = np.bitwise_count(x[i] ^ x[j]).sum(axis=1, dtype=np.int64)
+        near = apart <= (100 - percent) * (n[i] + n[j]) // (100 + percent)
+        found.append((i[near], j[near], apart[near]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _pairs_in_bucket(t: pa.Table, percent: int, nearest: int | None) -> pa.Table:
+    """Pairs of nodes to compare in the blocks (g, i, j) of a table. With ``nearest``, of each node only the pairs with so many whose sketches differ least."""
+    t = t.combine_chunks()
+    col = lambda name: t.column(name).to_numpy()
+    order = np.lexsort((col("node"), col("j"), col("i"), col("g")))
+    g, bi, bj, node, label, n = (col(c)[order] for c in ("g", "i", "j", "node", "label", "n"))
+    sketches = t.column("sketch").chunk(0)
+    offsets = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + len(sketches) + 1].astype(np.int64)
+    words = np.frombuffer(sketches.buffers()[2], np.uint64, offsets[-1] // 8)
+    starts, lengths = offsets[:-1][order] // 8, np.diff(offsets)[order] // 8
+    block = np.ones(len(g), bool)
+    block[1:] = (g[1:] != g[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
+    cuts = np.append(np.flatnonzero(block), len(g))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b - a < 2 or (label[a:b] == label[a]).all():
+            continue
+        short = int(lengths[a:b].min())
+        if (lengths[a:b] == short).all():
+            x = words[starts[a:b, None] + np.arange(short)]
+        else:
+            x = np.stack([_folded(words[s : s + k], short) for s, k in zip(starts[a:b], lengths[a:b], strict=True)])
+        i, j, apart = _near_pairs(x, label[a:b], n[a:b], percent)
+        if nearest and len(i) > nearest * (b - a):
+            source, other, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
+            by = np.lexsort((other, apart, source))
+            source, other = source[by], other[by]
+            rank = np.arange(len(source)) - np.searchsorted(source, source)
+            i, j = source[rank < nearest], other[rank < nearest]
+        left.append(node[a + i])
+        right.append(node[a + j])
+    one, two = np.concatenate(left), np.concatenate(right)
+    both = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1) if len(one) else np.zeros((2, 0), np.int64)
+    return pa.table({"a": both[0], "b": both[1]})
+
+
+def _open_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """Pairs (a, b) to compare in groups that still have several labels; groups are cut into blocks, and each two blocks meet in one task."""
+    labelled = groups.join(labels.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("g", "node", F.coalesce("label", "node").alias("label"))
+    open_ = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select(F.col("g").alias("of_g"), F.ceil(F.col("n") / GROUP_NODES).cast("int").alias("blocks"))
+    blocked = labelled.join(open_, F.col("g") == F.col("of_g")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = blocked.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "label")
+    sketched = blocked.join(sets.select(F.col("node").alias("of_node"), F.col("n").alias("size"), "sketch"), F.col("node") == F.col("of_node")).select("g", "i", "j", "node", "label", F.col("size").alias("n"), "sketch")
+    buckets = max(64, groups.count() // BUCKET_NODES)
+    bucket = F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)).alias("bucket")
+    return sketched.groupBy(bucket).applyInArrow(lambda t: _pairs_in_bucket(t, percent, nearest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -322,8 +382,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     empty result.
 
     Equal sets are one node, so copies cost nothing further. Each node goes first to the node it shares most
-    groups with; the components of these links leave few groups with several labels, which are compared in
-    blocks of at most about GROUP_NODES nodes.
+    groups with; then, in groups with several labels, to the nearest of other labels; then all that still have
+    different labels in a group are compared, but for pairs that sizes or sketches prove too different. Groups are
+    worked on in blocks of about GROUP_NODES nodes.
     """
     spark = docs.sparkSession
     profile = materialize(docs.select("doc_id", "text").mapInArrow(_profile, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long"), "near-profile")
@@ -341,17 +402,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     best = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
     links = materialize(_verified(best, sets, percent), "near-links")
     labels = components(links)
-
-    labelled = groups.join(labels.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("g", "node", F.coalesce("label", "node").alias("label"))
-    labelled = materialize(labelled, "near-labelled")
-    open_ = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select(F.col("g").alias("of_g"), F.ceil(F.col("n") / GROUP_NODES).cast("int").alias("blocks"))
-    blocked = labelled.join(open_, F.col("g") == F.col("of_g")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = blocked.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "label")
-    with_sets = blocked.join(sets.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node")).select("g", "i", "j", "node", "label", "shingles")
-    more = materialize(with_sets.groupBy("g", "i", "j").applyInArrow(lambda t: _links_in_group(t, percent), "a long, b long").distinct(), "near-more-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    for t in (labelled, sets, groups):
+    for nearest in (NEAREST, None):
+        more = materialize(_verified(_open_pairs(groups, labels, sets, percent, nearest), sets, percent), "near-more-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+    for t in (sets, groups):
         discard(t)
 
     named = profile.join(labels.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
