@@ -28,8 +28,7 @@ SIGNIFICANT = 4.5
 PREFIXES = (3, 4, 5, 6, 7)
 #: The most, in log-odds, that a document's site may count for or against it.
 SITE_LIMIT = 2.0
-_SPACE = r"[\s\p{Z}]+"
-_EDGES = r"^[^\p{L}]+|[^\p{L}]+$"
+_MARKS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2026"
 
 
 def _segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -37,20 +36,24 @@ def _segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return total[ends] - total[starts]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; numpy's own ``unique`` hashes, which is slower for so many different ones."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _tokens(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of texts between white space, and each word's text."""
-    lists = pc.split_pattern_regex(text, pattern=_SPACE)
+    lists = pc.utf8_split_whitespace(text)
     tokens = lists.flatten()
     rows = np.repeat(np.arange(len(text)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     full = pc.not_equal(tokens, "")
     return tokens.filter(full), rows[full.to_numpy(zero_copy_only=False)]
 
 
-def _plain(tokens: pa.Array) -> pa.DictionaryArray:
-    """Words in lower case without what isn't a letter at their ends, coded."""
-    coded = tokens.dictionary_encode()
-    plain = pc.replace_substring_regex(pc.utf8_lower(coded.dictionary), pattern=_EDGES, replacement="").dictionary_encode()
-    return pa.DictionaryArray.from_arrays(pc.take(plain.indices, coded.indices), plain.dictionary)
+def _plain(words: pa.Array) -> pa.Array:
+    """Words in lower case without marks and digits at their ends."""
+    return pc.utf8_trim(pc.utf8_lower(words), characters=_MARKS)
 
 
 def _beginnings(words: pa.Array):
@@ -88,26 +91,27 @@ def features(text: pa.Array, lexicon: Lexicon) -> np.ndarray:
     ends = np.cumsum(counts)
     starts = ends - counts
     chars = np.maximum(1, pc.utf8_length(text).to_numpy(zero_copy_only=False))
-    found = lambda pattern: pc.count_substring_regex(text, pattern).to_numpy(zero_copy_only=False)
     coded = tokens.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # what a word holds is counted once for each different word
+    held = lambda pattern: _segment_sums(pc.count_substring_regex(coded.dictionary, pattern).to_numpy(zero_copy_only=False)[codes], starts, ends)
     same = np.zeros(len(codes), bool)
     same[1:] = (codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1])
-    distinct = np.bincount(np.unique(rows.astype(np.int64) * (len(coded.dictionary) + 1) + codes) // (len(coded.dictionary) + 1), minlength=n)
-    plain = _plain(tokens)
+    distinct = np.bincount(_distinct(rows.astype(np.int64) * (len(coded.dictionary) + 1) + codes) // (len(coded.dictionary) + 1), minlength=n)
+    plain = _plain(coded.dictionary).dictionary_encode()
     value = lexicon.value(plain.dictionary)
-    plain_codes = plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    plain_codes = plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
     hits = np.flatnonzero(value[plain_codes]) if len(plain_codes) else plain_codes
-    pairs = np.unique(rows[hits].astype(np.int64) * (len(value) + 1) + plain_codes[hits])
+    pairs = _distinct(rows[hits].astype(np.int64) * (len(value) + 1) + plain_codes[hits])
     strongest = np.zeros(n)
     np.maximum.at(strongest, pairs // (len(value) + 1), value[pairs % (len(value) + 1)])
     weight = np.bincount(pairs // (len(value) + 1), value[pairs % (len(value) + 1)] if len(pairs) else None, minlength=n)
     return np.column_stack(
         [
-            np.minimum(1, found(r"[#*$%&|<>{}~^=\\]") / size),
-            np.minimum(1, found(r"!") / size),
-            np.minimum(1, found(r"\p{Lu}") / chars),
-            np.minimum(1, found(r"\p{Nd}") / chars),
+            np.minimum(1, held(r"[#*$%&|<>{}~^=\\]") / size),
+            np.minimum(1, held(r"!") / size),
+            np.minimum(1, held(r"\p{Lu}") / chars),
+            np.minimum(1, held(r"\p{Nd}") / chars),
             _segment_sums(same, starts, ends) / size,
             1 - distinct / size,
             np.minimum(1, chars / size / 20),
@@ -152,15 +156,16 @@ def _presence(batches):
     for batch in batches:
         for piece in text_slices(batch, "text"):
             tokens, rows = _tokens(pc.fill_null(piece.column("text"), "").cast(pa.large_string()))
-            plain = _plain(tokens)
+            coded = tokens.dictionary_encode()
+            plain = _plain(coded.dictionary).dictionary_encode()
             n = piece.num_rows
-            pairs = np.unique(plain.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + rows)
+            pairs = _distinct(plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)] * n + rows)
             toxic = piece.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
             for form in _beginnings(plain.dictionary):
                 coded = form.dictionary_encode()
                 width = len(coded.dictionary)
                 code = pc.fill_null(coded.indices, width).to_numpy(zero_copy_only=False).astype(np.int64)
-                both = np.unique(code[pairs // n] * n + pairs % n)
+                both = _distinct(code[pairs // n] * n + pairs % n)
                 both = both[both // n < width]
                 bad = toxic[both % n]
                 yield pa.RecordBatch.from_arrays(
