@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,9 @@ END_ID = 2
 SEGMENT_IDS = 1_000_000
 #: Documents of one shard on average.
 SHARD_ROWS = 8_000
-_GAPS = r"[ \t\n\r\x0b\x0c]+"
 _TAIL = ".,;:!?"
 #: Words whose ids a worker keeps.
-_CACHED = 400_000
+_CACHED = 250_000
 
 
 class Encoder:
@@ -65,29 +65,29 @@ class Encoder:
             self.index[w] = self.n
             self.n += 1
 
-    def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of each word, the cached piece before the marks at its end, and the piece of marks."""
         if self.n > _CACHED:
             self.clear()
-        stems, tails = [], []
-        for w in words:
-            stem = w.rstrip(_TAIL)
-            if len(stem) == len(w) or not stem or not stem[-1].isalnum():
-                stem, tail = w, ""
-            else:
-                tail = w[len(stem) :]
-            stems.append(stem.lower() if stem.isascii() else stem)
-            tails.append(tail)
-        index = self.index
-        if unknown := [w for w in {*stems, *tails} if w not in index]:
+        stems = pc.utf8_rtrim(words, characters=_TAIL)
+        cut = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(words)), pc.match_substring_regex(stems, r"[\p{L}\p{Nd}]$"))
+        tails = pc.if_else(cut, pc.replace_substring_regex(words, pattern=rf"(?s)^.*[^{_TAIL}]", replacement=""), pa.scalar("", words.type))
+        stems = pc.if_else(cut, stems, words)
+        stems = pc.if_else(pc.string_is_ascii(stems), pc.ascii_lower(pc.if_else(pc.string_is_ascii(stems), stems, pa.scalar("", words.type))), stems)
+        return self._places(stems), self._places(tails)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        coded = pieces.dictionary_encode()
+        different, index = coded.dictionary.to_pylist(), self.index
+        if unknown := [w for w in different if w not in index]:
             self.learn(unknown)
-        return np.array([index[w] for w in stems], np.int64), np.array([index[w] for w in tails], np.int64)
+        return np.array([index[w] for w in different], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts in turn, an ``end_id`` after each, and how many each text has."""
-        lists = pc.split_pattern_regex(pc.fill_null(text, "").cast(pa.large_string()), pattern=_GAPS)
+        lists = pc.ascii_split_whitespace(pc.fill_null(text, "").cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        stems, tails = self.pieces(coded.dictionary.to_pylist())
+        stems, tails = self.pieces(coded.dictionary)
         words = coded.indices.to_numpy(zero_copy_only=False)
         per = np.stack([stems[words], tails[words]], axis=1).ravel()
         lengths = self.lengths[per]
@@ -98,12 +98,18 @@ class Encoder:
         return np.insert(self.flat[at], np.cumsum(sizes), np.uint32(end_id)), sizes + 1
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for a worker, so tasks share what it has met."""
+    return Encoder(path)
+
+
 def _segments(path: str, end_id: int, segment_ids: int):
     def run(batches):
         from pyspark import TaskContext
 
         shard, segment = TaskContext.get().partitionId(), 0
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         docs, counts, held, size = [], [], [], 0
 
         def row():
@@ -114,7 +120,7 @@ def _segments(path: str, end_id: int, segment_ids: int):
             )
 
         for batch in batches:
-            for piece in text_slices(batch, "text", 2_000_000):
+            for piece in text_slices(batch, "text", 1_000_000):
                 ids, sizes = encoder.encode(piece.column("text"), end_id)
                 docs.append(piece.column("doc_id"))
                 counts.append(sizes)
