@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import getpass
 import tempfile
 import uuid
@@ -59,6 +60,12 @@ def discard(df: DataFrame) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of tables that are written by now; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     """The array of words of a text; empty for null and for white space alone."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(WORD_SEPARATORS))

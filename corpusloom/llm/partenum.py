@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table, text_slices
+from .common import discard, materialize, settle, table, text_slices
 from .components import components
 
 WORDS = 5
@@ -268,8 +268,8 @@ def _folded(words: np.ndarray, length: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, length), axis=0)
 
 
-def _sets(docs: DataFrame, profile: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, sketch, shingles: the sets of the given nodes, from one document of each."""
+def _of_nodes(docs: DataFrame, profile: DataFrame, nodes: DataFrame, value, name: str) -> DataFrame:
+    """node, n, and the bytes of ``value`` of its set, in column ``name``, for the given nodes; from one document of each."""
     chosen = materialize(profile.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("of_doc")), "near-documents")
     wanted = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
 
@@ -279,33 +279,55 @@ def _sets(docs: DataFrame, profile: DataFrame, nodes: DataFrame) -> DataFrame:
                 values, sizes = shingle_sets(piece.column("text"))
                 ends = np.cumsum(sizes)
                 same = nodes_of(values, sizes) == piece.column("node").to_numpy()  # a repeated id may have another text
-                cells = [values[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                sketches = [sketch(values[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(sizes), pa.array(sketches, pa.binary()), pa.array(cells, pa.binary())], names=["node", "n", "sketch", "shingles"]).filter(pa.array(same))
+                cells = [value(values[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(sizes), pa.array(cells, pa.binary())], names=["node", "n", name]).filter(pa.array(same))
 
     rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("of_doc")).select("node", "text")
-    return rows.mapInArrow(run, "node long, n long, sketch binary, shingles binary")
+    return materialize(rows.mapInArrow(run, f"node long, n long, {name} binary"), f"near-{name}")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    one = sets.select(F.col("node").alias("node_a"), F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("node").alias("node_b"), F.col("shingles").alias("set_b"))
+def _filtered(pairs: DataFrame, of_nodes: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) that pass ``test`` on sizes and bytes that ``of_nodes`` has of both. Rows of hot nodes are split by the skew join."""
+    name = of_nodes.columns[-1]
+    one = of_nodes.select(F.col("node").alias("node_a"), F.col("n").alias("p"), F.col(name).alias("x"))
+    two = of_nodes.select(F.col("node").alias("node_b"), F.col("n").alias("q"), F.col(name).alias("y"))
 
     def run(batches):
         for batch in batches:
+            p, q = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                if 100 * len(p) >= percent * len(q):
-                    common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                    keep[k] = 100 * common >= percent * (len(p) + len(q) - common)
+            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                keep[k] = test(int(p[k]), int(q[k]), np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    rows = pairs.join(two, F.col("b") == F.col("node_b")).join(one, F.col("a") == F.col("node_a")).select("a", "b", "set_a", "set_b")
-    return rows.mapInArrow(run, "a long, b long")
+    rows = pairs.join(two, F.col("b") == F.col("node_b")).join(one, F.col("a") == F.col("node_a")).select("a", "b", "p", "q", "x", "y")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _maybe_similar(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and sketches do not tell apart."""
+
+    def near(p: int, q: int, x: np.ndarray, y: np.ndarray) -> bool:
+        short = min(len(x), len(y))
+        return 100 * min(p, q) >= percent * max(p, q) and int(np.bitwise_count(_folded(x, short) ^ _folded(y, short)).sum(dtype=np.int64)) <= (100 - percent) * (p + q) // (100 + percent)
+
+    return _filtered(pairs, sketches, near)
+
+
+def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Only the sets of their nodes are made again and shuffled."""
+
+    def similar(p: int, q: int, x: np.ndarray, y: np.ndarray) -> bool:
+        common = int((y[np.minimum(np.searchsorted(y, x), q - 1)] == x).sum())
+        return 100 * common >= percent * (p + q - common)
+
+    pairs = materialize(pairs.distinct(), "near-pairs")
+    sets = _of_nodes(docs, profile, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), lambda v: v, "shingles")
+    links = materialize(_filtered(pairs, sets, similar), "near-links")
+    for t in (sets, pairs):
+        discard(t)
+    settle(docs.sparkSession)
+    return links
 
 
 def _near_pairs(x: np.ndarray, labels: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,13 +381,13 @@ def _pairs_in_bucket(t: pa.Table, percent: int, nearest: int | None) -> pa.Table
     return pa.table({"a": both[0], "b": both[1]})
 
 
-def _open_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+def _open_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: int | None) -> DataFrame:
     """Pairs (a, b) to compare in groups that still have several labels; groups are cut into blocks, and each two blocks meet in one task."""
     labelled = groups.join(labels.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("g", "node", F.coalesce("label", "node").alias("label"))
     open_ = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select(F.col("g").alias("of_g"), F.ceil(F.col("n") / GROUP_NODES).cast("int").alias("blocks"))
     blocked = labelled.join(open_, F.col("g") == F.col("of_g")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = blocked.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "label")
-    sketched = blocked.join(sets.select(F.col("node").alias("of_node"), F.col("n").alias("size"), "sketch"), F.col("node") == F.col("of_node")).select("g", "i", "j", "node", "label", F.col("size").alias("n"), "sketch")
+    sketched = blocked.join(sketches.select(F.col("node").alias("of_node"), F.col("n").alias("size"), "sketch"), F.col("node") == F.col("of_node")).select("g", "i", "j", "node", "label", F.col("size").alias("n"), "sketch")
     buckets = max(64, groups.count() // BUCKET_NODES)
     bucket = F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)).alias("bucket")
     return sketched.groupBy(bucket).applyInArrow(lambda t: _pairs_in_bucket(t, percent, nearest), "a long, b long").distinct()
@@ -393,20 +415,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull())
     frequent = _frequent_shingles(known, size["n"])
     groups = materialize(_groups(known, size["largest"], size["total"], frequent, percent), "near-groups")
-    spark._jvm.System.gc()  # lets Spark drop the signatures' shuffle files
-    sets = materialize(_sets(known, profile, groups.select("node").distinct()), "near-sets")
+    settle(spark)
+    sketches = _of_nodes(known, profile, groups.select("node").distinct(), sketch, "sketch")
 
     hubs = groups.groupBy("g").agg(F.min("node").alias("a")).withColumnRenamed("g", "of_g")
     stars = groups.join(hubs, F.col("g") == F.col("of_g")).where("a <> node").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("n"))
-    best = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
-    links = materialize(_verified(best, sets, percent), "near-links")
+    best = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    links = _verified(known, profile, _maybe_similar(best, sketches, percent), percent)
     labels = components(links)
     for nearest in (NEAREST, None):
-        more = materialize(_verified(_open_pairs(groups, labels, sets, percent, nearest), sets, percent), "near-more-links")
+        more = _verified(known, profile, _open_pairs(groups, labels, sketches, percent, nearest), percent)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
-    for t in (sets, groups):
+    for t in (sketches, groups):
         discard(t)
 
     named = profile.join(labels.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
