@@ -1,4 +1,59 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir):
-    return spark.range(1)
+"""A corpus pipeline: documents are judged, deduplicated, decontaminated, mixed and written as token ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusloom.llm.common import materialize, table
+from corpusloom.llm.decontaminate import clean_documents
+from corpusloom.llm.mixing import mixed_documents
+from corpusloom.llm.partenum import one_of_each
+from corpusloom.llm.quality_classifier import good_documents
+from corpusloom.llm.token_output import token_output
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the table of labels, keeps."""
+    return good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of near duplicates."""
+    return one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row for each epoch that takes a document, cut at the sources' budgets."""
+    return mixed_documents(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, and their index as read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_output(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+    ("token-ID / binary output", token_files),
+]
+
+#: A fitted classifier, near duplicates, alignment and a tokenizer have no SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage reads what the one before wrote to the shared folder; a lost executor costs one stage's task."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{k}")
+    return docs

@@ -18,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Rows of one bucket of the key range, over all sources, on average.
 BUCKET_ROWS = 2_000
+#: Rows of the plan that may be broadcast: under 100 bytes each.
+BROADCAST_ROWS = 500_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -106,7 +108,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     and ``n_chars`` where there is such a column. Rows that share id, source and size share what the mix takes
     of them evenly, so a source with such rows at its cut may miss its budget by fewer words than there are rows.
     """
-    plan = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("epochs"), F.floor(F.sum("part") / F.count("*")).cast("long").alias("part"))
+    plan = mix(docs, **options).where(F.col("taken") > 0).groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("epochs"), F.floor(F.sum("part") / F.count("*")).cast("long").alias("part"))
+    plan = materialize(plan, "mix-plan")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     kept = docs.withColumn("_size", n_words(F.col("text"))).alias("d").join(
         plan.alias("m"),
         F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("_size") == F.col("m.size")),

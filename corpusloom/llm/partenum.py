@@ -346,11 +346,14 @@ def _near_pairs(x: np.ndarray, labels: np.ndarray, n: np.ndarray, percent: int)
 
 
 def _pairs_in_bucket(t: pa.Table, percent: int, nearest: int | None) -> pa.Table:
-    """Pairs of nodes to compare in the blocks (g, i, j) of a table. With ``nearest``, of each node only the pairs with so many whose sketches differ least."""
+    """Pairs of nodes to compare in the blocks (g, i, j) of a table.
+
+    With ``nearest``, only of nodes whose ``own`` group it is, and of each the pairs with so many whose sketches differ least.
+    """
     t = t.combine_chunks()
     col = lambda name: t.column(name).to_numpy()
     order = np.lexsort((col("node"), col("j"), col("i"), col("g")))
-    g, bi, bj, node, label, n = (col(c)[order] for c in ("g", "i", "j", "node", "label", "n"))
+    g, bi, bj, node, label, n, own = (col(c)[order] for c in ("g", "i", "j", "node", "label", "n", "own"))
     sketches = t.column("sketch").chunk(0)
     offsets = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + len(sketches) + 1].astype(np.int64)
     words = np.frombuffer(sketches.buffers()[2], np.uint64, offsets[-1] // 8)
@@ -368,8 +371,10 @@ def _pairs_in_bucket(t: pa.Table, percent: int, nearest: int | None) -> pa.Table
         else:
             x = np.stack([_folded(words[s : s + k], short) for s, k in zip(starts[a:b], lengths[a:b], strict=True)])
         i, j, apart = _near_pairs(x, label[a:b], n[a:b], percent)
-        if nearest and len(i) > nearest * (b - a):
+        if nearest:
             source, other, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
+            mine = own[a + source]
+            source, other, apart = source[mine], other[mine], apart[mine]
             by = np.lexsort((other, apart, source))
             source, other = source[by], other[by]
             rank = np.arange(len(source)) - np.searchsorted(source, source)
@@ -384,10 +389,16 @@ def _pairs_in_bucket(t: pa.Table, percent: int, nearest: int | None) -> pa.Table
 def _open_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: int | None) -> DataFrame:
     """Pairs (a, b) to compare in groups that still have several labels; groups are cut into blocks, and each two blocks meet in one task."""
     labelled = groups.join(labels.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("g", "node", F.coalesce("label", "node").alias("label"))
-    open_ = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select(F.col("g").alias("of_g"), F.ceil(F.col("n") / GROUP_NODES).cast("int").alias("blocks"))
-    blocked = labelled.join(open_, F.col("g") == F.col("of_g")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = blocked.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "label")
-    sketched = blocked.join(sketches.select(F.col("node").alias("of_node"), F.col("n").alias("size"), "sketch"), F.col("node") == F.col("of_node")).select("g", "i", "j", "node", "label", F.col("size").alias("n"), "sketch")
+    open_ = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select(F.col("g").alias("of_g"), F.col("n").alias("size"), F.ceil(F.col("n") / GROUP_NODES).cast("int").alias("blocks"))
+    members = labelled.join(open_, F.col("g") == F.col("of_g")).select("g", "node", "label", "blocks", "size")
+    if nearest:  # a node's largest group is its own
+        largest = members.groupBy("node").agg(F.max(F.struct("size", "g")).alias("first")).select(F.col("node").alias("of_node"), F.col("first.g").alias("own_g"))
+        members = members.join(largest, F.col("node") == F.col("of_node")).withColumn("own", F.col("g") == F.col("own_g"))
+    else:
+        members = members.withColumn("own", F.lit(True))
+    blocked = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = blocked.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "label", "own")
+    sketched = blocked.join(sketches.select(F.col("node").alias("of_node"), F.col("n").alias("size"), "sketch"), F.col("node") == F.col("of_node")).select("g", "i", "j", "node", "label", "own", F.col("size").alias("n"), "sketch")
     buckets = max(64, groups.count() // BUCKET_NODES)
     bucket = F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)).alias("bucket")
     return sketched.groupBy(bucket).applyInArrow(lambda t: _pairs_in_bucket(t, percent, nearest), "a long, b long").distinct()
@@ -441,7 +452,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of repeated rows all stay. Rows with a null id stay.
     """
-    gone = near_duplicates(docs).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialize(near_duplicates(docs).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
