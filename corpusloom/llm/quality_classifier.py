@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, text_slices
+from .common import free_name, materialize, table, text_slices
 
 #: Bounds of the sample of labelled rows that the classifier is fitted on, and of its lexicon.
 LABELLED_ROWS = 20_000
@@ -218,15 +218,16 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
 def with_evidence(docs: DataFrame, model: Model, name: str, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``name``: struct of p_quality, p_toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(f"{name}_text"))
+    of = keep.index("text") if "text" in keep else len(keep)
+    rows = docs.select(*[F.col(f"`{c}`") for c in [*keep, "text"][: max(len(keep), of + 1)]])
 
     def run(batches):
         fitted = shared.value
         for batch in batches:
-            for piece in text_slices(batch, f"{name}_text"):
-                quality, toxic = fitted.evidence(piece.column(piece.num_columns - 1))
+            for piece in text_slices(batch, "text"):
+                quality, toxic = fitted.evidence(piece.column(of))
                 both = pa.StructArray.from_arrays([pa.array(quality), pa.array(toxic)], names=["p_quality", "p_toxic"])
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], both], names=[*keep, name])
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], both], names=[*keep, name])
 
     schema = rows.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("struct<p_quality: double, p_toxic: double>").alias(name)).schema
     return rows.mapInArrow(run, schema)
@@ -247,7 +248,7 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
     One partial sum a path and task is all that is shuffled, so a hot host costs no more than others.
     Only single rows of sums come to the driver.
     """
-    paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
+    paths = materialize(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "site-sums")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
     joined = paths.withColumnRenamed("host", "at").join(hosts, F.col("at").eqNullSafe(F.col("host")))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s"), F.count("*").alias("groups"), F.sum(F.col("host_n") * F.col("host_n").cast("double")).alias("squares"), F.sum(F.col("host_s") * F.col("host_s") / F.col("host_n")).alias("sq")).first()
