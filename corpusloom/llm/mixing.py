@@ -82,7 +82,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
             "before",
             "source_size",
             "target",
-            F.coalesce(F.floor(budget / F.col("source_size")), F.lit(0)).cast("long").alias("epochs"),
+            F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
         )
         .withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     )
@@ -111,16 +111,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = mix(docs, **options).where(F.col("taken") > 0).groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("epochs"), F.floor(F.sum("part") / F.count("*")).cast("long").alias("part"))
     plan = materialize(plan, "mix-plan")
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    kept = docs.withColumn("_size", n_words(F.col("text"))).alias("d").join(
-        plan.alias("m"),
-        F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("_size") == F.col("m.size")),
-    )
-    rows = kept.select("d.*", "epochs", "part", "m.size", F.explode(F.sequence(F.lit(1), F.col("epochs") + F.lit(1))).alias("epoch"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), n_words(F.col("text")).alias("words"))
+    on = F.col("id").eqNullSafe(F.col("m.doc_id")) & F.col("of").eqNullSafe(F.col("m.source")) & (F.col("words") == F.col("m.size"))
+    copies = rows.join(plan.alias("m"), on).select("row", "epochs", "part", "words", F.explode(F.sequence(F.lit(1), F.col("epochs") + F.lit(1))).alias("epoch"))
     whole = F.col("epoch") <= F.col("epochs")
-    rows = rows.where((whole & (F.col("size") > 0)) | (~whole & (F.col("part") > 0)))
-    rows = rows.withColumn("text", F.when(whole | (F.col("part") == F.col("size")), F.col("text")).otherwise(_first_words(F.col("text"), F.col("part"))))
-    out = rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
-    return out.select(*docs.columns)
+    text = F.col("row.text")
+    cut = F.when(whole | (F.col("part") == F.col("words")), text).otherwise(_first_words(text, F.col("part")))
+    copies = copies.where(whole | (F.col("part") > 0)).withColumn("cut", cut)
+    changed = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return copies.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

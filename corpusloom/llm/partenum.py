@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, settle, table, text_slices
+from .common import discard, free_name, materialize, settle, table, text_slices
 from .components import components
 
 WORDS = 5
@@ -36,7 +36,7 @@ BUCKET_SIGNATURES = 1_000_000
 #: Nodes of a group that are compared in one task at a time.
 GROUP_NODES = 500
 #: Rows of groups that one call works on, on average.
-BUCKET_NODES = 10_000
+BUCKET_NODES = 20_000
 #: In the first comparison inside groups, so many of a node's nearest are compared; the second compares what is still open.
 NEAREST = 3
 #: Rows that may be broadcast: 16 bytes each.
@@ -399,7 +399,7 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, perce
     blocked = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = blocked.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "label", "own")
     sketched = blocked.join(sketches.select(F.col("node").alias("of_node"), F.col("n").alias("size"), "sketch"), F.col("node") == F.col("of_node")).select("g", "i", "j", "node", "label", "own", F.col("size").alias("n"), "sketch")
-    buckets = max(64, groups.count() // BUCKET_NODES)
+    buckets = max(16, groups.count() // BUCKET_NODES)
     bucket = F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)).alias("bucket")
     return sketched.groupBy(bucket).applyInArrow(lambda t: _pairs_in_bucket(t, percent, nearest), "a long, b long").distinct()
 
@@ -452,9 +452,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of repeated rows all stay. Rows with a null id stay.
     """
-    gone = materialize(near_duplicates(docs).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    name = free_name(docs, "_gone")
+    gone = materialize(near_duplicates(docs).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct(), "near-gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     got = sample.select("text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(rows, "x array<double>, quality int, toxic int").sort("quality", "toxic", "x").collect()
     width = features(pa.array([""]), lexicon).shape[1]
     if not got:
-        return Model(lexicon, np.zeros(width), np.ones(width), np.zeros(width + 1), np.append(np.zeros(width), -30.0))
+        return Model(lexicon, np.zeros(width), np.ones(width), np.append(np.zeros(width), 30.0), np.append(np.zeros(width), -30.0))
     x = np.array([r["x"] for r in got])
     mean, scale = x.mean(axis=0), np.maximum(1e-3, x.std(axis=0))
     z = (x - mean) / scale
@@ -277,7 +277,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     score is the posterior probability that the document is good; it is kept at 0.5 or more. Null texts count as
     empty; null hosts and paths are a host and a path of their own; repeated rows are documents of their own.
-    Without usable labels every document's evidence is even, and all are kept. Labels of unknown documents have
+    Without usable labels every document counts as good. Labels of unknown documents have
     no effect. An empty table gives an empty result. Texts are read twice, for the sums and for the verdicts, so
     no copy of them is shuffled or stored.
     """
