@@ -102,7 +102,7 @@ def work_graph(raw: Column) -> Column:
 def atom_graph(xml: Column) -> Column:
     """An Atom entry as struct(title, abstract, published, authors): names only."""
     one = lambda tag: blank_to_null(F.regexp_replace(F.regexp_extract(F.regexp_extract(xml, r"(?s)<entry>(.*?)</entry>", 1), rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), r"\s+", " "))
-    names = F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<author>.*?<name>(.*?)</name>"), F.lit(1)), F.trim)
+    names = F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<author>.*?<name>(.*?)</name>"), F.lit(1)), lambda x: F.trim(x))
     return F.when(one("title").isNotNull(), F.struct(one("title").alias("title"), one("summary").alias("abstract"), F.left(one("published"), F.lit(10)).try_cast("date").alias("published"), names.alias("authors")))
 
 

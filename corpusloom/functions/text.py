@@ -115,7 +115,7 @@ def plain_to_html(s: Column) -> Column:
 
 
 def csv_set(s: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def venue_type(kind: Column) -> Column:
