@@ -322,6 +322,8 @@ def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, percent: in
         return 100 * common >= percent * (p + q - common)
 
     pairs = materialize(pairs.distinct(), "near-pairs")
+    if pairs.isEmpty():
+        return pairs
     sets = _of_nodes(docs, profile, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), lambda v: v, "shingles")
     links = materialize(_filtered(pairs, sets, similar), "near-links")
     for t in (sets, pairs):
