@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op7_decontamination
 from .html_extract import op5_html_extract
 from .langid import op9_language_id
+from .line_templates import OP6_SQL, op6_line_templates
 from .mixing import OP8_SQL, op8_mixing
 from .partenum import op2_near_duplicates
 from .quality_classifier import op10_quality_classifier
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_output": op4_token_output,
     "op5_html_extract": op5_html_extract,
+    "op6_line_templates": op6_line_templates,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
@@ -26,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
+    "op6_line_templates": OP6_SQL,
     "op8_mixing": OP8_SQL,
 }
