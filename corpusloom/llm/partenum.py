@@ -256,11 +256,11 @@ def _groups(docs: DataFrame, largest: int, total: int, frequent: np.ndarray, per
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """An odd sketch: the parity of how many elements fall on each bit, 64 bits a word, at least two bits an element.
+    """An odd sketch: the parity of how many elements fall on each bit, 64 bits a word, at least four bits an element.
 
     Two sketches differ in no more bits than the sets do in elements, also after ``_folded`` made them equally long.
     """
-    bits = min(1 << 16, max(256, 1 << int(2 * len(values) - 1).bit_length()))
+    bits = min(1 << 17, max(256, 1 << int(4 * len(values) - 1).bit_length()))
     return np.packbits(np.bincount((_mix(values ^ _ODD[4]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").view(np.uint64)
 
 
