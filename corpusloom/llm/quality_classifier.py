@@ -28,6 +28,8 @@ SIGNIFICANT = 4.5
 PREFIXES = (3, 4, 5, 6, 7)
 #: The most, in log-odds, that a document's site may count for or against it.
 SITE_LIMIT = 2.0
+#: Rows of paths, of some 100 bytes each, that may be broadcast; more are joined by a shuffle.
+BROADCAST_PATHS = 200_000
 _MARKS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2026"
 
 
@@ -288,7 +290,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     sums = with_evidence(docs, model, at, [host, path]).select(F.col(host).alias("host"), F.col(path).alias("path"), good.alias("p"))
     sites, mean = site_posteriors(sums)
     mean = min(1 - 1e-9, max(1e-9, mean))
-    sites = sites.select(*[F.col(c).alias(f"{at}_{c}") for c in sites.columns])
+    sites = materialize(sites.select(*[F.col(c).alias(f"{at}_{c}") for c in sites.columns]), "site-posteriors")
+    sites = F.broadcast(sites) if sites.count() <= BROADCAST_PATHS else sites
     shift = _logit(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col(f"{at}_path_posterior")))) - math.log(mean / (1 - mean))
     odds = _logit(good) + F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), shift))
     rows = with_evidence(docs, model, at, list(dict.fromkeys([*keep, host, path])))
