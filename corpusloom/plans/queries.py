@@ -14,6 +14,7 @@ from ..functions import urls as U
 from ..functions import vectors as V
 from ..operators import analytics as A
 from ..operators import catalog as C
+from ..operators import content as B
 from ..operators import entities as E
 from ..operators import tags as G
 from ..sources import reads as R
@@ -533,6 +534,168 @@ def _(t):
     return e.where(U.is_fresh(F.lit("2024-01-15").cast("timestamp"), F.col("at"), 3600 * 12 - 1)).select("event_id")
 
 
+@query("p1_projection", "SELECT c_custkey AS id, c_name AS name FROM customer")
+def _(t):
+    return t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+@query("p4_owner_scope", with_sql("queue", "SELECT id, state FROM queue WHERE user_id = 7"))
+def _(t):
+    return B.owned_by(t.queue_items(), 7).select("id", "state")
+
+
+@query("p5_not_archived", with_sql("queue", "SELECT id, state FROM queue WHERE state <> 'archived'"))
+def _(t):
+    return B.not_archived(t.queue_items()).select("id", "state")
+
+
+@query("p6_browsable", with_sql("items", "SELECT type, id FROM items WHERE type IN ('article', 'paper')"))
+def _(t):
+    return C.browsable(C.normalise(t.articles(), t.papers(), t.issues())).select("type", "id")
+
+
+@query("p10_venue_type", "SELECT doc_id, CASE source WHEN 'src1' THEN 'other' ELSE CASE lang WHEN 'en' THEN 'preprint' WHEN 'de' THEN 'journal' ELSE 'other' END END AS venue FROM documents")
+def _(t):
+    kind = F.when(F.col("source") == "src1", "ebook platform").when(F.col("lang") == "en", "repository").when(F.col("lang") == "de", "book series").otherwise("novel")
+    return t.raw("documents").select("doc_id", T.venue_type(kind).alias("venue"))
+
+
+@query("j1_source", with_sql("items", "SELECT type, id, n_name AS source FROM items LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = source_id"))
+def _(t):
+    return C.with_source(C.normalise(t.articles(), t.papers(), t.issues()), t.sources()).select("type", "id", F.col("source.name").alias("source"))
+
+
+@query("j16_titles", with_sql("te articles", "SELECT te.event_id, title FROM te LEFT JOIN articles ON CAST(id AS VARCHAR) = te.readable_id"))
+def _(t):
+    names = C.titles(t.articles(), t.papers(), t.issues())
+    return t.tagging_events().join(names, ["readable_type", "readable_id"], "left").select("event_id", "title")
+
+
+@query("j5_overrides", with_sql("ov tags", "SELECT queue_item_id, string_agg(op || ':' || label, ',' ORDER BY label) AS overrides FROM ov JOIN tags ON id = tag_id GROUP BY 1"))
+def _(t):
+    rows = t.overrides().join(t.tags(), F.col("tag_id") == F.col("id"))
+    return rows.groupBy("queue_item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("label", "op"))), lambda x: F.concat(x["op"], F.lit(":"), x["label"])), ",").alias("overrides"))
+
+
+@query("j12_unlabelled", with_sql("te el", "SELECT DISTINCT te.readable_id FROM te LEFT JOIN el ON feature = 'tagging' AND el.readable_id = te.readable_id WHERE feature IS NULL"))
+def _(t):
+    return t.tagging_events().join(t.labels().where("feature = 'tagging'").select("readable_type", "readable_id"), ["readable_type", "readable_id"], "left_anti").select("readable_id").distinct()
+
+
+@query("w1_create", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 100, r_name FROM region")
+def _(t):
+    return K.create(t.raw("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), t.raw("region").select((F.col("r_regionkey") + 100).alias("id"), F.col("r_name").alias("name")))
+
+
+@query("a9_percentage", with_sql("ee", "SELECT domain, round(100 * count(*) FILTER (outcome = 'failed') / count(*)) AS failed_percent FROM ee GROUP BY domain"))
+def _(t):
+    return t.extraction_events().groupBy("domain").agg(A.percentage(F.count_if(F.col("outcome") == "failed"), F.count("*")).alias("failed_percent"))
+
+
+@query("a19_mean_confidence", "SELECT event_id, CASE WHEN event_type = 'view' THEN 0.5 ELSE (0.9 + 0.5) / 2 END AS overall FROM events")
+def _(t):
+    return t.raw("events").select("event_id", N.mean_confidence(F.when(F.col("event_type") != "view", 0.9), F.array(F.lit(0.5), F.lit(None).cast("double"))).alias("overall"))
+
+
+@query("f3_byline", "SELECT o_orderkey, unnest(['Ann' || o_custkey, 'Bo', 'Cy Poe']) AS name FROM orders")
+def _(t):
+    return t.raw("orders").select("o_orderkey", F.explode(T.split_byline(F.concat(F.lit("By Ann"), F.col("o_custkey").cast("string"), F.lit(", Bo & Cy Poe")))).alias("name"))
+
+
+@query("f7_clamp", "SELECT p_partkey, left(lower(trim(p_name)), 60) AS label, greatest(0.0, least(1.0, p_size / 25)) AS confidence FROM part")
+def _(t):
+    return t.raw("part").select("p_partkey", T.clamp_label(F.col("p_name")).alias("label"), T.clamp_confidence(F.col("p_size") / 25).alias("confidence"))
+
+
+@query("f8_document_text", "SELECT p_partkey, left(concat_ws(chr(10) || chr(10), p_name, CASE WHEN p_size > 10 THEN p_type END), 2000) AS text FROM part")
+def _(t):
+    return t.raw("part").select("p_partkey", T.document_text(F.col("p_name"), F.lit(None).cast("string"), F.when(F.col("p_size") > 10, F.col("p_type"))).alias("text"))
+
+
+@query("f10_forward_subject", "SELECT p_partkey, p_size % 2 = 0 AS is_forward, p_name AS subject FROM part")
+def _(t):
+    subject = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Fwd: TR : "), "p_name")).otherwise(F.col("p_name"))
+    return t.raw("part").select("p_partkey", T.is_forward_subject(subject).alias("is_forward"), T.strip_forward(subject).alias("subject"))
+
+
+@query("f11_mail_names", "SELECT c_custkey, '@mail.' || lower(c_mktsegment) || '.org' AS alias, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS site FROM customer")
+def _(t):
+    address = F.concat(F.lit("x@mail."), F.lower("c_mktsegment"), F.lit(".org"))
+    return t.raw("customer").select("c_custkey", T.domain_alias(address).alias("alias"), T.site_name(address).alias("site"))
+
+
+@query("f13_plain_html", "SELECT p_partkey, '<p>' || p_name || '</p><p>' || p_type || '<br>&lt;' || p_size || '</p>' AS html FROM part")
+def _(t):
+    return t.raw("part").select("p_partkey", T.plain_to_html(F.concat("p_name", F.lit("\n\n"), "p_type", F.lit("\n<"), F.col("p_size").cast("string"))).alias("html"))
+
+
+@query("f15_csv_set", "SELECT r_regionkey, unnest([lower(r_name), 'x']) AS member FROM region")
+def _(t):
+    return t.raw("region").select("r_regionkey", F.explode(T.csv_set(F.concat(F.lower("r_name"), F.lit(" , x,,"), F.lower("r_name")))).alias("member"))
+
+
+@query("f23_detect_paper", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'arxiv' ELSE 'doi' END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN '2401.' || lpad(CAST(o_custkey % 100000 AS VARCHAR), 5, '0') ELSE '10.1234/ab' || o_custkey END AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'https://arxiv.org/abs/2401.' || lpad(CAST(o_custkey % 100000 AS VARCHAR), 5, '0') ELSE 'https://doi.org/10.1234/ab' || o_custkey END AS url FROM orders")
+def _(t):
+    number = F.lpad((F.col("o_custkey") % 100000).cast("string"), 5, "0")
+    raw = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("https://arxiv.org/abs/2401."), number, F.lit("v3"))).otherwise(F.concat(F.lit("see DOI:10.1234/AB"), F.col("o_custkey").cast("string")))
+    found = t.raw("orders").select("o_orderkey", U.detect_paper(raw).alias("p"))
+    return found.select("o_orderkey", "p.kind", "p.id", U.paper_url(F.col("p.kind"), F.col("p.id")).alias("url"))
+
+
+@query("f25_parse_temporal", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CAST(o_orderdate AS DATE) END AS day FROM orders")
+def _(t):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, day).when(F.col("o_orderkey") % 3 == 1, F.concat(day, F.lit("T23:30:00Z"))).otherwise(F.concat(F.lit("on "), day))
+    return t.raw("orders").select("o_orderkey", F.to_date(U.parse_temporal(raw)).alias("day"))
+
+
+@query("f27_iso_day", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def _(t):
+    return t.raw("orders").select("o_orderkey", U.iso_day(F.col("o_orderdate")).alias("day"))
+
+
+@query("f47_model_tags", "SELECT p_partkey, unnest([lower(p_brand), 'x']) AS label, unnest([least(1.0, p_size / 25), 1.0]) AS confidence FROM part")
+def _(t):
+    reply = F.concat(F.lit('Sure: {"tags": [{"label": " '), F.col("p_brand"), F.lit('", "confidence": '), (F.col("p_size") / 25).cast("string"), F.lit('}, {"label": "X"}, {"label": ""}]} done'))
+    return t.raw("part").select("p_partkey", F.explode(N.model_tags(reply)).alias("t")).select("p_partkey", "t.label", "t.confidence")
+
+
+@query("f51_json", "SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS payload FROM region")
+def _(t):
+    return t.raw("region").select("r_regionkey", F.to_json(F.struct("r_regionkey", "r_name")).alias("payload"))
+
+
+@query("x5_body_confidence", "SELECT doc_id, CASE WHEN n < 50 THEN 0.2 WHEN n % 10 > 5 THEN 0.3 WHEN n % 7 = 0 THEN 0.4 WHEN n < 120 THEN 0.6 ELSE 0.85 END AS confidence FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM documents)")
+def _(t):
+    n = T.count_words(F.col("text"))
+    return t.raw("documents").select("doc_id", D.body_confidence(n, F.when(n % 10 > 5, 0.6).otherwise(0.1), F.when(n % 7 == 0, 0.99).otherwise(0.5)).alias("confidence"))
+
+
+@query("x14_content_for", with_sql("articles", "SELECT 'article' AS readable_type, CAST(id AS VARCHAR) AS readable_id, title, left(concat_ws(chr(10) || chr(10), title, body_html), 2000) AS text FROM articles UNION ALL SELECT 'paper', CAST(s_suppkey AS VARCHAR), s_name, s_name FROM supplier UNION ALL SELECT 'newsletter', CAST(c_custkey AS VARCHAR), c_name, c_name FROM customer"))
+def _(t):
+    return B.content_for(t.articles(), t.papers(), t.issues()).select("readable_type", "readable_id", "title", "text")
+
+
+@query("x11_content_view", with_sql("articles", "SELECT id, title, canonical_url AS link, '2024-01-02' AS day, coalesce(body_html, '<p>No text is available here.</p>') AS body FROM articles"))
+def _(t):
+    return B.content_view(t.articles().select(F.lit("article").alias("type"), "id", "title", F.col("canonical_url").alias("url"), F.lit("2024-01-02").cast("timestamp").alias("published"), "body_html")).select("id", "title", "link", "day", "body")
+
+
+@query("x13_extraction_event")
+def _(t):
+    now = F.lit("2024-01-02 00:00:01").cast("timestamp")
+    return B.extraction_event(D.extract_pages(t.raw("pages")), F.lit("2024-01-02").cast("timestamp"), now, now)
+
+
+@query("v10_resolve_senders", "SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN c_nationkey END AS source_id FROM customer")
+def _(t):
+    host = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".example"))
+    mails = t.raw("customer").select("c_custkey", F.concat(F.lit("X@"), host).alias("from_email"))
+    sources = t.raw("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    aliases = t.raw("nation").where("n_nationkey < 10").select(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "x@").otherwise("@"), F.lit("N"), F.col("n_nationkey").cast("string"), F.lit(".example")).alias("alias"), F.col("n_nationkey").alias("affiliation_id"))
+    return E.resolve_senders(mails, sources, aliases).select("c_custkey", "source_id")
+
+
 @query("flagship", with_sql("items lines rt tags", ", b AS (SELECT readable_type, readable_id, avg(confidence) AS c, count(*) AS k FROM rt JOIN tags ON id = tag_id GROUP BY ALL) SELECT n_name AS source, count(*) AS readables, CAST(sum(coalesce(n, 0)) AS BIGINT) AS bylines, CAST(sum(coalesce(k, 0)) AS BIGINT) AS tags, round(avg(c), 6) AS confidence FROM items i LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = source_id LEFT JOIN lines ON of_type = type AND of_id = i.id LEFT JOIN b ON b.readable_type = type AND b.readable_id = i.id GROUP BY 1"))
 def flagship(t):
     """Per source: readables, authors in their bylines, tags and their confidence."""

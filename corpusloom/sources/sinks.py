@@ -64,3 +64,19 @@ def check_enum(df: DataFrame, column: str, values: tuple[str, ...]) -> tuple[Dat
     """(valid rows, rows in quarantine)."""
     ok = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
     return df.where(ok), df.where(~ok)
+
+
+def put_blobs(df: DataFrame, folder: str) -> None:
+    """Stores (key, content) rows as a table that ``stored_blobs`` reads; the writer commits all or nothing."""
+    df.select("key", "content").write.mode("append").parquet(folder)
+
+
+def stored_blobs(spark, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
+def seed(spark, name: str, rows: list[tuple]) -> DataFrame:
+    """A logical table with the given rows."""
+    from .schemas import TABLES
+
+    return spark.createDataFrame(rows, TABLES[name].ddl)
