@@ -99,3 +99,30 @@ def fixpoint_targets(sizes, weights=(5, 2, 1), cap=3):
         if not over:
             return fixed | {s: left * w[s] / weight for s in free}
         fixed |= {s: cap * sizes[s] for s in over}
+
+
+def templates(rows, leading=3, min_docs=3, constant=70, min_tokens=3):
+    """(doc_id, text) rows -> the masked lines whose template recurs."""
+    mask = lambda line: re.sub(r"[^ ]*(?:[0-9@]|://)[^ ]*", "<*>", re.sub(GAP, " ", line).strip(" "))
+    docs_of, leaf_of = defaultdict(set), {}
+    for d, text in set(rows):
+        for line in (text or "").split("\n"):
+            m = mask(line)
+            t = m.split(" ")
+            if m and len(t) >= min_tokens:
+                docs_of[m].add((d, text))
+                leaf_of[m] = (len(t), *t[:leading])
+    seen = Counter()
+    for m, who in docs_of.items():
+        for i, token in enumerate(m.split(" ")):
+            if token != "<*>":
+                seen[leaf_of[m], i, token] += len(who)
+    found = defaultdict(set)
+    members = defaultdict(set)
+    for m, who in docs_of.items():
+        t = [x if seen[leaf_of[m], i, x] >= min_docs else "<*>" for i, x in enumerate(m.split(" "))]
+        if 100 * sum(x != "<*>" for x in t) >= constant * len(t):
+            key = (leaf_of[m], " ".join(t))
+            found[key] |= who
+            members[key].add(m)
+    return {m for k, who in found.items() if len(who) >= min_docs for m in members[k]}, mask
