@@ -7,7 +7,7 @@ from .html_extract import op5_html_extract
 from .langid import op9_language_id
 from .line_templates import OP6_SQL, op6_line_templates
 from .mixing import OP8_SQL, op8_mixing
-from .partenum import op2_near_duplicates
+from .partenum import OP2_SQL, op2_near_duplicates
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .token_output import op4_token_output
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_near_duplicates": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
     "op6_line_templates": OP6_SQL,
     "op8_mixing": OP8_SQL,
