@@ -665,7 +665,7 @@ def _(t):
     return t.raw("region").select("r_regionkey", F.to_json(F.struct("r_regionkey", "r_name")).alias("payload"))
 
 
-@query("x5_body_confidence", "SELECT doc_id, CASE WHEN n < 50 THEN 0.2 WHEN n % 10 > 5 THEN 0.3 WHEN n % 7 = 0 THEN 0.4 WHEN n < 120 THEN 0.6 ELSE 0.85 END AS confidence FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM documents)")
+@query("x5_body_confidence", "SELECT doc_id, CAST(CASE WHEN n < 50 THEN 0.2 WHEN n % 10 > 5 THEN 0.3 WHEN n % 7 = 0 THEN 0.4 WHEN n < 120 THEN 0.6 ELSE 0.85 END AS DOUBLE) AS confidence FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM documents)")
 def _(t):
     n = T.count_words(F.col("text"))
     return t.raw("documents").select("doc_id", D.body_confidence(n, F.when(n % 10 > 5, 0.6).otherwise(0.1), F.when(n % 7 == 0, 0.99).otherwise(0.5)).alias("confidence"))
