@@ -32,7 +32,7 @@ _BAD_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "he
 _GOOD_TAGS = {"article", "main"}
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _BAD_NAME = re.compile(
-    r"(?:^|[\s_\-\"'])(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|comments?|commentlist|respond|replies|reply|disqus|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|related|recommend\w*|share\w*|sharing|social|widget\w*|toolbar|pagination|pager|copyright|legal|search|complementary|contentinfo|navigation)(?=$|[\s_\-\"'\d])",
+    r"(?:^|[\s_\-\"'])(ads?|advert\w*|adv|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|comments?|commentlist|respond|responses?|discussion|replies|reply|disqus|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|related|recommend\w*|share\w*|sharing|social|widget\w*|toolbar|pagination|pager|copyright|legal|search|complementary|contentinfo|navigation)(?=$|[\s_\-\"'\d])",
     re.I,
 )
 _GOOD_NAME = re.compile(r"(?:^|[\s_\-\"'])(?:article\w*|main|content|post|entry|story|articlebody)(?=$|[\s_\-\"'\d])", re.I)
@@ -63,9 +63,13 @@ class _Element:
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 bad = True
             elif name not in ("hidden", "aria-hidden"):
-                named_bad = bool(_BAD_NAME.search(value)) and tag not in ("html", "body", "article", "main")
+                named_good = bool(_GOOD_NAME.search(value))
+                words = {m[1].lower() for m in _BAD_NAME.finditer(value)}
+                if inside or named_good:  # an article's own header holds its title
+                    words.discard("header")
+                named_bad = bool(words) and tag not in ("html", "body", "article", "main")
                 bad |= named_bad
-                good |= not named_bad and bool(_GOOD_NAME.search(value)) and tag not in ("html", "body")
+                good |= not named_bad and named_good and tag not in ("html", "body")
         self.tag, self.key = tag, key
         self.good = int(good) + (outer.good if outer else 0)
         self.bad = int(bad) + (outer.bad if outer else 0)
