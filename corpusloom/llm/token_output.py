@@ -7,7 +7,9 @@ segment is read without any other. Spark's writer commits the files, so tasks th
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import uuid
 import zlib
 from functools import cache
@@ -30,6 +32,22 @@ _TAIL = ".,;:!?"
 _CACHED = 1_000_000
 
 
+def _plain_letters(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, takes runs of letters as pieces and spells them as byte letters."""
+    parts = json.loads(tokenizer.to_str())
+    normal = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+    before = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+    pattern = before[0].get("pattern", {}).get("Regex", "") if before else ""
+    return set(normal) == {"NFC", "Replace", "Lowercase"} and [x["type"] for x in before] == ["Split", "ByteLevel"] and "|[\\p{L}]+|" in pattern and parts["model"]["type"] == "BPE"
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself if it prints, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
 class Encoder:
     """A tokenizer, and the ids of words it has met.
 
@@ -42,14 +60,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bytes = _byte_letters() if _plain_letters(self.tokenizer) else None
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.starts, self.lengths, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
 
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word. Normalised lower-case letters are one piece as they are, so they go straight to the library's model."""
+        if self.bytes is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        tokenize, table = self.tokenizer.model.tokenize, self.bytes
+        got: list = []
+        rest = []
+        for w in words:
+            if w.isalpha() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w)):
+                got.append([t.id for t in tokenize(w if w.isascii() else "".join([table[b] for b in w.encode()]))])
+            else:
+                got.append(None)
+                rest.append(w)
+        others = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        return [next(others).ids if ids is None else ids for ids in got]
+
     def learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        got = self._ids(words)
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         used = int(self.starts[self.n - 1] + self.lengths[self.n - 1]) if self.n else 0
         need = used + int(lengths.sum())
