@@ -96,9 +96,8 @@ class Encoder:
         self.flat[used:need] = np.fromiter((x for ids in got for x in ids), np.uint32, need - used)
         self.lengths[self.n : self.n + len(got)] = lengths
         self.starts[self.n : self.n + len(got)] = used + np.cumsum(lengths) - lengths
-        for w in words:
-            self.index[w] = self.n
-            self.n += 1
+        self.index.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.n += len(words)
 
     def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of each word, the cached piece before the marks at its end, and the piece of marks."""
@@ -113,10 +112,12 @@ class Encoder:
 
     def _places(self, pieces: pa.Array) -> np.ndarray:
         coded = pieces.dictionary_encode()
-        different, index = coded.dictionary.to_pylist(), self.index
-        if unknown := [w for w in different if w not in index]:
-            self.learn(unknown)
-        return np.array([index[w] for w in different], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        different, known = coded.dictionary.to_pylist(), self.index.get
+        places = np.array([known(w, -1) for w in different], np.int64)
+        if len(unknown := np.flatnonzero(places < 0)):
+            places[unknown] = self.n + np.arange(len(unknown))
+            self.learn([different[i] for i in unknown.tolist()])
+        return places[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts in turn, an ``end_id`` after each, and how many each text has."""
