@@ -87,6 +87,7 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def text_slices(batch, column: str, limit: int = 4_000_000):
     """Cuts an Arrow batch into pieces whose ``column`` holds about ``limit`` bytes, or one row if that is longer."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
@@ -97,3 +98,4 @@ def text_slices(batch, column: str, limit: int = 4_000_000):
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # a worker lives on, so what one batch took must not stay

@@ -29,7 +29,7 @@ SEGMENT_IDS = 1_000_000
 SHARD_ROWS = 8_000
 _TAIL = ".,;:!?"
 #: Words whose ids a worker keeps.
-_CACHED = 1_000_000
+_CACHED = 250_000
 
 
 def _plain_letters(tokenizer) -> bool:
@@ -156,7 +156,7 @@ def _segments(path: str, end_id: int, segment_ids: int):
             )
 
         for batch in batches:
-            for piece in text_slices(batch, "text", 3_000_000):
+            for piece in text_slices(batch, "text", 1_000_000):
                 ids, sizes = encoder.encode(piece.column("text"), end_id)
                 docs.append(piece.column("doc_id"))
                 counts.append(sizes)
