@@ -207,7 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
                 x = features(piece.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), piece.column("quality"), piece.column("toxic")], names=["x", "quality", "toxic"])
 
-    got = sample.select("text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(rows, "x array<double>, quality int, toxic int").sort("quality", "toxic", "x").collect()
+    got = sample.select("text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(rows, "x array<double>, quality int, toxic int").collect()
+    got.sort(key=lambda r: (r["quality"], r["toxic"], r["x"]))  # sums over rows in one order are alike in each run
     width = features(pa.array([""]), lexicon).shape[1]
     if not got:
         return Model(lexicon, np.zeros(width), np.ones(width), np.append(np.zeros(width), 30.0), np.append(np.zeros(width), -30.0))
