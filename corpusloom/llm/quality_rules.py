@@ -1,7 +1,7 @@
 """Quality rules from line frequency across documents, in DataFrame functions alone.
 
 Each document's lines are normalised and hashed; a line is too frequent in a host when it occurs in more
-distinct documents of the host than both limits allow. Such lines are removed, and a document that they
+distinct documents of the host than the limit allows, whatever the size of the host. Such lines are removed, and a document that they
 leave too little of is rejected, as is one that fails the base rules.
 """
 
@@ -14,10 +14,8 @@ from .common import GAP_PATTERN, WORD_PATTERN, WORD_SEPARATORS, materialize, tab
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: A line goes when more documents of its host have it than this number ...
+#: A line goes when more documents of its host have it than this number.
 LINE_DOCS = 10
-#: ... and more than one in so many of them.
-LINE_SHARE = 200
 #: A document is depleted when less than this percentage of its words is left.
 LEAST_LEFT = 30
 
@@ -59,25 +57,25 @@ def line_profile(docs: DataFrame) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, line_docs: int = LINE_DOCS, line_share: int = LINE_SHARE, least_left: int = LEAST_LEFT) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, line_docs: int = LINE_DOCS, line_share: int | None = None, least_left: int = LEAST_LEFT) -> DataFrame:
     """(doc_id, text, source, ...) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_frequent_lines, n_words_left, kept; a row for each row.
 
     A null text counts as empty and fails by its number of words. A null source is a host of its own.
     Repeated rows are documents of their own, each with its place in the counts. Extra columns are not
     looked at. An empty table gives an empty result. Equal lines after trimming, joining white space and
-    lower-casing count as one line.
+    lower-casing count as one line. A ``line_share`` asks besides that more than one in so many documents of the
+    host have the line; OP3_SQL has one of 200, which tells for hosts of more than 2,200 documents.
 
     A hot host is many lines, each counted by partial sums; a line that a third of all documents have costs
     each map task one row of counts. Frequent lines are joined, broadcast only where their measured size allows.
     """
     profile = materialize(line_profile(docs).withColumn("row", F.monotonically_increasing_id()), "line-profile")
-    hosts = profile.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "of_host")
     seen = profile.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > line_docs)
-    frequent = materialize(
-        seen.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("line_docs") * line_share > F.col("host_docs")).select(F.col("host").alias("of_host"), F.col("h").alias("of_h")),
-        "frequent-lines",
-    )
+    if line_share:
+        hosts = profile.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "of_host")
+        seen = seen.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("line_docs") * line_share > F.col("host_docs"))
+    frequent = materialize(seen.select(F.col("host").alias("of_host"), F.col("h").alias("of_h")), "frequent-lines")
     lines = profile.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.n")
     removed = (
         lines.join(frequent, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("h") == F.col("of_h")))

@@ -129,6 +129,16 @@ def test_frequent_lines_deplete(spark):
     assert all(got[i]["n_frequent_lines"] == (3 if i % 4 == 0 else 1) for i in got)
 
 
+def test_large_hosts_keep_the_line_limit(spark, tmp_path):
+    rng = random.Random(4)
+    often, seldom = prose(rng, 60), prose(rng, 60)
+    rows = [(i, often if i < 11 else seldom if i < 21 else f"only {i}", "s") for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in quality_rules.op3_quality_rules(spark, str(tmp_path)).collect()}
+    assert all(got[i]["n_frequent_lines"] == (i < 11) and got[i]["n_words_left"] == (0 if i < 11 else got[i]["n_words"]) for i in got)
+    assert not any(got[i]["kept"] for i in range(11)) and all(got[i]["kept"] for i in range(11, 21))
+
+
 # 4
 
 
