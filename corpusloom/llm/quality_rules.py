@@ -38,25 +38,52 @@ def _covered(name: str) -> Column:
     return F.expr(f"sort_array(transform(filter({name}, (x, k) -> x.h = get({name}, k - 1).h OR x.h = get({name}, k + 1).h), x -> x.i))")
 
 
+def _plain(line: Column) -> Column:
+    return F.lower(F.regexp_replace(F.btrim(line, F.lit(WORD_SEPARATORS)), GAP_PATTERN, " "))
+
+
 def line_profile(docs: DataFrame) -> DataFrame:
     """(doc_id, text, source, ...) -> doc_id, source, the base counts, and lines: array of (h, n), n words in a line with hash h."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select("doc_id", F.col("source").alias("host"), text.alias("body"), words(F.col("text")).alias("tokens"))
     out = out.withColumn("hashes", F.transform("tokens", lambda w: F.xxhash64(w))).withColumn("windows", _windows("hashes")).withColumn("places", F.coalesce(_covered("windows"), F.array().cast("array<int>")))
     with_words = F.filter(F.split("body", "\n"), lambda x: F.translate(x, WORD_SEPARATORS, "") != "")
-    plain = lambda x: F.lower(F.regexp_replace(F.btrim(x, F.lit(WORD_SEPARATORS)), GAP_PATTERN, " "))
     return out.select(
         "doc_id",
         "host",
+        F.xxhash64("body").alias("text_hash"),
         F.size("tokens").cast("long").alias("n_words"),
         F.length(F.translate("body", WORD_SEPARATORS, "")).cast("long").alias("word_chars"),
         (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(with_words) - F.size(F.array_distinct(with_words))).cast("long").alias("n_dup_lines"),
         F.expr("CASE WHEN size(places) = 0 THEN 0L ELSE 3L + aggregate(sequence(1, size(places)), 0L, (a, k) -> a + if(k = size(places), 0, least(3, get(places, k) - get(places, k - 1)))) END").alias("n_repeat_words"),
-        F.transform(F.transform(with_words, plain), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD_PATTERN)).alias("n"))).alias("lines"),
+        F.transform(F.transform(with_words, _plain), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD_PATTERN)).alias("n"))).alias("lines"),
     )
 
 
+def _frequent_lines(profile: DataFrame, line_docs: int, line_share: int | None) -> DataFrame:
+    """row, h, n: the lines of each row that are too frequent in its host."""
+    seen = profile.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > line_docs)
+    if line_share:
+        hosts = profile.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "of_host")
+        seen = seen.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("line_docs") * line_share > F.col("host_docs"))
+    frequent = materialize(seen.select(F.col("host").alias("of_host"), F.col("h").alias("of_h")), "frequent-lines")
+    lines = profile.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.n")
+    return lines.join(frequent, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("h") == F.col("of_h"))).select("row", "h", "n")
+
+
+def _base_failed(min_words: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _words_left() -> Column:
+    return F.col("n_words") - F.coalesce("n_frequent_words", F.lit(0))
+
+
+def _kept(min_words: int, least_left: int) -> Column:
+    return ~_base_failed(min_words) & (100 * _words_left() >= least_left * F.col("n_words"))
+
+
 def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, line_docs: int = LINE_DOCS, line_share: int | None = None, least_left: int = LEAST_LEFT) -> DataFrame:
     """(doc_id, text, source, ...) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_frequent_lines, n_words_left, kept; a row for each row.
@@ -71,19 +98,7 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, line_docs: int =
     each map task one row of counts. Frequent lines are joined, broadcast only where their measured size allows.
     """
     profile = materialize(line_profile(docs).withColumn("row", F.monotonically_increasing_id()), "line-profile")
-    seen = profile.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > line_docs)
-    if line_share:
-        hosts = profile.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "of_host")
-        seen = seen.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("line_docs") * line_share > F.col("host_docs"))
-    frequent = materialize(seen.select(F.col("host").alias("of_host"), F.col("h").alias("of_h")), "frequent-lines")
-    lines = profile.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.n")
-    removed = (
-        lines.join(frequent, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("h") == F.col("of_h")))
-        .groupBy("row")
-        .agg(F.count("*").alias("n_frequent_lines"), F.sum("n").alias("n_frequent_words"))
-    )
-    base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    left = F.col("n_words") - F.coalesce("n_frequent_words", F.lit(0))
+    removed = _frequent_lines(profile, line_docs, line_share).groupBy("row").agg(F.count("*").alias("n_frequent_lines"), F.sum("n").alias("n_frequent_words"))
     return (
         profile.drop("lines")
         .join(removed, "row", "left")
@@ -94,14 +109,30 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, line_docs: int =
             "n_symbols",
             "n_dup_lines",
             "n_repeat_words",
-            base_failed.alias("base_failed"),
+            _base_failed(min_words).alias("base_failed"),
             F.coalesce("n_frequent_lines", F.lit(0)).cast("long").alias("n_frequent_lines"),
-            left.cast("long").alias("n_words_left"),
-            (~base_failed & (100 * left >= least_left * F.col("n_words"))).alias("kept"),
+            _words_left().cast("long").alias("n_words_left"),
+            _kept(min_words, least_left).alias("kept"),
         )
     )
 
 
+def without_frequent_lines(docs: DataFrame, min_words: int = MIN_WORDS, line_docs: int = LINE_DOCS, line_share: int | None = None, least_left: int = LEAST_LEFT) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with the frequent lines taken out of their texts.
+
+    Repeated rows, of equal id, source and text, have equal verdicts and all stay or go. Lines without words stay.
+    """
+    key = [F.col("doc_id").alias("own_id"), F.col("source").alias("own_host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash")]
+    profile = materialize(line_profile(docs).withColumn("row", F.monotonically_increasing_id()), "line-profile")
+    removed = _frequent_lines(profile, line_docs, line_share).groupBy("row").agg(F.collect_set("h").alias("drop"), F.sum("n").alias("n_frequent_words"))
+    judged = profile.drop("lines").join(removed, "row", "left").where(_kept(min_words, least_left)).select("doc_id", "host", "text_hash", "drop").dropDuplicates(["doc_id", "host", "text_hash"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), *key)
+    joined = rows.join(judged, F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_host").eqNullSafe(F.col("host")) & (F.col("own_hash") == F.col("text_hash")))
+    left = F.array_join(F.filter(F.split("whole.text", "\n"), lambda x: ~F.array_contains("drop", F.xxhash64(_plain(x)))), "\n")
+    text = F.when(F.col("drop").isNull(), F.col("whole.text")).otherwise(left)
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 

@@ -129,6 +129,22 @@ def test_frequent_lines_deplete(spark):
     assert all(got[i]["n_frequent_lines"] == (3 if i % 4 == 0 else 1) for i in got)
 
 
+def test_without_frequent_lines(spark, hard, none):
+    rng = random.Random(5)
+    stock = [prose(rng, 30) for _ in range(3)]
+    own = [prose(rng, 60) for _ in range(60)]
+    rows = [(i, "\n".join(stock) if i % 4 == 0 else f"{own[i]}\n\n  {stock[0].upper()} \n{stock[1]}", "s") for i in range(60)] + [(99, prose(rng, 9), "s")]
+    rows += [rows[1], (None, f"{stock[2]}\n{own[0]}", "s"), (98, f"{stock[2]}\n{own[0]}", None), (97, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit("x"))
+    got = quality_rules.without_frequent_lines(docs)
+    assert got.columns == docs.columns
+    want = [(i, own[i] + "\n", "s", "x") for i in range(60) if i % 4] + [(1, own[1] + "\n", "s", "x"), (None, own[0], "s", "x"), (98, rows[-2][1], None, "x")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    judged = quality_rules.quality_rules(docs).where("kept").select("doc_id", "n_words_left").collect()
+    assert sorted(str((r["doc_id"], r["n_words_left"])) for r in judged) == sorted(str((r["doc_id"], len(r["text"].split()))) for r in got.collect())
+    assert quality_rules.without_frequent_lines(hard).columns == hard.columns and quality_rules.without_frequent_lines(none).count() == 0
+
+
 def test_large_hosts_keep_the_line_limit(spark, tmp_path):
     rng = random.Random(4)
     often, seldom = prose(rng, 60), prose(rng, 60)
