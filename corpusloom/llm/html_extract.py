@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, text_slices
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "button", "xmp", "noembed", "noframes"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "button", "xmp", "noembed", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in _RAW}
 _BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Without an end tag, what follows these is code; what follows others is text of the page.
+_CODE = {"script", "style"}
 _VOID = {"hr"}
 #: Opening one of these ends an open one of the same kind that nothing but text stands between.
 _IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
@@ -36,6 +38,9 @@ _BAD_NAME = re.compile(
     re.I,
 )
 _GOOD_NAME = re.compile(r"(?:^|[\s_\-\"'])(?:article\w*|main|content|post|entry|story|articlebody)(?=$|[\s_\-\"'\d])", re.I)
+#: Parts of a class or id that tell how a page is laid out, not what an element holds.
+_LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S+", re.I)
+_WRAP = re.compile(r"(?<!\S)\S+[_-]wrap(?:per)?(?!\S)", re.I)
 _SPACE = re.compile(r"\s+")
 _SCALE = 1000
 
@@ -48,14 +53,16 @@ class Block:
     good: int
     bad: int
     linked: int
+    named: int = 0
 
 
 class _Element:
-    __slots__ = ("bad", "good", "key", "tag")
+    __slots__ = ("bad", "good", "key", "named", "tag")
 
     def __init__(self, tag: str, attrs: str, key: int, outer: _Element | None) -> None:
         good, bad = tag in _GOOD_TAGS, tag in _BAD_TAGS
         inside = bool(outer and outer.good)
+        bad_words, main = False, tag in _GOOD_TAGS
         if tag == "header" and not inside:
             bad = True
         for name, value in _ATTR.findall(attrs) if attrs else ():
@@ -64,12 +71,21 @@ class _Element:
                 bad = True
             elif name not in ("hidden", "aria-hidden"):
                 named_good = bool(_GOOD_NAME.search(value))
+                if "-" in value or "_" in value:
+                    value = _WRAP.sub(lambda m: "" if _GOOD_NAME.search(m[0]) else m[0], _LAYOUT.sub("", value))
                 words = {m[1].lower() for m in _BAD_NAME.finditer(value)}
                 if inside or named_good:  # an article's own header holds its title
                     words.discard("header")
                 named_bad = bool(words) and tag not in ("html", "body", "article", "main")
-                bad |= named_bad
+                bad_words |= bool(words)
+                main |= name == "role" and value.lower() == "main" or name == "itemprop" and value.lower() == "articlebody"
                 good |= not named_bad and named_good and tag not in ("html", "body")
+        # 2: a bad name here or above; 1: one above, with an article or main part in between that has none
+        self.named = outer.named if outer else 0
+        if bad_words and tag not in ("html", "body", "article", "main"):
+            self.named = 2
+        elif self.named and main and not bad_words:
+            self.named = 1
         self.tag, self.key = tag, key
         self.good = int(good) + (outer.good if outer else 0)
         self.bad = int(bad) + (outer.bad if outer else 0)
@@ -82,13 +98,14 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked = depth = 0
     n = at = 0
+    open_ended: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         joined = _SPACE.sub(" ", "".join(text)).strip()
         if joined:
             top = stack[-1] if stack else None
-            found.append(Block(joined, top.tag if top else "", tuple(e.key for e in stack), top.good if top else 0, top.bad if top else 0, min(linked, len(joined))))
+            found.append(Block(joined, top.tag if top else "", tuple(e.key for e in stack), top.good if top else 0, top.bad if top else 0, min(linked, len(joined)), top.named if top else 0))
         text.clear()
         linked = 0
 
@@ -113,9 +130,14 @@ def blocks(page: str) -> list[Block]:
             continue
         closing, attrs = m[1] or m[4], m[3] or m[6] or ""
         if tag in _RAW:
-            if not closing and not attrs.endswith("/"):
+            if not closing and not attrs.endswith("/") and tag not in open_ended:
                 over = _RAW_END[tag].search(page, at)
-                at = over.end() if over else end
+                if over:
+                    at = over.end()
+                elif tag in _CODE:
+                    at = end
+                else:
+                    open_ended.add(tag)
         elif tag == "a":
             depth = max(0, depth + (-1 if closing else 1))
         elif tag == "br":
@@ -144,7 +166,7 @@ def score(b: Block) -> float:
     s = -1.0 + min(2.0, 0.5 * math.log1p(n))
     s += 5.0 * min(1, b.good) - 5.0 * (density if n > 3 or density > 0.9 else 0.5 * density)
     s += 0.5 if b.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") else 0.0
-    return s - 14.0 * min(1, b.bad)
+    return s - (14.0 if b.bad or b.named == 2 else 4.0 * b.named)
 
 
 def _apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:

@@ -244,6 +244,32 @@ def test_extract():
     html_extract.extract("<" * 5000 + '<a b="' * 3000)
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "content-sidebar-wrap", "with-comments", "has-share-buttons", "search-results", "related-work"])
+def test_extract_inside_layout_names(name):
+    text = "The first paragraph of an article has quite a few words in it, and they go on."
+    article = f"<article><h1>Head</h1><p>{text}</p></article>"
+    aside = "<aside><p>Some words beside it all which go on and on</p></aside>"
+    assert html_extract.extract(f"<div class='{name}'>{article}{aside}</div>") == f"Head\n{text}"
+    assert html_extract.extract(f"<div id={name.split()[-1]}><main><p>{text}</p></main></div>") == text
+
+
+def test_extract_keeps_bad_names_out():
+    text = "A reader writes quite a lot of words here too, and then some more of them."
+    for page in ("<div class=comments><article class=comment-body><p>{}</p></article></div>", "<div class='sidebar-wrapper'><p>{}</p></div>", "<nav><article><p>{}</p></article></nav>", "<div hidden><main><p>{}</p></main></div>", "<div class=related><article><p><a href=x>{}</a></p></article></div>"):
+        assert html_extract.extract(page.format(text)) == ""
+
+
+@pytest.mark.parametrize("tag", ["title", "button", "select", "object", "svg", "iframe", "textarea"])
+def test_extract_after_unclosed(tag):
+    assert html_extract.extract(f"<article><p>Words before.</p><{tag} class=x><p>Words after it.</p></article>") == "Words before.\nWords after it."
+    html_extract.extract(f"<{tag}>x" * 20000)
+
+
+def test_extract_math():
+    assert html_extract.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given.</p></article>") == "Let x=2 be given."
+    assert html_extract.extract("<article><p>Words.</p><script>var a") == "Words."
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(1))).collect()
