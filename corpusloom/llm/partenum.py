@@ -449,6 +449,55 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return named.join(smallest, F.col("label") == F.col("of_label"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _node_links(docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of nodes whose sets are similar, each once; of documents whose id is not null."""
+    spark = docs.sparkSession
+    known = docs.where(F.col("doc_id").isNotNull())
+    profile = materialize(known.select("doc_id", "text").mapInArrow(_profile, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long"), "near-profile")
+    size = profile.agg(F.count("*").alias("n"), F.max("n_shingles").alias("largest"), F.sum("n_shingles").alias("total")).first()
+    if not size["largest"]:
+        return spark.createDataFrame([], "a long, b long")
+    groups = materialize(_groups(known, size["largest"], size["total"], _frequent_shingles(known, size["n"]), percent), "near-groups")
+    settle(spark)
+    sketches = _of_nodes(known, profile, groups.select("node").distinct(), sketch, "sketch")
+    apart = spark.createDataFrame([], "node long, label long")  # every node a label of its own, so no pair is passed over
+    links = _verified(known, profile, _open_pairs(groups, apart, sketches, percent, None), percent)
+    for t in (sketches, groups):
+        discard(t)
+    return links
+
+
+def near_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text, ...) -> class_a, class_b: every link between different sets, each once.
+
+    A class is the documents of one set, named by its smallest id; of a link class_a is not above class_b, and they
+    are equal only where an id is repeated with other texts. Null ids and texts without words have no class.
+    All pairs in a group are compared, but for those that sizes or sketches prove too different, so m sets that
+    are all similar cost m * m / 2 rows, as many as their links.
+    """
+    profile = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_profile, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long")
+    least = materialize(profile.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least")), "near-classes")
+    named = lambda end: least.select(F.col("node").alias(f"node_{end}"), F.col("least").alias(f"least_{end}"))
+    both = _node_links(docs, percent).join(named("a"), F.col("a") == F.col("node_a")).join(named("b"), F.col("b") == F.col("node_b"))
+    return both.select(F.least("least_a", "least_b").alias("class_a"), F.greatest("least_a", "least_b").alias("class_b"))
+
+
+def link_counts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text, ...) -> doc_id, n_links, a row for each row: how many rows of the table, copies among them, its set is similar to, without itself.
+
+    Rows with a null id and texts without words have no link and count for none.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    profile = materialize(docs.select("doc_id", "text").mapInArrow(_profile, f"doc_id {kind}, n_shingles long, node long"), "near-profile")
+    profile = profile.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node")))
+    sizes = materialize(profile.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("rows")), "near-classes")
+    links = _node_links(docs, percent)
+    ends = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    others = ends.join(sizes, F.col("y") == F.col("node")).groupBy("x").agg(F.sum("rows").alias("others"))
+    counted = sizes.join(others, F.col("node") == F.col("x"), "left").select(F.col("node").alias("of_node"), (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n"))
+    return profile.join(counted, F.col("node") == F.col("of_node"), "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with their columns.
 

@@ -71,6 +71,36 @@ def test_near_duplicates_of_a_large_group_without_frequent_sample(spark, monkeyp
     assert sorted(map(tuple, got)) == sorted(brute.near(rows))
 
 
+def test_links_match_brute_force(spark, hard, none):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(12):
+        base = prose(rng, rng.choice([4, 120, 200])).split()
+        for _ in range(rng.randrange(1, 9)):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(None, rows[0][1]), (len(rows), None), (len(rows) + 1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def sets(text):
+        w = (text or "").split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    of = {d: sets(text) for d, text in rows if d is not None}
+    alike = lambda x, y: bool(of[x]) and 100 * len(of[x] & of[y]) >= 75 * len(of[x] | of[y])
+    first = {s: min(d for d in of if of[d] == s) for s in of.values() if s}
+    want = sorted((x, y) for x in first.values() for y in first.values() if x < y and alike(x, y))
+    parts = len({c for _, n, c in brute.near(rows) if n})
+    assert len(want) > len(first) - parts  # more links than components need
+    assert sorted(map(tuple, partenum.near_links(docs).collect())) == want
+    counts = {r["doc_id"]: r["n_links"] for r in partenum.link_counts(docs).collect()}
+    assert counts == {None: 0} | {d: sum(e != d and alike(d, e) for e in of) for d in of}
+    assert partenum.near_links(none).count() == partenum.link_counts(none).count() == 0
+    assert partenum.near_links(hard).count() == 0 and partenum.link_counts(hard).count() == len(HARD)
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(5)
     bands = partenum.Bands.of(2000, 75)
