@@ -6,6 +6,8 @@ PageRank), distrust from hosts with blocked pages against links. A host where di
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .common import materialize, table
 #: (verdict, rule): a rule is a host, which stands for its subdomains too, and the beginning of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
-MAX_STEPS = 30
+#: The share of its score by which a host may still move when steps end.
 TOLERANCE = 1e-4
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -45,11 +47,13 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select(F.col("host").alias("of_host"), target.alias("to_host")).where((F.col("of_host") != F.col("to_host")) & (F.col("to_host") != "")).groupBy("of_host", "to_host").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max_steps: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """seeds (host, trust, distrust) and edges (of_host, to_host, weight) -> host, trust, distrust.
 
     trust = (1 - damping) * seed + damping * sum over links to the host of trust * weight / weight of all links
-    from there; distrust the same over reversed links. Steps end when no host changes by more than ``tolerance``.
+    from there; distrust the same over reversed links. Steps end when no host changes by more than the share ``tolerance``
+    of its score, a first score being a change of all of it; so every host that a seed reaches has a score. ``max_steps`` ends
+    them earlier, and raises an error where hosts still move by more than ``tolerance`` in absolute terms.
     Each step is written to the shared folder, so lineage stays short; ranks and edges are joined by host, and a
     host that everybody links to is summed by parts before the shuffle.
     """
@@ -65,16 +69,22 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max_
         "host-seeds",
     )
     ranks = base.select("host", ((1 - damping) * F.col("s_trust")).alias("trust"), ((1 - damping) * F.col("s_distrust")).alias("distrust"))
-    for step in range(max_steps):
+    for step in itertools.count():
         forth = edges.join(ranks, F.col("of_host") == F.col("host")).select(F.col("to_host").alias("at"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
         against = edges.join(ranks, F.col("to_host") == F.col("host")).select(F.col("of_host").alias("at"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("against")).alias("d"))
         got = forth.unionByName(against).groupBy("at").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         flow = lambda seed, x: (1 - damping) * F.col(seed) + damping * F.coalesce(x, F.lit(0.0))
         new = base.join(got, F.col("host") == F.col("at"), "left").join(ranks.select(F.col("host").alias("was_at"), F.col("trust").alias("was_t"), F.col("distrust").alias("was_d")), F.col("host") == F.col("was_at"))
         new = materialize(new.select("host", flow("s_trust", F.col("t")).alias("trust"), flow("s_distrust", F.col("d")).alias("distrust"), "was_t", "was_d"), f"host-ranks-{step}")
-        moved = new.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("was_t")), F.abs(F.col("distrust") - F.col("was_d"))))).first()[0]
+        by = lambda x, was: F.abs(F.col(x) - F.col(was))
+        share = lambda x, was: F.when(F.col(x) == F.col(was), 0.0).otherwise(by(x, was) / F.greatest(x, was))
+        moved = new.agg(F.max(F.greatest(share("trust", "was_t"), share("distrust", "was_d"))).alias("share"), F.max(F.greatest(by("trust", "was_t"), by("distrust", "was_d"))).alias("most")).first()
         ranks = new.select("host", "trust", "distrust")
-        if moved is None or moved <= tolerance:
+        if moved["share"] is None or moved["share"] <= tolerance:
+            break
+        if step + 1 == max_steps:
+            if moved["most"] > tolerance:
+                raise RuntimeError(f"hosts still move by {moved['most']} after {max_steps} steps")
             break
     return ranks
 

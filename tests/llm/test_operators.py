@@ -343,6 +343,18 @@ def test_propagation_matches_brute_force(spark):
     assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
 
 
+def test_propagation_goes_on_behind_large_hubs_and_long_chains(spark):
+    link = lambda *hosts: " ".join(f'<a href="http://{h}/">l</a>' for h in hosts)
+    # distrust runs against links: leaf -> hub -> seed; the seed shares its distrust among 1,500 linking hosts
+    rows = [(0, "http://seed.com/de/1", None), (1, "http://leaf.net/en/", link("hub0.net"))]
+    rows += [(10 + i, f"http://hub{i}.net/en/", link("seed.com")) for i in range(1500)]
+    rows += [(5000 + i, f"http://chain{i}.net/en/", link(f"chain{i - 1}.net" if i else "end.com")) for i in range(35)] + [(6000, "http://end.com/de/", None)]
+    got = {r["host"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[h]["distrust"] > 0 and got[h]["verdict"] == "block" for h in ("hub0.net", "leaf.net", "chain0.net", "chain34.net"))
+    with pytest.raises(RuntimeError):
+        url_filter.judge(spark.createDataFrame(rows[-36:], "page_id long, url string, html string"), max_steps=3)
+
+
 # 7
 
 
