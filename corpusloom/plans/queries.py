@@ -154,7 +154,7 @@ def _(t):
 
 @query("o4_queue_of_user", with_sql("queue items", "SELECT q.id AS item_id, state, added_at, title FROM queue q JOIN items i ON readable_type = type AND CAST(readable_id AS VARCHAR) = i.id WHERE state <> 'archived' AND user_id = 11 ORDER BY added_at DESC, item_id DESC LIMIT 20"))
 def _(t):
-    return C.reading_queue(t.queue_items(), C.normalise(t.articles(), t.papers(), t.issues()), 11).orderBy(*C.queue_order()).limit(20).select("item_id", "state", "added_at", "title")
+    return C.reading_queue(t.queue_items(), C.normalise(t.articles(), t.papers(), t.issues()), 11).orderBy(*C.queue_order()).select("item_id", "state", "added_at", "title")
 
 
 @query("v14_orphans", with_sql("queue items", "SELECT id FROM queue WHERE CAST(readable_id AS VARCHAR) NOT IN (SELECT id FROM items WHERE type = 'article')"))
@@ -172,7 +172,7 @@ def _(t):
 @query("o2_author_order", "SELECT s_suppkey AS id, s_name AS name FROM supplier ORDER BY coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'A' || s_name END, s_name), s_suppkey LIMIT 20")
 def _(t):
     a = t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("A"), "s_name")).alias("sort_name"))
-    return a.orderBy(*C.author_order()).limit(20).select("id", "name")
+    return a.orderBy(*C.author_order()).select("id", "name")
 
 
 @query("wn1_latest_event", with_sql("ee", "SELECT url, event_id, outcome FROM ee QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at DESC, event_id DESC) = 1"))
@@ -321,7 +321,7 @@ UNION SELECT q.id, tag_id FROM q JOIN ov ON ov.queue_item_id = q.id WHERE op = '
 
 
 def _effective(t):
-    items = t.queue_items().where("state <> 'archived' and readable_id < 2500").select(F.col("id").alias("item_id"), "readable_type", F.col("readable_id").cast("string").alias("readable_id"))
+    items = t.queue_items().where("state <> 'archived'").select(F.col("id").alias("item_id"), "readable_type", F.col("readable_id").cast("string").alias("readable_id"))
     return G.effective(items, G.baseline(t.readable_tags(), t.tags()), t.overrides(), t.tags())
 
 
