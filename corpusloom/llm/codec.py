@@ -1,12 +1,15 @@
 """An adaptive context-mixing range coder for blocks of token ids.
 
-Every block starts from an empty model. For each id the model has three predictions: by a hash of the two
-ids before (order 2), by the id before (order 1), and by the ids last seen with each low byte (order 0). One
-four-way symbol says which of them holds, if any; its probabilities mix the counts of three contexts: the
-block so far, the confidence of order 1, and the confidences of orders 1 and 2 together. Ids of order 0
-follow as their low byte, new ids in full. Symbols drive a range coder with a 48-bit window and 16-bit words.
+Every block starts from an empty model and names its ids by their order of first appearance. For each id the
+model has an order-2 prediction (by a hash of the two ids before), an order-1 prediction (what last followed the
+id before) and order-0 counts: the ids seen so far stand in one row by classes of their counts, the most
+frequent class first. One 7-way symbol says that the order-2 or the order-1 prediction holds, that the id is
+new, or of which class it is; its probabilities mix the adaptive counts of two contexts: how often order 1 has
+held in a row, and how often orders 1 and 2 have. Inside a class, ids of about equal counts are equally likely.
+New ids follow in a second stream: an adaptive symbol for their magnitude, then the rest.
 
-Many blocks are coded in step, one numpy lane a block: lane operations replace a loop over ids.
+Symbols drive a range coder with a 48-bit window and 16-bit words. Window and range are integers held in
+doubles, exactly. Many blocks are coded in step, one numpy lane a block: lane operations replace a loop over ids.
 """
 
 from __future__ import annotations
@@ -18,187 +21,364 @@ import numpy as np
 
 BLOCK_IDS = 2048
 #: Blocks coded in step.
-LANES = 1024
-_SLOTS = 512
-_SHIFT = np.uint32(32 - 9)
-_HASH_1, _HASH_2 = np.uint32(2654435761), np.uint32(2246822519)
-_FRESH = np.int64(2 << 48 | 2 << 32 | 2 << 16 | 4)
-#: What a seen symbol adds to its count; counts are 16-bit fields, and three contexts' sum of a block's stays below 2 ** 15.
-_STEP = np.int64(4)
-_PREFIX = np.int64(1 << 48 | 1 << 32 | 1 << 16 | 1)
-_FIELD = np.int64(0xFFFF)
-_ZERO, _ONE = np.int64(0), np.int64(1)
-_WINDOW = np.int64(0xFFFFFFFF)
-_LOW_RANGE = np.int64(1 << 32)
-_4, _16, _32, _48 = map(np.int64, (4, 16, 32, 48))
-_3, _6, _255 = map(np.uint32, (3, 6, 255))
-#: After the magic number: version, bits of an id, ids, ids coded (with padding), CRC-32 of the ids as 32-bit little-endian, words that follow.
-_HEADER = struct.Struct("<4sBBxxIIII")
-MAGIC, VERSION = b"CMRC", 1
+LANES = 4096
+#: The most ids a block may have, as counts of two contexts must sum below 2 ** 15.
+MAX_BLOCK = 4000
+#: Symbols: classes of counts above 24, above 7, above 2 and up to 2, a new id, the order-1 id and the order-2 id.
+_NEW, _ORDER_1, _ORDER_2 = 4, 5, 6
+_SYMBOL = np.array([_NEW] + [3 - (c > 2) - (c > 7) - (c > 24) for c in range(1, MAX_BLOCK + 2)], np.int64)
+#: Whether one more occurrence takes an id with this count to the next class.
+_RISES = np.append(_SYMBOL[1:] != _SYMBOL[:-1], False)
+_RISES[0] = False
+#: A context has eight 16-bit fields that move as one 128-bit item: sums of the counts of all symbols before symbol 0, 1, ..., and of all seven.
+_ITEM = np.complex128
+_FRESH = np.arange(8, dtype=np.uint16).view(_ITEM)
+#: What a symbol adds to its context.
+_STEP = 4
+_STEPS = np.array([[_STEP * (k > s) for k in range(8)] for s in range(8)], np.uint16).view(_ITEM).ravel()
+_ONES, _HIGH = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)
+_15, _48 = np.uint64(15), np.uint64(48)
+#: Slots of order 2, an id and in the low two bits how often it held in a row, up to 3; 0 times for none.
+_SLOT_BITS, _NONE = 8, 0xFFFC
+_1, _2, _3, _4 = map(np.uint16, (1, 2, 3, 4))
+_UNMET = np.array([0, 0, 0xFFFF, 0], np.uint16)
+_HASH_1, _HASH_2 = np.uint16(40503), np.uint16(30011)
+_SLOT_SHIFT = np.uint16(16 - _SLOT_BITS)
+_LEAST, _TOP = 2.0**32, 2.0**48 - 1
+_FACTOR = np.array([1.0, 65536.0])
+#: After the magic number: version, bits of an id, ids, ids coded (with padding), different ids, a checksum, words of the symbols and of the new ids.
+_HEADER = struct.Struct("<4sBBHHHIII")
+MAGIC, VERSION = b"CMRC", 2
 
 
 class CorruptBlock(ValueError):
     pass
 
 
+def _checksum(ids: np.ndarray, fields: tuple, payload: bytes) -> int:
+    """CRC-32 of the ids as 32-bit little-endian, then the header without checksum, then what follows it."""
+    return zlib.crc32(payload, zlib.crc32(_HEADER.pack(MAGIC, VERSION, *fields[:4], 0, *fields[4:]), zlib.crc32(ids.tobytes())))
+
+
+class _Counts:
+    """Adaptive counts of 7 symbols, mixed from contexts: ``sizes`` says how many of each kind a lane has."""
+
+    def __init__(self, n: int, sizes: tuple[int, ...]) -> None:
+        self.n, self.fields = n, np.arange(n, dtype=np.int64) * 8
+        self.tables = [np.repeat(_FRESH, n * k) for k in sizes]
+        self.at = [np.arange(n, dtype=np.int64) * k for k in sizes]
+
+    def mix(self, *contexts: np.ndarray) -> None:
+        self.places = [at[: self.n] + c for at, c in zip(self.at, contexts, strict=True)]
+        self.got = [table.take(place).view(np.uint64) for table, place in zip(self.tables, self.places, strict=True)]
+        self.sums = self.got[0] + self.got[1] if len(self.got) > 1 else self.got[0]
+        self.total = self.sums.view(np.uint16)[7::8]
+
+    def share(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts before the symbols, and theirs."""
+        fields, at = self.sums.view(np.uint16), self.fields[: self.n] + symbol
+        before = fields.take(at)
+        at += 1
+        return before, fields.take(at) - before
+
+    def find(self, part: np.ndarray) -> np.ndarray:
+        """The symbols whose counts hold ``part``: one less than fields that are not above it, compared side by side."""
+        each = part.view(np.uint64) * _ONES | _HIGH
+        over = (each - self.sums[::2] & _HIGH) >> _15
+        over += (each - self.sums[1::2] & _HIGH) >> _15
+        return (over * _ONES >> _48).view(np.int64) - 1
+
+    def add(self, symbol: np.ndarray) -> None:
+        step = _STEPS.take(symbol).view(np.uint64)
+        for table, place, got in zip(self.tables, self.places, self.got, strict=True):
+            table[place] = (got + step).view(_ITEM)
+
+
 class _Model:
-    """The predictions and counts of ``n`` blocks."""
-
-    def __init__(self, n: int) -> None:
-        self.n = n
-        lane = np.arange(n, dtype=np.int64)
-        self.at_slots, self.at_low = lane * _SLOTS, lane * 256
-        self.at_one, self.at_two = lane * 16, lane * 128
-        # an entry is an id and, in its low three bits, how often it held in a row; 0 stands for none
-        self.one, self.two = np.zeros(n * _SLOTS, np.uint32), np.zeros(n * _SLOTS, np.uint32)
-        self.zero = np.full(n * 256, 0xFFFFFFFF, np.uint32)
-        self.count_all = np.full(n, _FRESH)
-        self.count_one, self.count_two = np.full(n * 16, _FRESH), np.full(n * 128, _FRESH)
-        self.before = np.zeros(n, np.uint32)
-        self.before_hash = np.zeros(n, np.uint32)
+    """The predictions of ``n`` blocks of ``different`` ids at most."""
+
+    def __init__(self, n: int, different: int) -> None:
+        room = (different + 3) // 32 * 32 + 40  # lanes a power of two apart would share few places of a cache
+        self.at = np.arange(n, dtype=np.int64) * room
+        # four 16-bit fields of each id: its place in the row, its count, what followed it last, how often in a row
+        info = np.empty((room, 4), np.uint16)
+        info[:] = _UNMET
+        info[:, 0] = np.arange(room)
+        self.info = np.tile(info.view(np.uint64).reshape(-1), n)
+        self.row = np.tile(np.arange(room, dtype=np.uint16), n)
+        # where the classes begin in the row, by symbol; the place of a new id, which ends the last class; and three more
+        self.starts = np.tile(np.array([0, 0, 0, 0, 0, 1, 2, 3], np.uint16), n)
+        self.ends = self.starts.view(np.uint64)[1::2]
+        self.at_start = np.arange(n, dtype=np.int64) * 8
+        self.two = np.full(n << _SLOT_BITS, _NONE, np.uint16)
+        self.at_two = np.arange(n, dtype=np.int64) << _SLOT_BITS
+        self.counts = _Counts(n, (8, 32))
+        self.last = np.tile(_UNMET, (n, 1))  # what is known of the id before
+        self.at_last = None
+        self.before = self.before_2 = np.zeros(n, np.uint16)
 
     def predict(self) -> None:
-        h1 = self.before * _HASH_1
-        self.i1 = self.at_slots + (h1 >> _SHIFT)
-        self.i2 = ((h1 ^ self.before_hash) * _HASH_2 >> _SHIFT) + self.at_slots
-        self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
-        self.id1, self.id2 = self.e1 >> np.uint32(3), self.e2 >> np.uint32(3)
-        self.c1, self.c2 = self.e1 & np.uint32(7), self.e2 & np.uint32(7)
-        agree = (self.id1 == self.id2).view(np.uint8)
-        self.x1 = self.at_one + (self.c1 + agree * np.uint32(8))
-        self.x2 = self.at_two + (self.c2 * np.uint32(8) + self.c1 + agree * np.uint32(64))
-        self.k1, self.k2 = self.count_one.take(self.x1), self.count_two.take(self.x2)
-        self.mixed = self.count_all + self.k1 + self.k2
-        self.sums = self.mixed * _PREFIX  # field k: the counts of symbols up to k
-        self.total = self.sums >> _48
-
-    def update(self, ids: np.ndarray, symbol: np.ndarray, shift: np.ndarray) -> None:
-        step = _STEP << shift
-        self.count_all += step
-        self.count_one[self.x1] = self.k1 + step
-        self.count_two[self.x2] = self.k2 + step
-        fresh = (ids << _3) + np.uint32(1)
-        self.two[self.i2] = fresh + np.minimum(self.c2, _6) * (symbol == 0)
-        self.one[self.i1] = fresh + np.minimum(self.c1, _6) * (self.id1 == ids)
-        self.zero[self.at_low + (ids & _255)] = ids
-        self.before_hash = self.before * np.uint32(40503) + np.uint32(1)
-        self.before = ids
-
-
-def _share(size: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """size // total, exactly: both are small enough for the quotient of doubles to round down alike."""
-    return (size.astype(np.float64) / total.astype(np.float64)).astype(np.int64)
-
-
-def _widths(bits: int) -> list[np.ndarray]:
-    """Bits of each 16-bit digit of an id that follow a symbol: none for ids that an order 1 or 2 told, the low byte for order 0."""
-    return [np.array([0, 0, 0 if d else 8, min(16, bits - 16 * d)], np.int64) for d in range(-(-bits // 16))]
-
-
-def _emit(low: np.ndarray, size: np.ndarray, words: np.ndarray, there: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Moves the window on by a word where less than 32 bits of range are left."""
-    short = size < _LOW_RANGE
-    there[row] = short
-    words[row] = low >> _32
-    more = short.astype(np.int64) << _4
-    return np.where(short, low & _WINDOW, low) << more, size << more
-
-
-def _encode(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids (blocks, steps) -> all blocks' words one after the other, and how many each has."""
-    n, steps = ids.shape
-    model = _Model(n)
-    low, size = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1, np.int64)
-    digits = -(-bits // 16)
-    per = 1 + digits
-    widths = _widths(bits)
-    words = np.zeros((steps * per + 3, n), np.uint32)
-    there = np.zeros((steps * per + 3, n), bool)
-    by_step = np.ascontiguousarray(ids.T.astype(np.uint32))
-    for t in range(steps):
-        x = by_step[t]
-        model.predict()
-        miss = model.id2 != x
-        symbol = miss.astype(np.uint8)
-        miss &= model.id1 != x
-        symbol += miss
-        miss &= model.zero.take(model.at_low + (x & _255)) != x
-        symbol += miss
-        shift = symbol.astype(np.int64) << _4
-        r = _share(size, model.total)
-        low += r * ((model.sums << _16) >> shift & _FIELD)
-        size = r * (model.mixed >> shift & _FIELD)
-        low, size = _emit(low, size, words, there, t * per)
-        for d in range(digits - 1, -1, -1):
-            width = widths[d].take(symbol)
-            size >>= width
-            low += size * (x >> np.int64(16 * d) & ((_ONE << width) - _ONE))
-            low, size = _emit(low, size, words, there, t * per + digits - d)
-        model.update(x, symbol, shift)
-    for k in range(3):
-        words[steps * per + k] = low >> _32
-        there[steps * per + k] = True
-        low = (low & _WINDOW) << _16
-    lanes = there.T
-    counts = lanes.sum(axis=1)
-    return _carried(words.T[lanes], counts), counts
+        self.id1, self.c1 = self.last[:, 2].copy(), self.last[:, 3].copy()
+        self.slot = self.at_two + ((self.before * _HASH_1 + self.before_2 * _HASH_2) >> _SLOT_SHIFT)
+        e = self.two.take(self.slot)
+        self.id2, self.c2 = e >> _2, e & _3
+        order_1 = self.c1 + (self.id1 == self.id2) * _4
+        self.counts.mix(order_1, order_1 * _4 + self.c2)
+
+    def learn_order(self, x: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Takes down that ``x`` follows the ids before; returns what is known of it, with the fields of ``info``."""
+        self.hit1, self.hit2 = self.id1 == x, self.id2 == x
+        if self.at_last is not None:
+            self.last[:, 2] = x
+            self.last[:, 3] = np.minimum(self.c1, _2) * self.hit1 + _1
+            self.info[self.at_last] = self.last.view(np.uint64).reshape(-1)
+        self.two[self.slot] = x * _4 + np.minimum(self.c2, _2) * self.hit2 + _1
+        self.at_last = self.at + place
+        return self.info.take(self.at_last).view(np.uint16).reshape(-1, 4)
+
+    def part_of(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a symbol's ids begin in the row and how many it has; a new id is the next one there, and the rest have one."""
+        at = self.at_start + symbol
+        start = self.starts.take(at)
+        at += 1
+        return start, self.starts.take(at) - start
+
+    def update(self, x: np.ndarray, known: np.ndarray, symbol: np.ndarray) -> None:
+        self.counts.add(symbol)
+        count = known[:, 1]
+        self.ends += (count == 0) * _ONES
+        rising = np.flatnonzero(_RISES.take(count))
+        if len(rising):  # the id changes places with the first of its class, which then belongs to the next
+            at = self.at_start.take(rising) + _SYMBOL.take(count.take(rising))
+            first, place, base = self.starts.take(at), known[:, 0].take(rising), self.at.take(rising)
+            self.starts[at] = first + _1
+            other = self.row.take(base + first)
+            self.row[base + place] = other
+            self.row[base + first] = x.take(rising)
+            self.info.view(np.uint16)[(base + other) * 4] = place
+            known[rising, 0] = first
+        known[:, 1] += _1
+        self.last = known
+        self.before_2, self.before = self.before, x
+
+
+class _Writer:
+    """Window and range of ``n`` lanes, and the words that have left the window."""
+
+    def __init__(self, n: int, words: int) -> None:
+        self.low, self.size = np.zeros(n), np.full(n, _TOP)
+        self.words = np.empty((words + 4) * n, np.int32)  # lanes side by side, as they go on at about the same pace
+        self.n, self.at = n, np.arange(n, dtype=np.int64)
+
+    def narrow(self, before: np.ndarray, own: np.ndarray, total: np.ndarray, m: int) -> None:
+        r = np.floor(self.size[:m] / total)
+        self.low[:m] += r * before
+        self.size[:m] = r * own
+
+    def pick(self, part: np.ndarray, of: np.ndarray, m: int) -> None:
+        r = np.floor(self.size[:m] / of)
+        self.low[:m] += r * part
+        self.size[:m] = r
+
+    def shift(self, m: int) -> None:
+        """Words leave windows whose range has become short; a word may hold a carry in its 17th bit."""
+        low, size, at = self.low[:m], self.size[:m], self.at[:m]
+        short = size < _LEAST
+        more = _FACTOR.take(short.view(np.uint8))
+        size *= more
+        word = (low * 2.0**-32).astype(np.int32)
+        self.words[at] = word
+        at += short * self.n
+        word *= short
+        low -= word * _LEAST
+        low *= more
+        rest = np.flatnonzero(size < _LEAST)
+        if len(rest):
+            word = (low[rest] * 2.0**-32).astype(np.int32)
+            self.words[at[rest]] = word
+            at[rest] += self.n
+            low[rest] = (low[rest] - word * _LEAST) * 65536.0
+            size[rest] *= 65536.0
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """All lanes' words one after the other, and how many each has."""
+        for _ in range(3):
+            word = (self.low * 2.0**-32).astype(np.int32)
+            self.words[self.at] = word
+            self.at += self.n
+            self.low = (self.low - word * _LEAST) * 65536.0
+        counts = self.at // self.n
+        rows = np.ascontiguousarray(self.words[: int(counts.max()) * self.n].reshape(-1, self.n).T)
+        return _carried(np.concatenate([row[:k] for row, k in zip(rows, counts.tolist(), strict=True)]), counts), counts
+
+
+class _Source:
+    def __init__(self, words: np.ndarray, starts: np.ndarray) -> None:
+        self.words = np.concatenate([words.astype(np.float64), np.zeros(8)])
+        at = starts.astype(np.int64)
+        self.value = (self.words.take(at) * 65536.0 + self.words.take(at + 1)) * 65536.0 + self.words.take(at + 2)
+        self.size, self.at = np.full(len(at), _TOP), at + 3
+
+    def ask(self, total: np.ndarray, m: int) -> np.ndarray:
+        self.r = np.floor(self.size[:m] / total)
+        return np.minimum(np.floor(self.value[:m] / self.r), total - 1.0)
+
+    def narrow(self, before: np.ndarray, own: np.ndarray, m: int) -> None:
+        self.value[:m] -= self.r * before
+        self.size[:m] = self.r * own
+
+    def shift(self, m: int) -> None:
+        value, size, at = self.value[:m], self.size[:m], self.at[:m]
+        short = size < _LEAST
+        more = _FACTOR.take(short.view(np.uint8))
+        value *= more
+        value += self.words.take(at, mode="clip") * short
+        at += short
+        size *= more
+        rest = np.flatnonzero(size < _LEAST)
+        if len(rest):
+            value[rest] = value[rest] * 65536.0 + self.words.take(at[rest], mode="clip")
+            at[rest] += 1
+            size[rest] *= 65536.0
 
 
 def _carried(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """16-bit words from sums that may hold a carry in their 17th bit; a carry may run on through words of ones."""
-    over = np.flatnonzero(words >> np.uint32(16))
-    words &= np.uint32(0xFFFF)
+    over = np.flatnonzero(words >> 16)
+    words &= 0xFFFF
     while len(over):  # no carry leaves a block, as its window starts at 0
-        words[over - 1] += np.uint32(1)
-        over = over[words[over - 1] >> np.uint32(16) != 0] - 1
-        words[over] &= np.uint32(0xFFFF)
+        words[over - 1] += 1
+        over = over[words[over - 1] >> 16 != 0] - 1
+        words[over] &= 0xFFFF
     return words.astype("<u2")
 
 
-def _refill(value: np.ndarray, size: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    short = size < _LOW_RANGE
-    more = short.astype(np.int64) << _4
-    value = value << more | np.where(short, words.take(at, mode="clip"), _ZERO)
-    at += short
-    return value, size << more
+def _named(ids: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(blocks, steps) -> the same as numbers of first appearance, and each block's different ids in that order."""
+    n, steps = ids.shape
+    names, new = np.empty((n, steps), np.uint16), []
+    wide = bits > 20
+    table = np.empty(0 if wide else 1 << bits, np.int32)
+    back = np.arange(steps - 1, -1, -1, dtype=np.int32)
+    for k in range(n):
+        x = ids[k]
+        if wide:
+            _, first, inverse = np.unique(x, return_index=True, return_inverse=True)
+            at = first[inverse]
+        else:
+            table[x[::-1]] = back
+            at = table.take(x)
+        is_new = at == back[::-1]
+        names[k] = (np.cumsum(is_new) - 1).take(at)
+        new.append(x[is_new])
+    return names, new
 
 
-def _decode(words: np.ndarray, starts: np.ndarray, steps: int, bits: int) -> np.ndarray:
+def _encode(ids: np.ndarray, bits: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], list[int]]:
+    """ids (blocks, steps) -> words of all blocks' symbols and how many each has, the same for new ids, and how many different ids."""
+    n, steps = ids.shape
+    names, new = _named(ids, bits)
+    by_step = np.ascontiguousarray(names.T)
+    del names
+    model, out = _Model(n, max(map(len, new))), _Writer(n, 2 * steps)
+    order_1, order_2 = np.full(n, _ORDER_1), np.full(n, _ORDER_2)
+    for t in range(steps):
+        x = by_step[t]
+        model.predict()
+        known = model.learn_order(x, x)
+        symbol = np.where(model.hit2, order_2, np.where(model.hit1, order_1, _SYMBOL.take(known[:, 1])))
+        out.narrow(*model.counts.share(symbol), model.counts.total, n)
+        start, size = model.part_of(symbol)
+        out.pick((known[:, 0] - start) * (symbol <= _NEW), size, n)
+        out.shift(n)
+        model.update(x, known, symbol)
+    del model, by_step
+    return out.close(), _encode_new(new, bits), [len(x) for x in new]
+
+
+def _magnitudes(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least id and the number of ids of each magnitude: six by the highest bit, and one for all that are less."""
+    least = np.array([0] + [1 << k for k in range(bits - 6, bits + 1)], np.int64)
+    return least[:7], np.diff(least)
+
+
+def _encode_new(new: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in new])
+    order = np.argsort(-sizes, kind="stable")
+    table = np.zeros((len(new), sizes.max()), np.int64)
+    for k, i in enumerate(order):
+        table[k, : sizes[i]] = new[i]
+    least, many = _magnitudes(bits)
+    counts, out, zero = _Counts(len(new), (1,)), _Writer(len(new), 4 * table.shape[1]), np.zeros(len(new), np.int64)
+    falling = sizes[order]
+    for t in range(table.shape[1]):
+        m = int(np.searchsorted(-falling, -t))
+        x = table[:m, t]
+        kind = np.maximum(np.frexp(x)[1] - (bits - 6), 0).astype(np.int64)
+        counts.n = m
+        counts.mix(zero[:m])
+        out.narrow(*counts.share(kind), counts.total, m)
+        out.shift(m)
+        rest = x - least.take(kind)
+        if bits > 16:
+            out.pick(rest >> 16, (many.take(kind) + 65535) >> 16, m)
+            out.shift(m)
+            out.pick(rest & 65535, np.minimum(many.take(kind), 65536), m)
+        else:
+            out.pick(rest, many.take(kind), m)
+        out.shift(m)
+        counts.add(kind)
+    words, lengths = out.close()
+    ends = np.cumsum(lengths)
+    back = np.argsort(order)
+    return np.concatenate([words[ends[k] - lengths[k] : ends[k]] for k in back]), lengths[back]
+
+
+def _decode(words: np.ndarray, starts: np.ndarray, new_words: np.ndarray, new_starts: np.ndarray, steps: int, bits: int, different: np.ndarray) -> np.ndarray:
     """The inverse: ids (blocks, steps) of the blocks whose words begin at ``starts``."""
     n = len(starts)
-    model = _Model(n)
-    words = np.concatenate([words.astype(np.int64), np.zeros(8, np.int64)])
-    at = starts.astype(np.int64)
-    value = words.take(at) << _32 | words.take(at + 1) << _16 | words.take(at + 2)
-    at = at + 3
-    size = np.full(n, (1 << 48) - 1, np.int64)
-    digits = -(-bits // 16)
-    out = np.empty((steps, n), np.uint32)
-    widths = _widths(bits)
+    model, source = _Model(n, int(different.max())), _Source(words, starts)
+    names = np.empty((steps, n), np.uint16)
+    most, last = np.uint16(different.max() - 1), len(model.row) // n - 1
     for t in range(steps):
         model.predict()
-        r = _share(size, model.total)
-        cum = model.sums << _16
-        symbol = (value >= r * (cum >> _16 & _FIELD)).view(np.uint8) + (value >= r * (cum >> _32 & _FIELD)).view(np.uint8) + (value >= r * (cum >> _48)).view(np.uint8)
-        shift = symbol.astype(np.int64) << _4
-        value -= r * (cum >> shift & _FIELD)
-        size = r * (model.mixed >> shift & _FIELD)
-        value, size = _refill(value, size, words, at)
-        got = np.zeros(n, np.int64)
-        for d in range(digits - 1, -1, -1):
-            width = widths[d].take(symbol)
-            size >>= width
-            part = np.minimum(_share(value, size), (_ONE << width) - _ONE)
-            value -= size * part
-            value, size = _refill(value, size, words, at)
-            got = got << _16 | part
-        got = got.astype(np.uint32)
-        x = np.where(symbol == 0, model.id2, model.id1)
-        x = np.where(symbol == 2, model.zero.take(model.at_low + (got & _255)), x)
-        x = np.where(symbol == 3, got, x)
-        out[t] = x
-        model.update(x, symbol, shift)
-    return out.T
+        symbol = model.counts.find(source.ask(model.counts.total, n).astype(np.int64))
+        source.narrow(*model.counts.share(symbol), n)
+        start, size = model.part_of(symbol)
+        part = source.ask(np.maximum(size, 1), n)
+        source.narrow(part, 1.0, n)
+        source.shift(n)
+        x = model.row.take(model.at + np.minimum(part.astype(np.int64) + start, last))
+        x = np.where(symbol == _ORDER_2, model.id2, np.where(symbol == _ORDER_1, model.id1, x))
+        x = np.minimum(x, most)  # of a corrupt block
+        names[t] = x
+        model.update(x, model.learn_order(x, x), symbol)
+    new = _decode_new(new_words, new_starts, different, bits)
+    return np.take_along_axis(new, np.minimum(names.T, new.shape[1] - 1), axis=1)
+
+
+def _decode_new(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    order = np.argsort(-sizes, kind="stable")
+    falling = sizes[order]
+    least, many = _magnitudes(bits)
+    counts, source, zero = _Counts(len(sizes), (1,)), _Source(words, starts[order]), np.zeros(len(sizes), np.int64)
+    out = np.zeros((len(sizes), int(sizes.max())), np.uint32)
+    for t in range(out.shape[1]):
+        m = int(np.searchsorted(-falling, -t))
+        counts.n = m
+        counts.mix(zero[:m])
+        kind = counts.find(source.ask(counts.total, m).astype(np.int64))
+        source.narrow(*counts.share(kind), m)
+        source.shift(m)
+        rest = np.zeros(m)
+        for sizes_of in ([(many.take(kind) + 65535) >> 16, np.minimum(many.take(kind), 65536)] if bits > 16 else [many.take(kind)]):
+            part = source.ask(sizes_of, m)
+            source.narrow(part, 1.0, m)
+            source.shift(m)
+            rest = rest * 65536.0 + part
+        out[:m, t] = least.take(kind) + rest.astype(np.int64)
+        counts.add(kind)
+    return out[np.argsort(order)]
 
 
 def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> list[bytes]:
@@ -206,21 +386,21 @@ def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = LANE
     ids = np.ascontiguousarray(ids, dtype="<u4")
     if not len(ids):
         return []
-    if int(ids.max()) >= 1 << 29:
-        raise ValueError("ids must be below 2 ** 29")
+    if int(ids.max()) >= 1 << 29 or block_ids > MAX_BLOCK:
+        raise ValueError(f"ids must be below 2 ** 29, and blocks have {MAX_BLOCK} of them at most")
     bits = max(8, int(ids.max()).bit_length())
     steps = min(block_ids, len(ids))
     blocks = -(-len(ids) // steps)
-    padded = np.zeros(blocks * steps, np.uint32)
-    padded[: len(ids)] = ids
-    padded = padded.reshape(blocks, steps)
     out = []
     for first in range(0, blocks, lanes):
-        words, counts = _encode(padded[first : first + lanes], bits)
-        ends = np.cumsum(counts)
-        for k, (end, n) in enumerate(zip(ends, counts, strict=True)):
+        part = ids[first * steps : (first + lanes) * steps]
+        if len(part) % steps:
+            part = np.append(part, np.full(steps - len(part) % steps, ids[-1], np.uint32))
+        (words, counts), (new, new_counts), different = _encode(part.reshape(-1, steps), bits)
+        for k, (end, n, new_end, m, d) in enumerate(zip(np.cumsum(counts), counts, np.cumsum(new_counts), new_counts, different, strict=True)):
             own = ids[(first + k) * steps : (first + k + 1) * steps]
-            out.append(_HEADER.pack(MAGIC, VERSION, bits, len(own), steps, zlib.crc32(own.tobytes()), int(n)) + words[end - n : end].tobytes())
+            fields, payload = (bits, len(own), steps, d, int(n), int(m)), words[end - n : end].tobytes() + new[new_end - m : new_end].tobytes()
+            out.append(_HEADER.pack(MAGIC, VERSION, *fields[:4], _checksum(own, fields, payload), *fields[4:]) + payload)
     return out
 
 
@@ -230,10 +410,10 @@ def decode_blocks(blocks: list[bytes], lanes: int = LANES) -> list[np.ndarray]:
     for k, b in enumerate(blocks):
         if len(b) < _HEADER.size:
             raise CorruptBlock(f"block {k} is cut short")
-        magic, version, bits, n, steps, crc, words = _HEADER.unpack_from(b)
-        if magic != MAGIC or version != VERSION or n > steps or len(b) != _HEADER.size + 2 * words:
+        magic, version, bits, n, steps, different, crc, words, new = _HEADER.unpack_from(b)
+        if magic != MAGIC or version != VERSION or n > steps or not 0 < different <= steps <= MAX_BLOCK or not 8 <= bits <= 29 or words < 3 or len(b) != _HEADER.size + 2 * (words + new):
             raise CorruptBlock(f"block {k} has a wrong header or length")
-        parsed.append((steps, bits, n, crc, np.frombuffer(b, "<u2", words, _HEADER.size)))
+        parsed.append((steps, bits, n, different, crc, np.frombuffer(b, "<u2", words, _HEADER.size), np.frombuffer(b, "<u2", new, _HEADER.size + 2 * words)))
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     kinds: dict[tuple[int, int], list[int]] = {}
     for k, p in enumerate(parsed):
@@ -241,11 +421,15 @@ def decode_blocks(blocks: list[bytes], lanes: int = LANES) -> list[np.ndarray]:
     for (steps, bits), members in kinds.items():
         for first in range(0, len(members), lanes):
             group = members[first : first + lanes]
-            sizes = np.array([len(parsed[k][4]) for k in group])
-            ids = _decode(np.concatenate([parsed[k][4] for k in group]), np.cumsum(sizes) - sizes, steps, bits)
+            both = []
+            for part in (5, 6):
+                sizes = np.array([len(parsed[k][part]) for k in group])
+                both += [np.concatenate([parsed[k][part] for k in group]), np.cumsum(sizes) - sizes]
+            ids = _decode(*both, steps, bits, np.array([parsed[k][3] for k in group]))
             for k, row in zip(group, ids, strict=True):
                 own = np.ascontiguousarray(row[: parsed[k][2]], dtype="<u4")
-                if zlib.crc32(own.tobytes()) != parsed[k][3]:
+                steps_k, bits_k, n, different, crc, first_words, new_words = parsed[k]
+                if _checksum(own, (bits_k, n, steps_k, different, len(first_words), len(new_words)), blocks[k][_HEADER.size :]) != crc:
                     raise CorruptBlock(f"block {k} fails its checksum")
                 out[k] = own
     return out

@@ -7,9 +7,9 @@ segment is read without any other. Spark's writer commits the files, so tasks th
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
-import unicodedata
 import uuid
 import zlib
 from functools import cache
@@ -20,118 +20,200 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .codec import decode_blocks, encode_blocks
+from .codec import BLOCK_IDS, LANES, decode_blocks, encode_blocks
 from .common import shared_dir, table, text_slices
 
 END_ID = 2
-SEGMENT_IDS = 1_000_000
-#: Documents of one shard on average.
-SHARD_ROWS = 8_000
-_TAIL = ".,;:!?"
-#: Words whose ids a worker keeps.
-_CACHED = 250_000
-
-
-def _plain_letters(tokenizer) -> bool:
-    """Whether the tokenizer lower-cases, takes runs of letters as pieces and spells them as byte letters."""
-    parts = json.loads(tokenizer.to_str())
+SEGMENT_IDS = LANES * BLOCK_IDS
+#: Bytes of text of one shard on average, and of the least shard that is worth a task of its own.
+SHARD_BYTES, SHARD_LEAST = 16_000_000, 2_000_000
+#: Bytes of text that are cut into words at a time.
+TEXT_BYTES = 6_000_000
+#: Words whose ids a worker keeps; beyond, those that it has met once go.
+_CACHED = 1_000_000
+#: Words of letters that have one lower-case form each and no other composition, and of marks behind them (no apostrophe, which may begin a piece).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = r"^([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)([!-&(-/:-@\[-`{-~]*)$"
+
+
+def _plain_letters(parts: dict) -> bool:
+    """Whether the tokenizer lower-cases, takes runs of letters and of marks as pieces, spells them as byte letters and ends each with a suffix."""
     normal = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
     before = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
     pattern = before[0].get("pattern", {}).get("Regex", "") if before else ""
-    return set(normal) == {"NFC", "Replace", "Lowercase"} and [x["type"] for x in before] == ["Split", "ByteLevel"] and "|[\\p{L}]+|" in pattern and parts["model"]["type"] == "BPE"
+    if set(normal) != {"NFC", "Replace", "Lowercase"} or [x["type"] for x in before] != ["Split", "ByteLevel"] or not pattern.endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"):
+        return False
+    model = parts["model"]
+    suffix = model.get("end_of_word_suffix")
+    return model["type"] == "BPE" and bool(suffix) and all(x + suffix in model["vocab"] for x in _byte_letters())
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> str:
     """The letter that byte-level tokenizers write for each byte: itself if it prints, else the next one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+    return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
+
+
+class _Index:
+    """Finds numbered words by their hashes: an open hash table whose lookups and inserts take arrays."""
+
+    _byte = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
+    _power = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
+
+    def __init__(self) -> None:
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.full(1 << 12, -1, np.int32)
+
+    @classmethod
+    def hash(cls, words: pa.Array) -> np.ndarray:
+        """A 64-bit hash of each word's bytes."""
+        if not len(words):
+            return np.zeros(0, np.uint64)
+        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(cls._byte.take(data) * cls._power.take(place, mode="wrap"), out=total[1:])
+        return total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]]
+
+    def _first(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of a word with this hash, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        at, rows = self._first(hashes), np.arange(len(hashes))
+        while len(rows):
+            found = self.slots.take(at)
+            rows, at, found = (x[found >= 0] for x in (rows, at, found))
+            same = self.hashes.take(found) == hashes.take(rows)
+            out[rows[same]] = found[same]
+            rows, at = rows[~same], at[~same] + 1 & len(self.slots) - 1
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Numbers more words, from the last on."""
+        first = len(self.hashes)
+        self.hashes = np.concatenate([self.hashes, hashes])
+        if 2 * len(self.hashes) > len(self.slots):
+            self.slots, first = np.full(1 << (4 * len(self.hashes)).bit_length() - 1, -1, np.int32), 0
+        number = np.arange(first, len(self.hashes), dtype=np.int32)
+        at = self._first(self.hashes[first:])
+        while len(number):
+            free = self.slots.take(at) < 0
+            self.slots[at[free]] = number[free]
+            left = self.slots.take(at) != number
+            number, at = number[left], at[left] + 1 & len(self.slots) - 1
 
 
 class Encoder:
     """A tokenizer, and the ids of words it has met.
 
     Only for tokenizers that split at white space and drop it: the ids of a text are then those of its words
-    in turn. A word that ends in a letter or digit and then marks is two pieces, since such a tokenizer splits there.
+    in turn, each given to the library whole. Words of plain letters and marks at their end, whose pieces are known
+    beforehand, go straight to the library's model, many in one call.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.bytes = _byte_letters() if _plain_letters(self.tokenizer) else None
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.pieces = Tokenizer.from_file(path), None
+        parts = json.loads(self.tokenizer.to_str())
+        if _plain_letters(parts):
+            self.pieces = Tokenizer(self.tokenizer.model)
+            self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            letters = _byte_letters()
+            self.letters = letters[:32] + " " + letters[33:]
+            suffix = parts["model"]["end_of_word_suffix"]
+            self.last = np.zeros(max(parts["model"]["vocab"].values()) + 1, bool)
+            self.last[[i for token, i in parts["model"]["vocab"].items() if token.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.starts, self.lengths, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word. Normalised lower-case letters are one piece as they are, so they go straight to the library's model."""
-        if self.bytes is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        tokenize, table = self.tokenizer.model.tokenize, self.bytes
-        got: list = []
-        rest = []
-        for w in words:
-            if w.isalpha() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w)):
-                got.append([t.id for t in tokenize(w if w.isascii() else "".join([table[b] for b in w.encode()]))])
-            else:
-                got.append(None)
-                rest.append(w)
-        others = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
-        return [next(others).ids if ids is None else ids for ids in got]
-
-    def learn(self, words: list[str]) -> None:
-        got = self._ids(words)
+        self.index, self.words, self.hits = _Index(), pa.array([], pa.large_string()), np.zeros(0, np.int64)
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the words that were met again since the last time, or none if there are too many of them."""
+        kept = self.hits > 0
+        if 2 * kept.sum() > _CACHED:
+            return self.clear()
+        starts, lengths = self.starts[kept], self.lengths[kept]
+        hashes, self.index = self.index.hashes[kept], _Index()
+        self.index.add(hashes)
+        self.words, self.hits = self.words.filter(pa.array(kept)), np.zeros(int(kept.sum()), np.int64)
+        self.flat, self.starts, self.lengths = _gather(self.flat, starts, lengths), np.cumsum(lengths) - lengths, lengths
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        used = int(self.starts[self.n - 1] + self.lengths[self.n - 1]) if self.n else 0
-        need = used + int(lengths.sum())
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
-        if self.n + len(got) > len(self.starts):
-            more = np.zeros(max(len(got), len(self.starts)), np.int64)
-            self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
-        self.flat[used:need] = np.fromiter((x for ids in got for x in ids), np.uint32, need - used)
-        self.lengths[self.n : self.n + len(got)] = lengths
-        self.starts[self.n : self.n + len(got)] = used + np.cumsum(lengths) - lengths
-        self.index.update(zip(words, range(self.n, self.n + len(words)), strict=True))
-        self.n += len(words)
-
-    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word, the cached piece before the marks at its end, and the piece of marks."""
-        if self.n > _CACHED:
-            self.clear()
-        stems = pc.utf8_rtrim(words, characters=_TAIL)
-        cut = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(words)), pc.match_substring_regex(stems, r"[\p{L}\p{Nd}]$"))
-        tails = pc.if_else(cut, pc.replace_substring_regex(words, pattern=rf"(?s)^.*[^{_TAIL}]", replacement=""), pa.scalar("", words.type))
-        stems = pc.if_else(cut, stems, words)
-        stems = pc.if_else(pc.string_is_ascii(stems), pc.ascii_lower(pc.if_else(pc.string_is_ascii(stems), stems, pa.scalar("", words.type))), stems)
-        return self._places(stems), self._places(tails)
-
-    def _places(self, pieces: pa.Array) -> np.ndarray:
-        coded = pieces.dictionary_encode()
-        different, known = coded.dictionary.to_pylist(), self.index.get
-        places = np.array([known(w, -1) for w in different], np.int64)
-        if len(unknown := np.flatnonzero(places < 0)):
-            places[unknown] = self.n + np.arange(len(unknown))
-            self.learn([different[i] for i in unknown.tolist()])
-        return places[coded.indices.to_numpy(zero_copy_only=False)]
+        return np.fromiter((x for ids in got for x in ids), np.uint32, int(lengths.sum())), lengths
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in turn, and how many each has."""
+        if self.pieces is None:
+            return self._whole(words.to_pylist())
+        plain = pc.match_substring_regex(words, _PLAIN)
+        mask = plain.to_numpy(zero_copy_only=False)
+        lengths, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)] * 2
+        if mask.any():
+            lower = pc.utf8_lower(words.filter(plain))
+            stems = pc.utf8_rtrim(lower, characters=_MARKS)
+            tails = pc.less(pc.binary_length(stems), pc.binary_length(lower)).to_numpy(zero_copy_only=False)
+            spaced = pc.replace_substring_regex(lower, _PLAIN, r"\1 \2 ")
+            text = codecs.charmap_decode(memoryview(spaced.buffers()[2])[: pc.sum(pc.binary_length(spaced)).as_py()], "strict", self.letters)[0]
+            ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1  # one for each piece, and a word has one or two
+            lengths[mask] = np.diff(ends[np.cumsum(1 + tails) - 1], prepend=0)
+            parts[0] = ids
+        if not mask.all():
+            parts[1], lengths[~mask] = self._whole(words.filter(pc.invert(plain)).to_pylist())
+        order = np.zeros(len(words), np.int64)
+        order[mask] = np.cumsum(lengths[mask]) - lengths[mask]
+        order[~mask] = np.cumsum(lengths[~mask]) - lengths[~mask] + len(parts[0])
+        return _gather(np.concatenate(parts), order, lengths), lengths
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of each word are kept; the words differ."""
+        if len(self.words) > _CACHED:
+            self._forget()
+        hashes = _Index.hash(words)
+        at = self.index.find(hashes)
+        known = np.flatnonzero(at >= 0)
+        same = pc.equal(words.take(pa.array(known)), self.words.take(pa.array(at[known]))).to_numpy(zero_copy_only=False)
+        at[known[~same]] = -1  # another word of this hash
+        new = at < 0
+        self.hits[at[~new]] += 1
+        if new.any():
+            fresh = words.filter(pa.array(new))
+            ids, lengths = self._ids(fresh)
+            at[new] = len(self.words) + np.arange(len(fresh))
+            self.index.add(hashes[new])
+            self.words, self.hits = pa.concat_arrays([self.words, fresh]), np.append(self.hits, np.zeros(len(fresh), np.int64))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, ids])
+        return at
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts in turn, an ``end_id`` after each, and how many each text has."""
         lists = pc.ascii_split_whitespace(pc.fill_null(text, "").cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        stems, tails = self.pieces(coded.dictionary)
-        words = coded.indices.to_numpy(zero_copy_only=False)
-        per = np.stack([stems[words], tails[words]], axis=1).ravel()
-        lengths = self.lengths[per]
+        per = self.places(coded.dictionary).take(coded.indices.to_numpy(zero_copy_only=False))
+        lengths = self.lengths.take(per)
         ends = lists.offsets.to_numpy().astype(np.int64)[1:] - lists.offsets[0].as_py()
         total = np.concatenate([[0], np.cumsum(lengths)])
-        sizes = np.diff(total[2 * ends], prepend=0)
-        at = np.repeat(self.starts[per] - total[:-1], lengths) + np.arange(total[-1])
-        return np.insert(self.flat[at], np.cumsum(sizes), np.uint32(end_id)), sizes + 1
+        sizes = np.diff(total[ends], prepend=0)
+        return np.insert(_gather(self.flat, self.starts.take(per), lengths), np.cumsum(sizes), np.uint32(end_id)), sizes + 1
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """values[start : start + length] of each, one after the other."""
+    ends = np.cumsum(lengths)
+    at = np.repeat(starts - ends + lengths, lengths)
+    at += np.arange(len(at))
+    return values.take(at)
 
 
 @cache
@@ -150,13 +232,14 @@ def _segments(path: str, end_id: int, segment_ids: int):
 
         def row():
             ids = np.concatenate(held)
+            held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([pa.concat_arrays(docs).to_pylist()], pa.list_(docs[0].type)), pa.array([np.concatenate(counts)], pa.list_(pa.int64())), pa.array([encode_blocks(ids)], pa.list_(pa.binary()))],
                 names=["shard", "segment", "doc_ids", "counts", "blocks"],
             )
 
         for batch in batches:
-            for piece in text_slices(batch, "text", 1_000_000):
+            for piece in text_slices(batch, "text", TEXT_BYTES):
                 ids, sizes = encoder.encode(piece.column("text"), end_id)
                 docs.append(piece.column("doc_id"))
                 counts.append(sizes)
@@ -171,17 +254,20 @@ def _segments(path: str, end_id: int, segment_ids: int):
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, shard_rows: int = SHARD_ROWS) -> None:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, shard_bytes: int = SHARD_BYTES, shard_rows: int | None = None) -> None:
     """(doc_id, text, ...) -> a Parquet table of segments in ``folder``, in ascending order of doc_id.
 
     Null texts are empty and have the end id alone; null ids come first; rows with equal ids follow each other
     by a hash of their text; other columns are not written. An empty table writes an empty table. ``tokenizer`` is the path, on
     every machine, of a tokenizer that drops white space. Rows are range-partitioned by id and text hash, so
-    no key is too large to split, and a task holds one segment at a time.
+    no key is too large to split, into as many shards as their bytes ask for (and rows, where ``shard_rows`` is given);
+    a task holds one segment at a time.
     """
     path = tokenizer or default_tokenizer()
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
-    shards = max(1, -(-docs.count() // shard_rows))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    text = size["bytes"] or 0
+    shards = max(1, -(-text // shard_bytes), -(-size["rows"] // (shard_rows or max(1, size["rows"]))), min(docs.sparkSession.sparkContext.defaultParallelism, text // SHARD_LEAST))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
     kind = dict(docs.dtypes)["doc_id"]
     dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
