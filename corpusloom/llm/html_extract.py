@@ -1,8 +1,11 @@
-"""Main-text extraction by a minimum cut over a page's blocks.
-
-A classifier gives each text block a cost for either label; the costs become capacities to the two
-terminals. Neighbours in page order and blocks that are close in the element tree are joined by smoothness
-edges. The minimum cut, found by max-flow, is the cheapest labelling into content and boilerplate.
+"""Main-text extraction by a minimum cut over a page's blocks and elements.
+
+Nodes are the text blocks of a page and the block elements around them. A classifier gives each block a cost for
+either label by its words, links and marks; elements get costs by their tags and names. These become capacities to
+the two terminals. Smoothness edges join blocks that follow each other, a block and its element, and an element and
+the one around it: uncuttable below an element whose tag or name is plain, weak above it and where nothing is known.
+The minimum cut, found by max-flow, is the cheapest labelling into content and boilerplate. So a long paragraph in a
+sidebar goes, a short one between long ones stays, and no name of an outer element can veto an article in it.
 """
 
 from __future__ import annotations
@@ -10,11 +13,13 @@ from __future__ import annotations
 import html as html_entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table, text_slices
 
@@ -29,83 +34,117 @@ _CODE = {"script", "style"}
 _VOID = {"hr"}
 #: Opening one of these ends an open one of the same kind that nothing but text stands between.
 _IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
-_BREAKS = _BLOCKS - {"p"}
-_BAD_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "head"}
+_BAD_TAGS = {"nav", "footer", "aside", "menu", "dialog", "head"}
 _GOOD_TAGS = {"article", "main"}
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _BAD_NAME = re.compile(
-    r"(?:^|[\s_\-\"'])(ads?|advert\w*|adv|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|comments?|commentlist|respond|responses?|discussion|replies|reply|disqus|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|related|recommend\w*|share\w*|sharing|social|widget\w*|toolbar|pagination|pager|copyright|legal|search|complementary|contentinfo|navigation)(?=$|[\s_\-\"'\d])",
+    r"(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|comments?|commentlist|respond|responses?|discussion|replies|reply|disqus|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|related|recommend\w*|share\w*|sharing|social|widget\w*|toolbar|pagination|pager|copyright|legal|search|complementary|contentinfo|navigation)\d*",
     re.I,
 )
-_GOOD_NAME = re.compile(r"(?:^|[\s_\-\"'])(?:article\w*|main|content|post|entry|story|articlebody)(?=$|[\s_\-\"'\d])", re.I)
-#: Parts of a class or id that tell how a page is laid out, not what an element holds.
-_LAYOUT = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S+", re.I)
-_WRAP = re.compile(r"(?<!\S)\S+[_-]wrap(?:per)?(?!\S)", re.I)
+#: Bad names that make a longer name bad wherever it begins with them.
+_BAD_FIRST = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|footer\w*|masthead|comments?|commentlist|disqus|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|related|recommend\w*|share\w*|sharing|social|widget\w*|toolbar|pagination|pager)\d*", re.I)
+_GOOD_NAME = re.compile(r"(?:article\w*|main|content|post|entry|story)\d*", re.I)
+#: Parts of a name that tell of an element's shape or place, and beginnings of names that tell how a page is laid out.
+_SHAPES = set("area bar block body bottom box button buttons card col column container first form global group head holder icon icons inner item items last left lg link links list md module outer panel primary right row secondary section sm strip text title top unit wrap wrapper".split())
+_LAYOUT = {"has", "no", "with", "without", "is"}
+_STATES = {"open", "closed", "enabled", "disabled", "on", "off", "count"}
 _SPACE = re.compile(r"\s+")
 _SCALE = 1000
+#: The classifier's weights before any page is seen, by feature as ``features`` lists them; and the most a block's text may count.
+WEIGHTS = (-1.6, 0.75, -4.0, 0.8, 0.4, 0.3, -0.5)
+MOST = 3.0
+#: Costs of an element of a plain name or tag, of one that a good name or doubtful bad name hints at, and of an article in a badly named element.
+_PLAIN, _GOOD_HINT, _BAD_HINT, _INNER = 1e6, 2.0, -1.0, 2.0
+#: Edges: above an element with costs of its own, below a hint, from containers and from other elements where nothing is known, between next blocks.
+_ABOVE, _HINTED, _CONTAINER, _LOOSE, _NEXT = 0.25, 1.5, 1.0, 1.5, 1.0
+#: The first weights, those of words, links and marks, are fitted; the tags of blocks follow a site's template too closely to learn them from it.
+FITTED = 4
+#: Pages that the classifier is fitted on at most, about, and how firmly it keeps to ``WEIGHTS``.
+TRAIN_PAGES, FIRMNESS = 2_000, 20.0
 
 
 @dataclass
 class Block:
     text: str
     tag: str
-    path: tuple[int, ...]
-    good: int
-    bad: int
+    element: int
     linked: int
-    named: int = 0
-
-
-class _Element:
-    __slots__ = ("bad", "good", "key", "named", "tag")
-
-    def __init__(self, tag: str, attrs: str, key: int, outer: _Element | None) -> None:
-        good, bad = tag in _GOOD_TAGS, tag in _BAD_TAGS
-        inside = bool(outer and outer.good)
-        bad_words, main = False, tag in _GOOD_TAGS
-        if tag == "header" and not inside:
-            bad = True
-        for name, value in _ATTR.findall(attrs) if attrs else ():
-            name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                bad = True
-            elif name not in ("hidden", "aria-hidden"):
-                named_good = bool(_GOOD_NAME.search(value))
-                if "-" in value or "_" in value:
-                    value = _WRAP.sub(lambda m: "" if _GOOD_NAME.search(m[0]) else m[0], _LAYOUT.sub("", value))
-                words = {m[1].lower() for m in _BAD_NAME.finditer(value)}
-                if inside or named_good:  # an article's own header holds its title
-                    words.discard("header")
-                named_bad = bool(words) and tag not in ("html", "body", "article", "main")
-                bad_words |= bool(words)
-                main |= name == "role" and value.lower() == "main" or name == "itemprop" and value.lower() == "articlebody"
-                good |= not named_bad and named_good and tag not in ("html", "body")
-        # 2: a bad name here or above; 1: one above, with an article or main part in between that has none
-        self.named = outer.named if outer else 0
-        if bad_words and tag not in ("html", "body", "article", "main"):
-            self.named = 2
-        elif self.named and main and not bad_words:
-            self.named = 1
-        self.tag, self.key = tag, key
-        self.good = int(good) + (outer.good if outer else 0)
-        self.bad = int(bad) + (outer.bad if outer else 0)
-
-
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, with their place in the element tree and its cues."""
+
+
+@dataclass(slots=True)
+class Element:
+    """``place``: 1 in a good element, -1 in a bad one, 2 and -2 where that is a hint, 0 elsewhere."""
+
+    tag: str
+    outer: int
+    cost: float
+    place: int
+    hidden: bool  # itself or an element around it has a bad tag or is hidden
+
+
+def _name_cues(value: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether a class or id has a good name, a plain bad one, and a doubtful bad one."""
+    good = plain = doubtful = False
+    for token in value.lower().split():
+        parts = re.split(r"[-_]+", token)
+        if parts[0] in _LAYOUT or parts[-1] in _STATES:
+            continue
+        bad = [p for p in parts if _BAD_NAME.fullmatch(p) and not (p == "header" and in_article)]
+        if not bad:
+            good |= any(_GOOD_NAME.fullmatch(p) for p in parts)
+            continue
+        telling = [p for p in parts if p not in _SHAPES and not p.isdigit()]
+        if parts[0] in ("content", "main") and bad == ["sidebar"]:
+            doubtful = True  # a part with both
+        elif not telling or telling[-1] in bad or _BAD_FIRST.fullmatch(parts[0]):
+            plain = True
+        else:
+            doubtful = True
+    return good, plain, doubtful
+
+
+def _element(tag: str, attrs: str, outer: int, of: Element | None) -> Element:
+    place, hidden = (of.place, of.hidden) if of else (0, False)
+    in_article = place == 1
+    good = plain = doubtful = False
+    main, gone = tag in _GOOD_TAGS, tag in _BAD_TAGS or tag == "header" and not in_article
+    for name, value in _ATTR.findall(attrs) if attrs else ():
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            gone = True
+        elif name != "aria-hidden" and tag not in ("html", "body"):
+            main |= name == "role" and value.lower() == "main" or name == "itemprop" and value.lower() == "articlebody"
+            cues = _name_cues(value, in_article)
+            good, plain, doubtful = good | cues[0], plain | cues[1], doubtful | cues[2]
+    if gone or hidden:
+        return Element(tag, outer, -_PLAIN, -1, True)
+    if plain and not good:
+        return Element(tag, outer, -_PLAIN, -1, False)
+    if main and not (plain or doubtful):
+        return Element(tag, outer, _INNER if place < 0 else _PLAIN, 1, False)
+    if (doubtful or plain) and place not in (1, -1):
+        return Element(tag, outer, _BAD_HINT, -2, False)
+    if good and place not in (1, -1):
+        return Element(tag, outer, _GOOD_HINT, 2, False)
+    return Element(tag, outer, 0.0, place, False)
+
+
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """The text blocks of a page in order, and its block elements in the order of their start tags."""
     found: list[Block] = []
-    stack: list[_Element] = []
+    elements: list[Element] = []
+    stack: list[int] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    linked = depth = 0
-    n = at = 0
+    linked = depth = at = 0
     open_ended: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         joined = _SPACE.sub(" ", "".join(text)).strip()
         if joined:
-            top = stack[-1] if stack else None
-            found.append(Block(joined, top.tag if top else "", tuple(e.key for e in stack), top.good if top else 0, top.bad if top else 0, min(linked, len(joined)), top.named if top else 0))
+            top = stack[-1] if stack else -1
+            found.append(Block(joined, elements[top].tag if stack else "", top, min(linked, len(joined))))
         text.clear()
         linked = 0
 
@@ -117,6 +156,11 @@ def blocks(page: str) -> list[Block]:
             if depth:
                 linked += len(piece)
 
+    def close() -> str:
+        tag = elements[stack.pop()].tag
+        opened[tag] -= 1
+        return tag
+
     end = len(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -145,37 +189,39 @@ def blocks(page: str) -> list[Block]:
         elif tag in _BLOCKS:
             flush()
             if closing:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
-                if k is not None:
-                    del stack[k:]
+                while opened[tag] and close() != tag:
+                    pass
                 depth = 0
             elif tag not in _VOID:
                 ends = _IMPLIED.get(tag, {"p"})
-                while stack and stack[-1].tag in ends:
-                    stack.pop()
-                n += 1
-                stack.append(_Element(tag, attrs, n, stack[-1] if stack else None))
+                while stack and elements[stack[-1]].tag in ends:
+                    close()
+                top = stack[-1] if stack else -1
+                stack.append(len(elements))
+                opened[tag] += 1
+                elements.append(_element(tag, attrs, top, elements[top] if top >= 0 else None))
     flush()
-    return found
+    return found, elements
 
 
-def score(b: Block) -> float:
-    """The classifier: log-odds that a block is content."""
+def features(b: Block) -> tuple[float, ...]:
+    """What the classifier sees of a block: its words, links, last mark and kind."""
     n = b.text.count(" ") + 1
-    density = b.linked / max(1, len(b.text))
-    s = -1.0 + min(2.0, 0.5 * math.log1p(n))
-    s += 5.0 * min(1, b.good) - 5.0 * (density if n > 3 or density > 0.9 else 0.5 * density)
-    s += 0.5 if b.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") else 0.0
-    return s - (14.0 if b.bad or b.named == 2 else 4.0 * b.named)
-
-
-def _apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    k = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        k += 1
-    return len(a) + len(b) - 2 * k
+    density = b.linked / len(b.text)
+    return (
+        1.0,
+        min(4.2, math.log1p(n)),
+        density if n > 3 or density > 0.9 else 0.5 * density,
+        float(b.text[-1] in ".!?\u2026\"\u201d\u00bb:"),
+        float(b.tag in ("p", "pre", "blockquote")),
+        float(b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")),
+        float(b.tag in ("li", "td", "th", "dt", "dd")),
+    )
+
+
+def score(b: Block, weights: tuple[float, ...] = WEIGHTS) -> float:
+    """The classifier: log-odds that a block is content."""
+    return max(-MOST, min(MOST, sum(w * x for w, x in zip(weights, features(b), strict=True))))
 
 
 def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -244,42 +290,157 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
             u = to[e]
 
 
-def smoothness(found: list[Block]) -> list[tuple[int, int, int]]:
-    """Edges between neighbours, weaker with distance in the tree, and between next blocks of one container."""
-    edges = []
-    last: dict[int, int] = {}
+def _forms(elements: list[Element]) -> None:
+    """Makes forms to fill in bad elements: those with no article, main part, good name or heading of a page in them."""
+    wide = [e.tag in ("article", "main", "h1") or e.cost > 0 for e in elements]
+    for k in range(len(elements) - 1, -1, -1):
+        if wide[k] and elements[k].outer >= 0:
+            wide[elements[k].outer] = True
+    inside = [False] * len(elements)
+    for k, e in enumerate(elements):  # outer ones come first
+        own = e.tag in ("form", "fieldset") and not wide[k]
+        inside[k] = own or e.outer >= 0 and inside[e.outer]
+        if inside[k] and e.place != -1:
+            e.place, e.cost = -1, -_PLAIN if own else 0.0
+
+
+def _apart(elements: list[Element], a: int, b: int, most: int = 12) -> int:
+    """Steps between two elements along the tree, ``most`` at most."""
+    steps = 0
+    while a != b and steps < most:  # an outer element comes before what it holds
+        if a > b:
+            a = elements[a].outer
+        else:
+            b = elements[b].outer
+        steps += 1
+    return steps
+
+
+def graph(found: list[Block], elements: list[Element], weights: tuple[float, ...] = WEIGHTS) -> tuple[list[int], list[float], dict[tuple[int, int], float]]:
+    """Of each block its node, the nodes' costs (above 0: of being boilerplate), and the edges between nodes.
+
+    Blocks and elements that an uncuttable edge joins are one node.
+    """
+    group: dict[int, int] = {}
+    costs: list[float] = []
+    edges: dict[tuple[int, int], float] = {}
+
+    def join(a: int, b: int, weight: float) -> None:
+        if a != b:
+            edges[min(a, b), max(a, b)] = edges.get((min(a, b), max(a, b)), 0.0) + weight
+
+    def node(k: int) -> int:
+        """The node of an element; elements without a block in them get none."""
+        path = []
+        while k >= 0 and k not in group:
+            path.append(k)
+            k = elements[k].outer
+        above = group[k] if k >= 0 else -1
+        for k in reversed(path):
+            e = elements[k]
+            around = elements[e.outer].place if e.outer >= 0 else 0
+            if above >= 0 and not e.cost and abs(e.place) == 1 and e.place == around:
+                group[k] = above
+                continue
+            group[k] = len(costs)
+            costs.append(e.cost)
+            if above >= 0:
+                loose = _LOOSE if e.tag in ("p", "li", "td", "dd", "dt", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") else _CONTAINER
+                join(above, group[k], _ABOVE if e.cost else _HINTED if abs(around) == 2 else loose)
+            above = group[k]
+        return above
+
+    nodes: list[int] = []
     for i, b in enumerate(found):
+        own = node(b.element)
+        place = elements[b.element].place if b.element >= 0 else 0
+        if own < 0 or abs(place) != 1:
+            costs.append(0.0)
+            if own >= 0:
+                join(own, len(costs) - 1, _HINTED if abs(place) == 2 else _LOOSE)
+            own = len(costs) - 1
+        costs[own] += score(b, weights)
+        nodes.append(own)
         if i:
-            edges.append((i - 1, i, round(_SCALE * math.exp(-_apart(found[i - 1].path, b.path) / 2))))
-        box = b.path[-2] if len(b.path) > 1 else 0
-        if box in last and last[box] != i - 1:
-            edges.append((last[box], i, round(_SCALE * 0.2)))
-        last[box] = i
-    return [e for e in edges if e[2]]
+            join(nodes[-2], own, _NEXT * math.exp(-_apart(elements, found[i - 1].element, b.element) / 2))
+    return nodes, costs, edges
+
 
+def label(found: list[Block], elements: list[Element], weights: tuple[float, ...] = WEIGHTS) -> list[bool]:
+    """Which blocks are content."""
+    nodes, costs, edges = graph(found, elements, weights)
+    whole = [round(_SCALE * c) for c in costs]
+    kept = min_cut([max(0, c) for c in whole], [max(0, -c) for c in whole], [(a, b, c) for (a, b), w in edges.items() if (c := round(_SCALE * w))])
+    return [kept[n] for n in nodes]
 
-def extract(page: str | None) -> str:
+
+def extract(page: str | None, weights: tuple[float, ...] = WEIGHTS) -> str:
     """The main text of a page: its content blocks in order, one a line; empty for a null or empty page."""
-    found = blocks(page) if page else []
+    found, elements = blocks(page) if page else ([], [])
     if not found:
         return ""
-    scores = [score(b) for b in found]
-    cost = [round(_SCALE * s) for s in scores]
-    kept = min_cut([max(0, c) for c in cost], [max(0, -c) for c in cost], smoothness(found))
-    return "\n".join(b.text for b, keep in zip(found, kept, strict=True) if keep)
+    _forms(elements)
+    return "\n".join(b.text for b, keep in zip(found, label(found, elements, weights), strict=True) if keep)
+
+
+def _plain_examples(page: str) -> list[tuple[float, ...]]:
+    """Features of the blocks whose label their elements tell plainly, and that label."""
+    found, elements = blocks(page)
+    _forms(elements)
+    return [(*features(b), float(elements[b.element].place > 0)) for b in found if b.element >= 0 and abs(elements[b.element].place) == 1]
+
+
+def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, firmness: float = FIRMNESS) -> tuple[float, ...]:
+    """The classifier's weights, fitted on about ``train_pages`` pages at most, the same in each run (a hash picks them).
+
+    Blocks in elements of a plain tag or name are the examples, each page counting as one. The weights are those of a
+    logistic regression that is drawn to ``WEIGHTS``; without examples they are ``WEIGHTS``.
+    """
+    share = min(1.0, train_pages / max(1, pages.count()))
+    chosen = pages.where(F.col("html").isNotNull()).where(F.pmod(F.xxhash64("url", "html"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).select("html")
+    width = len(WEIGHTS)
+
+    def run(batches):
+        for batch in batches:
+            for piece in text_slices(batch, "html"):
+                sums: dict[tuple[float, ...], float] = {}
+                for page in piece.column("html"):
+                    rows = _plain_examples(page.as_py())
+                    for r in rows:
+                        key = tuple(round(x, 1) for x in r)
+                        sums[key] = sums.get(key, 0.0) + 1 / len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(list, sums)), pa.list_(pa.float64())), pa.array(list(sums.values()), pa.float64())], names=["x", "n"])
+
+    got = chosen.mapInArrow(run, "x array<double>, n double").groupBy("x").agg(F.sum("n").alias("n")).collect()  # features are rounded to tenths, so few rows
+    if not got:
+        return WEIGHTS
+    got.sort(key=lambda r: r["x"])
+    rows = np.array([r["x"] for r in got])
+    x, y, n = rows[:, :FITTED], rows[:, width], np.array([r["n"] for r in got])
+    fixed = rows[:, FITTED:width] @ np.array(WEIGHTS[FITTED:])
+    prior = np.array(WEIGHTS[:FITTED])
+    w = prior.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + fixed, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + firmness * np.eye(FITTED), x.T @ (n * (y - p)) - firmness * (w - prior))
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return (*(round(float(v), 6) for v in w), *WEIGHTS[FITTED:])
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(page_id, url, html, ...) -> page_id, url, text, n_chars, a row for each row.
 
     A null or empty html gives an empty text. Ids and urls pass through, null or repeated as they are; other
     columns are not looked at; an empty table gives an empty result. A page is held whole, pages one at a time.
+    ``weights`` are the classifier's, as ``train`` fits them.
     """
 
     def run(batches):
         for batch in batches:
             for piece in text_slices(batch, "html"):
-                texts = [extract(x.as_py()) for x in piece.column("html")]
+                texts = [extract(x.as_py(), weights) for x in piece.column("html")]
                 yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
@@ -287,4 +448,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return extract_pages(pages, train(pages))

@@ -262,7 +262,7 @@ def test_min_cut_is_least():
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><p>Site name and a long slogan of many words</p></header>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy this very good thing now, it is cheap today.</div>
 <article><h1>Head &amp; line</h1><p>First <b>bold</b> text,<br>second&nbsp;line.<p>Unclosed one<script>var a="</p>";</script><p>x &lt; y</article>
-<aside><p>Some words beside it all which go on and on</p></aside><section class="comments"><p>A reader writes quite a lot of words here too</p></section>
+<aside><p>Some words beside it all which go on and on</p></aside><section class="comments"><p>A visitor writes quite a lot of words here too</p></section>
 <form><p>Sign up for more of these letters now please</p></form><div class="cookie-notice">We use cookies on this site for many reasons</div><footer>(c) me</footer>"""
 
 
@@ -284,7 +284,7 @@ def test_extract_inside_layout_names(name):
 
 
 def test_extract_keeps_bad_names_out():
-    text = "A reader writes quite a lot of words here too, and then some more of them."
+    text = "A visitor writes quite a lot of words here too, and then some more of them."
     for page in ("<div class=comments><article class=comment-body><p>{}</p></article></div>", "<div class='sidebar-wrapper'><p>{}</p></div>", "<nav><article><p>{}</p></article></nav>", "<div hidden><main><p>{}</p></main></div>", "<div class=related><article><p><a href=x>{}</a></p></article></div>"):
         assert html_extract.extract(page.format(text)) == ""
 
