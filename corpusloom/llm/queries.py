@@ -11,7 +11,7 @@ from .partenum import OP2_SQL, op2_near_duplicates
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .token_output import op4_token_output
-from .url_filter import op1_url_filter
+from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_url_filter": OP1_SQL,
     "op2_near_duplicates": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
     "op6_line_templates": OP6_SQL,

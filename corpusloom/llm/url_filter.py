@@ -1,7 +1,8 @@
 """URL filters: rules for hosts and paths, and link-graph propagation for what they leave open.
 
-The verdicts of the rules make seeds. Trust spreads from hosts with allowed pages along links (personalised
-PageRank), distrust from hosts with blocked pages against links. A host where distrust exceeds trust is blocked.
+The verdicts of the rules make seeds: hosts with more allowed than blocked pages are trusted, those with fewer are
+distrusted, each by the difference of the shares; both kinds sum to 1. Trust spreads along links (personalised
+PageRank), distrust against them. A host whose distrust exceeds ``ratio`` times its trust is blocked.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 DAMPING = 0.85
 #: The share of its score by which a host may still move when steps end.
 TOLERANCE = 1e-4
+#: How many times its trust a host's distrust must exceed.
+RATIO = 1.0
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -30,10 +33,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def node_of(host: Column) -> Column:
+    """The host's node in the link graph: without user and port."""
+    return F.regexp_replace(host, r"^[^@]*@|:\d*$", "")
+
+
 def best_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
     """struct of rule and verdict, the longest that fits; ties to the first given; null if none fits."""
     best = F.lit(None).cast("struct<rule: string, verdict: string>")
-    for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
+    for verdict, rule in sorted(reversed(rules), key=lambda r: len(r[1])):  # the later overrides the earlier
         of, at, rest = rule.partition("/")
         fits = ((host == of) | host.endswith(f".{of}")) & path.startswith(at + rest)
         best = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(best)
@@ -41,10 +49,10 @@ def best_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = R
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(host, html) -> of_host, to_host, weight: the number of links, between different hosts only."""
+    """(host, html) -> of_host, to_host, weight: the number of links, between different hosts only. Users and ports do not count."""
     found = pages.where((F.col("host") != "") & F.col("html").isNotNull()).select("host", F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("to"))
-    target = F.translate(F.regexp_replace("to", r"^[^@]*@|:\d*$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return found.select(F.col("host").alias("of_host"), target.alias("to_host")).where((F.col("of_host") != F.col("to_host")) & (F.col("to_host") != "")).groupBy("of_host", "to_host").agg(F.count("*").cast("double").alias("weight"))
+    target = F.translate(node_of(F.col("to")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return found.select(node_of(F.col("host")).alias("of_host"), target.alias("to_host")).where((F.col("of_host") != F.col("to_host")) & (F.col("to_host") != "")).groupBy("of_host", "to_host").agg(F.count("*").cast("double").alias("weight"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max_steps: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
@@ -89,25 +97,62 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, max_
     return ranks
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, **options) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, ratio: float = RATIO, **options) -> DataFrame:
     """(page_id, url, html, ...) -> page_id, host, path, rule, verdict, trust, distrust; a row for each row.
 
     Null urls and urls without ``://`` have an empty host and path, no rule and scores of 0. Their verdict, and
-    that of hosts that neither kind of seed reaches, is allow. A null html has no links. A seed's strength is the share of
-    the host's pages that rules allow or block. Repeated rows count as pages of their own; extra columns are not
-    looked at; an empty table gives an empty result. The html is read once, for links between hosts; what is
-    joined back to the pages is one row a host, broadcast only if its measured size allows.
+    that of hosts that neither kind of seed reaches, is allow. A null html has no links. Hosts that differ in
+    user or port alone are one node of the graph. Of rules of equal length the first counts. Repeated rows count as
+    pages of their own; extra columns are not looked at; an empty table gives an empty result. The html is read once,
+    for links between hosts; what is joined back to the pages is one row a host, broadcast only if its measured size allows.
     """
     plain = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    ruled = plain.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+    ruled = plain.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)).withColumn("node", node_of(F.col("host")))
     share = lambda verdict: F.avg(F.coalesce((F.col("best.verdict") == verdict).cast("double"), F.lit(0.0)))
-    seeds = ruled.where(F.col("host") != "").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
+    by_host = ruled.where(F.col("node") != "").groupBy("node").agg((share("allow") - share("block")).alias("lean"))
+    leaning = by_host.select(F.col("node").alias("host"), F.greatest("lean", F.lit(0.0)).alias("trust"), F.greatest(-F.col("lean"), F.lit(0.0)).alias("distrust"))
+    mass = leaning.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
+    seeds = leaning.select("host", *[(F.col(c) / (mass[c] or 1.0)).alias(c) for c in ("trust", "distrust")])
     edges = links(pages.select(host_of(F.col("url")).alias("host"), "html"))
     ranks = propagate(seeds, edges, **options).withColumnRenamed("host", "ranked")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce(F.col("best.verdict"), F.when(distrust > trust, "block").otherwise("allow"))
-    return ruled.join(ranks, F.col("host") == F.col("ranked"), "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    verdict = F.coalesce(F.col("best.verdict"), F.when(distrust > ratio * trust, "block").otherwise("allow"))
+    return ruled.join(ranks, F.col("node") == F.col("ranked"), "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The same by 200 steps of the power iteration, which is more than the tolerance asks for where no path between hosts is longer.
+OP1_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html, lower_ascii AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM (SELECT *, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM pages)),
+r(verdict, rule, host, path) AS (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+  ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+x AS (SELECT p.page_id, p.html, p.host, p.path, regexp_replace(p.host, '^[^@]*@|:[0-9]*$', '', 'g') AS node,
+    (SELECT rule FROM r WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) ORDER BY length(rule) DESC LIMIT 1) AS rule
+  FROM p),
+j AS (SELECT x.*, r.verdict FROM x LEFT JOIN r USING (rule)),
+lean AS (SELECT node, avg(CASE verdict WHEN 'allow' THEN 1.0 WHEN 'block' THEN -1.0 ELSE 0.0 END) AS lean FROM j WHERE node <> '' GROUP BY node),
+s AS (SELECT node, greatest(lean, 0) / nullif(sum(greatest(lean, 0)) OVER (), 0) AS trust, greatest(-lean, 0) / nullif(sum(greatest(-lean, 0)) OVER (), 0) AS distrust FROM lean),
+l AS (SELECT node AS a, translate(regexp_replace(t, '^[^@]*@|:[0-9]*$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b
+  FROM (SELECT node, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)) AS t FROM j WHERE node <> '' AND html IS NOT NULL)),
+e AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS forth, w / sum(w) OVER (PARTITION BY b) AS against
+  FROM (SELECT a, b, CAST(count(*) AS DOUBLE) AS w FROM l WHERE a <> b AND b <> '' GROUP BY a, b)),
+base AS (SELECT node, coalesce(max(trust), 0) AS trust, coalesce(max(distrust), 0) AS distrust
+  FROM (SELECT node, trust, distrust FROM s UNION ALL SELECT a, 0, 0 FROM e UNION ALL SELECT b, 0, 0 FROM e) GROUP BY node),
+ranks AS (
+  SELECT 0 AS step, node, 0.15 * trust AS trust, 0.15 * distrust AS distrust FROM base
+  UNION ALL
+  SELECT z.step + 1, z.node, 0.15 * base.trust + 0.85 * z.t, 0.15 * base.distrust + 0.85 * z.d
+  FROM (SELECT step, node, sum(t) AS t, sum(d) AS d
+    FROM (SELECT step, node, 0.0 AS t, 0.0 AS d FROM ranks WHERE step < 200 AND EXISTS (SELECT 1 FROM e)
+      UNION ALL SELECT k.step, e.b, k.trust * e.forth, 0.0 FROM ranks k JOIN e ON k.node = e.a WHERE k.step < 200
+      UNION ALL SELECT k.step, e.a, 0.0, k.distrust * e.against FROM ranks k JOIN e ON k.node = e.b WHERE k.step < 200)
+    GROUP BY step, node) z JOIN base ON base.node = z.node),
+last AS (SELECT node, trust, distrust FROM ranks WHERE step = (SELECT max(step) FROM ranks))
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.verdict, CASE WHEN last.distrust > last.trust THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN last ON last.node = j.node
+"""
