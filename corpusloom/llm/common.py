@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import getpass
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # other C libraries give memory back themselves
+        return lambda _: None
+
+
+def give_back() -> None:
+    """Returns free memory to the system: a worker lives on, so what one batch took must not stay."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def text_slices(batch, column: str, limit: int = 4_000_000):
     """Cuts an Arrow batch into pieces whose ``column`` holds about ``limit`` bytes, or one row if that is longer."""
     import numpy as np
@@ -98,4 +116,4 @@ def text_slices(batch, column: str, limit: int = 4_000_000):
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
-    pa.default_memory_pool().release_unused()  # a worker lives on, so what one batch took must not stay
+    give_back()

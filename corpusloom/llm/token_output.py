@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .codec import BLOCK_IDS, LANES, decode_blocks, encode_blocks
-from .common import shared_dir, table, text_slices
+from .common import give_back, shared_dir, table, text_slices
 
 END_ID = 2
 SEGMENT_IDS = LANES * BLOCK_IDS
 #: Bytes of text of one shard on average, and of the least shard that is worth a task of its own.
 SHARD_BYTES, SHARD_LEAST = 16_000_000, 2_000_000
 #: Bytes of text that are cut into words at a time.
-TEXT_BYTES = 6_000_000
+TEXT_BYTES = 4_000_000
+#: Words that the library gets in one call; what it returns takes over 100 bytes an id.
+_CALL_WORDS = 16_000
 #: Words whose ids a worker keeps; beyond, those that it has met once go.
 _CACHED = 1_000_000
 #: Words of letters that have one lower-case form each and no other composition, and of marks behind them (no apostrophe, which may begin a piece).
@@ -145,34 +147,32 @@ class Encoder:
         self.words, self.hits = self.words.filter(pa.array(kept)), np.zeros(int(kept.sum()), np.int64)
         self.flat, self.starts, self.lengths = _gather(self.flat, starts, lengths), np.cumsum(lengths) - lengths, lengths
 
-    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((x for ids in got for x in ids), np.uint32, int(lengths.sum())), lengths
-
     def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in turn, and how many each has."""
-        if self.pieces is None:
-            return self._whole(words.to_pylist())
-        plain = pc.match_substring_regex(words, _PLAIN)
+        plain = pc.match_substring_regex(words, _PLAIN) if self.pieces else pa.array(np.zeros(len(words), bool))
         mask = plain.to_numpy(zero_copy_only=False)
-        lengths, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)] * 2
-        if mask.any():
-            lower = pc.utf8_lower(words.filter(plain))
-            stems = pc.utf8_rtrim(lower, characters=_MARKS)
-            tails = pc.less(pc.binary_length(stems), pc.binary_length(lower)).to_numpy(zero_copy_only=False)
-            spaced = pc.replace_substring_regex(lower, _PLAIN, r"\1 \2 ")
+        lengths, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)]
+        rest, lower = words.filter(pc.invert(plain)), pc.utf8_lower(words.filter(plain))
+        sizes = [np.zeros(0, np.int64)]
+        for k in range(0, len(lower), _CALL_WORDS):
+            some = lower.slice(k, _CALL_WORDS)
+            tails = pc.less(pc.binary_length(pc.utf8_rtrim(some, characters=_MARKS)), pc.binary_length(some)).to_numpy(zero_copy_only=False)
+            spaced = pc.replace_substring_regex(some, _PLAIN, r"\1 \2 ")
             text = codecs.charmap_decode(memoryview(spaced.buffers()[2])[: pc.sum(pc.binary_length(spaced)).as_py()], "strict", self.letters)[0]
-            ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1  # one for each piece, and a word has one or two
-            lengths[mask] = np.diff(ends[np.cumsum(1 + tails) - 1], prepend=0)
-            parts[0] = ids
-        if not mask.all():
-            parts[1], lengths[~mask] = self._whole(words.filter(pc.invert(plain)).to_pylist())
-        order = np.zeros(len(words), np.int64)
-        order[mask] = np.cumsum(lengths[mask]) - lengths[mask]
-        order[~mask] = np.cumsum(lengths[~mask]) - lengths[~mask] + len(parts[0])
-        return _gather(np.concatenate(parts), order, lengths), lengths
+            parts.append(np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+            ends = np.flatnonzero(self.last[parts[-1]]) + 1  # one for each piece, and a word has one or two
+            sizes.append(np.diff(ends[np.cumsum(1 + tails) - 1], prepend=0))
+        lengths[mask] = np.concatenate(sizes)
+        sizes = [np.zeros(0, np.int64)]
+        for k in range(0, len(rest), _CALL_WORDS):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(rest.slice(k, _CALL_WORDS).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            parts.append(np.fromiter((x for ids in got for x in ids), np.uint32, int(sizes[-1].sum())))
+        lengths[~mask] = np.concatenate(sizes)
+        starts = np.zeros(len(words), np.int64)
+        starts[mask] = np.cumsum(lengths[mask]) - lengths[mask]
+        starts[~mask] = lengths[mask].sum() + np.cumsum(lengths[~mask]) - lengths[~mask]
+        return _gather(np.concatenate(parts), starts, lengths), lengths
 
     def places(self, words: pa.Array) -> np.ndarray:
         """Where the ids of each word are kept; the words differ."""
@@ -291,6 +291,7 @@ def _decoded(batches):
             crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             same = lambda x, n=len(docs): pa.array(np.full(n, x.as_py()), x.type)
             yield pa.RecordBatch.from_arrays([docs, same(row.column(0)[0]), same(row.column(1)[0]), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "shard", "segment", "inside", "n_tokens", "ids_crc32"])
+        give_back()
 
 
 def _whole(batches):
