@@ -62,6 +62,46 @@ def discard(df: DataFrame) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bits of a ``Marks`` array at most: 16 MB.
+MARK_BITS = 1 << 27
+
+
+class Marks:
+    """A Bloom filter of the values of a column, as one row that is broadcast.
+
+    Its size is 16 bits a value up to ``max_bits`` and no more, whatever the number of values; beyond, more rows pass that
+    need not. So it only spares work: what passes is to be looked at exactly. Tables that it filters are not shuffled.
+    """
+
+    HASHES = 4
+
+    def __init__(self, values: DataFrame, max_bits: int = MARK_BITS) -> None:
+        import numpy as np
+        import pyarrow as pa
+
+        (name,) = values.columns
+        spark = values.sparkSession
+        self.bits = min(max_bits, 1 << max(16, (16 * values.count()).bit_length()))
+        places = values.select(F.explode(F.array(*self._places(F.col(f"`{name}`")))).alias("place"))
+        words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))).alias("ones")).toArrow()  # bits / 64 rows at most
+        array = np.zeros(self.bits // 64, np.int64)
+        array[words.column("word").to_numpy()] = words.column("ones").to_numpy()
+        self.row = F.broadcast(spark.createDataFrame(pa.table({"_marks": pa.array([array], pa.list_(pa.int64()))})))
+
+    def _places(self, value: Column) -> list[Column]:
+        one, two = F.xxhash64(value), F.xxhash64(value, F.lit(1))
+        return [F.pmod(F.shiftrightunsigned(one, 2) + F.lit(k).cast("long") * F.shiftrightunsigned(two, 8), F.lit(self.bits).cast("long")) for k in range(self.HASHES)]
+
+    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """The rows whose ``column`` may be among the values, and those whose is not or is null."""
+        bit = lambda p: F.call_function("shiftright", F.get(F.col("_marks"), F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+        there = F.col(f"`{column}`").isNotNull()
+        for p in self._places(F.col(f"`{column}`")):
+            there = there & bit(p)
+        own = [F.col(f"`{c}`") for c in df.columns]
+        return df.join(self.row, there, "left_semi").select(*own), df.join(self.row, there, "left_anti").select(*own)
+
+
 def settle(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of tables that are written by now; else they stay until the driver collects its garbage."""
     gc.collect()

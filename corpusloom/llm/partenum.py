@@ -2,18 +2,29 @@
 
 Sets are banded by size, each band's largest size 1/0.75 of its smallest, so two similar sets are in one band
 or in neighbouring ones. In a band instance similar sets differ in at most k elements. The feature domain is cut
-into parts by a hash; of any parts at most k can differ, so of the k + 1 first non-empty parts of a set, one
-holds the very same elements in the other set, and is among its k + 1 first as well. That enumerates PartEnum's
-subsets with second-level parts of which all but one may differ. A signature is the hash of a part's elements.
-
-Exactness: shingles that are frequent in a sample are left out of the first signatures, since leaving out the
-same features everywhere lets no two sets differ in more. A set that then has too few non-empty parts also
-takes part in a second round of signatures with all of its shingles and more parts, and if need be in a third with one
-shingle a part, which suffices for every set. Whatever shares a signature is compared exactly.
+into parts by a hash, in one of two ways that a cost for each instance chooses between:
+
+Two levels. n1 * (k2 + 1) > k first-level parts, each cut into n2 second-level parts. One first-level part has at
+most k2 differences, so at most k2 of its second-level parts differ; every subset of n2 - k2 of them that is not empty
+gives a signature. Where more than k2 second-level parts of each first-level part of a set hold something, some
+subset that agrees with a similar set does too. Sets that are not so well filled also take the second way.
+
+One level, n2 = 1. Of any parts at most k can differ, so of the k + 1 first non-empty parts of a set, one holds the very
+same elements in the other set, and is among its k + 1 first as well.
+
+A signature is the hash of its parts' elements. Exactness: shingles that are frequent in a sample are left out of the
+first signatures, since leaving out the same features everywhere lets no two sets differ in more. A set that then has
+too few non-empty parts also takes part in a second round of signatures with all of its shingles and more parts, and
+if need be in a third with one shingle a part, which suffices for every set. Whatever shares a signature is compared exactly.
+
+Texts are never shuffled. Signatures, sketches and the sets of candidate pairs are; the scans that make those sets
+pass only documents that a filter of bounded size marks.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, settle, table, text_slices
+from .common import Marks, discard, free_name, materialize, settle, table, text_slices
 from .components import components
 
 WORDS = 5
@@ -39,8 +50,8 @@ GROUP_NODES = 500
 BUCKET_NODES = 20_000
 #: In the first comparison inside groups, so many of a node's nearest are compared; the second compares what is still open.
 NEAREST = 3
-#: Rows that may be broadcast: 16 bytes each.
-BROADCAST_ROWS = 2_000_000
+#: Of the cost of a signature: what a comparison that comes to nothing costs, and how often an element more is shared by chance.
+_COMPARED, _BY_CHANCE = 100.0, 0.3
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -126,8 +137,68 @@ class Bands:
         return (100 - self.percent) * (a + b) // (100 + self.percent)
 
 
+def _load(top, level: int):
+    """Elements of a part on average, for one level of parts."""
+    if level:
+        return np.where(top >= 16, 0.7, 0.25)
+    return np.where(top >= 200, 2.8, np.where(top >= 64, 2.0, np.where(top >= 16, 1.0, 0.25)))
+
+
+def two_levels(size: int, top: int, k: int) -> tuple[int, int, int] | None:
+    """(n1, n2, k2) for an instance of sets of about ``size`` to ``top`` elements that differ in ``k``, or None where one level costs less.
+
+    A cost is the number of signatures, each with the chance that sets that are not similar share it; and of two
+    levels also the share of sets that are too sparse for them and need the signatures of one level besides.
+    """
+    single = lambda elements: 1 + _COMPARED * _BY_CHANCE**elements
+    load = float(_load(top, 0))
+    one = (k + 1) * single(load / (1 - math.exp(-load)))
+    best, least = None, one
+    for k2 in (1, 2, 3):
+        for n2 in range(k2 + 1, k2 + 5):
+            n1 = k // (k2 + 1) + 1
+            many = n1 * math.comb(n2, k2)
+            if k <= k2 - 1 or n1 * n2 > 256:
+                continue
+            filled = 1 - (1 - 1 / (n1 * n2)) ** size
+            enough = sum(math.comb(n2, c) * filled**c * (1 - filled) ** (n2 - c) for c in range(k2 + 1, n2 + 1)) ** n1
+            cost = many * single(size / n1 * (n2 - k2) / n2) + (1 - enough) * one
+            if cost < least:
+                best, least = (n1, n2, k2), cost
+    return best
+
+
+def _subset_signatures(values: np.ndarray, of: np.ndarray, sets: np.ndarray, salt: np.uint64, plan: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set) of the subsets of second-level parts of ``sets``, and which of these are filled well enough."""
+    n1, n2, k2 = plan
+    cells, m = n1 * n2, len(sets)
+    place = (_mix(values ^ salt) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)
+    at = np.searchsorted(sets, of) * cells + place.astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    content, there = np.zeros(m * cells, np.uint64), np.zeros(m * cells, bool)
+    if len(at):
+        content[at[first]] = np.add.reduceat(_mix(values + _ODD[2]), first) if (order[:-1] < order[1:]).all() else np.add.reduceat(_mix(values[order] + _ODD[2]), first)
+    there[at[first]] = True
+    content = _mix(content + _ODD[3] * (np.arange(m * cells, dtype=np.uint64) % np.uint64(cells) + np.uint64(1))) * there
+    content, there = content.reshape(m, n1, n2), there.reshape(m, n1, n2)
+    out, owner = [], []
+    for number, subset in enumerate(itertools.combinations(range(n2), n2 - k2)):
+        some = there[:, :, subset].any(axis=2)
+        name = _mix(np.arange(n1, dtype=np.uint64) * np.uint64(1024) + np.uint64(number) ^ salt ^ _ODD[0])
+        out.append(_mix(content[:, :, subset].sum(axis=2, dtype=np.uint64) ^ name)[some])
+        owner.append(np.broadcast_to(sets[:, None], some.shape)[some])
+    return np.concatenate(out), np.concatenate(owner), (there.sum(axis=2) > k2).all(axis=1)
+
+
 def signatures(values: np.ndarray, sizes: np.ndarray, bands: Bands, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, index of the set, whether it is of the instance's lower band) of all sets."""
+    return _signatures(values, sizes, bands, frequent)[:3]
+
+
+def _signatures(values: np.ndarray, sizes: np.ndarray, bands: Bands, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``signatures``, and whether frequent shingles may be part of one, so that very many sets may share it."""
     of = np.repeat(np.arange(len(sizes)), sizes)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
@@ -143,12 +214,21 @@ def signatures(values: np.ndarray, sizes: np.ndarray, bands: Bands, frequent: np
         partner = np.minimum(100 * sizes // bands.percent, top) if lower else bands.high[np.maximum(instance, 0)]
         most = bands.differ(sizes, partner)
         going = part
+        for i in np.unique(instance[part]).tolist():
+            high = int(bands.high[min(i + 1, len(bands.high) - 1)])
+            plan = two_levels(int(bands.low[i]), high, int(bands.differ(bands.high[i], high)))
+            if plan:
+                sets = np.flatnonzero(part & (instance == i))
+                mine = rare & (part & (instance == i))[of]
+                sig, owner, enough = _subset_signatures(values[mine], of[mine], sets, _mix(np.array([8 * i + 1], np.uint64))[0], plan)
+                out.append((sig, owner, np.full(len(owner), lower), np.zeros(len(owner), bool)))
+                going = going.copy()
+                going[sets[enough]] = False
         for level in range(3):
             going_here = going[of] & (rare if level == 0 else True)
             if not going_here.any():
                 break
-            load = np.where(top >= 200, 2.8, np.where(top >= 64, 2.0, np.where(top >= 16, 1.0, 0.25))) if level == 0 else np.where(top >= 16, 0.7, 0.25)
-            parts = np.maximum(1, np.ceil(top / load)).astype(np.uint64)
+            parts = np.maximum(1, np.ceil(top / _load(top, level))).astype(np.uint64)
             v, d = values[going_here], of[going_here]
             salt = _mix(np.arange(len(bands.high) + 1, dtype=np.uint64) * np.uint64(8) + np.uint64(2 * level))[np.maximum(instance, 0)]
             place = _mix(v ^ salt[d])
@@ -165,11 +245,11 @@ def signatures(values: np.ndarray, sizes: np.ndarray, bands: Bands, frequent: np
             rank = np.arange(len(owner)) - opens[owner]
             take = rank <= most[owner]
             owner, content, where = owner[take], content[take], where[first][take]
-            out.append((_mix(content ^ _mix(where ^ salt[owner])), owner, np.full(len(owner), lower)))
+            out.append((_mix(content ^ _mix(where ^ salt[owner])), owner, np.full(len(owner), lower), np.full(len(owner), level > 0)))
             filled = np.bincount(d[first], minlength=len(sizes))
             going = going & (filled <= most)
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -177,7 +257,14 @@ def _profile(batches):
     for batch in batches:
         for piece in text_slices(batch, "text"):
             values, sizes = shingle_sets(piece.column("text"))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes), pa.array(nodes_of(values, sizes), mask=sizes == 0)], names=["doc_id", "n_shingles", "node"])
+            ends = np.cumsum(sizes)
+            cells = [sketch(values[e - n : e]).tobytes() if n else None for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes), pa.array(nodes_of(values, sizes), mask=sizes == 0), pa.array(cells, pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"])
+
+
+def _profiled(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node, sketch of each row: its set's size, name and sketch, the last two null for an empty one."""
+    return materialize(docs.select("doc_id", "text").mapInArrow(_profile, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long, sketch binary"), "near-profile")
 
 
 def _frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
@@ -202,7 +289,11 @@ def _frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
 
 
 def _groups(docs: DataFrame, largest: int, total: int, frequent: np.ndarray, percent: int) -> DataFrame:
-    """g, node: the sets of different nodes that share a signature, equal ones once."""
+    """g, node: the sets of different nodes that share a signature, equal ones once.
+
+    Rows of a signature without frequent shingles meet in one bucket. Of the others a third of all sets may share one:
+    these are dealt by signature and node, and grouped by sums, so that no task holds all rows of a signature.
+    """
     bands = Bands.of(largest, percent)
     buckets = max(64, int(total * 0.7) // BUCKET_SIGNATURES)
     shared = docs.sparkSession.sparkContext.broadcast((bands, frequent))
@@ -216,11 +307,11 @@ def _groups(docs: DataFrame, largest: int, total: int, frequent: np.ndarray, per
                 once = np.zeros(len(sizes), bool)  # copies in a piece go as one
                 once[np.unique(node, return_index=True)[1]] = True
                 values, node, sizes = values[np.repeat(once, sizes)], node[once], sizes[once]
-                sig, owner, lower = signatures(values, sizes, limits, often)
-                bucket = (sig >> np.uint64(33)) % np.uint64(buckets)
+                sig, owner, lower, hot = _signatures(values, sizes, limits, often)
+                bucket = np.where(hot, np.uint64(buckets) + (_mix(sig ^ node[owner].view(np.uint64)) >> np.uint64(33)) % np.uint64(buckets), (sig >> np.uint64(33)) % np.uint64(buckets))
                 order = np.argsort(bucket.astype(np.int32), kind="stable")
                 sig, who, lower, bucket = sig[order], node[owner[order]], lower[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                cuts = np.searchsorted(bucket, np.arange(2 * buckets + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 cell = lambda x: pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), cell(sig), cell(who), cell(lower)], names=["bucket", "sig", "node", "lower"])
@@ -228,6 +319,11 @@ def _groups(docs: DataFrame, largest: int, total: int, frequent: np.ndarray, per
     def meet(t: pa.Table) -> pa.Table:
         whole = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in t.column(name)), kind)
         sig, node, lower = whole("sig", np.uint64), whole("node", np.int64), whole("lower", bool)
+        if t.column("bucket")[0].as_py() >= buckets:  # pairs of signature and node, each once
+            order = np.lexsort((node, sig))
+            sig, node, lower = sig[order], node[order], lower[order]
+            first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]))
+            return pa.table({"g": sig[first].view(np.int64), "node": node[first], "lower": np.logical_or.reduceat(lower, first), "met": np.zeros(len(first), bool)})
         order = np.argsort(sig, kind="stable")
         same = sig[order]
         first = np.concatenate([[True], same[1:] != same[:-1]])
@@ -237,7 +333,7 @@ def _groups(docs: DataFrame, largest: int, total: int, frequent: np.ndarray, per
         order = order[np.lexsort((node[order], sig[order]))]
         sig, node, lower = sig[order], node[order], lower[order]
         if not len(sig):
-            return pa.table({"g": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+            return pa.table({"g": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "lower": pa.array([], pa.bool_()), "met": pa.array([], pa.bool_())})
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
         lowest = np.logical_or.reduceat(lower, np.flatnonzero(new))
         sig, node = sig[new], node[new]
@@ -249,10 +345,15 @@ def _groups(docs: DataFrame, largest: int, total: int, frequent: np.ndarray, per
         usable = np.flatnonzero(useful)
         distinct[usable[np.unique(name[usable], return_index=True)[1]]] = True
         keep = np.repeat(distinct, size)
-        return pa.table({"g": np.repeat(name, size)[keep], "node": node[keep]})
+        return pa.table({"g": np.repeat(name, size)[keep], "node": node[keep], "lower": np.ones(keep.sum(), bool), "met": np.ones(keep.sum(), bool)})
 
     dealt = docs.select("text").mapInArrow(deal, "bucket int, sig binary, node binary, lower binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "g long, node long").distinct()
+    rows = materialize(dealt.groupBy("bucket").applyInArrow(meet, "g long, node long, lower boolean, met boolean"), "near-signatures")
+    hot = rows.where("not met").select(F.col("g").alias("sig"), "node", "lower")
+    shared_by = hot.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.max("lower").alias("lower")).where("n > 1 and lower")
+    named = shared_by.groupBy(F.xxhash64("x", "n").alias("g")).agg(F.min("sig").alias("of_sig"))  # signatures of the very same sets go as one
+    groups = rows.where("met").select("g", "node").unionByName(hot.join(named, F.col("sig") == F.col("of_sig")).select("g", "node"))
+    return groups.distinct()
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
@@ -268,22 +369,29 @@ def _folded(words: np.ndarray, length: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, length), axis=0)
 
 
-def _of_nodes(docs: DataFrame, profile: DataFrame, nodes: DataFrame, value, name: str) -> DataFrame:
-    """node, n, and the bytes of ``value`` of its set, in column ``name``, for the given nodes; from one document of each."""
-    chosen = materialize(profile.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("of_doc")), "near-documents")
-    wanted = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+def _sketches(profile: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n, sketch of the given nodes."""
+    rows = profile.join(nodes.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left_semi").select("node", F.col("n_shingles").alias("n"), "sketch")
+    return materialize(rows.dropDuplicates(["node"]), "near-sketch")
+
+
+def _sets(docs: DataFrame, profile: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n, shingles of the given nodes, made again from one document of each; and of some more nodes, which the filter lets pass."""
+    chosen = materialize(profile.join(nodes.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "near-documents")
 
     def run(batches):
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 values, sizes = shingle_sets(piece.column("text"))
-                ends = np.cumsum(sizes)
-                same = nodes_of(values, sizes) == piece.column("node").to_numpy()  # a repeated id may have another text
-                cells = [value(values[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(sizes), pa.array(cells, pa.binary())], names=["node", "n", name]).filter(pa.array(same))
+                node, ends = nodes_of(values, sizes), np.cumsum(sizes)
+                once = np.intersect1d(np.unique(node, return_index=True)[1], np.flatnonzero(sizes))
+                cells = [values[ends[k] - sizes[k] : ends[k]].tobytes() for k in once.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(node[once]), pa.array(sizes[once]), pa.array(cells, pa.binary())], names=["node", "n", "shingles"])
 
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("of_doc")).select("node", "text")
-    return materialize(rows.mapInArrow(run, f"node long, n long, {name} binary"), f"near-{name}")
+    marked, _ = Marks(chosen).split(docs.select("doc_id", "text"), "doc_id")
+    rows = materialize(marked.select("text").mapInArrow(run, "node long, n long, shingles binary").dropDuplicates(["node"]), "near-shingles")
+    discard(chosen)
+    return rows
 
 
 def _filtered(pairs: DataFrame, of_nodes: DataFrame, test) -> DataFrame:
@@ -324,7 +432,7 @@ def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame, percent: in
     pairs = materialize(pairs.distinct(), "near-pairs")
     if pairs.isEmpty():
         return pairs
-    sets = _of_nodes(docs, profile, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), lambda v: v, "shingles")
+    sets = _sets(docs, profile, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     links = materialize(_filtered(pairs, sets, similar), "near-links")
     for t in (sets, pairs):
         discard(t)
@@ -401,7 +509,8 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, perce
     blocked = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = blocked.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "label", "own")
     sketched = blocked.join(sketches.select(F.col("node").alias("of_node"), F.col("n").alias("size"), "sketch"), F.col("node") == F.col("of_node")).select("g", "i", "j", "node", "label", "own", F.col("size").alias("n"), "sketch")
-    buckets = max(16, groups.count() // BUCKET_NODES)
+    replicated = open_.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
+    buckets = max(16, replicated // BUCKET_NODES)
     bucket = F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)).alias("bucket")
     return sketched.groupBy(bucket).applyInArrow(lambda t: _pairs_in_bucket(t, percent, nearest), "a long, b long").distinct()
 
@@ -421,7 +530,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     worked on in blocks of about GROUP_NODES nodes.
     """
     spark = docs.sparkSession
-    profile = materialize(docs.select("doc_id", "text").mapInArrow(_profile, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long"), "near-profile")
+    profile = _profiled(docs)
     size = profile.agg(F.count("*").alias("n"), F.max("n_shingles").alias("largest"), F.sum("n_shingles").alias("total")).first()
     if not size["largest"]:
         return profile.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -429,7 +538,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     frequent = _frequent_shingles(known, size["n"])
     groups = materialize(_groups(known, size["largest"], size["total"], frequent, percent), "near-groups")
     settle(spark)
-    sketches = _of_nodes(known, profile, groups.select("node").distinct(), sketch, "sketch")
+    sketches = _sketches(profile, groups.select("node").distinct())
 
     hubs = groups.groupBy("g").agg(F.min("node").alias("a")).withColumnRenamed("g", "of_g")
     stars = groups.join(hubs, F.col("g") == F.col("of_g")).where("a <> node").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("n"))
@@ -453,13 +562,13 @@ def _node_links(docs: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of nodes whose sets are similar, each once; of documents whose id is not null."""
     spark = docs.sparkSession
     known = docs.where(F.col("doc_id").isNotNull())
-    profile = materialize(known.select("doc_id", "text").mapInArrow(_profile, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long"), "near-profile")
+    profile = _profiled(known)
     size = profile.agg(F.count("*").alias("n"), F.max("n_shingles").alias("largest"), F.sum("n_shingles").alias("total")).first()
     if not size["largest"]:
         return spark.createDataFrame([], "a long, b long")
     groups = materialize(_groups(known, size["largest"], size["total"], _frequent_shingles(known, size["n"]), percent), "near-groups")
     settle(spark)
-    sketches = _of_nodes(known, profile, groups.select("node").distinct(), sketch, "sketch")
+    sketches = _sketches(profile, groups.select("node").distinct())
     apart = spark.createDataFrame([], "node long, label long")  # every node a label of its own, so no pair is passed over
     links = _verified(known, profile, _open_pairs(groups, apart, sketches, percent, None), percent)
     for t in (sketches, groups):
@@ -475,7 +584,7 @@ def near_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     All pairs in a group are compared, but for those that sizes or sketches prove too different, so m sets that
     are all similar cost m * m / 2 rows, as many as their links.
     """
-    profile = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_profile, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long")
+    profile = _profiled(docs.where(F.col("doc_id").isNotNull()))
     least = materialize(profile.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least")), "near-classes")
     named = lambda end: least.select(F.col("node").alias(f"node_{end}"), F.col("least").alias(f"least_{end}"))
     both = _node_links(docs, percent).join(named("a"), F.col("a") == F.col("node_a")).join(named("b"), F.col("b") == F.col("node_b"))
@@ -487,8 +596,7 @@ def link_counts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Rows with a null id and texts without words have no link and count for none.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    profile = materialize(docs.select("doc_id", "text").mapInArrow(_profile, f"doc_id {kind}, n_shingles long, node long"), "near-profile")
+    profile = _profiled(docs)
     profile = profile.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node")))
     sizes = materialize(profile.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("rows")), "near-classes")
     links = _node_links(docs, percent)
@@ -501,12 +609,13 @@ def link_counts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with their columns.
 
-    Of repeated rows all stay. Rows with a null id stay.
+    Of repeated rows all stay. Rows with a null id stay. Only rows that a filter of bounded size marks are shuffled, to
+    be held against the exact ids; the others stay where they are.
     """
     name = free_name(docs, "_gone")
     gone = materialize(near_duplicates(docs).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct(), "near-gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    maybe, others = Marks(gone).split(docs, "doc_id")
+    return others.unionByName(maybe.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
