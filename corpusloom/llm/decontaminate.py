@@ -3,6 +3,10 @@
 The n-grams of all test items are counted over all documents. Each item's rarer ones become its seeds.
 Documents that hold seeds of an item near each other are aligned with it there; the local alignment's score,
 as a share of the item's perfect score, tells copies, also edited and paraphrased ones, from chance.
+
+The corpus is scanned twice, whatever the size of the benchmark: once to count, once to write the documents that hold
+seeds near each other at all. Both scans carry filters of bounded size, and what these let pass without need is told
+apart by joins and alignment. Only the documents written are then held against the test items, a block of bounded size at a time.
 """
 
 from __future__ import annotations
@@ -10,12 +14,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_slices
+from .common import materialize, table, text_slices
 
 SEED_WORDS = 3
 #: An item's n-gram is a seed if it is in no more documents than this many times its median one, or than this share of all.
@@ -27,6 +32,9 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 #: Test items are taken in blocks of at most so many words, so what is broadcast is bounded.
 BLOCK_WORDS = 2_000_000
+#: Bits of a filter of n-grams at most: 16 MB.
+FILTER_BITS = 1 << 27
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _SPLIT = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -39,9 +47,64 @@ def tokens(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(full)), ends
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    coded = words.dictionary_encode()
+    return pd.util.hash_array(np.asarray(coded.dictionary.to_pylist(), object), categorize=False)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """One integer for each n-gram of words; n-grams of different lengths differ."""
+    out = np.full(max(0, len(hashes) - n + 1), n, np.uint64) if n else np.zeros(0, np.uint64)
+    for k in range(n):
+        out = (out ^ hashes[k : k + len(out)] * _ODD[k]) * _ODD[0]
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _grams_of(hashes: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The different n-grams of each text: of SEED_WORDS words, or of all where a text has fewer."""
+    return [np.unique(ngrams(h, min(SEED_WORDS, len(h)))) for h in np.split(hashes, ends[:-1])] if len(ends) else []
+
+
+class Filter:
+    """A Bloom filter of 64-bit integers, of 16 bits each up to a bound; beyond it, more integers pass that are not of them."""
+
+    def __init__(self, n: int, max_bits: int = FILTER_BITS) -> None:
+        bits = min(max_bits.bit_length() - 1, max(16, (16 * n).bit_length()))
+        self.shift, self.ones = np.uint64(64 - bits), np.zeros(1 << (bits - 3), np.uint8)
+
+    def _places(self, values: np.ndarray):
+        for odd in _ODD:
+            yield (values * odd >> self.shift).astype(np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        for place in self._places(values.view(np.uint64)):
+            np.bitwise_or.at(self.ones, place >> 3, (1 << (place & 7)).astype(np.uint8))
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        out = np.ones(len(values), bool)
+        for place in self._places(values.view(np.uint64)):
+            rest = np.flatnonzero(out)
+            at = place[rest]
+            out[rest] = (self.ones.take(at >> 3) >> (at & 7)) & 1 != 0
+        return out
+
+
+def _filter_of(grams: DataFrame) -> Filter:
+    """The filter of a column of n-grams, which come to the driver a million at a time."""
+    n = grams.count()
+    out, parts = Filter(n), n // 1_000_000 + 1
+    for k in range(parts):
+        out.add(grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toArrow().column("gram").to_numpy())
+    return out
+
+
 @dataclass
 class Items:
-    """A block of test items as codes of their words, and the sorted n-gram keys of all of them."""
+    """A block of test items as codes of their words, and their seeds: all different ones, and each item's."""
 
     ids: list
     words: pa.Array
@@ -49,16 +112,18 @@ class Items:
     keys: np.ndarray
     owners: np.ndarray
     owner_keys: np.ndarray
-    seed: np.ndarray | None = None
 
     @classmethod
-    def of(cls, rows: list[tuple]) -> Items:
+    def of(cls, rows: list[tuple], seeds: np.ndarray) -> Items:
+        """From (item_id, text) rows and all seeds of the block as mixes of item and n-gram."""
         flat, ends = tokens(pa.array([r[1] for r in rows], pa.string()))
         coded = flat.dictionary_encode()
         codes = np.split(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends[:-1])
-        found = [(i, k) for i, c in enumerate(codes) for k in np.unique(ngram_keys(c, min(SEED_WORDS, len(c)), len(coded.dictionary)))]
-        owners = np.array([f[0] for f in found], np.int64)
-        owner_keys = np.array([f[1] for f in found], np.int64)
+        grams = _grams_of(word_hashes(flat), ends)
+        owners, owner_keys = np.repeat(np.arange(len(rows)), [len(g) for g in grams]), np.concatenate([*grams, np.zeros(0, np.int64)])
+        names = np.repeat(item_names(flat, ends), [len(g) for g in grams])
+        seed = np.isin(_seed_name(names, owner_keys), seeds)
+        owners, owner_keys = owners[seed], owner_keys[seed]
         order = np.argsort(owner_keys, kind="stable")
         return cls([r[0] for r in rows], coded.dictionary, codes, np.unique(owner_keys), owners[order], owner_keys[order])
 
@@ -69,34 +134,29 @@ class Items:
         return at[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64) if len(words) else np.zeros(0, np.int64)
 
 
-def ngram_keys(codes: np.ndarray, n: int, size: int) -> np.ndarray:
-    """One integer for each n-gram, -1 where a word is unknown; n-grams of different lengths differ."""
-    if n == 0 or len(codes) < n:
-        return np.zeros(0, np.int64)
-    base = size + 1
-    key = np.zeros(len(codes) - n + 1, np.int64)
-    known = np.ones(len(key), bool)
-    for k in range(n):
-        part = codes[k : len(codes) - n + 1 + k]
-        known &= part >= 0
-        key = key * base + part + 1
-    return np.where(known, key, -1)
+def item_names(flat: pa.Array, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each item, from all its words in turn: items of the same words have the same seeds."""
+    out = np.zeros(len(ends), np.uint64)
+    for k, h in enumerate(np.split(word_hashes(flat), ends[:-1]) if len(ends) else ()):
+        out[k] = (h * (np.arange(len(h), dtype=np.uint64) * _ODD[1] + _ODD[0])).sum(dtype=np.uint64) ^ np.uint64(len(h))
+    return out.view(np.int64)
+
+
+def _seed_name(names: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    x = (names.view(np.uint64) ^ grams.view(np.uint64) * _ODD[2]) * _ODD[0]
+    return (x ^ x >> np.uint64(31)).view(np.int64)
 
 
-def _hits(items: Items, codes: np.ndarray, ends: np.ndarray):
-    """(text, place, index into items.keys) of all known n-grams of texts that follow each other in ``codes``."""
+def _hits(lengths: set[int], hashes: np.ndarray, ends: np.ndarray, known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, n-gram) of the n-grams that ``known`` lets pass, in texts that follow each other in ``hashes``."""
     of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    shortest = {min(SEED_WORDS, len(c)) for c in items.codes} - {0}
-    out = []
-    for n in sorted(shortest):
-        key = ngram_keys(codes, n, len(items.words))
-        if not len(key):
-            continue
-        cand = np.flatnonzero((key >= 0) & (of[: len(key)] == of[n - 1 :]))
-        at = np.searchsorted(items.keys, key[cand])
-        ok = items.keys[np.minimum(at, len(items.keys) - 1)] == key[cand]
-        out.append(np.column_stack([of[cand[ok]], cand[ok], at[ok]]))
-    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    out = [np.zeros((0, 3), np.int64)]
+    for n in sorted(lengths):
+        grams = ngrams(hashes, n)
+        at = np.flatnonzero(of[: len(grams)] == of[n - 1 :]) if len(grams) else np.zeros(0, np.int64)
+        at = at[known(grams[at])]
+        out.append(np.column_stack([of[at], at, grams[at]]))
+    return tuple(np.concatenate(out).T)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -137,21 +197,20 @@ def leaks_of(items: Items, text: pa.Array, min_score: float = MIN_SCORE) -> list
     """(text, item, score, first word behind the passage) for each item that a text holds."""
     flat, ends = tokens(text)
     codes = items.code(flat)
-    hits = _hits(items, codes, ends)
-    lo = np.searchsorted(items.owner_keys, items.keys[hits[:, 2]], "left") if len(hits) else np.zeros(0, np.int64)
-    hi = np.searchsorted(items.owner_keys, items.keys[hits[:, 2]], "right") if len(hits) else lo
+    lengths = {min(SEED_WORDS, len(c)) for c in items.codes} - {0}
+    hits = np.column_stack(_hits(lengths, word_hashes(flat), ends, lambda g: items.keys[np.minimum(np.searchsorted(items.keys, g), len(items.keys) - 1)] == g))
+    lo = np.searchsorted(items.owner_keys, hits[:, 2], "left")
+    hi = np.searchsorted(items.owner_keys, hits[:, 2], "right")
     reps = hi - lo
     rows = np.repeat(np.arange(len(hits)), reps)
     owner_at = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(lo, reps)
-    seeds = items.seed[owner_at]
-    rows, owner_at = rows[seeds], owner_at[seeds]
     of, place, owner = hits[rows, 0], hits[rows, 1], items.owners[owner_at]
     order = np.lexsort((place, owner, of))
     of, place, owner, key = of[order], place[order], owner[order], owner_at[order]
     starts = ends - np.diff(ends, prepend=0)
     cuts = np.flatnonzero((np.diff(of) != 0) | (np.diff(owner) != 0)) + 1 if len(of) else np.zeros(0, np.int64)
     found = []
-    seeds_of = np.bincount(items.owners[items.seed], minlength=len(items.codes))
+    seeds_of = np.bincount(items.owners, minlength=len(items.codes))
     for a, b in zip(np.concatenate([[0], cuts]), np.append(cuts, len(of)), strict=True) if len(of) else ():
         t, i = int(of[a]), int(owner[a])
         item = items.codes[i]
@@ -178,32 +237,93 @@ def _blocks(benchmark: DataFrame, block_words: int):
         yield block
 
 
-def _with_seeds(docs: DataFrame, items: Items) -> Items:
-    """Counts the documents of each n-gram and marks the rare ones of each item."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _item_grams(benchmark: DataFrame) -> DataFrame:
+    """item, gram, length: the different n-grams of each test item, by the name of its words."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in text_slices(batch, "text"):
+                flat, ends = tokens(piece.column("text"))
+                grams = _grams_of(word_hashes(flat), ends)
+                sizes = [len(g) for g in grams]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(item_names(flat, ends), sizes)), pa.array(np.concatenate([*grams, np.zeros(0, np.int64)])), pa.array(np.repeat(np.diff(ends, prepend=0), sizes))], names=["item", "gram", "length"])
+
+    return materialize(benchmark.where(F.col("item_id").isNotNull()).select("text").mapInArrow(run, "item long, gram long, length long").distinct(), "leak-grams")
+
+
+def _seeds(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """item, gram, length, n: the seeds of each test item, and how many it has.
+
+    A scan of all documents counts in how many of them each n-gram is; a task gives one row for each n-gram and batch.
+    """
+    grams = _item_grams(benchmark)
+    lengths = {min(SEED_WORDS, r[0]) for r in grams.select(F.least("length", F.lit(SEED_WORDS))).distinct().collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(grams.select("gram").distinct()))
 
     def count(batches):
         for batch in batches:
-            df = np.zeros(len(shared.value.keys), np.int64)
             for piece in text_slices(batch, "text"):
                 flat, ends = tokens(piece.column("text"))
-                hits = _hits(shared.value, shared.value.code(flat), ends)
-                df += np.bincount(np.unique(hits[:, 2] * len(ends) + hits[:, 0]) // max(1, len(ends)), minlength=len(df))
-            there = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(df[there], batch.num_rows))], names=["k", "n"])
-
-    got = {r["k"]: r["n"] for r in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # one row an n-gram of the block at most
-    df = np.zeros(len(items.keys))
-    for k, n in got.items():
-        if k >= 0:
-            df[k] = n
-    own = df[np.searchsorted(items.keys, items.owner_keys)]
-    median = np.zeros(len(items.codes))
-    n = np.bincount(items.owners, minlength=len(items.codes))
-    middle = (np.cumsum(n) - n + n // 2)[n > 0]
-    median[n > 0] = own[np.lexsort((own, items.owners))][middle]
-    items.seed = own <= np.maximum(RARE_TIMES * median[items.owners], RARE_SHARE * got.get(-1, 0))
-    return items
+                of, _, gram = _hits(lengths, word_hashes(flat), ends, shared.value.holds)
+                order = np.lexsort((of, gram))
+                gram, of = gram[order], of[order]
+                new = np.ones(len(gram), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])
+                gram, n = np.unique(gram[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["of_gram", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "of_gram long, n long").groupBy("of_gram").agg(F.sum("n").alias("df"))
+    own = grams.join(counted, F.col("gram") == F.col("of_gram"), "left").select("item", "gram", "length", F.coalesce("df", F.lit(0)).alias("df"))
+    item = Window.partitionBy("item")
+    ranked = own.withColumn("rank", F.row_number().over(item.orderBy("df", "gram"))).withColumn("all", F.count("*").over(item))
+    ranked = ranked.withColumn("median", F.max(F.when(F.col("rank") == F.floor(F.col("all") / 2) + 1, F.col("df"))).over(item))
+    rare = ranked.where(F.col("df") <= F.greatest(RARE_TIMES * F.col("median"), F.lit(RARE_SHARE * docs.count())))
+    return materialize(rare.select("item", "gram", "length", F.count("*").over(item).alias("n")), "leak-seeds")
+
+
+def _near_seeds(docs: DataFrame, seeds: DataFrame):
+    """A function from texts to whether each holds the seeds that an alignment asks for, near each other, or may do so."""
+    bounds = seeds.agg(F.max("length").alias("longest"), F.collect_set(F.least("length", F.lit(SEED_WORDS))).alias("lengths")).first()
+    lengths, reach = set(bounds["lengths"]), 2 * bounds["longest"] + 8
+    alone = _filter_of(seeds.where(F.col("n") < MIN_SEEDS).select("gram").distinct())
+    several = _filter_of(seeds.select("gram").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast((alone, several))
+
+    def near(text: pa.Array) -> np.ndarray:
+        one, many = shared.value
+        flat, ends = tokens(text)
+        of, place, gram = _hits(lengths, word_hashes(flat), ends, many.holds)
+        out = np.zeros(len(text), bool)
+        out[of[one.holds(gram)]] = True
+        order = np.lexsort((place, of))
+        of, place = of[order], place[order]
+        out[of[1:][(of[1:] == of[:-1]) & (np.diff(place) <= reach)]] = True
+        return out
+
+    return near
+
+
+def _scan(docs: DataFrame, near, wanted: bool) -> DataFrame:
+    """The rows of ``docs`` whose texts hold seeds near each other, or the others."""
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for piece in text_slices(batch, "text"):
+                yield piece.filter(pa.array(near(piece.column(place)) == wanted))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _block_items(spark: SparkSession, benchmark: DataFrame, seeds: DataFrame, block_words: int):
+    """Test items with their seeds, a block of bounded size at a time."""
+    for block in _blocks(benchmark, block_words):
+        flat, ends = tokens(pa.array([r[1] for r in block], pa.string()))
+        names = spark.createDataFrame(pa.table({"of_item": np.unique(item_names(flat, ends))}))
+        own = seeds.join(F.broadcast(names), F.col("item") == F.col("of_item")).select("item", "gram").toArrow()  # no more rows than the block has words
+        items = Items.of(block, _seed_name(own.column("item").to_numpy(), own.column("gram").to_numpy()))
+        if len(items.keys):
+            yield items
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -212,21 +332,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
     score is the alignment's share of the item's perfect score, at least ``min_score``; end is the number of the
     document's words up to the passage's end. Null texts and ids of items, and items without words, hold nothing;
     null, empty and short documents hold nothing; a null doc_id passes through. Repeated documents give repeated
-    rows, repeated items one. Extra columns are not looked at; an empty table gives an empty result.
-    Documents are read twice, the first time to count n-grams over all of them. The benchmark goes to the
-    executors in blocks of bounded size; documents are never shuffled.
+    rows, repeated items one. N-grams of an item that are equally rare are all seeds or none is. Extra columns are not
+    looked at; an empty table gives an empty result. Documents are never shuffled.
     """
     spark, kinds = docs.sparkSession, (dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"])
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, end long"
     out = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark, block_words):
-        items = Items.of(block)
-        if not len(items.keys):
-            continue
-        shared = spark.sparkContext.broadcast(_with_seeds(docs, items))
-        kind = benchmark.schema["item_id"].dataType
-
-        def run(batches, shared=shared, kind=kind):
+    seeds = _seeds(docs, benchmark)
+    if seeds.isEmpty():
+        return out
+    held = materialize(_scan(docs.select("doc_id", "text"), _near_seeds(docs, seeds), True), "leak-documents")
+    kind = benchmark.schema["item_id"].dataType
+    for items in _block_items(spark, benchmark, seeds, block_words):
+        shared = spark.sparkContext.broadcast(items)
+
+        def run(batches, shared=shared):
             from pyspark.sql.pandas.types import to_arrow_type
 
             known = shared.value
@@ -239,28 +359,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
                         names=["doc_id", "item_id", "score", "end"],
                     )
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out = out.unionByName(held.mapInArrow(run, schema))
     return out
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with their columns."""
-    for block in _blocks(benchmark, block_words):
-        items = Items.of(block)
-        if not len(items.keys):
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(_with_seeds(docs, items))
-        place = docs.columns.index("text")
-
-        def run(batches, shared=shared, place=place):
+    """The rows of ``docs`` that hold no test item, with their columns. Each block's survivors are written before the next."""
+    seeds = _seeds(docs, benchmark)
+    if seeds.isEmpty():
+        return docs
+    near = _near_seeds(docs, seeds)
+    held = materialize(_scan(docs, near, True), "leak-documents")
+    place = docs.columns.index("text")
+    for items in _block_items(docs.sparkSession, benchmark, seeds, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, shared=shared):
             for batch in batches:
                 for piece in text_slices(batch, "text"):
                     keep = np.ones(piece.num_rows, bool)
                     keep[[f[0] for f in leaks_of(shared.value, piece.column(place), min_score)]] = False
                     yield piece.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        held = materialize(held.mapInArrow(run, docs.schema), "leak-survivors")
+    return _scan(docs, near, False).unionByName(held)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
