@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .codec import BLOCK_IDS, LANES, decode_blocks, encode_blocks
 from .common import give_back, shared_dir, table, text_slices
+from .words import WordIndex
 
 END_ID = 2
 SEGMENT_IDS = LANES * BLOCK_IDS
@@ -57,57 +58,6 @@ def _byte_letters() -> str:
     return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
 
 
-class _Index:
-    """Finds numbered words by their hashes: an open hash table whose lookups and inserts take arrays."""
-
-    _byte = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
-    _power = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
-
-    def __init__(self) -> None:
-        self.hashes, self.slots = np.zeros(0, np.uint64), np.full(1 << 12, -1, np.int32)
-
-    @classmethod
-    def hash(cls, words: pa.Array) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        if not len(words):
-            return np.zeros(0, np.uint64)
-        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
-        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(cls._byte.take(data) * cls._power.take(place, mode="wrap"), out=total[1:])
-        return total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]]
-
-    def _first(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of a word with this hash, or -1."""
-        out = np.full(len(hashes), -1, np.int64)
-        at, rows = self._first(hashes), np.arange(len(hashes))
-        while len(rows):
-            found = self.slots.take(at)
-            rows, at, found = (x[found >= 0] for x in (rows, at, found))
-            same = self.hashes.take(found) == hashes.take(rows)
-            out[rows[same]] = found[same]
-            rows, at = rows[~same], at[~same] + 1 & len(self.slots) - 1
-        return out
-
-    def add(self, hashes: np.ndarray) -> None:
-        """Numbers more words, from the last on."""
-        first = len(self.hashes)
-        self.hashes = np.concatenate([self.hashes, hashes])
-        if 2 * len(self.hashes) > len(self.slots):
-            self.slots, first = np.full(1 << (4 * len(self.hashes)).bit_length() - 1, -1, np.int32), 0
-        number = np.arange(first, len(self.hashes), dtype=np.int32)
-        at = self._first(self.hashes[first:])
-        while len(number):
-            free = self.slots.take(at) < 0
-            self.slots[at[free]] = number[free]
-            left = self.slots.take(at) != number
-            number, at = number[left], at[left] + 1 & len(self.slots) - 1
-
-
 class Encoder:
     """A tokenizer, and the ids of words it has met.
 
@@ -133,7 +83,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.words, self.hits = _Index(), pa.array([], pa.large_string()), np.zeros(0, np.int64)
+        self.words, self.hits = WordIndex(), np.zeros(0, np.int64)
         self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
@@ -142,9 +92,7 @@ class Encoder:
         if 2 * kept.sum() > _CACHED:
             return self.clear()
         starts, lengths = self.starts[kept], self.lengths[kept]
-        hashes, self.index = self.index.hashes[kept], _Index()
-        self.index.add(hashes)
-        self.words, self.hits = self.words.filter(pa.array(kept)), np.zeros(int(kept.sum()), np.int64)
+        self.words, self.hits = self.words.only(kept), np.zeros(int(kept.sum()), np.int64)
         self.flat, self.starts, self.lengths = _gather(self.flat, starts, lengths), np.cumsum(lengths) - lengths, lengths
 
     def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -178,19 +126,15 @@ class Encoder:
         """Where the ids of each word are kept; the words differ."""
         if len(self.words) > _CACHED:
             self._forget()
-        hashes = _Index.hash(words)
-        at = self.index.find(hashes)
-        known = np.flatnonzero(at >= 0)
-        same = pc.equal(words.take(pa.array(known)), self.words.take(pa.array(at[known]))).to_numpy(zero_copy_only=False)
-        at[known[~same]] = -1  # another word of this hash
+        at, hashes = self.words.find(words)
         new = at < 0
         self.hits[at[~new]] += 1
         if new.any():
             fresh = words.filter(pa.array(new))
             ids, lengths = self._ids(fresh)
             at[new] = len(self.words) + np.arange(len(fresh))
-            self.index.add(hashes[new])
-            self.words, self.hits = pa.concat_arrays([self.words, fresh]), np.append(self.hits, np.zeros(len(fresh), np.int64))
+            self.words.add(fresh, hashes[new])
+            self.hits = np.append(self.hits, np.zeros(len(fresh), np.int64))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, ids])

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from corpusloom.llm import codec, token_output
+from corpusloom.llm import codec, token_output, words
 
 LETTERS = list("abcXYZéÉßœŒÿŸİıſςΣσЖжñÑµªº²½Ⅷǅ")
 OTHERS = [*".,;:!?'\"-_()#$*<|>&%", "’", "'s", "'T", "'re", "́", "̇", "‍", "0", "7", "٣", "中", "😀", " ", "\t", "\n", " ", "　", "\x1c", "\x85", "\x0b", "<|endoftext|>"]
@@ -49,7 +49,7 @@ def test_words_are_forgotten_and_met_again(library, monkeypatch):
 
 
 def test_words_of_one_hash_stay_apart(library, monkeypatch):
-    monkeypatch.setattr(token_output._Index, "hash", classmethod(lambda cls, words: np.array([len(w) % 3 for w in words.to_pylist()], np.uint64)))
+    monkeypatch.setattr(words.WordIndex, "hash", classmethod(lambda cls, some: np.array([len(w) % 3 for w in some.to_pylist()], np.uint64)))
     encoder = token_output.Encoder(token_output.default_tokenizer())
     for _ in range(2):
         assert _differ(encoder, library, ["one two three four five six seven", "two six. ten! one's four"]) == []
