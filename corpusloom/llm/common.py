@@ -86,7 +86,7 @@ class Marks:
         words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))).alias("ones")).toArrow()  # bits / 64 rows at most
         array = np.zeros(self.bits // 64, np.int64)
         array[words.column("word").to_numpy()] = words.column("ones").to_numpy()
-        self.row = F.broadcast(spark.createDataFrame(pa.table({"_marks": pa.array([array], pa.list_(pa.int64()))})))
+        self.row = spark.createDataFrame(pa.table({"_marks": pa.array([array], pa.list_(pa.int64()))}))
 
     def _places(self, value: Column) -> list[Column]:
         one, two = F.xxhash64(value), F.xxhash64(value, F.lit(1))
@@ -94,12 +94,14 @@ class Marks:
 
     def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
         """The rows whose ``column`` may be among the values, and those whose is not or is null."""
-        bit = lambda p: F.call_function("shiftright", F.get(F.col("_marks"), F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+        name = free_name(df, "_marks")
+        row = F.broadcast(self.row.withColumnRenamed("_marks", name))
+        bit = lambda p: F.call_function("shiftright", F.get(F.col(name), F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
         there = F.col(f"`{column}`").isNotNull()
         for p in self._places(F.col(f"`{column}`")):
             there = there & bit(p)
         own = [F.col(f"`{c}`") for c in df.columns]
-        return df.join(self.row, there, "left_semi").select(*own), df.join(self.row, there, "left_anti").select(*own)
+        return df.join(row, there, "left_semi").select(*own), df.join(row, there, "left_anti").select(*own)
 
 
 def settle(spark: SparkSession) -> None:

@@ -3,7 +3,7 @@
 A classifier fitted on labelled documents gives each document the evidence that it is good: of quality and
 not toxic. Grouped sums of that evidence over all documents give posteriors of hosts and of paths in them,
 which shrink sparse ones towards the global mean by as much as the variation between sites tells. A document's
-verdict adds its path's prior log-odds, against the global ones, to its own evidence.
+verdict adds to its own evidence the log-odds that its path has without it, against the global ones.
 """
 
 from __future__ import annotations
@@ -17,19 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, table, text_slices
+from .common import Marks, free_name, materialize, table, text_slices
 
-#: Bounds of the sample of labelled rows that the classifier is fitted on, and of its lexicon.
+#: Bound of the sample of labelled rows that the classifier is fitted on.
 LABELLED_ROWS = 20_000
-LEXICON_WORDS = 2_000
 #: What the root of the log-likelihood ratio of a word (or of a word's beginning) must exceed to enter the lexicon.
 SIGNIFICANT = 4.5
 #: Beginnings of words that may stand for all their forms.
 PREFIXES = (3, 4, 5, 6, 7)
-#: The most, in log-odds, that a document's site may count for or against it.
-SITE_LIMIT = 2.0
-#: Rows of paths, of some 100 bytes each, that may be broadcast; more are joined by a shuffle.
-BROADCAST_PATHS = 200_000
 _MARKS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2026"
 
 
@@ -118,7 +113,7 @@ def features(text: pa.Array, lexicon: Lexicon) -> np.ndarray:
             1 - distinct / size,
             np.minimum(1, chars / size / 20),
             np.log1p(counts) / 10,
-            np.minimum(weight, 20),
+            np.log1p(weight),
             strongest,
             weight / (1 + np.log1p(counts)),
         ]
@@ -175,13 +170,18 @@ def _presence(batches):
                 )
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, lexicon_words: int = LEXICON_WORDS) -> Model:
-    """Fits on at most about ``labelled_rows`` labelled rows, the same in each run (a hash of the id picks them)."""
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Model:
+    """Fits on at most about ``labelled_rows`` labelled ids, the same in each run (a hash of the id picks them).
+
+    Of an id with several labels the worse ones count, of an id with several texts the first by code point.
+    """
     spark = docs.sparkSession
     labels = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    labels = labels.groupBy("doc_id").agg(F.min((F.col("quality") != 0).cast("int")).alias("quality"), F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     share = min(1.0, labelled_rows / max(1, labels.count()))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).select("doc_id", "quality", "toxic")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by labelled_rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))  # bounded by labelled_rows
+    sample = materialize(sample, "quality-sample")
     size = chosen.agg(F.sum((F.col("toxic") != 0).cast("long")).alias("bad"), F.count("*").alias("n")).first()
     bad, good = size["bad"] or 0, size["n"] - (size["bad"] or 0)
     presence = sample.select("text", (F.col("toxic") != 0).alias("toxic")).mapInArrow(_presence, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -194,11 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
         .withColumn("odds", odds)
         .withColumn("g", F.sqrt(2 * F.greatest(F.lit(0.0), part(F.col("bad"), bad) + part(F.col("good"), good))))
         .where((F.col("odds") > 0) & (F.col("g") > SIGNIFICANT))
-        .orderBy(F.desc("g"), "word")
-        .limit(lexicon_words)
-        .collect()
+        .select("word", "odds")
+        .toArrow()  # bounded by the sample's words
+        .sort_by([("odds", "descending"), ("word", "ascending")])
     )
-    lexicon = Lexicon([r["word"] for r in telling], np.array([r["odds"] for r in telling]))
+    lexicon = Lexicon(telling.column("word").to_pylist(), telling.column("odds").to_numpy())
     shared = spark.sparkContext.broadcast(lexicon)
 
     def rows(batches):
@@ -251,29 +251,68 @@ def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
     One partial sum a path and task is all that is shuffled, so a hot host costs no more than others.
     Only single rows of sums come to the driver.
     """
+    sites, mean = _sites(evidence)
+    host = (F.col("host_s") + F.col("host_k") * F.lit(mean)) / (F.col("host_n") + F.col("host_k"))
+    return sites.select("host", "path", F.col("n").alias("n_path"), host.alias("host_posterior"), ((F.col("s") + F.col("path_k") * host) / (F.col("n") + F.col("path_k"))).alias("path_posterior")), mean
+
+
+def _sites(evidence: DataFrame) -> tuple[DataFrame, float]:
+    """host, path and their sums: n, s of the path, host_n, host_s; the weights host_k and path_k of the priors; and the global mean."""
     paths = materialize(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "site-sums")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
     joined = paths.withColumnRenamed("host", "at").join(hosts, F.col("at").eqNullSafe(F.col("host")))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s"), F.count("*").alias("groups"), F.sum(F.col("host_n") * F.col("host_n").cast("double")).alias("squares"), F.sum(F.col("host_s") * F.col("host_s") / F.col("host_n")).alias("sq")).first()
     n, mean = total["n"] or 0, (total["s"] or 0.0) / max(1, total["n"] or 0)
-    of = joined.agg(
-        F.sum("q").alias("q"),
-        F.count("*").alias("groups"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("sq"),
-        F.sum(F.col("n") * F.col("n").cast("double") / F.col("host_n")).alias("squares"),
-    ).first()
-    if not n:
-        return joined.select("host", "path", F.col("n").alias("n_path"), F.lit(0.5).alias("host_posterior"), F.lit(0.5).alias("path_posterior")), 0.5
-    host_k = _strength(n, total["groups"], total["squares"], total["sq"] - n * mean * mean, of["q"] - total["sq"], mean)
-    path_k = _strength(n, of["groups"] - total["groups"] + 1, of["squares"], of["sq"] - total["sq"], of["q"] - of["sq"], mean)
-    host = (F.col("host_s") + host_k * mean) / (F.col("host_n") + host_k)
-    return joined.select("host", "path", F.col("n").alias("n_path"), host.alias("host_posterior"), ((F.col("s") + path_k * host) / (F.col("n") + path_k)).alias("path_posterior")), mean
+    host_k = path_k = 1.0
+    if n:
+        of = joined.agg(
+            F.sum("q").alias("q"),
+            F.count("*").alias("groups"),
+            F.sum(F.col("s") * F.col("s") / F.col("n")).alias("sq"),
+            F.sum(F.col("n") * F.col("n").cast("double") / F.col("host_n")).alias("squares"),
+        ).first()
+        host_k = _strength(n, total["groups"], total["squares"], total["sq"] - n * mean * mean, of["q"] - total["sq"], mean)
+        path_k = _strength(n, of["groups"] - total["groups"] + 1, of["squares"], of["sq"] - total["sq"], of["q"] - of["sq"], mean)
+    return joined.select("host", "path", "n", "s", "host_n", "host_s", F.lit(host_k).alias("host_k"), F.lit(path_k).alias("path_k")), mean if n else 0.5
 
 
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _sure(p: Column) -> Column:
+    """Log-odds of a probability that is kept off 0 and 1."""
+    return _logit(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p)))
+
+
+def _judged(docs: DataFrame, model: Model, host: str, path: str, keep: list[str]) -> tuple[DataFrame, str, dict[str, Column]]:
+    """Evidence of each row, written once with columns ``keep``, joined to its site; the prefix of the columns added; and what follows from them."""
+    at = free_name(docs, "_evidence")
+    names = list(dict.fromkeys([*keep, host, path]))
+    rows = materialize(with_evidence(docs, model, at, names), "evidence")
+    good = F.col(f"{at}.p_quality") * (1 - F.col(f"{at}.p_toxic"))
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), good))
+    sites, mean = _sites(rows.select(F.col(f"`{host}`").alias("host"), F.col(f"`{path}`").alias("path"), p.alias("p")))
+    sites = sites.select(*[F.col(c).alias(f"{at}_{c}") for c in sites.columns])
+    joined = rows.join(sites, F.col(f"`{host}`").eqNullSafe(F.col(f"{at}_host")) & F.col(f"`{path}`").eqNullSafe(F.col(f"{at}_path")))
+    c = lambda name: F.col(f"{at}_{name}")
+    mean = min(1 - 1e-9, max(1e-9, mean))
+    posterior = lambda n, s, k, prior: (s + k * prior) / (n + k)
+    others_host = posterior(c("host_n") - 1, c("host_s") - p, c("host_k"), F.lit(mean))
+    others = posterior(c("n") - 1, c("s") - p, c("path_k"), others_host)  # what the site tells without the document itself
+    odds = _sure(p) + _sure(others) - math.log(mean / (1 - mean))
+    host_all = posterior(c("host_n"), c("host_s"), c("host_k"), F.lit(mean))
+    out = {
+        "p_quality": F.col(f"{at}.p_quality"),
+        "p_toxic": F.col(f"{at}.p_toxic"),
+        "host_posterior": host_all,
+        "path_posterior": posterior(c("n"), c("s"), c("path_k"), host_all),
+        "score": 1 / (1 + F.exp(-odds)),
+        "kept": odds >= 0,
+    }
+    return joined, at, out
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep: list[str] | None = None, model: Model | None = None) -> DataFrame:
     """(doc_id, text, host, path, ...) -> columns ``keep`` (all if None) and p_quality, p_toxic, host_posterior,
     path_posterior, score, kept; a row for each row. Underscores are added to names that ``keep`` has already.
@@ -281,32 +320,31 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     score is the posterior probability that the document is good; it is kept at 0.5 or more. Null texts count as
     empty; null hosts and paths are a host and a path of their own; repeated rows are documents of their own.
     Without usable labels every document counts as good. Labels of unknown documents have
-    no effect. An empty table gives an empty result. Texts are read twice, for the sums and for the verdicts, so
-    no copy of them is shuffled or stored.
+    no effect. An empty table gives an empty result. Texts are read once; what is written and joined to the sites
+    has the columns ``keep`` and the evidence alone.
     """
     model = model or train(docs, labels)
     keep = docs.columns if keep is None else keep
-    at = free_name(docs, "_evidence")
-    good = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col(f"{at}.p_quality") * (1 - F.col(f"{at}.p_toxic"))))
-    sums = with_evidence(docs, model, at, [host, path]).select(F.col(host).alias("host"), F.col(path).alias("path"), good.alias("p"))
-    sites, mean = site_posteriors(sums)
-    mean = min(1 - 1e-9, max(1e-9, mean))
-    sites = materialize(sites.select(*[F.col(c).alias(f"{at}_{c}") for c in sites.columns]), "site-posteriors")
-    sites = F.broadcast(sites) if sites.count() <= BROADCAST_PATHS else sites
-    shift = _logit(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col(f"{at}_path_posterior")))) - math.log(mean / (1 - mean))
-    odds = _logit(good) + F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), shift))
-    rows = with_evidence(docs, model, at, list(dict.fromkeys([*keep, host, path])))
-    out = {"p_quality": F.col(f"{at}.p_quality"), "p_toxic": F.col(f"{at}.p_toxic"), "host_posterior": F.col(f"{at}_host_posterior"), "path_posterior": F.col(f"{at}_path_posterior"), "score": 1 / (1 + F.exp(-odds)), "kept": odds >= 0}
+    joined, _, out = _judged(docs, model, host, path, keep)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    return rows.join(sites, F.col(host).eqNullSafe(F.col(f"{at}_host")) & F.col(path).eqNullSafe(F.col(f"{at}_path"))).select(
-        *[F.col(f"`{c}`") for c in keep], *[c.alias(free_name(kept, name)) for name, c in out.items()]
-    )
+    return joined.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(free_name(kept, name)) for name, c in out.items()])
+
 
+def good_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with their columns.
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with their columns."""
-    judged = classify(docs, labels)
-    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
+    Rows are told apart by two hashes of id, text, host and path, on which alone a verdict depends. Only rows that a filter of
+    bounded size marks as rejected are shuffled, to be held against the exact hashes; the others stay where they are.
+    """
+    model = model or train(docs, labels)
+    one, two, gone_one, gone_two = (free_name(docs, name) for name in ("_row_a", "_row_b", "_gone_a", "_gone_b"))
+    known = [F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", "text", host, path])]
+    named = docs.withColumn(one, F.xxhash64(*known)).withColumn(two, F.xxhash64(F.lit(1), *known))
+    joined, _, out = _judged(named, model, host, path, [one, two])
+    gone = materialize(joined.where(~out["kept"]).select(F.col(one).alias(gone_one), F.col(two).alias(gone_two)).distinct(), "rejected")
+    maybe, others = Marks(gone.select(gone_one)).split(named, one)
+    left = maybe.join(gone, (F.col(one) == F.col(gone_one)) & (F.col(two) == F.col(gone_two)), "left_anti")
+    return others.unionByName(left).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
