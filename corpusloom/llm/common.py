@@ -62,12 +62,12 @@ def discard(df: DataFrame) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Bits of a ``Marks`` array at most: 16 MB.
+#: Bits of ``Marks`` at most: 16 MB.
 MARK_BITS = 1 << 27
 
 
 class Marks:
-    """A Bloom filter of the values of a column, as one row that is broadcast.
+    """A Bloom filter of the values of a column, as one row that is broadcast; made and used by DataFrame functions alone.
 
     Its size is 16 bits a value up to ``max_bits`` and no more, whatever the number of values; beyond, more rows pass that
     need not. So it only spares work: what passes is to be looked at exactly. Tables that it filters are not shuffled.
@@ -76,17 +76,16 @@ class Marks:
     HASHES = 4
 
     def __init__(self, values: DataFrame, max_bits: int = MARK_BITS) -> None:
-        import numpy as np
-        import pyarrow as pa
-
         (name,) = values.columns
-        spark = values.sparkSession
         self.bits = min(max_bits, 1 << max(16, (16 * values.count()).bit_length()))
         places = values.select(F.explode(F.array(*self._places(F.col(f"`{name}`")))).alias("place"))
-        words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))).alias("ones")).toArrow()  # bits / 64 rows at most
-        array = np.zeros(self.bits // 64, np.int64)
-        array[words.column("word").to_numpy()] = words.column("ones").to_numpy()
-        self.row = spark.createDataFrame(pa.table({"_marks": pa.array([array], pa.list_(pa.int64()))}))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+        words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("ones"))
+        # 1,024 words make a part, and all parts, each once, make the row
+        full = values.sparkSession.range(max(1, self.bits >> 6)).join(words, F.col("id") == F.col("word"), "left")
+        parts = full.groupBy(F.shiftright("id", 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("ones", F.lit(0).cast("long")).alias("ones")))).alias("a"))
+        parts = parts.select("part", F.transform("a", lambda x: x["ones"]).alias("a"))
+        self.row = materialize(parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "a"))), lambda x: x["a"]).alias("_marks")), "marks")
 
     def _places(self, value: Column) -> list[Column]:
         one, two = F.xxhash64(value), F.xxhash64(value, F.lit(1))
@@ -96,7 +95,8 @@ class Marks:
         """The rows whose ``column`` may be among the values, and those whose is not or is null."""
         name = free_name(df, "_marks")
         row = F.broadcast(self.row.withColumnRenamed("_marks", name))
-        bit = lambda p: F.call_function("shiftright", F.get(F.col(name), F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+        word = lambda p: F.get(F.get(F.col(name), F.shiftright(p, 16).cast("int")), F.shiftright(p, 6).bitwiseAND(F.lit(1023)).cast("int"))
+        bit = lambda p: F.call_function("shiftright", word(p), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
         there = F.col(f"`{column}`").isNotNull()
         for p in self._places(F.col(f"`{column}`")):
             there = there & bit(p)

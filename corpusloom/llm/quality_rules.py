@@ -92,7 +92,7 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, line_docs: int =
     Repeated rows are documents of their own, each with its place in the counts. Extra columns are not
     looked at. An empty table gives an empty result. Equal lines after trimming, joining white space and
     lower-casing count as one line. A ``line_share`` asks besides that more than one in so many documents of the
-    host have the line; OP3_SQL has one of 200, which tells for hosts of more than 2,200 documents.
+    host have the line.
 
     A hot host is many lines, each counted by partial sums; a line that a third of all documents have costs
     each map task one row of counts. Frequent lines are joined, broadcast only where their measured size allows.
@@ -146,9 +146,7 @@ cov AS (SELECT rid, count(DISTINCT i + k) AS c FROM rep, (VALUES (0), (1), (2))
 l AS (SELECT rid, source, x, lower(regexp_replace(trim(x, E' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+', ' ', 'g')) AS y
       FROM (SELECT rid, source, unnest(string_split(body, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT x) AS c FROM l GROUP BY rid),
-h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-f AS (SELECT s.source, s.y FROM (SELECT source, y, count(DISTINCT rid) AS c FROM l GROUP BY source, y) s JOIN h ON s.source IS NOT DISTINCT FROM h.source
-      WHERE s.c > 10 AND s.c * 200 > h.docs),
+f AS (SELECT source, y FROM l GROUP BY source, y HAVING count(DISTINCT rid) > 10),
 rem AS (SELECT l.rid, count(*) AS nl, sum(len(regexp_extract_all(l.y, '[^\x20\x09-\x0D]+'))) AS nw FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.y = f.y GROUP BY l.rid),
 o AS (SELECT w.doc_id, CAST(len(w.t) AS BIGINT) AS n_words, CAST(length(regexp_replace(w.body, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(w.body, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.c, 0) AS BIGINT) AS n_dup_lines,
