@@ -11,6 +11,7 @@ apart by joins and alignment. Only the documents written are then held against t
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,12 +94,35 @@ class Filter:
         return out
 
 
-def _filter_of(grams: DataFrame) -> Filter:
-    """The filter of a column of n-grams, which come to the driver a million at a time."""
-    n = grams.count()
-    out, parts = Filter(n), n // 1_000_000 + 1
+class Owners:
+    """For each n-gram 64 bits, one for every 64th of the items it is a seed of; in a table of bounded size, where n-grams may share an entry."""
+
+    def __init__(self, n: int, max_bits: int = FILTER_BITS) -> None:
+        bits = min(max_bits.bit_length() - 1 - 6, max(10, (4 * n).bit_length()))
+        self.shift, self.bits = np.uint64(64 - bits), np.zeros(1 << bits, np.uint64)
+
+    def _at(self, grams: np.ndarray) -> np.ndarray:
+        return (grams.view(np.uint64) * _ODD[1] >> self.shift).astype(np.int64)
+
+    def add(self, grams: np.ndarray, items: np.ndarray) -> None:
+        np.bitwise_or.at(self.bits, self._at(grams), np.uint64(1) << (items.view(np.uint64) * _ODD[0] >> np.uint64(58)))
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        return self.bits.take(self._at(grams))
+
+
+def _in_parts(rows: DataFrame):
+    """Rows with a column gram, as Arrow tables of about a million rows."""
+    parts = rows.count() // 1_000_000 + 1
     for k in range(parts):
-        out.add(grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toArrow().column("gram").to_numpy())
+        yield rows.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toArrow()
+
+
+def _filter_of(grams: DataFrame) -> Filter:
+    """The filter of a column of n-grams."""
+    out = Filter(grams.count())
+    for part in _in_parts(grams):
+        out.add(part.column("gram").to_numpy())
     return out
 
 
@@ -287,18 +311,27 @@ def _near_seeds(docs: DataFrame, seeds: DataFrame):
     lengths, reach = set(bounds["lengths"]), 2 * bounds["longest"] + 8
     alone = _filter_of(seeds.where(F.col("n") < MIN_SEEDS).select("gram").distinct())
     several = _filter_of(seeds.select("gram").distinct())
-    shared = docs.sparkSession.sparkContext.broadcast((alone, several))
+    owners = Owners(seeds.count())
+    for part in _in_parts(seeds.select("gram", "item")):
+        owners.add(part.column("gram").to_numpy(), part.column("item").to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast((alone, several, owners))
 
     def near(text: pa.Array) -> np.ndarray:
-        one, many = shared.value
+        one, many, owned = shared.value
         flat, ends = tokens(text)
         of, place, gram = _hits(lengths, word_hashes(flat), ends, many.holds)
         out = np.zeros(len(text), bool)
         out[of[one.holds(gram)]] = True
         order = np.lexsort((place, of))
-        of, place = of[order], place[order]
-        out[of[1:][(of[1:] == of[:-1]) & (np.diff(place) <= reach)]] = True
-        return out
+        of, place, owner = of[order], place[order], owned.of(gram[order])
+        left = np.arange(len(of))
+        for lag in itertools.count(1):  # pairs of hits, the nearest first, until no two are near enough
+            left = left[~out[of[left]]]
+            left = left[left + lag < len(of)]
+            left = left[(of[left + lag] == of[left]) & (place[left + lag] - place[left] <= reach)]
+            if not len(left):
+                return out
+            out[of[left[(owner[left] & owner[left + lag]) != 0]]] = True
 
     return near
 

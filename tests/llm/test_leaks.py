@@ -84,3 +84,14 @@ def test_filter():
         f.add(values)
         assert f.holds(values).all()
     assert wide.holds(others).mean() < 0.05 and len(narrow.ones) == 1 << 9
+
+
+def test_owners_share_a_bit_with_their_items():
+    rng = np.random.default_rng(2)
+    grams, items = rng.integers(-(1 << 62), 1 << 62, 4000), rng.integers(-(1 << 62), 1 << 62, 200)[np.arange(4000) // 20]
+    for bits in (1 << 27, 1 << 12):
+        owners = D.Owners(4000, bits)
+        owners.add(grams, items)
+        of = owners.of(grams).reshape(200, 20)
+        assert (np.bitwise_and.reduce(of, axis=1) != 0).all()
+    assert len(owners.bits) == 64
