@@ -85,14 +85,15 @@ class Model:
         index.add(words, index.hash(words))
         points, starts = _characters(words)
         inside = _inside(starts, len(points))
-        weight = seen[np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(points))))]
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(np.append(starts, len(points))))
         names, befores, sums = [], [], []
         for k in range(1, MAX_ORDER + 1):
             at, name, before = _grams(points, inside, k)
             own, first, inverse = np.unique(name, return_index=True, return_inverse=True)
             names.append(own)
             befores.append(before[first])
-            sums.append(np.stack([np.bincount(inverse, weight[at, j], len(own)) for j in range(width)], axis=1))
+            sums.append(np.stack([np.bincount(inverse, seen[:, j].take(word_of[at]), len(own)) for j in range(width)], axis=1))
+            del at, name, before, inverse  # the driver holds one order at a time
         letters = max(1, len(names[0]))
         grams, before, got = np.concatenate(names), np.concatenate(befores), np.concatenate(sums)
         _, context = np.unique(before, return_inverse=True)
