@@ -153,3 +153,27 @@ def settle_run(results: DataFrame) -> DataFrame:
     """status, tp, fp, fn, n of a run: failed without results. Ratios are made on reading."""
     s = set_scores(results)
     return s.select(F.when(F.col("n") > 0, "done").otherwise("failed").alias("status"), "tp", "fp", "fn", "n")
+
+
+def tagging_score(labels: DataFrame, readable_tags: DataFrame, tags: DataFrame) -> DataFrame:
+    """labeled, then ``set_scores`` of each labelled readable's tags now against the slugs in its label's JSON ({"tags": [...]})."""
+    golden = labels.where("feature = 'tagging'").select("readable_type", "readable_id", F.coalesce(F.from_json("label", "tags array<string>")["tags"], F.array().cast("array<string>")).alias("golden"))
+    slugs = tags.select(F.col("id").alias("_t"), "slug")
+    now = readable_tags.join(slugs, F.col("tag_id") == F.col("_t")).groupBy("readable_type", "readable_id").agg(F.collect_set("slug").alias("predicted"))
+    return set_scores(golden.withColumn("golden", F.array_distinct("golden")).join(now, ["readable_type", "readable_id"], "left")).withColumn("labeled", F.col("n"))
+
+
+def extraction_score(labels: DataFrame, articles: DataFrame, authorships: DataFrame, authors: DataFrame, affiliations: DataFrame) -> DataFrame:
+    """labeled, the byline's scores, and source_accuracy: articles as they are now against labels {"authors": [slugs], "source": slug}.
+
+    A url without an article has no authors and no source; of several articles of one url, the one of the smallest id counts.
+    """
+    label = F.from_json("label", "authors array<string>, source string")
+    golden = labels.where("feature = 'extraction'").select("subject_url", F.array_distinct(F.coalesce(label["authors"], F.array().cast("array<string>"))).alias("golden"), label["source"].alias("golden_source"))
+    of_url = articles.where(F.col("canonical_url").isNotNull()).groupBy("canonical_url").agg(F.min_by(F.struct(F.col("id").cast("string").alias("id"), F.col("affiliation_id").cast("string").alias("affiliation_id")), "id").alias("a"))
+    people = authors.select(F.col("id").cast("string").alias("_author"), F.col("slug").alias("_slug"))
+    bylines = authorships.where("readable_type = 'article'").join(people, F.col("author_id").cast("string") == F.col("_author")).groupBy(F.col("readable_id").cast("string").alias("_article")).agg(F.collect_set("_slug").alias("predicted"))
+    sources = affiliations.select(F.col("id").cast("string").alias("_source"), F.col("slug").alias("now_source"))
+    now = golden.join(of_url, F.col("subject_url") == F.col("canonical_url"), "left").join(bylines, F.col("a.id") == F.col("_article"), "left").join(sources, F.col("a.affiliation_id") == F.col("_source"), "left")
+    right = now.agg(F.coalesce(F.avg(F.col("golden_source").eqNullSafe(F.col("now_source")).cast("double")), F.lit(0.0)).alias("source_accuracy"))
+    return set_scores(now).withColumn("labeled", F.col("n")).join(right)

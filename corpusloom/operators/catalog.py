@@ -77,6 +77,15 @@ def author_order() -> list[Column]:
     return [F.coalesce("sort_name", "name").asc(), F.col("id").asc()]
 
 
+def source_list(affiliations: DataFrame) -> DataFrame:
+    """What is read from: all affiliations but institutions, to be sorted by ``by_name``."""
+    return affiliations.where(F.col("type") != "institution")
+
+
+def by_name() -> list[Column]:
+    return [F.lower("name").asc(), F.col("id").asc()]
+
+
 def reading_queue(queue: DataFrame, items: DataFrame, user_id=None) -> DataFrame:
     """A user's items that are not archived and whose readable is there; newest first is ``queue_order``."""
     q = queue.where(F.col("state") != "archived")

@@ -1,4 +1,4 @@
-"""Readables as content: what a reader sees, what a tagger reads, and the rows that imports leave behind."""
+"""Readables as content: what a person sees, what a tagger takes in, and the rows that imports leave behind."""
 
 from __future__ import annotations
 

@@ -2,19 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import domain_alias, site_name, slugify
 
 
+def _conflict(a, b, id_keys: tuple[str, ...]):
+    return reduce(lambda x, y: x | y, (F.coalesce(F.col(f"{a}.{k}") != F.col(f"{b}.{k}"), F.lit(False)) for k in id_keys))
+
+
+def _same_ids(rows: DataFrame, id_keys: tuple[str, ...]) -> DataFrame:
+    """row, first: the smallest row that shared ids lead to."""
+    label = rows.withColumn("first", F.col("row")).select("row", "first", *id_keys)
+    while True:
+        new = label
+        for k in id_keys:
+            least = new.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min("first").alias("_least"))
+            new = new.join(least, F.col(k) == F.col("_k"), "left").withColumn("first", F.least("first", F.coalesce("_least", "first"))).drop("_k", "_least")
+        moved = new.join(label.select(F.col("row").alias("_r"), F.col("first").alias("_f")), F.col("row") == F.col("_r")).where("first <> _f").isEmpty()
+        label = new
+        if moved or len(id_keys) == 1:
+            return label.select("row", "first")
+
+
+def _founders(groups: DataFrame, id_keys: tuple[str, ...]) -> DataFrame:
+    """first, founder, place: in the order of a slug's groups, each joins the slug's first entity where no id differs, else is one of its own.
+
+    One task folds the groups of one slug: people of one name in a batch.
+    """
+
+    def fold(t: pa.Table) -> pa.Table:
+        held: dict = {}
+        place, out = 0, []
+        for r in sorted(t.to_pylist(), key=lambda r: r["first"]):
+            if out and not any(r[k] is not None and held.get(k) not in (None, r[k]) for k in id_keys):
+                out.append((r["first"], out[0][1], 1))
+            else:
+                place += 1
+                out.append((r["first"], r["first"], place))
+                if place > 1:
+                    continue
+            held |= {k: r[k] for k in id_keys if r[k] is not None}
+        return pa.table({"first": [o[0] for o in out], "founder": [o[1] for o in out], "place": pa.array([o[2] for o in out], pa.int32())}).cast(schema)
+
+    kind = groups.schema["first"].dataType.simpleString()
+    schema = to_arrow_schema(groups.select("first", F.col("first").alias("founder"), F.lit(1).alias("place")).schema)
+    return groups.groupBy("slug").applyInArrow(fold, f"first {kind}, founder {kind}, place int")
+
+
 def resolve(incoming: DataFrame, existing: DataFrame, id_keys: tuple[str, ...], fill: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(links, entities). incoming: row, name, id_keys and fill; existing: id, name, slug, id_keys and fill.
 
     A row matches by the first of ``id_keys`` that both have; else by slug, unless an id is known of both and
-    differs. Matched entities get values only where they have none. The others are new, one for each slug (rows
-    of one batch that share a slug and no differing id are one), with ids named after the slug and, where that is taken, -2, -3 ...
-    Within a batch the row of the smallest ``row`` decides.
+    differs. Matched entities get values only where they have none. What is left is new: rows that share an id are one
+    entity, and so are rows of one slug, unless ids differ. New ids are the slug or, where that is taken, the slug with
+    the first free number from 2 on. Within a batch the row of the smallest ``row`` decides.
     """
     rows = incoming.withColumn("slug", slugify(F.col("name")))
     found = rows.select("row", F.lit(None).cast("string").alias("id"))
@@ -23,28 +70,29 @@ def resolve(incoming: DataFrame, existing: DataFrame, id_keys: tuple[str, ...],
         hits = rows.where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("k")).select(F.col("row").alias("r"), "hit")
         found = found.join(hits, F.col("row") == F.col("r"), "left").select("row", F.coalesce("id", "hit").alias("id"))
     open_ = rows.join(found.where("id is null").select("row"), "row", "left_semi")
-    by_slug = open_.alias("n").join(existing.alias("e"), F.col("n.slug") == F.col("e.slug"))
-    for key in id_keys:
-        by_slug = by_slug.where(F.col(f"n.{key}").isNull() | F.col(f"e.{key}").isNull() | (F.col(f"n.{key}") == F.col(f"e.{key}")))
-    by_slug = by_slug.select(F.col("n.row").alias("r"), F.col("e.id").alias("hit"))
+    by_slug = open_.alias("n").join(existing.alias("e"), F.col("n.slug") == F.col("e.slug")).where(~_conflict("n", "e", id_keys))
+    by_slug = by_slug.groupBy(F.col("n.row").alias("r")).agg(F.min("e.id").alias("hit"))
     found = found.join(by_slug, F.col("row") == F.col("r"), "left").select("row", F.coalesce("id", "hit").alias("id"))
 
-    new = rows.join(found.where("id is null").select("row"), "row", "left_semi").withColumn("ids", F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in id_keys]))
-    founders = new.groupBy("slug", "ids").agg(F.min(F.struct("row", "name", *id_keys, *fill)).alias("f"))
-    taken = existing.groupBy(F.regexp_replace("slug", r"-\d+$", "").alias("stem")).agg(F.count("*").alias("used"))
-    place = F.row_number().over(Window.partitionBy("slug").orderBy("f.row"))
-    founders = founders.withColumn("place", place).join(taken, F.col("slug") == F.col("stem"), "left")
-    number = F.col("place") + F.coalesce("used", F.lit(0))
-    founders = founders.withColumn("new_id", F.when(number == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", number)))
-    made = founders.select(F.col("new_id").alias("id"), "f.name", F.col("new_id").alias("slug"), *[F.col(f"f.{c}") for c in (*id_keys, *fill)])
-
-    links = (
-        rows.join(found, "row")
-        .withColumn("ids", F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in id_keys]))
-        .join(founders.select(F.col("slug").alias("fs"), F.col("ids").alias("fi"), "new_id"), (F.col("slug") == F.col("fs")) & (F.col("ids") == F.col("fi")) & F.col("id").isNull(), "left")
-        .select("row", F.coalesce("id", "new_id").alias("id"))
-    )
-    values = rows.join(links, "row").groupBy("id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row"))).alias(f"in_{c}") for c in (*id_keys, *fill)]).withColumnRenamed("id", "lid")
+    new = rows.join(found.where("id is null").select("row"), "row", "left_semi")
+    first = _same_ids(new, id_keys)
+    by_row = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row")))
+    groups = new.join(first, "row").groupBy("first").agg(F.min_by("slug", "row").alias("slug"), *[by_row(k).alias(k) for k in id_keys])
+    members = first.join(_founders(groups, id_keys), "first").select("row", "founder", "place")
+    made = new.join(members, "row").groupBy("founder", "place").agg(F.min_by("slug", "row").alias("slug"), F.min_by("name", "row").alias("name"), *[by_row(c).alias(c) for c in (*id_keys, *fill)])
+    # numbers that are taken: by what is there, and by slugs of the batch as they are
+    used = existing.select("slug").unionByName(made.select("slug")).distinct()
+    numbers = used.select(F.regexp_extract("slug", r"^(.*)-([0-9]{1,9})$", 1).alias("stem"), F.regexp_extract("slug", r"^(.*)-([0-9]{1,9})$", 2).alias("n"), "slug").where("stem <> '' and slug = concat(stem, '-', cast(cast(n as int) as string))")
+    numbers = numbers.groupBy("stem").agg(F.collect_set(F.col("n").cast("int")).alias("used"))
+    there = existing.select(F.col("slug").alias("there")).distinct()
+    made = made.join(there, F.col("slug") == F.col("there"), "left").join(numbers, F.col("slug") == F.col("stem"), "left")
+    rank = F.col("place") - F.when(F.col("there").isNull(), 1).otherwise(0)  # 0 takes the slug itself, k the k-th free number
+    taken = F.coalesce("used", F.array().cast("array<int>"))
+    free = F.get(F.array_except(F.sequence(F.lit(2), F.lit(2) + rank + F.size(taken)), taken), rank - 1)
+    made = made.withColumn("new_id", F.when(rank == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", free.cast("string"))))
+    links = found.join(members, "row", "left").join(made.select(F.col("founder").alias("of"), "new_id"), F.col("founder") == F.col("of"), "left").select("row", F.coalesce("id", "new_id").alias("id"))
+    made = made.select(F.col("new_id").alias("id"), "name", F.col("new_id").alias("slug"), *id_keys, *fill)
+    values = rows.join(links, "row").groupBy("id").agg(*[by_row(c).alias(f"in_{c}") for c in (*id_keys, *fill)]).withColumnRenamed("id", "lid")
     filled = existing.join(values, F.col("id") == F.col("lid"), "left").select("id", "name", "slug", *[F.coalesce(F.col(c), F.col(f"in_{c}")).alias(c) for c in (*id_keys, *fill)])
     return links, filled.unionByName(made)
 

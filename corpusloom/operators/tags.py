@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,21 +55,34 @@ def _blocks(vocabulary: DataFrame, id_: str, vector: str) -> Iterator[tuple]:
         yield block()
 
 
+#: Similarities that are held at a time.
+_SCORES = 4_000_000
+
+
 def _better(batches, block, at: int, schema):
+    """The better of what a batch has and the block's nearest: one matrix product for all vectors of a length."""
     ids, matrix, sizes = block
     for batch in batches:
-        best, score = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-        for k, v in enumerate(batch.column(at).to_pylist()):
-            if v is None:
-                continue
-            x = np.asarray(v, float)
-            n = np.linalg.norm(x) if len(x) else 0.0
-            s = np.where(sizes == len(x), matrix[:, : len(x)] @ (x / n) if n > 0 and len(x) <= matrix.shape[1] else np.zeros(len(ids)), 0.0) if len(x) <= matrix.shape[1] else np.zeros(len(ids))
-            i = int(s.argmax())
-            if score[k] is None or s[i] > score[k]:
-                best[k], score[k] = ids[i], float(s[i])
+        best, score = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).copy()
+        vectors = batch.column(at)
+        lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+        for n in np.unique(lengths[lengths >= 0]).tolist():
+            rows = np.flatnonzero(lengths == n)
+            same = sizes == n if 0 < n <= matrix.shape[1] else np.zeros(len(ids), bool)
+            for k in range(0, len(rows), max(1, _SCORES // len(ids))):
+                some = rows[k : k + max(1, _SCORES // len(ids))]
+                s = np.zeros((len(some), len(ids)))
+                if same.any():
+                    x = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), n)
+                    norms = np.linalg.norm(x, axis=1, keepdims=True)
+                    s[:, same] = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0) @ matrix[same, :n].T
+                i = s.argmax(axis=1)
+                top = s[np.arange(len(some)), i]
+                for row, where, value in zip(some.tolist(), i.tolist(), top.tolist(), strict=True):
+                    if not score[row] >= value:  # NaN where there is none yet
+                        best[row], score[row] = ids[where], value
         kinds = [c.type for c in batch.columns[-2:]]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(best, kinds[0]), pa.array(score, kinds[1])], names=schema.names)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(best, kinds[0]), pa.array(score, kinds[1], from_pandas=True)], names=schema.names)
 
 
 def resolve_tags(proposals: DataFrame, vocabulary: DataFrame, threshold: float = FOLD) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import slugify
 from ..sources.reads import read
 
 COVERAGE = {"title": "title_source", "author": "author_source", "affiliation": "affiliation_source", "published": "published_source"}
@@ -40,13 +41,25 @@ class Tables:
         )
 
     def tagging_events(self) -> DataFrame:
-        return self.extraction_events().select("event_id", F.lit("article").alias("readable_type"), (F.length("url") * 100 + F.col("event_id") % 40).cast("string").alias("readable_id"), "outcome", "created_at")
+        return self.extraction_events().select("event_id", F.lit("article").alias("readable_type"), (F.col("event_id") % 1400 + 1).cast("string").alias("readable_id"), "outcome", "created_at")
 
     def labels(self) -> DataFrame:
         e = self.extraction_events().where("event_id % 50 = 0").select("url").distinct().select(F.lit("extraction").alias("feature"), F.lit(None).cast("string").alias("readable_type"), F.lit(None).cast("string").alias("readable_id"), F.col("url").alias("subject_url"))
         t = self.tagging_events().where("event_id % 40 in (1, 2, 3)").select("readable_type", "readable_id").distinct().select(F.lit("tagging").alias("feature"), "readable_type", "readable_id", F.lit(None).cast("string").alias("subject_url"))
         return e.unionByName(t)
 
+    def golden(self) -> DataFrame:
+        """Labels with their JSON: tags of every third readable, bylines and sources of every fifth article."""
+        part = self.raw("part")
+        tag = F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "-"))
+        tags = part.where("p_partkey % 3 = 0").groupBy((F.col("p_partkey") % 700).cast("string").alias("readable_id")).agg(F.to_json(F.struct(F.sort_array(F.collect_set(F.when(F.col("p_size") < 40, tag).otherwise("other"))).alias("tags"))).alias("label"))
+        tags = tags.select(F.lit("tagging").alias("feature"), F.lit("article").alias("readable_type"), "readable_id", F.lit(None).cast("string").alias("subject_url"), "label")
+        who = F.array(F.concat(F.lit("supplier-"), F.lpad((F.col("p_partkey") % 10 + 1).cast("string"), 9, "0")))
+        pages = self.articles().join(part.select(F.col("p_partkey").alias("id"), "p_size"), "id").where("id % 5 = 0").withColumn("p_partkey", F.col("id"))
+        nation = F.when(F.col("p_size") < 30, F.concat(F.lit("n"), F.col("affiliation_id").cast("string")))
+        pages = pages.select(F.lit("extraction").alias("feature"), F.lit(None).cast("string").alias("readable_type"), F.lit(None).cast("string").alias("readable_id"), F.col("canonical_url").alias("subject_url"), F.to_json(F.struct(who.alias("authors"), nation.alias("source"))).alias("label"))
+        return tags.unionByName(pages)
+
     def articles(self) -> DataFrame:
         return self.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), (F.col("p_partkey") % 30).alias("affiliation_id"), F.concat(F.lit("https://site"), (F.col("p_partkey") % 17).cast("string"), F.lit(".example/"), F.col("p_partkey").cast("string")).alias("canonical_url"), F.when(F.col("p_size") > 10, F.col("p_type")).alias("body_html"))
 
@@ -60,10 +73,11 @@ class Tables:
         return self.raw("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lower("n_name").alias("slug"))
 
     def authors(self) -> DataFrame:
-        return self.raw("supplier").where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+        return self.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), slugify(F.col("s_name")).alias("slug"))
 
     def authorships(self) -> DataFrame:
-        rows = self.raw("lineitem").where("l_orderkey % 4 = 0").select(F.lit("article").alias("readable_type"), F.col("l_partkey").alias("readable_id"), F.col("l_suppkey").alias("author_id"))
+        gone = F.when(F.col("l_linenumber") == 7, -F.col("l_suppkey")).otherwise(F.col("l_suppkey"))  # some authors are gone
+        rows = self.raw("lineitem").select(F.lit("article").alias("readable_type"), F.col("l_partkey").alias("readable_id"), gone.alias("author_id"))
         return rows.groupBy("readable_type", "readable_id", "author_id").agg(F.count("*").alias("n")).select("readable_type", "readable_id", "author_id", (F.col("author_id") % 1000).cast("int").alias("ordinal"))
 
     def catalog(self) -> DataFrame:
@@ -80,7 +94,7 @@ class Tables:
 
     def readable_tags(self) -> DataFrame:
         tag = F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "-"))
-        return self.raw("part").select(tag.alias("tag_id"), F.lit("article").alias("readable_type"), (F.col("p_partkey") % 2500).cast("string").alias("readable_id"), (F.col("p_size") / 50).alias("confidence"))
+        return self.raw("part").select(tag.alias("tag_id"), F.lit("article").alias("readable_type"), (F.col("p_partkey") % 700).cast("string").alias("readable_id"), (F.col("p_size") / 50).alias("confidence"))
 
     def overrides(self) -> DataFrame:
         p = self.raw("part").select("p_partkey", F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "-")).alias("tag_id"))
@@ -97,20 +111,20 @@ SQL = {
   nullif(event_type, 'view') AS title_source, CASE WHEN k % 3 <> 0 THEN 'meta' END AS author_source, CASE WHEN k % 2 = 0 THEN 'og' WHEN k % 5 <> 0 THEN 'domain' END AS affiliation_source,
   CASE WHEN k % 7 = 0 THEN 'json-ld' END AS published_source, value AS fetch_ms, value * 2 AS extract_ms, ts AS created_at
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))""",
-    "te": "te AS (SELECT event_id, 'article' AS readable_type, CAST(length(url) * 100 + event_id % 40 AS VARCHAR) AS readable_id, outcome, created_at FROM ee)",
+    "te": "te AS (SELECT event_id, 'article' AS readable_type, CAST(event_id % 1400 + 1 AS VARCHAR) AS readable_id, outcome, created_at FROM ee)",
     "el": """el AS (SELECT DISTINCT 'extraction' AS feature, NULL::VARCHAR AS readable_type, NULL::VARCHAR AS readable_id, url AS subject_url FROM ee WHERE event_id % 50 = 0
   UNION ALL SELECT DISTINCT 'tagging', readable_type, readable_id, NULL FROM te WHERE event_id % 40 IN (1, 2, 3))""",
     "articles": "articles AS (SELECT p_partkey AS id, p_name AS title, p_partkey % 30 AS affiliation_id, 'https://site' || (p_partkey % 17) || '.example/' || p_partkey AS canonical_url, CASE WHEN p_size > 10 THEN p_type END AS body_html FROM part)",
     "items": """items AS (SELECT 'article' AS type, CAST(id AS VARCHAR) AS id, title, canonical_url AS url, CAST(affiliation_id AS VARCHAR) AS source_id FROM articles
   UNION ALL SELECT 'paper', CAST(s_suppkey AS VARCHAR), s_name, 'https://doi.org/10.1000/' || s_suppkey, CAST(s_nationkey AS VARCHAR) FROM supplier
   UNION ALL SELECT 'newsletter', CAST(c_custkey AS VARCHAR), c_name, NULL, CAST(c_nationkey AS VARCHAR) FROM customer)""",
-    "au": "au AS (SELECT DISTINCT 'article' AS readable_type, l_partkey AS readable_id, l_suppkey AS author_id, l_suppkey % 1000 AS ordinal FROM lineitem WHERE l_orderkey % 4 = 0)",
+    "au": "au AS (SELECT DISTINCT 'article' AS readable_type, l_partkey AS readable_id, CASE WHEN l_linenumber = 7 THEN -l_suppkey ELSE l_suppkey END AS author_id, CASE WHEN l_linenumber = 7 THEN -l_suppkey ELSE l_suppkey END % 1000 AS ordinal FROM lineitem)",
     "lines": """lines AS (SELECT readable_type AS of_type, CAST(readable_id AS VARCHAR) AS of_id, string_agg(s_name, '; ' ORDER BY ordinal, CAST(author_id AS VARCHAR)) AS byline, count(*) AS n
-  FROM au JOIN supplier ON s_suppkey = author_id AND s_suppkey % 10 <> 0 GROUP BY ALL)""",
+  FROM au JOIN supplier ON s_suppkey = author_id GROUP BY ALL)""",
     "queue": """queue AS (SELECT o_orderkey AS id, o_custkey AS user_id, 'article' AS readable_type, o_orderkey % 3000 AS readable_id,
   CASE o_orderstatus WHEN 'O' THEN 'unread' WHEN 'F' THEN 'read' ELSE 'archived' END AS state, o_orderdate AS added_at FROM orders)""",
     "tags": f"tags AS (SELECT DISTINCT {_SLUG.format('p_brand')} AS id, {_SLUG.format('p_brand')} AS slug, p_brand AS label FROM part)",
-    "rt": f"rt AS (SELECT {_SLUG.format('p_brand')} AS tag_id, 'article' AS readable_type, CAST(p_partkey % 2500 AS VARCHAR) AS readable_id, p_size / 50 AS confidence FROM part)",
+    "rt": f"rt AS (SELECT {_SLUG.format('p_brand')} AS tag_id, 'article' AS readable_type, CAST(p_partkey % 700 AS VARCHAR) AS readable_id, p_size / 50 AS confidence FROM part)",
     "ov": f"ov AS (SELECT l_orderkey AS queue_item_id, {_SLUG.format('p_brand')} AS tag_id, CASE WHEN max(l_returnflag) = 'R' THEN 'suppress' ELSE 'add' END AS op FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('A', 'R') GROUP BY ALL)",
 }
 _NEEDS = {"te": ("ee",), "el": ("ee", "te"), "items": ("articles",), "lines": ("au",)}

@@ -97,6 +97,14 @@ def _(t):
     return K.upsert(old, new, ("id",))
 
 
+@query("v5_set_embedding", "SELECT 'article' AS readable_type, CAST(CASE WHEN n.k IS NULL THEN o.k ELSE n.k END AS VARCHAR) AS readable_id, coalesce(n.v, o.v) AS vec_id FROM (SELECT label AS k, max(vec_id) AS v FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1) o FULL JOIN (SELECT label + 3 AS k, max(vec_id) AS v FROM embeddings WHERE vec_id % 2 = 1 GROUP BY 1) n ON o.k = n.k")
+def _(t):
+    e = t.raw("embeddings")
+    rows = lambda df, k: df.select(F.lit("article").alias("readable_type"), k.cast("string").alias("readable_id"), "vec_id", "embedding")
+    old = K.set_embedding(rows(e.limit(0), F.col("label")), rows(e.where("vec_id % 2 = 0"), F.col("label")), "vec_id")
+    return K.set_embedding(old, rows(e.where("vec_id % 2 = 1"), F.col("label") + 3), "vec_id").select("readable_type", "readable_id", "vec_id")
+
+
 @query("w4_update_where", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def _(t):
     return K.update_where(t.raw("customer"), F.col("c_acctbal") < 0, {"c_mktsegment": F.lit("debt")}).select("c_custkey", "c_mktsegment")
@@ -122,9 +130,15 @@ def _(t):
     return t.catalog().select("type", "id", "title", "url", F.col("source.name").alias("source"), F.array_join(F.transform("authors", lambda a: a["name"]), "; ").alias("byline"), F.size("authors").cast("bigint").alias("n_authors"))
 
 
-@query("o1_title_order", with_sql("items", "SELECT type, id, title FROM items ORDER BY lower(title), type, id LIMIT 50"))
+@query("o1_title_order", with_sql("items", "SELECT type, id, title FROM items"))
 def _(t):
-    return C.normalise(t.articles(), t.papers(), t.issues()).orderBy(*C.by_title()).limit(50).select("type", "id", "title")
+    return C.normalise(t.articles(), t.papers(), t.issues()).orderBy(*C.by_title()).select("type", "id", "title")
+
+
+@query("o3_sources", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 4 <> 0")
+def _(t):
+    kinds = t.sources().withColumn("type", F.when(F.col("id") % 4 == 0, "institution").otherwise("magazine"))
+    return C.source_list(kinds).orderBy(*C.by_name()).select("id", "name")
 
 
 @query("j8_by_author", with_sql("items au", "SELECT type, id, title FROM items WHERE type = 'article' AND id IN (SELECT CAST(readable_id AS VARCHAR) FROM au WHERE author_id = 5)"))
@@ -137,7 +151,7 @@ def _(t):
     return C.of_source(C.normalise(t.articles(), t.papers(), t.issues()), 4).select("type", "id", "title")
 
 
-@query("u5_contributors", with_sql("au", "SELECT DISTINCT CAST(author_id AS VARCHAR) AS id, s_name AS name FROM au JOIN supplier ON s_suppkey = author_id JOIN part ON p_partkey = readable_id WHERE s_suppkey % 10 <> 0"))
+@query("u5_contributors", with_sql("au", "SELECT DISTINCT CAST(author_id AS VARCHAR) AS id, s_name AS name FROM au JOIN supplier ON s_suppkey = author_id JOIN part ON p_partkey = readable_id"))
 def _(t):
     return C.contributors(t.catalog())
 
@@ -152,7 +166,7 @@ def _(t):
     return C.reading_queue(t.queue_items(), C.normalise(t.articles(), t.papers(), t.issues())).select("item_id", "user_id", "state", "added_at", "title")
 
 
-@query("o4_queue_of_user", with_sql("queue items", "SELECT q.id AS item_id, state, added_at, title FROM queue q JOIN items i ON readable_type = type AND CAST(readable_id AS VARCHAR) = i.id WHERE state <> 'archived' AND user_id = 11 ORDER BY added_at DESC, item_id DESC LIMIT 20"))
+@query("o4_queue_of_user", with_sql("queue items", "SELECT q.id AS item_id, state, added_at, title FROM queue q JOIN items i ON readable_type = type AND CAST(readable_id AS VARCHAR) = i.id WHERE state <> 'archived' AND user_id = 11"))
 def _(t):
     return C.reading_queue(t.queue_items(), C.normalise(t.articles(), t.papers(), t.issues()), 11).orderBy(*C.queue_order()).select("item_id", "state", "added_at", "title")
 
@@ -169,7 +183,7 @@ def _(t):
     return C.institutions_of(links, r).select("author_id", F.array_join(F.transform("institutions", lambda x: x["name"]), "; ").alias("institutions"))
 
 
-@query("o2_author_order", "SELECT s_suppkey AS id, s_name AS name FROM supplier ORDER BY coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'A' || s_name END, s_name), s_suppkey LIMIT 20")
+@query("o2_author_order", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
 def _(t):
     a = t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("A"), "s_name")).alias("sort_name"))
     return a.orderBy(*C.author_order()).select("id", "name")
@@ -301,6 +315,24 @@ def _(t):
     return A.settle_run(A.run_results(c.select("doc_id", "golden"), c.select("doc_id", "predicted"), ["doc_id"]))
 
 
+@query("a16_tagging_score", with_sql("rt tags", """, golden AS (SELECT CAST(p_partkey % 700 AS VARCHAR) AS rid, list_distinct(list(CASE WHEN p_size < 40 THEN lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g')) ELSE 'other' END)) AS g FROM part WHERE p_partkey % 3 = 0 GROUP BY 1),
+now AS (SELECT readable_id AS rid, list_distinct(list(slug)) AS p FROM rt JOIN tags ON id = tag_id GROUP BY 1),
+s AS (SELECT sum(len(list_intersect(g, coalesce(p, [])))) AS tp, sum(len(list_filter(coalesce(p, []), lambda x: NOT list_contains(g, x)))) AS fp, sum(len(list_filter(g, lambda x: NOT list_contains(coalesce(p, []), x)))) AS fn, count(*) AS n FROM golden LEFT JOIN now USING (rid))
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, n, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, n AS labeled FROM s"""))
+def _(t):
+    return A.tagging_score(t.golden(), t.readable_tags(), t.tags())
+
+
+@query("a16_extraction_score", with_sql("articles au", """, golden AS (SELECT canonical_url AS url, 'supplier-' || lpad(CAST(id % 10 + 1 AS VARCHAR), 9, '0') AS g, CASE WHEN p_size < 30 THEN 'n' || affiliation_id END AS gs, id, affiliation_id FROM articles JOIN part ON p_partkey = id WHERE id % 5 = 0),
+now AS (SELECT readable_id AS id, list_distinct(list(trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-'))) AS p FROM au JOIN supplier ON s_suppkey = author_id GROUP BY 1),
+c AS (SELECT g, coalesce(p, []) AS p, gs, 'n' || n_nationkey AS ps FROM golden LEFT JOIN now USING (id) LEFT JOIN nation ON n_nationkey = affiliation_id),
+s AS (SELECT count(*) FILTER (list_contains(p, g)) AS tp, sum(len(p)) - count(*) FILTER (list_contains(p, g)) AS fp, count(*) FILTER (NOT list_contains(p, g)) AS fn, count(*) AS n, avg(CASE WHEN gs IS NOT DISTINCT FROM ps THEN 1.0 ELSE 0.0 END) AS source_accuracy FROM c)
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, n, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, n AS labeled, source_accuracy FROM s"""))
+def _(t):
+    sources = t.raw("nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("slug"))
+    return A.extraction_score(t.golden(), t.articles(), t.authorships(), t.authors(), sources)
+
+
 @query("u3_corrections", f"WITH {_CASES} SELECT doc_id, list_aggregate(list_sort(list_distinct(list_concat(list_filter(predicted, lambda x: NOT list_contains(['short'], x)), golden))), 'string_agg', ',') AS corrected FROM cases")
 def _(t):
     return _cases(t).select("doc_id", F.nullif(F.array_join(F.array_sort(A.corrections(F.col("predicted"), F.array(F.lit("short")), F.col("golden"))), ","), F.lit("")).alias("corrected"))
@@ -314,7 +346,7 @@ def _(t):
     return G.baseline(t.readable_tags(), t.tags()).select("readable_type", "readable_id", F.array_join(F.transform("baseline", lambda b: b["label"]), ",").alias("labels"))
 
 
-_EFFECTIVE = """, q AS (SELECT * FROM queue WHERE state <> 'archived' AND readable_id < 2500),
+_EFFECTIVE = """, q AS (SELECT * FROM queue WHERE state <> 'archived'),
 eff AS (SELECT q.id AS item_id, tag_id FROM q JOIN rt ON rt.readable_id = CAST(q.readable_id AS VARCHAR) WHERE NOT EXISTS (SELECT 1 FROM ov WHERE ov.queue_item_id = q.id AND ov.tag_id = rt.tag_id AND op = 'suppress')
 UNION SELECT q.id, tag_id FROM q JOIN ov ON ov.queue_item_id = q.id WHERE op = 'add')
 """
@@ -344,14 +376,14 @@ def _(t):
     "v6_override_state",
     with_sql(
         "rt",
-        """, acts AS (SELECT l_orderkey, lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g')) AS tag_id, CAST(l_orderkey % 2500 AS VARCHAR) AS rid, CASE l_returnflag WHEN 'A' THEN 'add' WHEN 'R' THEN 'remove' ELSE 'clear' END AS op, l_shipdate AS t FROM lineitem JOIN part ON l_partkey = p_partkey),
+        """, acts AS (SELECT l_orderkey, lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g')) AS tag_id, CAST(l_orderkey % 700 AS VARCHAR) AS rid, CASE l_returnflag WHEN 'A' THEN 'add' WHEN 'R' THEN 'remove' ELSE 'clear' END AS op, l_shipdate AS t FROM lineitem JOIN part ON l_partkey = p_partkey),
 newest AS (SELECT l_orderkey, tag_id, rid, arg_max(op, (t, op)) AS op FROM acts GROUP BY 1, 2, 3), b AS (SELECT DISTINCT readable_id, tag_id AS btag FROM rt)
 SELECT l_orderkey AS queue_item_id, tag_id, CASE WHEN op = 'add' THEN 'add' ELSE 'suppress' END AS op FROM newest LEFT JOIN b ON readable_id = rid AND btag = tag_id WHERE (op = 'add' AND btag IS NULL) OR (op = 'remove' AND btag IS NOT NULL)""",
     ),
 )
 def _(t):
     p = t.raw("part").select("p_partkey", F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]+", "-")).alias("tag_id"))
-    acts = t.raw("lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("queue_item_id"), "tag_id", F.lit("article").alias("readable_type"), (F.col("l_orderkey") % 2500).cast("string").alias("readable_id"), F.when(F.col("l_returnflag") == "A", "add").when(F.col("l_returnflag") == "R", "remove").otherwise("clear").alias("op"), F.col("l_shipdate").alias("at"))
+    acts = t.raw("lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("queue_item_id"), "tag_id", F.lit("article").alias("readable_type"), (F.col("l_orderkey") % 700).cast("string").alias("readable_id"), F.when(F.col("l_returnflag") == "A", "add").when(F.col("l_returnflag") == "R", "remove").otherwise("clear").alias("op"), F.col("l_shipdate").alias("at"))
     return G.settle_overrides(acts, G.baseline(t.readable_tags(), t.tags()))
 
 
@@ -376,7 +408,7 @@ def _(t):
     return G.nearest(e.where("vec_id % 5 <> 0").select("vec_id", "embedding"), e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), "embedding")).select("vec_id", "nearest_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("v3_resolve_tags")
+@query("v3_resolve_tags", f"WITH e AS (SELECT vec_id, label, embedding FROM embeddings), n AS (SELECT a.vec_id, arg_max(b.vec_id, {_COS}) AS near, max({_COS}) AS sim FROM e a, e b WHERE a.vec_id % 5 <> 0 AND b.vec_id % 5 = 0 GROUP BY a.vec_id) SELECT 'Tag ' || e.label AS label, 'tag-' || e.label AS slug, CASE WHEN e.label % 5 = 0 AND k.vec_id IS NOT NULL THEN CAST(e.label AS VARCHAR) WHEN sim >= 0.9 THEN CAST(near AS VARCHAR) ELSE 'tag-' || e.label END AS tag_id, CASE WHEN e.label % 5 = 0 AND k.vec_id IS NOT NULL THEN 'slug' WHEN sim >= 0.9 THEN 'similar' ELSE 'new' END AS how FROM e JOIN n USING (vec_id) LEFT JOIN embeddings k ON k.vec_id = e.label WHERE e.vec_id % 5 <> 0")
 def _(t):
     e = t.raw("embeddings").select("vec_id", F.concat(F.lit("Tag "), F.col("label").cast("string")).alias("label"), "embedding")
     vocabulary = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), F.concat(F.lit("tag-"), F.col("vec_id").cast("string")).alias("slug"), "embedding")
@@ -392,7 +424,7 @@ def _(t):
 # Entities.
 
 
-@query("v8_resolve_entity")
+@query("v8_resolve_entity", "SELECT c_custkey AS row, CASE WHEN c_custkey % 3 = 0 AND c_nationkey % 2 = 0 THEN lower(n_name) ELSE trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') END AS id FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(t):
     old = t.raw("nation").select(F.lower("n_name").alias("id"), F.col("n_name").alias("name"), F.lower("n_name").alias("slug"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).alias("ror"))
     new = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("row"), F.col("n_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey").cast("string")).alias("ror"))
@@ -432,9 +464,16 @@ def _(t):
     return t.raw("part").select("p_partkey", T.slugify(F.concat_ws(" / ", "p_type", "p_name")).alias("slug"))
 
 
-@query("f2_sort_name", "SELECT p_partkey, CASE WHEN len(w) = 2 AND regexp_matches(w[1], '^[A-Z]') AND regexp_matches(w[2], '^[A-Z]') AND lower(w[1]) NOT IN ('the', 'van', 'de', 'la') AND lower(w[2]) NOT IN ('jr', 'ii') THEN w[2] || ', ' || w[1] END AS sort_name FROM (SELECT p_partkey, string_split(trim(p_type), ' ') AS w FROM part)")
+_PERSON = "CASE c_custkey % 6 WHEN 0 THEN 'Van ' || m WHEN 1 THEN m || ' Jr' WHEN 2 THEN 'ann ' || m WHEN 3 THEN m ELSE '  Ann  ' || m END"
+
+
+@query("f2_sort_name", f"SELECT c_custkey, CASE WHEN c_custkey % 6 > 3 THEN m || ', Ann' END AS sort_name FROM (SELECT c_custkey, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || c_custkey AS m, {_PERSON} AS name FROM customer)")
 def _(t):
-    return t.raw("part").select("p_partkey", T.sort_name(F.col("p_type")).alias("sort_name"))
+    m = F.concat(F.initcap(F.lower("c_mktsegment")), F.col("c_custkey").cast("string"))
+    of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    kind = F.col("c_custkey") % 6
+    name = F.when(kind == 0, of("Van ", m)).when(kind == 1, of(m, " Jr")).when(kind == 2, of("ann ", m)).when(kind == 3, m).otherwise(of("  Ann  ", m))
+    return t.raw("customer").select("c_custkey", T.sort_name(name).alias("sort_name"))
 
 
 @query("f5_strip_html", r"SELECT page_id, nullif(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'gs'), '\s+', ' ', 'g')), '') AS text FROM pages")
@@ -496,7 +535,8 @@ def _(t):
     return J.claimable(jobs, F.lit("2024-01-15").cast("timestamp_ntz"), per_queue=5).select("id", "queue_name")
 
 
-@query("t9_queue_state")
+@query("t9_queue_state", """SELECT id, nullif(list_reduce(list_prepend('none', list(a ORDER BY event_id)), lambda s, a: CASE WHEN a = 'enqueue' THEN 'unread' WHEN a = 'archive' AND s <> 'none' THEN 'archived' WHEN a = 'start' AND s = 'unread' THEN 'reading' WHEN a = 'finish' AND s NOT IN ('none', 'archived') THEN 'read' WHEN a = 'unread' AND s NOT IN ('none', 'archived') THEN 'unread' ELSE s END), 'none') AS state
+FROM (SELECT user_id AS id, event_id, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'archive' ELSE 'unread' END AS a FROM events) GROUP BY id""")
 def _(t):
     actions = t.raw("events").select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "finish").when(F.col("event_type") == "error", "archive").otherwise("unread").alias("action"))
     return J.item_states(actions)
@@ -642,6 +682,13 @@ def _(t):
     return found.select("o_orderkey", "p.kind", "p.id", U.paper_url(F.col("p.kind"), F.col("p.id")).alias("url"))
 
 
+@query("f24_work_url", "SELECT o_orderkey, 'https://api.openalex.org/works/doi:' || CASE WHEN o_orderkey % 2 = 0 THEN '10.48550/arxiv.2401.' || lpad(CAST(o_custkey % 100000 AS VARCHAR), 5, '0') ELSE '10.1234/a%20b%3F' || o_custkey || '(x)' END AS url FROM orders")
+def _(t):
+    even = F.col("o_orderkey") % 2 == 0
+    id_ = F.when(even, F.concat(F.lit("2401."), F.lpad((F.col("o_custkey") % 100000).cast("string"), 5, "0"))).otherwise(F.concat(F.lit("10.1234/a b?"), F.col("o_custkey").cast("string"), F.lit("(x)")))
+    return t.raw("orders").select("o_orderkey", U.work_url(F.when(even, "arxiv").otherwise("doi"), id_).alias("url"))
+
+
 @query("f25_parse_temporal", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CAST(o_orderdate AS DATE) END AS day FROM orders")
 def _(t):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,18 +26,23 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name].ddl)
 
 
+def _plain_json(text: Column) -> Column:
+    """A JSON text without spaces, its keys in order; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def _equal(column: str, value) -> Column:
     if value is None:
         return F.col(column).isNull()
     if isinstance(value, dict):
-        return F.col(column) == F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in value.items()]))
+        return _plain_json(F.col(column)) == _plain_json(F.lit(json.dumps(value)))
     if isinstance(value, list | tuple):
         return F.col(column) == F.array(*map(F.lit, value))
     return F.col(column) == F.lit(value)
 
 
 def find_many(df: DataFrame, where: dict | None = None) -> DataFrame:
-    """Rows that equal all values; all rows without any."""
+    """Rows that equal all values; all rows without any. A dict equals JSON of the same content, however written."""
     return df.where(reduce(lambda a, b: a & b, (_equal(c, v) for c, v in where.items()))) if where else df
 
 

@@ -18,20 +18,28 @@ def create(existing: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def create_ignore(existing: DataFrame, rows: DataFrame, keys: tuple[tuple[str, ...], ...], order: str | None = None, nulls_equal: bool = False) -> DataFrame:
-    """Adds rows that collide on no unique key, neither with the table nor with an earlier new row."""
+    """Adds rows that collide on no unique key, neither with the table nor with an earlier new row.
+
+    Earlier is by ``order``, and among equals, or without it, by all columns.
+    """
+    turn = [*([order] if order else []), *rows.columns]
     for key in keys:
         rows = rows.alias("n").join(existing.select(*key).alias("e"), _on("n", "e", key, nulls_equal), "left_anti")
-        first = F.row_number().over(Window.partitionBy(*key).orderBy(order or F.lit(0)))
+        first = F.row_number().over(Window.partitionBy(*key).orderBy(*turn))
         has_null = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key))
         rows = rows.withColumn("_n", first).where((F.col("_n") == 1) | (F.lit(not nulls_equal) & has_null)).drop("_n")
     return create(existing, rows)
 
 
-def upsert(existing: DataFrame, rows: DataFrame, key: tuple[str, ...], update: dict[str, Column] | None = None, nulls_equal: bool = False) -> DataFrame:
+def upsert(existing: DataFrame, rows: DataFrame, key: tuple[str, ...], update: dict[str, Column] | None = None, nulls_equal: bool = False, order: str | None = None) -> DataFrame:
     """New rows replace the columns of existing ones with the same key; null keys are equal only if ``nulls_equal``.
 
-    ``update`` gives columns from aliases e (existing) and n (new); by default all of n's.
+    ``update`` gives columns from aliases e (existing) and n (new); by default all of n's. Of new rows that share a key the
+    last counts, by ``order`` and then by all columns.
     """
+    unique = F.lit(nulls_equal) | reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key))
+    last = rows.where(unique).groupBy(*key).agg(F.max_by(F.struct(*rows.columns), F.struct(*([order] if order else []), *rows.columns)).alias("_last")).select("_last.*")
+    rows = last if nulls_equal else last.unionByName(rows.where(~unique))
     joined = existing.withColumn("_e", F.lit(1)).alias("e").join(rows.withColumn("_n", F.lit(1)).alias("n"), _on("e", "n", key, nulls_equal), "full_outer")
     both = F.col("e._e").isNotNull() & F.col("n._n").isNotNull()
 
@@ -56,6 +64,11 @@ def replace_by_key(existing: DataFrame, rows: DataFrame, key: tuple[str, ...]) -
     return create(existing.alias("e").join(rows.select(*key).distinct().alias("n"), _on("e", "n", key, True), "left_anti"), rows)
 
 
+def set_embedding(existing: DataFrame, rows: DataFrame, order: str | None = None) -> DataFrame:
+    """One embedding a readable: a new one replaces what is there."""
+    return upsert(existing, rows, ("readable_type", "readable_id"), order=order)
+
+
 def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

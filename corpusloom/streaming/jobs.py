@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -122,8 +122,9 @@ def stale_work(stale: DataFrame, jobs: DataFrame, limit: int) -> DataFrame:
 
 
 def stream_once(mails: DataFrame, watermark: str = "30 days") -> DataFrame:
-    """A stream of mails (message_id, received_at, ...) without repeats within the watermark."""
-    return mails.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(["message_id"])
+    """A stream of mails (message_id, received_at, ...) without repeats within the watermark; mails without an id are never repeats."""
+    named = mails.where("message_id is not null").withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(["message_id"])
+    return named.unionByName(mails.where("message_id is null").withWatermark("received_at", watermark))
 
 
 _NEXT = {"enqueue": lambda s: "unread", "enqueue-if-absent": lambda s: s or "unread", "archive": lambda s: s and "archived", "start": lambda s: "reading" if s == "unread" else s, "finish": lambda s: "read" if s not in (None, "archived") else s, "unread": lambda s: "unread" if s not in (None, "archived") else s}
@@ -134,8 +135,9 @@ def stream_item_states(actions: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else None
-        for _, a in pd.concat(list(batches)).sort_values(["at", "action"]).iterrows():
-            now = _NEXT.get(a["action"], lambda s: s)(now)
+        ordered = pd.concat(list(batches)).sort_values(["at", "action"])
+        for action in ordered["action"].tolist():
+            now = _NEXT.get(action, lambda s: s)(now)
         if now is not None:
             state.update((now,))
         yield pd.DataFrame({"id": [key[0]], "state": [now]})
@@ -155,6 +157,54 @@ def landing(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("key"), F.col("content").alias("raw"), F.col("modificationTime").alias("received_at"))
 
 
+class Fatal(Exception):
+    """Raised by a handler for what no later attempt can mend."""
+
+    def __init__(self, message: str, error_class: str | None = None) -> None:
+        super().__init__(message)
+        self.error_class = error_class
+
+
+def work(claimed: DataFrame, handlers: dict[str, Callable[[str], None]]) -> DataFrame:
+    """Outcomes (id, attempts, ok, fatal, error_class) of claimed jobs: each queue's handler is called with a job's payload.
+
+    What a handler raises settles that job alone: ``Fatal`` for good, anything else until its attempts are used up. An
+    ``error_class`` attribute of the exception is kept. Jobs of a queue without a handler have no outcome.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for job, queue, payload, attempts in zip(*(batch[c].tolist() for c in ("id", "queue_name", "payload", "attempts")), strict=True):
+                if (handler := handlers.get(queue)) is None:
+                    continue
+                try:
+                    handler(payload)
+                    out.append((job, attempts, True, False, None))
+                except Exception as e:  # a job's failure is its outcome
+                    out.append((job, attempts, False, isinstance(e, Fatal), getattr(e, "error_class", None) or ("error" if isinstance(e, Fatal) else type(e).__name__)))
+            yield pd.DataFrame(out, columns=["id", "attempts", "ok", "fatal", "error_class"])
+
+    kind = dict(claimed.dtypes)["id"]
+    return claimed.select("id", "queue_name", "payload", "attempts").mapInPandas(run, f"id {kind}, attempts int, ok boolean, fatal boolean, error_class string")
+
+
+def run_pass(jobs: DataFrame, handlers: dict[str, Callable[[str], None]], now: Column, folder: str, per_queue: int = 1) -> DataFrame:
+    """All jobs after one pass over the queues that have a handler: the next due job of each is claimed, run and settled.
+
+    The claim and the outcomes are written to ``folder`` (shared by all executors) before they are used, so a lost task does not
+    claim anew, and a handler runs again only where its own task was lost.
+    """
+    mine = jobs.where(F.col("queue_name").isin(list(handlers)))
+    claim(mine, now, per_queue).write.mode("overwrite").parquet(f"{folder}/claimed")
+    claimed = jobs.sparkSession.read.schema(mine.schema).parquet(f"{folder}/claimed")
+    before = claimable(mine, now, per_queue).select(F.col("id").alias("_due"))
+    running = claimed.join(before, F.col("id") == F.col("_due"), "left_semi")
+    work(running, handlers).write.mode("overwrite").parquet(f"{folder}/outcomes")
+    outcomes = jobs.sparkSession.read.parquet(f"{folder}/outcomes")
+    return settle(claimed, outcomes, now).unionByName(jobs.where(~F.coalesce(F.col("queue_name").isin(list(handlers)), F.lit(False))))
+
+
 def drain(jobs: DataFrame, work, path: str, checkpoint: str):
     """Runs ``work`` (a function of a table of claimed jobs to a table) on each micro-batch; batches are written by id, so a repeat replaces itself."""
 

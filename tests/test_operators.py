@@ -84,7 +84,7 @@ def test_entities(spark):
     new = spark.createDataFrame([(1, "A. Lee", "o1", "u1"), (2, "Ann Lee", "o2", None), (3, "Bo", "o3", "u3"), (4, "Cy", None, None), (5, "cy", None, "u5"), (6, "Ann Lee", None, None)], "row int, name string, orcid string, url string")
     links, entities = E.resolve(new, old, ("orcid",), ("url",))
     assert rows(links) == [(1, "ann-lee"), (2, "ann-lee-2"), (3, "bo"), (4, "cy"), (5, "cy"), (6, "ann-lee")]
-    assert rows(entities, "id", "orcid", "url") == [("ann-lee", "o1", "u1"), ("ann-lee-2", "o2", None), ("bo", "o3", "u3"), ("cy", None, None)]
+    assert rows(entities, "id", "orcid", "url") == [("ann-lee", "o1", "u1"), ("ann-lee-2", "o2", None), ("bo", "o3", "u3"), ("cy", None, "u5")]
 
 
 def test_jobs(spark):
