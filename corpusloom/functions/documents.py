@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import email
-import email.policy
+import datetime
 import email.utils
 import html
 import json
@@ -17,9 +16,10 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from . import urls as U
+from .markup import main_element, read_text
 from .nested import article_object, ld_objects, ld_text, pick
 
-PAGE_SCHEMA = "title_tag string, html_lang string, canonical string, meta map<string,string>, og map<string,string>, ld_headline string, ld_publisher string, ld_published string, ld_lang string, ld_authors array<string>, text string, page_chars int, link_chars int"
+PAGE_SCHEMA = "title_tag string, html_lang string, canonical string, meta map<string,string>, og map<string,string>, ld_headline string, ld_publisher string, ld_published string, ld_lang string, ld_authors array<string>, text string, body_html string, page_chars int, link_chars int"
 _SKIP = {"script", "style", "noscript", "template", "svg", "head", "title"}
 _CHROME = {"nav", "footer", "header", "aside", "form", "menu"}
 _BREAK = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "section", "blockquote", "pre", "ul", "ol", "table"}
@@ -90,12 +90,17 @@ def _page(source: str | None) -> dict:
     names = [n for n in map(ld_text, authors if isinstance(authors, list) else [authors]) if n]
     flat = lambda parts: " ".join("".join(parts).split())
     blank = lambda s: (s or "").strip() or None
+    main = main_element(source or "")
+    text, body, links = flat(p.main), None, p.links
+    if main is not None:
+        text, body = read_text(main), clean_html((source or "")[main.start : main.end]) or None
+        links = sum(len(read_text(n)) for n in main.walk() if n.tag == "a")
     return {
         "title_tag": blank(flat([p.title or ""])), "html_lang": p.lang, "canonical": p.canonical, "meta": p.meta, "og": p.og,
         "ld_headline": ld_text(a.get("headline")) or ld_text(a.get("name")), "ld_publisher": ld_text(a.get("publisher")),
         "ld_published": a.get("datePublished") if isinstance(a.get("datePublished"), str) else None,
         "ld_lang": a.get("inLanguage") if isinstance(a.get("inLanguage"), str) else None, "ld_authors": names[: T.MAX_AUTHORS],
-        "text": flat(p.main), "page_chars": len(flat(p.all_text)), "link_chars": p.links,
+        "text": text, "body_html": body, "page_chars": len(flat(p.all_text)), "link_chars": links,
     }
 
 
@@ -126,7 +131,7 @@ def extract_pages(pages: DataFrame, source: str = "html", url: str = "url") -> D
         pick(("og", og("og:site_name")), ("json-ld", s("ld_publisher")), ("domain", U.display_host(F.col(url)))).alias("site"),
         F.when(F.size(s("ld_authors")) > 0, "json-ld").when(T.blank_to_null(meta("author")).isNotNull(), "meta").when(T.blank_to_null(og("article:author")).isNotNull() & ~og("article:author").rlike("(?i)^https?://"), "og").alias("author_source"),
         s("ld_authors").alias("ld_authors"), meta("author").alias("meta_author"), og("article:author").alias("og_author"),
-        s("text").alias("text"), T.count_words(s("text")).alias("word_count"),
+        s("text").alias("text"), s("body_html").alias("body_html"), T.count_words(s("text")).alias("word_count"),
         (s("link_chars") / F.greatest(F.lit(1), F.length(s("text")))).alias("link_density"),
         (F.length(s("text")) / F.greatest(F.lit(1), s("page_chars"))).alias("page_ratio"),
     )
@@ -142,11 +147,6 @@ def extract_pages(pages: DataFrame, source: str = "html", url: str = "url") -> D
     )
 
 
-MAIL_SCHEMA = "subject string, from_name string, from_email string, sent_at timestamp, message_id string, unsubscribe_url string, body_html string, authors array<struct<name: string, source: string, confidence: double>>, original_url string, forwarded boolean, forward_kind string"
-_FORWARD_MARK = re.compile(r"(?im)^\s*(?:-{3,}\s*(?:forwarded message|original message|message transféré|weitergeleitete nachricht|ursprüngliche nachricht|messaggio inoltrato)\s*-{3,}|begin forwarded message\s*:)\s*$")
-_HEADER_LINE = re.compile(r"(?i)^\s*>?\s*\*?(from|de|von|da|date|sent|envoyé|datum|gesendet|data|inviato|subject|objet|betreff|oggetto|to|à|an|cc)\s*:\*?\s*(.+)$")
-_HEADER_KEY = {"from": "from", "de": "from", "von": "from", "da": "from", "subject": "subject", "objet": "subject", "betreff": "subject", "oggetto": "subject", "date": "date", "sent": "date", "envoyé": "date", "datum": "date", "gesendet": "date", "data": "date", "inviato": "date"}
-_SUBJECT_FORWARD = re.compile(r"(?i)^\s*(?:fwd?|tr|wg)\s*:\s*")
 _ALLOWED = set("a b blockquote br caption cite code col colgroup dd div dl dt em h1 h2 h3 h4 h5 h6 i img li ol p pre q small span strike strong sub sup table tbody td tfoot th thead tr u ul math mrow mi mo mn msup msub mfrac msqrt mtext semantics annotation".split())
 _TRACKING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\D|$)")
 
@@ -206,25 +206,27 @@ def unsubscribe_url(header: str | None) -> str | None:
     return next((u for scheme in ("https:", "http:", "mailto:") for u in found if u.lower().startswith(scheme)), None)
 
 
-def _body(m: EmailMessage) -> tuple[str | None, str | None, bytes | None]:
-    """The first html and plain parts that are no attachments, and an attached message."""
-    rich = plain = inner = None
-    for n, part in enumerate(m.walk()):
-        if n >= MAX_PARTS:
-            break
+def message_parts(m: EmailMessage) -> tuple[str | None, str | None, list[bytes]]:
+    """The first html and plain parts that are no attachments, and all attached messages. What an attached message holds is its own."""
+    rich = plain = None
+    inner: list[bytes] = []
+    todo, seen = [(m, 0)], 0
+    while todo and seen < MAX_PARTS:
+        part, depth = todo.pop()
+        seen += 1
         kind = part.get_content_type()
-        if kind == "message/rfc822" and inner is None:
+        if kind == "message/rfc822":
             payload = part.get_payload()
-            inner = payload[0].as_bytes() if isinstance(payload, list) and payload else None
-        if part.is_multipart() or part.get_content_disposition() == "attachment":
-            continue
-        if kind in ("text/html", "text/plain"):
+            inner += [payload[0].as_bytes()] if isinstance(payload, list) and payload else []
+        elif part.is_multipart():
+            todo += [(p, depth + 1) for p in reversed(part.get_payload())] if depth < MAX_DEPTH else []
+        elif part.get_content_disposition() != "attachment" and kind in ("text/html", "text/plain"):
             raw = part.get_payload(decode=True) or b""
             s = raw.decode(part.get_content_charset() or "utf-8", "replace") if _known(part.get_content_charset()) else raw.decode("utf-8", "replace")
             if kind == "text/html":
-                rich = rich or s
+                rich = rich or (s if s.strip() else None)
             else:
-                plain = plain or s
+                plain = plain or (s if s.strip() else None)
     return rich, plain, inner
 
 
@@ -239,76 +241,21 @@ def _plain_html(s: str) -> str:
     return "".join("<p>" + re.sub(r"\r?\n", "<br>", html.escape(p, quote=False)) + "</p>" for p in re.split(r"(?:\r?\n){2,}", s.strip()) if p)
 
 
-def _forward(rich: str | None, plain: str | None) -> tuple[str, dict, str] | None:
-    """(kind, headers, body html) of a forwarded message that stands in the text."""
-    text = plain if plain is not None else re.sub(r"(?is)<br\s*/?>|</(?:p|div|tr)>", "\n", rich or "")
-    text = html.unescape(re.sub(r"(?s)<[^>]+>", "", text)) if plain is None else text
-    mark = _FORWARD_MARK.search(text)
-    lines = text[mark.end() if mark else 0 :].lstrip().splitlines()
-    headers: dict = {}
-    at = 0
-    for at, line in enumerate(lines[:40]):
-        if m := _HEADER_LINE.match(line):
-            key = _HEADER_KEY.get(m[1].lower())
-            if key:
-                headers.setdefault(key, m[2].strip().strip("*").strip())
-        elif headers and (not line.strip() or len(headers) >= 2):
-            break
-        elif not headers and line.strip():
-            break
-    if "from" not in headers or not ({"subject", "date"} & headers.keys()):
-        return None
-    quote = re.search(r'(?is)<div[^>]*class="[^"]*gmail_quote[^"]*"[^>]*>(.*)', rich or "") or re.search(r'(?is)<blockquote[^>]*type="?cite"?[^>]*>(.*)</blockquote>', rich or "")
-    kind = "gmail" if quote and "gmail_quote" in quote[0] else "apple" if quote else "plain"
-    return kind, headers, clean_html(quote[1]) if quote else _plain_html("\n".join(lines[at:]))
-
-
-def _when(s: str | None):
+def when_sent(s: str | None):
     try:
         when = email.utils.parsedate_to_datetime(s) if s else None
     except (ValueError, TypeError):
         return None
     if when is None:
         return None
-    return (when if when.tzinfo else when.replace(tzinfo=__import__("datetime").timezone.utc)).astimezone(__import__("datetime").timezone.utc)
-
-
-def parse_mail(raw: bytes | None, depth: int = 0) -> dict:
-    """A mail's fields; a forwarded mail's are those of what it forwards."""
-    m = email.message_from_bytes(raw or b"", policy=email.policy.default)
-    get = lambda k: str(m[k]).strip() if m[k] is not None else None
-    rich, plain, inner = _body(m)
-    subject = get("subject")
-    name, address = email.utils.parseaddr(get("from") or "")
-    out = {
-        "subject": subject, "from_name": name or None, "from_email": address.lower() or None, "sent_at": _when(get("date")), "message_id": get("message-id"),
-        "unsubscribe_url": unsubscribe_url(get("list-unsubscribe")), "body_html": clean_html(rich) if rich else _plain_html(plain or ""), "authors": [], "original_url": None, "forwarded": False, "forward_kind": None,
-    }
-    forwarded = bool(subject and _SUBJECT_FORWARD.match(subject))
-    if forwarded and depth < MAX_DEPTH:
-        if inner:
-            return parse_mail(inner, depth + 1) | {"message_id": out["message_id"], "forwarded": True, "forward_kind": "rfc822"}
-        if found := _forward(rich, plain):
-            kind, headers, body = found
-            name, address = email.utils.parseaddr(headers["from"])
-            bare = subject
-            for _ in range(5):
-                bare = _SUBJECT_FORWARD.sub("", bare, count=1)
-            out |= {"subject": headers.get("subject") or bare, "from_name": name or None, "from_email": address.lower() or None, "sent_at": _when(headers.get("date")) or out["sent_at"], "body_html": body, "forwarded": True, "forward_kind": kind, "unsubscribe_url": None}
-    page = _page(rich) if rich else {"ld_authors": [], "meta": {}, "canonical": None}
-    byline = [x for x in re.split(r"\s*(?:,|;|&|\band\b)\s*", re.sub(r"(?i)^\s*by\s+", "", page["meta"].get("author", ""))) if x.strip()]
-    likely = out["from_name"] and 2 <= len(out["from_name"].split()) <= 4 and not re.search(T.MAILING_WORDS, out["from_name"])
-    names, source = (page["ld_authors"], "json-ld") if page["ld_authors"] else (list(dict.fromkeys(byline)), "newsletter-html") if byline else ([out["from_name"]], "sender-header") if likely else ([], None)
-    out["authors"] = [{"name": n, "source": source, "confidence": MAIL_CONFIDENCE[source]} for n in names]
-    out["original_url"] = page["canonical"] if page["canonical"] and re.match(r"(?i)https?://", page["canonical"]) else None
-    return out
+    return (when if when.tzinfo else when.replace(tzinfo=datetime.timezone.utc)).astimezone(datetime.timezone.utc)
 
 
 def parse_mails(mails: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Adds nothing to and drops nothing from the rows: ``keep`` and the fields of each mail."""
-    fields = [c.strip().split()[0] for c in re.sub(r"<[^>]*>+", "", MAIL_SCHEMA).split(", ")]
-    parsed = F.pandas_udf(lambda s: pd.DataFrame([parse_mail(bytes(x) if x is not None else None) for x in s], columns=fields), MAIL_SCHEMA)
-    return mails.withColumn("mail", parsed(F.col(raw))).select(*keep, "mail.*")
+    """``mail.parse_mails``: mails are documents too."""
+    from .mail import parse_mails as parse
+
+    return parse(mails, raw, keep)
 
 
 def provenance(**parts: Column) -> Column:
