@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import getpass
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -26,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a folder of this user is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all of Spark is this one process
+    (tests on one machine) a folder of this user is made and set; a cluster without the setting is an error, since
+    its machines would not see what the driver writes to a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(spark.sparkContext, "_corpusloom_dir"):
         spark.sparkContext._corpusloom_dir = tempfile.mkdtemp(prefix=f"corpusloom-{getpass.getuser()}-")
         spark.sparkContext.setCheckpointDir(spark.sparkContext._corpusloom_dir)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP_PATTERN, WORD_PATTERN, WORD_SEPARATORS, materialize, table, words
+from .common import GAP_PATTERN, WORD_SEPARATORS, materialize, table, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -39,7 +39,9 @@ def _covered(name: str) -> Column:
 
 
 def _plain(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.btrim(line, F.lit(WORD_SEPARATORS)), GAP_PATTERN, " "))
+    """A line in lower case, trimmed, with single spaces; most lines have no other white space, which a search tells."""
+    trimmed = F.btrim(line, F.lit(WORD_SEPARATORS))
+    return F.lower(F.when(line.contains("  ") | line.rlike(r"[\x09-\x0D]"), F.regexp_replace(trimmed, GAP_PATTERN, " ")).otherwise(trimmed))
 
 
 def line_profile(docs: DataFrame) -> DataFrame:
@@ -47,7 +49,8 @@ def line_profile(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select("doc_id", F.col("source").alias("host"), text.alias("body"), words(F.col("text")).alias("tokens"))
     out = out.withColumn("hashes", F.transform("tokens", lambda w: F.xxhash64(w))).withColumn("windows", _windows("hashes")).withColumn("places", F.coalesce(_covered("windows"), F.array().cast("array<int>")))
-    with_words = F.filter(F.split("body", "\n"), lambda x: F.translate(x, WORD_SEPARATORS, "") != "")
+    out = out.withColumn("with_words", F.filter(F.split("body", "\n"), lambda x: F.translate(x, WORD_SEPARATORS, "") != ""))
+    with_words = F.col("with_words")
     return out.select(
         "doc_id",
         "host",
@@ -57,7 +60,7 @@ def line_profile(docs: DataFrame) -> DataFrame:
         (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(with_words) - F.size(F.array_distinct(with_words))).cast("long").alias("n_dup_lines"),
         F.expr("CASE WHEN size(places) = 0 THEN 0L ELSE 3L + aggregate(sequence(1, size(places)), 0L, (a, k) -> a + if(k = size(places), 0, least(3, get(places, k) - get(places, k - 1)))) END").alias("n_repeat_words"),
-        F.transform(F.transform(with_words, _plain), lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD_PATTERN)).alias("n"))).alias("lines"),
+        F.transform(F.transform(with_words, _plain), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))).alias("lines"),
     )
 
 
