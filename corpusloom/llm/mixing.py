@@ -123,7 +123,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """
     cuts = _cuts(docs, weights, share, max_epochs, bucket_rows)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("of"), n_words(F.col("text")).alias("words"), _key(docs).alias("key"))
-    planned = rows.join(cuts, F.col("of").eqNullSafe(F.col("m_source"))).withColumn("part", _part(F.col("key"), F.col("words"))).where(F.col("words") > 0)
+    planned = rows.join(cuts, F.col("of").eqNullSafe(F.col("m_source"))).withColumn("part", _part(F.col("key"), F.col("words")))
+    planned = planned.where((F.col("epochs") + F.col("part")) * F.col("words") > 0)  # one condition on both sides, so words are counted once
     copies = planned.select("row", "epochs", "part", "words", F.explode(F.sequence(F.lit(1), F.col("epochs") + F.lit(1))).alias("epoch"))
     whole = F.col("epoch") <= F.col("epochs")
     text = F.col("row.text")
