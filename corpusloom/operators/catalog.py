@@ -77,6 +77,18 @@ def author_order() -> list[Column]:
     return [F.coalesce("sort_name", "name").asc(), F.col("id").asc()]
 
 
+def bylines(authorships: DataFrame, authors: DataFrame) -> DataFrame:
+    """readable_type, readable_id, ordinal, name, slug: a row an author, of authors that are there."""
+    a = authors.select(F.col("id").cast("string").alias("_author"), "name", "slug")
+    return authorships.join(a, F.col("author_id").cast("string") == F.col("_author")).select("readable_type", "readable_id", "ordinal", "name", "slug")
+
+
+def article_sources(articles: DataFrame, affiliations: DataFrame) -> DataFrame:
+    """canonical_url, name, slug of the source of each article that has one."""
+    s = affiliations.select(F.col("id").alias("_source"), "name", "slug")
+    return articles.join(s, F.col("affiliation_id") == F.col("_source")).select("canonical_url", "name", "slug")
+
+
 def source_list(affiliations: DataFrame) -> DataFrame:
     """What is read from: all affiliations but institutions, to be sorted by ``by_name``."""
     return affiliations.where(F.col("type") != "institution")

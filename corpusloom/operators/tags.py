@@ -134,6 +134,12 @@ def baseline(readable_tags: DataFrame, tags: DataFrame) -> DataFrame:
     return readable_tags.join(t, F.col("tag_id") == F.col("t")).groupBy("readable_type", "readable_id").agg(F.array_sort(F.collect_set(F.struct("label", "slug", F.col("t").alias("id")))).alias("baseline"))
 
 
+def assigned(readable_tags: DataFrame, tags: DataFrame) -> DataFrame:
+    """readable_type, readable_id, slug, label, confidence of every assignment whose tag is there."""
+    t = tags.select(F.col("id").alias("t"), "slug", "label")
+    return readable_tags.join(t, F.col("tag_id") == F.col("t")).select("readable_type", "readable_id", "slug", "label", "confidence")
+
+
 def effective(items: DataFrame, base: DataFrame, overrides: DataFrame, tags: DataFrame) -> DataFrame:
     """Adds tags: the baseline without what the item's overrides suppress, with what they add; sorted by label."""
     t = tags.select(F.col("id").alias("t"), F.struct("label", "slug", "id").alias("tag"))

@@ -333,6 +333,28 @@ def _(t):
     return A.extraction_score(t.golden(), t.articles(), t.authorships(), t.authors(), sources)
 
 
+@query("j15_assigned_tags", with_sql("rt tags", "SELECT readable_id, slug, confidence FROM rt JOIN tags ON id = tag_id"))
+def _(t):
+    return G.assigned(t.readable_tags(), t.tags()).select("readable_id", "slug", "confidence")
+
+
+@query("j15_bylines", with_sql("au", "SELECT readable_id, ordinal, s_name AS name FROM au JOIN supplier ON s_suppkey = author_id"))
+def _(t):
+    return C.bylines(t.authorships(), t.authors()).select("readable_id", "ordinal", "name")
+
+
+@query("j15_sources", with_sql("articles", "SELECT canonical_url, n_name AS name FROM articles JOIN nation ON n_nationkey = affiliation_id"))
+def _(t):
+    return C.article_sources(t.articles(), t.sources()).select("canonical_url", "name")
+
+
+@query("f49_contract", "SELECT p_partkey, p_size > 40 AS wrong FROM part")
+def _(t):
+    one = F.array(F.struct(F.col("p_name").alias("name")))
+    good, bad = K.check_contract(t.raw("part"), N.contract_errors(one, F.col("p_size") / 40))
+    return good.select("p_partkey", F.lit(False).alias("wrong")).unionByName(bad.select("p_partkey", F.lit(True).alias("wrong")))
+
+
 @query("u3_corrections", f"WITH {_CASES} SELECT doc_id, list_aggregate(list_sort(list_distinct(list_concat(list_filter(predicted, lambda x: NOT list_contains(['short'], x)), golden))), 'string_agg', ',') AS corrected FROM cases")
 def _(t):
     return _cases(t).select("doc_id", F.nullif(F.array_join(F.array_sort(A.corrections(F.col("predicted"), F.array(F.lit("short")), F.col("golden"))), ","), F.lit("")).alias("corrected"))

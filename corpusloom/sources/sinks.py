@@ -79,6 +79,13 @@ def check_enum(df: DataFrame, column: str, values: tuple[str, ...]) -> tuple[Dat
     return df.where(ok), df.where(~ok)
 
 
+def check_contract(df: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, rows in quarantine with the names of what is wrong in ``contract_errors``); ``errors`` is an array of names."""
+    checked = df.withColumn("contract_errors", errors)
+    wrong = F.coalesce(F.size("contract_errors") > 0, F.lit(False))
+    return checked.where(~wrong).drop("contract_errors"), checked.where(wrong)
+
+
 def put_blobs(df: DataFrame, folder: str) -> None:
     """Stores (key, content) rows as a table that ``stored_blobs`` reads; the writer commits all or nothing."""
     df.select("key", "content").write.mode("append").parquet(folder)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.urls import backoff_seconds, gives_up
+from ..functions.urls import backoff_seconds, gives_up, hmac_hex, signature_valid
 
 # They must be these for right results.
 LEASE_SECONDS, RETRY_WITHOUT_MODEL_SECONDS = 60, 300
@@ -157,6 +157,29 @@ def landing(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("key"), F.col("content").alias("raw"), F.col("modificationTime").alias("received_at"))
 
 
+def notifications(files: DataFrame, secret: Column, at: Column) -> DataFrame:
+    """key, body, timestamp, signature of landed mails (key, raw): what the landing tells of each, signed over time and body."""
+    head = F.substring(F.col("raw").cast("string"), 1, 100_000)
+    line = lambda name: F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
+    address = lambda c: F.lower(F.coalesce(F.nullif(F.regexp_extract(c, r"<([^>]*)>", 1), F.lit("")), c))
+    body = F.to_json(
+        F.struct(
+            address(line("To")).alias("alias"), F.col("key").alias("blob-key"), F.coalesce(line("Message-ID"), F.concat(F.lit("gen-"), "key")).alias("message-id"),
+            address(line("From")).alias("from"), F.coalesce(line("Subject"), F.lit("")).alias("subject"), F.octet_length("raw").alias("size"),
+        )
+    )
+    seconds = F.unix_timestamp(at).cast("string")
+    return files.select("key", body.alias("body"), seconds.alias("timestamp")).withColumn("signature", hmac_hex(secret, F.concat_ws(".", "timestamp", "body")))
+
+
+def accepted(notes: DataFrame, inboxes: DataFrame, secret: Column, now: Column, seconds: int = 300) -> DataFrame:
+    """Notifications with a right and fresh signature whose alias is an inbox, with that inbox's user_id; the others go."""
+    age = F.abs(F.unix_timestamp(now) - F.col("timestamp").cast("long"))
+    true = notes.where(signature_valid(secret, F.concat_ws(".", "timestamp", "body"), F.col("signature")) & (age <= seconds))
+    boxes = inboxes.select(F.lower("alias").alias("_alias"), "user_id")
+    return true.join(boxes, F.split(F.get_json_object("body", "$.alias"), "@")[0] == F.col("_alias"))
+
+
 class Fatal(Exception):
     """Raised by a handler for what no later attempt can mend."""
 

@@ -175,3 +175,22 @@ def test_nearest_in_batches(spark, n):
     asked = spark.createDataFrame([(k, v) for k, v in enumerate([[3.0, 0.1], [0.1, 5.0], [0.0, 0.0], [], None, [1.0], [0.9, 0.1, 0.0], [-1.0, -1.0]] * n)], "k int, embedding array<double>")
     got = {r["k"] % 8: (r["nearest_id"], r["similarity"] and round(r["similarity"], 3)) for r in G.nearest(asked, vocabulary).collect()}
     assert got == {0: ("a", 0.999), 1: ("b", 1.0), 2: ("a", 0.0), 3: ("a", 0.0), 4: (None, None), 5: ("a", 0.0), 6: ("c", 0.994), 7: ("c", 0.0)}
+
+
+def test_signed_notifications(spark):
+    files = spark.createDataFrame([("k1", b"From: Ann <Ann@x.example>\r\nTo: Brown-River@in.example\r\nSubject: Hi\r\nMessage-ID: <m@x>\r\n\r\nbody"), ("k2", b"To: nobody@in.example\r\n\r\nx"), ("k3", b"")], "key string, raw binary")
+    secret = F.lit("s3")
+    notes = J.notifications(files, secret, F.lit(NOW))
+    first = notes.where("key = 'k1'").first()
+    assert '"alias":"brown-river@in.example"' in first["body"] and '"message-id":"<m@x>"' in first["body"] and notes.where("key = 'k3' and body like '%gen-k3%'").count() == 1
+    boxes = spark.createDataFrame([("Brown-River", "u1")], "alias string, user_id string")
+    soon, late = F.lit(NOW + datetime.timedelta(seconds=60)), F.lit(NOW + datetime.timedelta(hours=1))
+    assert rows(J.accepted(notes, boxes, secret, soon), "key", "user_id") == [("k1", "u1")]
+    assert J.accepted(notes, boxes, secret, late).count() == 0 and J.accepted(notes, boxes, F.lit("other"), soon).count() == 0
+    assert J.accepted(notes.withColumn("body", F.replace("body", F.lit("Hi"), F.lit("Ho"))), boxes, secret, soon).count() == 0
+
+
+def test_contract_quarantine(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, 2.0), (3, None)], "id int, confidence double")
+    good, bad = K.check_contract(df, nested.contract_errors(F.array(F.struct(F.lit("Ann").alias("name"))), F.col("confidence")))
+    assert rows(good, "id") == [(1,), (3,)] and good.columns == df.columns and bad.first()["contract_errors"] == ["confidence-out-of-range"]
