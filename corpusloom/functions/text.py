@@ -14,6 +14,7 @@ MAILING_WORDS = r"(?i)newsletter|news|daily|weekly|digest|updates?|team|editors?
 VENUE_TYPES = {"journal": "journal", "repository": "preprint", "conference": "conference", "book series": "journal", "ebook platform": "other", "metadata": "other", "other": "other"}
 WORDS_PER_MINUTE = 238
 MAX_NAME, MAX_LABEL, MAX_TAGS, MAX_AUTHORS = 200, 60, 12, 50
+BYLINE_START, BYLINE_BREAK = r"(?i)^\s*by\s+", r"\s*(?:,|;|&|\band\b)\s*"
 FORWARD = r"(?i)^(?:\s*(?:fwd?|tr|wg)\s*:\s*){1,5}"
 
 
@@ -36,8 +37,8 @@ def sort_name(name: Column) -> Column:
 
 def split_byline(s: Column, distinct: bool = False) -> Column:
     """The names of a byline; null gives none. Mail bylines drop repeats."""
-    body = F.regexp_replace(F.coalesce(s, F.lit("")), r"(?i)^\s*by\s+", "")
-    names = F.filter(F.transform(F.split(body, r"\s*(?:,|;|&|\band\b)\s*"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    body = F.regexp_replace(F.coalesce(s, F.lit("")), BYLINE_START, "")
+    names = F.filter(F.transform(F.split(body, BYLINE_BREAK), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     return F.array_distinct(names) if distinct else names
 
 
