@@ -10,6 +10,7 @@ from __future__ import annotations
 import codecs
 import json
 import os
+import re
 import uuid
 import zlib
 from functools import cache
@@ -30,6 +31,7 @@ SEGMENT_IDS = LANES * BLOCK_IDS
 SHARD_BYTES, SHARD_LEAST = 16_000_000, 2_000_000
 #: Bytes of text that are cut into words at a time.
 TEXT_BYTES = 4_000_000
+_GAP = re.compile(rb"[ \t-\r]")
 #: Words that the library gets in one call; what it returns takes over 100 bytes an id.
 _CALL_WORDS = 16_000
 #: Words whose ids a worker keeps; beyond, those that it has met once go.
@@ -141,7 +143,16 @@ class Encoder:
         return at
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts in turn, an ``end_id`` after each, and how many each text has."""
+        """All ids of texts in turn, an ``end_id`` after each, and how many each text has. A single long text goes in parts, cut at white space."""
+        if len(text) == 1 and (pc.binary_length(text)[0].as_py() or 0) > 2 * TEXT_BYTES:
+            raw, at, parts = text[0].as_py().encode(), 0, []
+            while at < len(raw):
+                gap = _GAP.search(raw, at + TEXT_BYTES)
+                to = gap.start() if gap else len(raw)
+                parts.append(self.encode(pa.array([raw[at:to].decode()]), end_id)[0][:-1] if to - at <= 2 * TEXT_BYTES else self._ids(pa.array([raw[at:to].decode()], pa.large_string()))[0])
+                at = to
+            ids = np.concatenate([*parts, np.array([end_id], np.uint32)])
+            return ids, np.array([len(ids)])
         lists = pc.ascii_split_whitespace(pc.fill_null(text, "").cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         per = self.places(coded.dictionary).take(coded.indices.to_numpy(zero_copy_only=False))

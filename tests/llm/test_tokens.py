@@ -89,3 +89,15 @@ def test_damage_is_found():
         bad[int(rng.integers(len(bad)))] ^= 1 << int(rng.integers(8))
         with pytest.raises(codec.CorruptBlock):
             codec.decode_blocks([bytes(bad)])
+
+
+def test_long_texts_go_in_parts(library, monkeypatch):
+    rng = random.Random(8)
+    text = "  ".join(rng.choice(["Ab", "cd.", "éf", "İ!", "x" * 90, "\t9"]) for _ in range(3000))
+    texts = [text, "y" * 5000, f" {text}\n", "z" * 900 + " " + "w" * 900]
+    whole = token_output.Encoder(token_output.default_tokenizer())
+    monkeypatch.setattr(token_output, "TEXT_BYTES", 200)
+    parts = token_output.Encoder(token_output.default_tokenizer())
+    for t in texts:
+        assert _differ(parts, library, [t]) == []
+        assert np.array_equal(parts.encode(pa.array([t]), 2)[0], whole.encode(pa.array([t, ""]), 2)[0][:-1])
