@@ -54,7 +54,7 @@ _SCALE = 1000
 WEIGHTS = (-1.6, 0.75, -4.0, 0.8, 0.4, 0.3, -0.5)
 MOST = 3.0
 #: Costs of an element of a plain name or tag, of one that a good name or doubtful bad name hints at, and of an article in a badly named element.
-_PLAIN, _GOOD_HINT, _BAD_HINT, _INNER = 1e6, 2.0, -1.0, 2.0
+_PLAIN, _GOOD_HINT, _BAD_HINT, _INNER = 1e6, 3.0, -1.0, 2.0
 #: Edges: above an element with costs of its own, below a hint, from containers and from other elements where nothing is known, between next blocks.
 _ABOVE, _HINTED, _CONTAINER, _LOOSE, _NEXT = 0.25, 1.5, 1.0, 1.5, 1.0
 #: The first weights, those of words, links and marks, are fitted; the tags of blocks follow a site's template too closely to learn them from it.
@@ -214,7 +214,7 @@ def features(b: Block) -> tuple[float, ...]:
         density if n > 3 or density > 0.9 else 0.5 * density,
         float(b.text[-1] in ".!?\u2026\"\u201d\u00bb:"),
         float(b.tag in ("p", "pre", "blockquote")),
-        float(b.tag in ("h1", "h2", "h3", "h4", "h5", "h6")),
+        4.0 if b.tag == "h1" else float(b.tag in ("h2", "h3", "h4", "h5", "h6")),  # the first kind is a page's title
         float(b.tag in ("li", "td", "th", "dt", "dd")),
     )
 
