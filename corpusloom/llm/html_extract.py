@@ -60,7 +60,7 @@ _ABOVE, _HINTED, _CONTAINER, _LOOSE, _NEXT = 0.25, 1.5, 1.0, 1.5, 1.0
 #: The first weights, those of words, links and marks, are fitted; the tags of blocks follow a site's template too closely to learn them from it.
 FITTED = 4
 #: Pages that the classifier is fitted on at most, about, and how firmly it keeps to ``WEIGHTS``.
-TRAIN_PAGES, FIRMNESS = 2_000, 20.0
+TRAIN_PAGES, FIRMNESS = 2_000, 300.0
 
 
 @dataclass
