@@ -24,10 +24,13 @@ def _same_ids(rows: DataFrame, id_keys: tuple[str, ...]) -> DataFrame:
         for k in id_keys:
             least = new.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min("first").alias("_least"))
             new = new.join(least, F.col(k) == F.col("_k"), "left").withColumn("first", F.least("first", F.coalesce("_least", "first"))).drop("_k", "_least")
-        moved = new.join(label.select(F.col("row").alias("_r"), F.col("first").alias("_f")), F.col("row") == F.col("_r")).where("first <> _f").isEmpty()
+        if len(id_keys) == 1:
+            return new.select("row", "first")
+        new = new.persist()
+        settled = new.join(label.select(F.col("row").alias("_r"), F.col("first").alias("_f")), F.col("row") == F.col("_r")).where("first <> _f").isEmpty()
+        if settled:
+            return new.select("row", "first")
         label = new
-        if moved or len(id_keys) == 1:
-            return label.select("row", "first")
 
 
 def _founders(groups: DataFrame, id_keys: tuple[str, ...]) -> DataFrame:
@@ -74,11 +77,12 @@ def resolve(incoming: DataFrame, existing: DataFrame, id_keys: tuple[str, ...],
     by_slug = by_slug.groupBy(F.col("n.row").alias("r")).agg(F.min("e.id").alias("hit"))
     found = found.join(by_slug, F.col("row") == F.col("r"), "left").select("row", F.coalesce("id", "hit").alias("id"))
 
-    new = rows.join(found.where("id is null").select("row"), "row", "left_semi")
+    found = found.persist()  # read by several of the steps below
+    new = rows.join(found.where("id is null").select("row"), "row", "left_semi").persist()
     first = _same_ids(new, id_keys)
     by_row = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row")))
     groups = new.join(first, "row").groupBy("first").agg(F.min_by("slug", "row").alias("slug"), *[by_row(k).alias(k) for k in id_keys])
-    members = first.join(_founders(groups, id_keys), "first").select("row", "founder", "place")
+    members = first.join(_founders(groups, id_keys), "first").select("row", "founder", "place").persist()
     made = new.join(members, "row").groupBy("founder", "place").agg(F.min_by("slug", "row").alias("slug"), F.min_by("name", "row").alias("name"), *[by_row(c).alias(c) for c in (*id_keys, *fill)])
     # numbers that are taken: by what is there, and by slugs of the batch as they are
     used = existing.select("slug").unionByName(made.select("slug")).distinct()
