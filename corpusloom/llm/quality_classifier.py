@@ -339,6 +339,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pat
     model = model or train(docs, labels)
     one, two, gone_one, gone_two = (free_name(docs, name) for name in ("_row_a", "_row_b", "_gone_a", "_gone_b"))
     known = [F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", "text", host, path])]
+    known += [c.isNull() for c in known]  # a hash passes over nulls
     named = docs.withColumn(one, F.xxhash64(*known)).withColumn(two, F.xxhash64(F.lit(1), *known))
     joined, _, out = _judged(named, model, host, path, [one, two])
     gone = materialize(joined.where(~out["kept"]).select(F.col(one).alias(gone_one), F.col(two).alias(gone_two)).distinct(), "rejected")
