@@ -254,9 +254,9 @@ def _carried(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _named(ids: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(blocks, steps) -> the same as numbers of first appearance, and each block's different ids in that order."""
+    """(blocks, steps) -> (steps, blocks) of numbers of first appearance, and each block's different ids in that order."""
     n, steps = ids.shape
-    names, new = np.empty((n, steps), np.uint16), []
+    names, new = np.empty((steps, n), np.uint16), []
     wide = bits > 20
     table = np.empty(0 if wide else 1 << bits, np.int32)
     back = np.arange(steps - 1, -1, -1, dtype=np.int32)
@@ -269,7 +269,7 @@ def _named(ids: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
             table[x[::-1]] = back
             at = table.take(x)
         is_new = at == back[::-1]
-        names[k] = (np.cumsum(is_new) - 1).take(at)
+        names[:, k] = (np.cumsum(is_new) - 1).take(at)
         new.append(x[is_new])
     return names, new
 
@@ -277,9 +277,7 @@ def _named(ids: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
 def _encode(ids: np.ndarray, bits: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], list[int]]:
     """ids (blocks, steps) -> words of all blocks' symbols and how many each has, the same for new ids, and how many different ids."""
     n, steps = ids.shape
-    names, new = _named(ids, bits)
-    by_step = np.ascontiguousarray(names.T)
-    del names
+    by_step, new = _named(ids, bits)
     model, out = _Model(n, max(map(len, new))), _Writer(n, 2 * steps)
     order_1, order_2 = np.full(n, _ORDER_1), np.full(n, _ORDER_2)
     for t in range(steps):
@@ -305,15 +303,15 @@ def _magnitudes(bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _encode_new(new: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(x) for x in new])
     order = np.argsort(-sizes, kind="stable")
-    table = np.zeros((len(new), sizes.max()), np.int64)
+    table = np.zeros((sizes.max(), len(new)), np.int32)
     for k, i in enumerate(order):
-        table[k, : sizes[i]] = new[i]
+        table[: sizes[i], k] = new[i]
     least, many = _magnitudes(bits)
-    counts, out, zero = _Counts(len(new), (1,)), _Writer(len(new), 4 * table.shape[1]), np.zeros(len(new), np.int64)
+    counts, out, zero = _Counts(len(new), (1,)), _Writer(len(new), 4 * len(table)), np.zeros(len(new), np.int64)
     falling = sizes[order]
-    for t in range(table.shape[1]):
+    for t in range(len(table)):
         m = int(np.searchsorted(-falling, -t))
-        x = table[:m, t]
+        x = table[t, :m].astype(np.int64)
         kind = np.maximum(np.frexp(x)[1] - (bits - 6), 0).astype(np.int64)
         counts.n = m
         counts.mix(zero[:m])

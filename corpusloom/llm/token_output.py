@@ -30,7 +30,7 @@ SEGMENT_IDS = LANES * BLOCK_IDS
 #: Bytes of text of one shard on average, and of the least shard that is worth a task of its own.
 SHARD_BYTES, SHARD_LEAST = 16_000_000, 2_000_000
 #: Bytes of text that are cut into words at a time.
-TEXT_BYTES = 4_000_000
+TEXT_BYTES = 3_000_000
 _GAP = re.compile(rb"[ \t-\r]")
 #: Words that the library gets in one call; what it returns takes over 100 bytes an id.
 _CALL_WORDS = 16_000
@@ -85,17 +85,17 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.hits = WordIndex(), np.zeros(0, np.int64)
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words, self.hits = WordIndex(), np.zeros(0, bool)
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _forget(self) -> None:
         """Keeps the words that were met again since the last time, or none if there are too many of them."""
-        kept = self.hits > 0
+        kept = self.hits
         if 2 * kept.sum() > _CACHED:
             return self.clear()
         starts, lengths = self.starts[kept], self.lengths[kept]
-        self.words, self.hits = self.words.only(kept), np.zeros(int(kept.sum()), np.int64)
-        self.flat, self.starts, self.lengths = _gather(self.flat, starts, lengths), np.cumsum(lengths) - lengths, lengths
+        self.words, self.hits = self.words.only(kept), np.zeros(int(kept.sum()), bool)
+        self.flat, self.starts, self.lengths = _gather(self.flat, starts, lengths), (np.cumsum(lengths) - lengths).astype(np.int32), lengths
 
     def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in turn, and how many each has."""
@@ -130,15 +130,15 @@ class Encoder:
             self._forget()
         at, hashes = self.words.find(words)
         new = at < 0
-        self.hits[at[~new]] += 1
+        self.hits[at[~new]] = True
         if new.any():
             fresh = words.filter(pa.array(new))
             ids, lengths = self._ids(fresh)
             at[new] = len(self.words) + np.arange(len(fresh))
             self.words.add(fresh, hashes[new])
-            self.hits = np.append(self.hits, np.zeros(len(fresh), np.int64))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
+            self.hits = np.append(self.hits, np.zeros(len(fresh), bool))
+            self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)])
+            self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
             self.flat = np.concatenate([self.flat, ids])
         return at
 
@@ -165,7 +165,7 @@ class Encoder:
 
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[start : start + length] of each, one after the other."""
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype=np.int64)
     at = np.repeat(starts - ends + lengths, lengths)
     at += np.arange(len(at))
     return values.take(at)
@@ -202,9 +202,11 @@ def _segments(path: str, end_id: int, segment_ids: int):
                 size += len(ids)
                 if size >= segment_ids:
                     yield row()
+                    give_back()
                     docs, counts, held, size, segment = [], [], [], 0, segment + 1
         if docs:
             yield row()
+        give_back()
 
     return run
 
