@@ -9,6 +9,7 @@ import getpass
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,11 +50,28 @@ def _drop_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Rows of an Arrow batch while a table is written: what a JVM and a Python worker hold of it at a time.
+BATCH_ROWS = 2_500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Smaller Arrow batches for the actions inside; the session's own setting comes back afterwards."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/corpusloom/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with small_batches(df.sparkSession):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     return out

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .codec import BLOCK_IDS, LANES, decode_blocks, encode_blocks
-from .common import give_back, shared_dir, table, text_slices
+from .common import give_back, shared_dir, small_batches, table, text_slices
 from .words import WordIndex
 
 END_ID = 2
@@ -228,7 +228,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
     kind = dict(docs.dtypes)["doc_id"]
     dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    dealt.mapInArrow(_segments(path, end_id, segment_ids), f"shard int, segment int, doc_ids array<{kind}>, counts array<bigint>, blocks array<binary>").write.option("compression", "none").parquet(folder)
+    with small_batches(docs.sparkSession):
+        dealt.mapInArrow(_segments(path, end_id, segment_ids), f"shard int, segment int, doc_ids array<{kind}>, counts array<bigint>, blocks array<binary>").write.option("compression", "none").parquet(folder)
 
 
 def default_tokenizer() -> str:
