@@ -7,6 +7,7 @@ from .html_extract import op5_html_extract
 from .langid import op9_language_id
 from .line_templates import OP6_SQL, op6_line_templates
 from .mixing import OP8_SQL, op8_mixing
+from .pareto import OP13_SQL, op13_pareto_layers
 from .partenum import OP2_SQL, op2_near_duplicates
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_pareto_layers": op13_pareto_layers,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
     "op6_line_templates": OP6_SQL,
     "op8_mixing": OP8_SQL,
+    "op13_pareto_layers": OP13_SQL,
 }
