@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op7_decontamination
 from .html_extract import op5_html_extract
 from .langid import op9_language_id
+from .lexical_search import OP11_SQL, op11_lexical_search
 from .line_templates import OP6_SQL, op6_line_templates
 from .mixing import OP8_SQL, op8_mixing
 from .pareto import OP13_SQL, op13_pareto_layers
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_lexical_search": op11_lexical_search,
     "op13_pareto_layers": op13_pareto_layers,
 }
 
@@ -34,5 +36,6 @@ ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
     "op6_line_templates": OP6_SQL,
     "op8_mixing": OP8_SQL,
+    "op11_lexical_search": OP11_SQL,
     "op13_pareto_layers": OP13_SQL,
 }
