@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import OP12_SQL, op12_chat_format
 from .decontaminate import op7_decontamination
 from .html_extract import op5_html_extract
 from .langid import op9_language_id
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_lexical_search": op11_lexical_search,
+    "op12_chat_format": op12_chat_format,
     "op13_pareto_layers": op13_pareto_layers,
 }
 
@@ -37,5 +39,6 @@ ORACLE_SQL = {
     "op6_line_templates": OP6_SQL,
     "op8_mixing": OP8_SQL,
     "op11_lexical_search": OP11_SQL,
+    "op12_chat_format": OP12_SQL,
     "op13_pareto_layers": OP13_SQL,
 }
