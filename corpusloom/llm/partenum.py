@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Marks, discard, free_name, materialize, settle, table, text_slices
@@ -226,8 +226,8 @@ def _signatures(values: np.ndarray, sizes: np.ndarray, bands: Bands, frequent: n
                 going[sets[enough]] = False
         for level in range(3):
             going_here = going[of] & (rare if level == 0 else True)
-            if not going_here.any():
-                break
+            if not going_here.any():  # no rare shingle here: all of them, at the next level
+                continue
             parts = np.maximum(1, np.ceil(top / _load(top, level))).astype(np.uint64)
             v, d = values[going_here], of[going_here]
             salt = _mix(np.arange(len(bands.high) + 1, dtype=np.uint64) * np.uint64(8) + np.uint64(2 * level))[np.maximum(instance, 0)]
@@ -253,22 +253,27 @@ def _signatures(values: np.ndarray, sizes: np.ndarray, bands: Bands, frequent: n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _key() -> Column:
+    """What names a row: its id, which may be null, and its text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _profile(batches):
     for batch in batches:
         for piece in text_slices(batch, "text"):
             values, sizes = shingle_sets(piece.column("text"))
             ends = np.cumsum(sizes)
             cells = [sketch(values[e - n : e]).tobytes() if n else None for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes), pa.array(nodes_of(values, sizes), mask=sizes == 0), pa.array(cells, pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(sizes), pa.array(nodes_of(values, sizes), mask=sizes == 0), pa.array(cells, pa.binary())], names=["doc_id", "key", "n_shingles", "node", "sketch"])
 
 
 def _profiled(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, sketch of each row: its set's size, name and sketch, the last two null for an empty one."""
-    return materialize(docs.select("doc_id", "text").mapInArrow(_profile, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node long, sketch binary"), "near-profile")
+    """doc_id, key, n_shingles, node, sketch of each row: its set's size, name and sketch, the last two null for an empty one."""
+    return materialize(docs.select("doc_id", _key().alias("key"), "text").mapInArrow(_profile, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, n_shingles long, node long, sketch binary"), "near-profile")
 
 
 def _frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles of at least SAMPLE_TIMES different texts of a sample that a hash of the id picks; bounded by the sample."""
+    """Shingles of at least SAMPLE_TIMES different texts of a sample that a hash of the row picks; bounded by the sample."""
     share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
 
     def shingles(batches):
@@ -281,7 +286,7 @@ def _frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
                 own, n = np.unique(values[np.repeat(keep, sizes)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
+    sample = docs.where(F.pmod(_key(), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
     counted = sample.mapInArrow(shingles, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     # at least SAMPLE_TIMES of the sample's shingles stand behind each row, so these are few
     got = counted.where(F.col("n") >= SAMPLE_TIMES).select("shingle").toArrow()
@@ -377,7 +382,7 @@ def _sketches(profile: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, profile: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, n, shingles of the given nodes, made again from one document of each; and of some more nodes, which the filter lets pass."""
-    chosen = materialize(profile.join(nodes.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "near-documents")
+    chosen = materialize(profile.join(nodes.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"), "near-documents")
 
     def run(batches):
         for batch in batches:
@@ -388,7 +393,7 @@ def _sets(docs: DataFrame, profile: DataFrame, nodes: DataFrame) -> DataFrame:
                 cells = [values[ends[k] - sizes[k] : ends[k]].tobytes() for k in once.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(node[once]), pa.array(sizes[once]), pa.array(cells, pa.binary())], names=["node", "n", "shingles"])
 
-    marked, _ = Marks(chosen).split(docs.select("doc_id", "text"), "doc_id")
+    marked, _ = Marks(chosen).split(docs.select(_key().alias("key"), "text"), "key")
     rows = materialize(marked.select("text").mapInArrow(run, "node long, n long, shingles binary").dropDuplicates(["node"]), "near-shingles")
     discard(chosen)
     return rows
@@ -515,14 +520,8 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, sketches: DataFrame, perce
     return sketched.groupBy(bucket).applyInArrow(lambda t: _pairs_in_bucket(t, percent, nearest), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, n_shingles, component_id, a row for each row.
-
-    n_shingles is the size of the set; component_id the smallest id that links reach. Null and empty texts and
-    texts without words have no shingle and their own id. Rows with a null id link others as any row; it
-    is never a component's id unless all of it are null, and their texts count only through other rows with
-    the same set. Repeated rows have equal results. Extra columns are not looked at; an empty table gives an
-    empty result.
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, key, n_shingles, label of each row: equal labels for all that links connect, null for an empty set.
 
     Equal sets are one node, so copies cost nothing further. Each node goes first to the node it shares most
     groups with; then, in groups with several labels, to the nearest of other labels; then all that still have
@@ -533,44 +532,53 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     profile = _profiled(docs)
     size = profile.agg(F.count("*").alias("n"), F.max("n_shingles").alias("largest"), F.sum("n_shingles").alias("total")).first()
     if not size["largest"]:
-        return profile.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    known = docs.where(F.col("doc_id").isNotNull())
-    frequent = _frequent_shingles(known, size["n"])
-    groups = materialize(_groups(known, size["largest"], size["total"], frequent, percent), "near-groups")
+        return profile.select("doc_id", "key", "n_shingles", F.lit(None).cast("long").alias("label"))
+    frequent = _frequent_shingles(docs, size["n"])
+    groups = materialize(_groups(docs, size["largest"], size["total"], frequent, percent), "near-groups")
     settle(spark)
     sketches = _sketches(profile, groups.select("node").distinct())
 
     hubs = groups.groupBy("g").agg(F.min("node").alias("a")).withColumnRenamed("g", "of_g")
     stars = groups.join(hubs, F.col("g") == F.col("of_g")).where("a <> node").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("n"))
     best = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = _verified(known, profile, _maybe_similar(best, sketches, percent), percent)
+    links = _verified(docs, profile, _maybe_similar(best, sketches, percent), percent)
     labels = components(links)
     for nearest in (NEAREST, None):
-        more = _verified(known, profile, _open_pairs(groups, labels, sketches, percent, nearest), percent)
+        more = _verified(docs, profile, _open_pairs(groups, labels, sketches, percent, nearest), percent)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
     for t in (sketches, groups):
         discard(t)
 
-    named = profile.join(labels.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    return profile.join(labels.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("doc_id", "key", "n_shingles", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text, ...) -> doc_id, n_shingles, component_id, a row for each row.
+
+    n_shingles is the size of the set; component_id the smallest id that links reach. Null and empty texts and
+    texts without words have no shingle and their own id. Rows with a null id link others as any row; null
+    is a component's id only where all of it are null. Repeated rows have equal results. Extra columns are not
+    looked at; an empty table gives an empty result.
+    """
+    named = _labelled(docs, percent)
     smallest = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "of_label")
     return named.join(smallest, F.col("label") == F.col("of_label"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def _node_links(docs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of nodes whose sets are similar, each once; of documents whose id is not null."""
+    """(a, b): all pairs of nodes whose sets are similar, each once."""
     spark = docs.sparkSession
-    known = docs.where(F.col("doc_id").isNotNull())
-    profile = _profiled(known)
+    profile = _profiled(docs)
     size = profile.agg(F.count("*").alias("n"), F.max("n_shingles").alias("largest"), F.sum("n_shingles").alias("total")).first()
     if not size["largest"]:
         return spark.createDataFrame([], "a long, b long")
-    groups = materialize(_groups(known, size["largest"], size["total"], _frequent_shingles(known, size["n"]), percent), "near-groups")
+    groups = materialize(_groups(docs, size["largest"], size["total"], _frequent_shingles(docs, size["n"]), percent), "near-groups")
     settle(spark)
     sketches = _sketches(profile, groups.select("node").distinct())
     apart = spark.createDataFrame([], "node long, label long")  # every node a label of its own, so no pair is passed over
-    links = _verified(known, profile, _open_pairs(groups, apart, sketches, percent, None), percent)
+    links = _verified(docs, profile, _open_pairs(groups, apart, sketches, percent, None), percent)
     for t in (sketches, groups):
         discard(t)
     return links
@@ -579,25 +587,24 @@ def _node_links(docs: DataFrame, percent: int) -> DataFrame:
 def near_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text, ...) -> class_a, class_b: every link between different sets, each once.
 
-    A class is the documents of one set, named by its smallest id; of a link class_a is not above class_b, and they
-    are equal only where an id is repeated with other texts. Null ids and texts without words have no class.
+    A class is the documents of one set, named by its smallest id, or null without any; of a link class_a is not above
+    class_b, nulls last, and they are equal only where an id is repeated with other texts. Texts without words have no class.
     All pairs in a group are compared, but for those that sizes or sketches prove too different, so m sets that
     are all similar cost m * m / 2 rows, as many as their links.
     """
-    profile = _profiled(docs.where(F.col("doc_id").isNotNull()))
+    profile = _profiled(docs)
     least = materialize(profile.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least")), "near-classes")
     named = lambda end: least.select(F.col("node").alias(f"node_{end}"), F.col("least").alias(f"least_{end}"))
     both = _node_links(docs, percent).join(named("a"), F.col("a") == F.col("node_a")).join(named("b"), F.col("b") == F.col("node_b"))
-    return both.select(F.least("least_a", "least_b").alias("class_a"), F.greatest("least_a", "least_b").alias("class_b"))
+    return both.select(F.least("least_a", "least_b").alias("class_a"), F.when(F.col("least_a").isNotNull() & F.col("least_b").isNotNull(), F.greatest("least_a", "least_b")).alias("class_b"))
 
 
 def link_counts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, n_links, a row for each row: how many rows of the table, copies among them, its set is similar to, without itself.
 
-    Rows with a null id and texts without words have no link and count for none.
+    Rows with a null id count as any; texts without words have no link and count for none.
     """
     profile = _profiled(docs)
-    profile = profile.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node")))
     sizes = materialize(profile.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("rows")), "near-classes")
     links = _node_links(docs, percent)
     ends = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
@@ -609,13 +616,18 @@ def link_counts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with their columns.
 
-    Of repeated rows all stay. Rows with a null id stay. Only rows that a filter of bounded size marks are shuffled, to
-    be held against the exact ids; the others stay where they are.
+    Of a component without any id the text of the smallest hash stays. Of repeated rows, of equal id and text, all stay. Only rows that a filter
+    of bounded size marks are shuffled, to be held against the exact keys; the others stay where they are.
     """
-    name = free_name(docs, "_gone")
-    gone = materialize(near_duplicates(docs).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct(), "near-gone")
-    maybe, others = Marks(gone).split(docs, "doc_id")
-    return others.unionByName(maybe.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    named = _labelled(docs, PERCENT)
+    smallest = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key")).withColumnRenamed("label", "of_label")
+    held = named.select("doc_id", "key", "label").join(smallest, F.col("label") == F.col("of_label"))
+    later = F.when(F.col("least").isNull(), F.col("key") > F.col("least_key")).otherwise(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
+    name, gone_name = free_name(docs, "_key"), free_name(docs, "_gone")
+    gone = materialize(held.where(later).select(F.col("key").alias(gone_name)).distinct(), "near-gone")
+    maybe, others = Marks(gone).split(docs.withColumn(name, _key()), name)
+    left = others.unionByName(maybe.join(gone, F.col(name) == F.col(gone_name), "left_anti").select(*[F.col(f"`{c}`") for c in maybe.columns]))
+    return left.drop(name)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,34 @@ def test_marks_split(spark):
     assert len(m) < 1100
     empty = common.Marks(values.limit(0)).split(rows, "x")
     assert empty[0].count() == 0 and empty[1].count() == 3001
+
+
+def test_a_row_without_id_links_others(spark):
+    words = [f"w{k}" for k in range(40)]
+    b = list(words)
+    a, c = ["x", "y", "z", *b[3:]], [*b[:-3], "u", "v", "t"]  # each like b, not like each other
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (3, " ".join(c)), (7, "alone in here"), (None, "no one is like this one")]
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], "doc_id long, text string, lang string, source string, key long")
+    got = sorted(map(tuple, partenum.near_duplicates(docs).select("doc_id", "component_id").collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (3, 1), (7, 7), (None, None)], key=str)
+    assert sorted((r["doc_id"] for r in partenum.one_of_each(docs).collect()), key=str) == [1, 7, None]
+    assert sorted(map(tuple, partenum.near_links(docs).collect())) == [(1, None), (3, None)]
+    assert sorted(r["n_links"] for r in partenum.link_counts(docs).collect()) == [0, 0, 1, 1, 2]
+
+
+def test_of_near_copies_without_any_id_one_stays(spark):
+    base = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(None, " ".join(base)), (None, " ".join(base[1:])), (None, " ".join(base[2:])), (None, " ".join(base))], "doc_id long, text string")
+    got = [r["text"] for r in partenum.one_of_each(docs).collect()]
+    assert len(set(got)) == 1
+    assert {r["component_id"] for r in partenum.near_duplicates(docs).collect()} == {None}
+
+
+def test_sets_of_nothing_but_frequent_shingles_share_a_signature():
+    rng = np.random.default_rng(3)
+    bands = partenum.Bands.of(400, 75)
+    for n in (3, 8, 30, 36, 60, 90, 300):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = a[max(1, n // 20) :]
+        sig, owner, _ = partenum.signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), bands, a)
+        assert 100 * len(b) < 75 * len(a) or set(sig[owner == 0]) & set(sig[owner == 1]), n
