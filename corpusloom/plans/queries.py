@@ -19,7 +19,9 @@ from ..operators import entities as E
 from ..operators import tags as G
 from ..sources import reads as R
 from ..sources import sinks as K
+from ..sources.scratch import scratch
 from ..streaming import jobs as J
+from ..streaming import machines as M
 from .proxies import COVERAGE, Tables, with_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -557,6 +559,42 @@ def _(t):
     return J.claimable(jobs, F.lit("2024-01-15").cast("timestamp_ntz"), per_queue=5).select("id", "queue_name")
 
 
+_LEASE_DAYS = 30
+#: The end of each job of ``_sale_messages`` in closed form: claims come every lease, and an outcome counts if it is of the attempt that runs.
+_SALE_JOBS = f"""WITH m AS (SELECT sale_id AS id, epoch_us(sold_at) AS s, CASE WHEN status IN ('done', 'held') THEN epoch_us(arrived_at) + 3600000000 END AS a, CASE WHEN priority = 5 THEN 2 ELSE 1 END AS attempt, status = 'done' AS ok, coalesce(priority = 1, false) AS fatal, {_LEASE_DAYS} * 86400000000 AS lease FROM sales WHERE sale_id IS NOT NULL),
+h AS (SELECT greatest(max(s), max(a)) // 1000 * 1000 AS h FROM m),
+e AS (SELECT *, coalesce(a >= s AND a <= h AND attempt = (a - s) // lease + 1, false) AS hit, a + 10000000 * CAST(pow(2, attempt - 1) AS BIGINT) AS again FROM m, h WHERE s <= h)
+SELECT id, CASE WHEN hit AND ok THEN 'done' WHEN hit AND fatal THEN 'failed' WHEN hit AND again > h THEN 'pending' ELSE 'running' END AS state,
+  CAST(CASE WHEN hit AND (ok OR fatal OR again > h) THEN attempt WHEN hit THEN attempt + (h - again) // lease + 1 ELSE (h - s) // lease + 1 END AS INT) AS attempts FROM e"""
+
+
+def _sale_messages(t):
+    """A job for each sale, due when it is sold; of closed and held ones an outcome comes an hour after the sale's row, of some for an attempt that is not there."""
+    sales = t.raw("sales").where("sale_id is not null")
+    none = lambda kind: F.lit(None).cast(kind)
+    new = sales.select(F.col("sale_id").alias("id"), F.col("sold_at").alias("at"), F.lit("enqueue").alias("what"), F.lit("sales").alias("queue_name"), F.col("status").alias("payload"), none("int").alias("attempts"), none("boolean").alias("ok"), none("boolean").alias("fatal"), none("string").alias("error_class"))
+    told = sales.where("status in ('done', 'held')").select(
+        F.col("sale_id").alias("id"), (F.col("arrived_at") + F.make_dt_interval(hours=F.lit(1))).alias("at"), F.lit("settle").alias("what"), none("string").alias("queue_name"), none("string").alias("payload"),
+        F.when(F.col("priority") == 5, 2).otherwise(1).alias("attempts"), (F.col("status") == "done").alias("ok"), F.coalesce(F.col("priority") == 1, F.lit(False)).alias("fatal"), F.lit("held").alias("error_class"),
+    )
+    return new.unionByName(told)
+
+
+@query("t2_job_history", _SALE_JOBS)
+def _(t):
+    messages = _sale_messages(t)
+    end = messages.agg(F.date_trunc("millisecond", F.max("at"))).first()[0]
+    return M.last_states(M.job_history(messages, F.lit(end), _LEASE_DAYS * 86400))
+
+
+@query("t3_job_stream", _SALE_JOBS)
+def _(t):
+    folder = scratch(t.spark, "job-stream")
+    t = Tables(t.spark, t.folder)
+    t.raw = lambda name: R.read_stream(t.spark, t.folder, name)
+    return M.last_states(M.drained(M.stream_jobs(_sale_messages(t), _LEASE_DAYS * 86400, "0 seconds"), folder))
+
+
 @query("t9_queue_state", """SELECT id, nullif(list_reduce(list_prepend('none', list(a ORDER BY event_id)), lambda s, a: CASE WHEN a = 'enqueue' THEN 'unread' WHEN a = 'archive' AND s <> 'none' THEN 'archived' WHEN a = 'start' AND s = 'unread' THEN 'reading' WHEN a = 'finish' AND s NOT IN ('none', 'archived') THEN 'read' WHEN a = 'unread' AND s NOT IN ('none', 'archived') THEN 'unread' ELSE s END), 'none') AS state
 FROM (SELECT user_id AS id, event_id, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'archive' ELSE 'unread' END AS a FROM events) GROUP BY id""")
 def _(t):

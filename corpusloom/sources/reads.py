@@ -41,6 +41,11 @@ def _equal(column: str, value) -> Column:
     return F.col(column) == F.lit(value)
 
 
+def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream of its rows, whether it is one file or a folder of files (a pattern may be either, a plain path may not)."""
+    return spark.readStream.schema(read(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def find_many(df: DataFrame, where: dict | None = None) -> DataFrame:
     """Rows that equal all values; all rows without any. A dict equals JSON of the same content, however written."""
     return df.where(reduce(lambda a, b: a & b, (_equal(c, v) for c, v in where.items()))) if where else df

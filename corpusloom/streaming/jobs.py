@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.urls import backoff_seconds, gives_up, hmac_hex, signature_valid
 
@@ -31,7 +30,10 @@ def claimable(jobs: DataFrame, now: Column, per_queue: int = 1) -> DataFrame:
 
 def claim(jobs: DataFrame, now: Column, per_queue: int = 1) -> DataFrame:
     """All jobs after a claim: taken ones run, with one attempt more and a new lease."""
-    taken = claimable(jobs, now, per_queue).select(F.col("id").alias("_taken"))
+    return _claimed(jobs, claimable(jobs, now, per_queue).select(F.col("id").alias("_taken")), now)
+
+
+def _claimed(jobs: DataFrame, taken: DataFrame, now: Column) -> DataFrame:
     out = jobs.join(taken, F.col("id") == F.col("_taken"), "left")
     mine = F.col("_taken").isNotNull()
     return out.withColumns(
@@ -127,25 +129,6 @@ def stream_once(mails: DataFrame, watermark: str = "30 days") -> DataFrame:
     return named.unionByName(mails.where("message_id is null").withWatermark("received_at", watermark))
 
 
-_NEXT = {"enqueue": lambda s: "unread", "enqueue-if-absent": lambda s: s or "unread", "archive": lambda s: s and "archived", "start": lambda s: "reading" if s == "unread" else s, "finish": lambda s: "read" if s not in (None, "archived") else s, "unread": lambda s: "unread" if s not in (None, "archived") else s}
-
-
-def stream_item_states(actions: DataFrame) -> DataFrame:
-    """A stream of (id, at, action) to updates (id, state): the fold of ``item_states`` with its state kept by key."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else None
-        ordered = pd.concat(list(batches)).sort_values(["at", "action"])
-        for action in ordered["action"].tolist():
-            now = _NEXT.get(action, lambda s: s)(now)
-        if now is not None:
-            state.update((now,))
-        yield pd.DataFrame({"id": [key[0]], "state": [now]})
-
-    kind = dict(actions.dtypes)["id"]
-    return actions.groupBy("id").applyInPandasWithState(step, f"id {kind}, state string", "state string", "update", GroupStateTimeout.NoTimeout)
-
-
 def stream_latency(events: DataFrame, window: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
     """A stream of extraction events to counts and mean times a window and outcome."""
     return events.withWatermark("created_at", watermark).groupBy(F.window("created_at", window), "outcome").agg(F.count("*").alias("n"), F.avg("fetch_ms").alias("mean_fetch_ms"))
@@ -215,17 +198,15 @@ def work(claimed: DataFrame, handlers: dict[str, Callable[[str], None]]) -> Data
 def run_pass(jobs: DataFrame, handlers: dict[str, Callable[[str], None]], now: Column, folder: str, per_queue: int = 1) -> DataFrame:
     """All jobs after one pass over the queues that have a handler: the next due job of each is claimed, run and settled.
 
-    The claim and the outcomes are written to ``folder`` (shared by all executors) before they are used, so a lost task does not
-    claim anew, and a handler runs again only where its own task was lost.
+    What is taken, the claim and the outcomes are written to ``folder`` (shared by all executors) before they are used, each once. So a lost task
+    does not claim anew, a clock that goes on claims nothing more, and a handler runs again only where its own task was lost.
     """
     mine = jobs.where(F.col("queue_name").isin(list(handlers)))
-    claim(mine, now, per_queue).write.mode("overwrite").parquet(f"{folder}/claimed")
-    claimed = jobs.sparkSession.read.schema(mine.schema).parquet(f"{folder}/claimed")
-    before = claimable(mine, now, per_queue).select(F.col("id").alias("_due"))
-    running = claimed.join(before, F.col("id") == F.col("_due"), "left_semi")
-    work(running, handlers).write.mode("overwrite").parquet(f"{folder}/outcomes")
-    outcomes = jobs.sparkSession.read.parquet(f"{folder}/outcomes")
-    return settle(claimed, outcomes, now).unionByName(jobs.where(~F.coalesce(F.col("queue_name").isin(list(handlers)), F.lit(False))))
+    write = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}") or jobs.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    taken = write(claimable(mine, now, per_queue).select(F.col("id").alias("_taken")), "taken")
+    claimed = write(_claimed(mine, taken, now), "claimed")
+    done = write(work(claimed.join(taken, F.col("id") == F.col("_taken"), "left_semi"), handlers), "outcomes")
+    return settle(claimed, done, now).unionByName(jobs.where(~F.coalesce(F.col("queue_name").isin(list(handlers)), F.lit(False))))
 
 
 def drain(jobs: DataFrame, work, path: str, checkpoint: str):

@@ -1,6 +1,7 @@
 """Entities, upserts, workers, model calls and streams where round numbers and nulls mislead."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,17 @@ def test_worker_passes(spark, tmp_path):
     assert {r["id"]: r["state"] for r in late.collect()} == {"a1": "done", "a2": "failed", "b1": "done", "c1": "pending"}
 
 
+def test_a_pass_on_a_moving_clock_runs_what_it_claimed(spark, tmp_path):
+    """A job that falls due while the pass goes on is neither run nor counted."""
+    jobs = jobs_of(spark, ("a", "a", "ok"), ("b", "b", "bad"))
+    soon = F.when(F.col("id") == "b", F.lit(datetime.datetime.now(datetime.UTC) + datetime.timedelta(seconds=6))).otherwise(F.col("run_at"))
+    jobs = jobs.withColumn("run_at", soon)
+    slow = lambda p: time.sleep(8)
+    out = J.run_pass(jobs, {"a": slow, "b": handle}, F.current_timestamp(), str(tmp_path / "pass"), 5)
+    assert {r["id"]: (r["state"], r["attempts"]) for r in out.collect()} == {"a": ("done", 1), "b": ("pending", 0)}
+    assert [r["id"] for r in spark.read.parquet(str(tmp_path / "pass/outcomes")).collect()] == ["a"]
+
+
 def test_postponed_and_stale(spark):
     jobs = J.claim(jobs_of(spark, ("a", "q", "x")), F.lit(NOW))
     back = J.postpone(jobs, F.col("id") == "a", F.lit(NOW)).first()

@@ -112,17 +112,6 @@ def test_item_states(spark):
 
 
 def test_streams(spark, tmp_path):
-    src = str(tmp_path / "in")
-    for k in (0, 1):
-        spark.createDataFrame([a for a in ACTIONS if (a[1] > 2) == bool(k)], "id int, at int, action string").coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema("id int, at int, action string").parquet(src)
-        got = {}
-
-        def keep(batch, _, got=got):
-            got.update({r["id"]: r["state"] for r in batch.collect()})
-
-        J.stream_item_states(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
-    assert got[1] == "archived" and got[3] == "unread"
     mails = str(tmp_path / "mails")
     spark.createDataFrame([("m", "2026-01-01 00:00:00"), ("m", "2026-01-01 00:01:00"), ("n", "2026-01-01 00:00:00")], "message_id string, t string").select("message_id", F.to_timestamp("t").alias("received_at")).write.parquet(mails)
     q = J.stream_once(spark.readStream.schema("message_id string, received_at timestamp").parquet(mails)).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
