@@ -2,87 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
+from ..sources.scratch import drop, scratch, written
+from .nearest import nearest
 
 FOLD = 0.90
-#: A vocabulary of more numbers than this is compared in blocks.
-BLOCK_NUMBERS = 8_000_000
-
-
-def nearest(proposals: DataFrame, vocabulary: DataFrame, id_: str = "id", vector: str = "embedding") -> DataFrame:
-    """Adds nearest_id and similarity, the vocabulary's row of the largest cosine; ties to the smallest id.
-
-    Null vectors of the vocabulary are skipped; null, empty and zero vectors, and those of another length, have no
-    similarity but 0; a null proposal has no nearest. The vocabulary comes to the executors in blocks of bounded size.
-    """
-    out = proposals.select("*", F.lit(None).cast(vocabulary.schema[id_].dataType).alias("nearest_id"), F.lit(None).cast("double").alias("similarity"))
-    schema, at = out.schema, proposals.columns.index(vector)
-
-    for ids, matrix, sizes in _blocks(vocabulary, id_, vector):
-        shared = proposals.sparkSession.sparkContext.broadcast((ids, matrix, sizes))
-        out = out.mapInArrow(lambda batches, shared=shared: _better(batches, shared.value, at, schema), schema)
-    return out
-
-
-def _blocks(vocabulary: DataFrame, id_: str, vector: str) -> Iterator[tuple]:
-    rows = vocabulary.where(F.col(vector).isNotNull()).select(id_, vector).sort(id_)
-    ids, vectors, numbers = [], [], 0
-
-    def block():
-        width = max(map(len, vectors), default=0)
-        m = np.zeros((len(vectors), width))
-        for i, v in enumerate(vectors):
-            m[i, : len(v)] = v
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return list(ids), np.divide(m, n, out=np.zeros_like(m), where=n > 0), np.array(list(map(len, vectors)))
-
-    for r in rows.toLocalIterator():
-        ids.append(r[0])
-        vectors.append(r[1])
-        numbers += len(r[1])
-        if numbers >= BLOCK_NUMBERS:
-            yield block()
-            ids, vectors, numbers = [], [], 0
-    if ids:
-        yield block()
-
-
-#: Similarities that are held at a time.
-_SCORES = 4_000_000
-
-
-def _better(batches, block, at: int, schema):
-    """The better of what a batch has and the block's nearest: one matrix product for all vectors of a length."""
-    ids, matrix, sizes = block
-    for batch in batches:
-        best, score = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).copy()
-        vectors = batch.column(at)
-        lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
-        for n in np.unique(lengths[lengths >= 0]).tolist():
-            rows = np.flatnonzero(lengths == n)
-            same = sizes == n if 0 < n <= matrix.shape[1] else np.zeros(len(ids), bool)
-            for k in range(0, len(rows), max(1, _SCORES // len(ids))):
-                some = rows[k : k + max(1, _SCORES // len(ids))]
-                s = np.zeros((len(some), len(ids)))
-                if same.any():
-                    x = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), n)
-                    norms = np.linalg.norm(x, axis=1, keepdims=True)
-                    s[:, same] = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0) @ matrix[same, :n].T
-                i = s.argmax(axis=1)
-                top = s[np.arange(len(some)), i]
-                for row, where, value in zip(some.tolist(), i.tolist(), top.tolist(), strict=True):
-                    if not score[row] >= value:  # NaN where there is none yet
-                        best[row], score[row] = ids[where], value
-        kinds = [c.type for c in batch.columns[-2:]]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(best, kinds[0]), pa.array(score, kinds[1], from_pandas=True)], names=schema.names)
+#: Open proposals that are folded one by one at a time.
+BATCH = 2_000
 
 
 def resolve_tags(proposals: DataFrame, vocabulary: DataFrame, threshold: float = FOLD) -> DataFrame:
@@ -98,34 +28,70 @@ def resolve_tags(proposals: DataFrame, vocabulary: DataFrame, threshold: float =
     return p.select("label", "slug", F.coalesce(F.col("known_id").cast("string"), near.cast("string"), "slug").alias("tag_id"), how.alias("how"))
 
 
-def fold_tags(proposals: DataFrame, order: str, threshold: float = FOLD) -> DataFrame:
-    """label, tag: each proposal in order joins the tag of its slug, else the most similar tag so far, else founds one.
+def fold_tags(proposals: DataFrame, order: str, vocabulary: DataFrame | None = None, threshold: float = FOLD, batch: int = BATCH, **search) -> DataFrame:
+    """Adds slug, tag_id and how (slug, similar, new): each proposal (label, embedding) in order takes the tag of its slug, else the most similar tag, else founds one.
 
-    The result depends on the order, so one task folds all proposals of a document: they are few.
-    """
+    Tags are those of ``vocabulary`` (id, slug, embedding) and those that earlier proposals founded, whose id is their slug; of
+    tags alike the one of the smallest id, as a string, is taken. Only tags are looked up: the slug of a proposal that took another tag
+    is free. ``order`` is an integral column without repeats; rows where it is null are left out.
 
-    def fold(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: r[order])
-        slugs: dict[str, str] = {}
-        vectors: list[tuple[str, np.ndarray]] = []
-        out = []
-        for r in rows:
-            tag = slugs.get(r["slug"])
-            v = np.asarray(r["embedding"] if r["embedding"] is not None else [], float)
-            n = np.linalg.norm(v) if len(v) else 0.0
-            if tag is None and n > 0:
-                best = max(((float(v @ w) / n, t) for t, w in vectors if len(w) == len(v)), key=lambda x: x[0], default=(0.0, None))
-                tag = best[1] if best[0] >= threshold else None
-            if tag is None:
-                tag = r["slug"]
-                if n > 0:
-                    vectors.append((tag, v / n))
-            slugs.setdefault(r["slug"], tag)
-            out.append(tag)
-        return pa.table({"doc": pa.array([r["doc"] for r in rows], pa.string()), "label": [r["label"] for r in rows], "tag": out})
-
-    p = proposals.select(F.col("doc").cast("string").alias("doc"), order, "label", slugify(F.col("label")).alias("slug"), "embedding")
-    return p.groupBy("doc").applyInArrow(fold, "doc string, label string, tag string")
+    What a proposal founds depends only on earlier ones of its slug or like it. So in rounds the first ``batch`` open proposals are folded one by one,
+    and all the others are compared with the few tags that these founded: whatever has such a slug or embedding founds none. Then each
+    proposal is looked up once among the tags that were there before it. ``search`` goes to ``nearest``.
+    """
+    spark = proposals.sparkSession
+    kind = dict(proposals.dtypes)["embedding"]
+    rows = written(proposals.where(F.col(order).isNotNull()).withColumn("slug", slugify(F.col("label"))), "fold-rows")
+    if vocabulary is None:
+        vocabulary = spark.createDataFrame([], f"id string, slug string, embedding {kind}")
+    stored = vocabulary.select(F.col("id").cast("string").alias("id"), "slug", F.col("embedding").cast(kind).alias("embedding"))
+    by_slug = stored.where("slug is not null").groupBy(F.col("slug").alias("_slug")).agg(F.min("id").alias("_stored"))
+    unknown = rows.join(by_slug, F.col("slug") == F.col("_slug"), "left_anti").select(F.col(order).cast("long").alias("at"), "slug", "embedding")
+    near = nearest(unknown, stored, **search)
+    going = written(near.where(~F.coalesce(F.col("similarity") >= threshold, F.lit(False))).select("at", "slug", "embedding"), "fold-open")
+    path = scratch(spark, "fold-founded")
+    spark.createDataFrame([], going.schema).write.parquet(path)
+    while first := going.orderBy("at").limit(batch).collect():  # of bounded size
+        new = _founders(first, threshold)
+        mine = spark.createDataFrame(new, going.schema).coalesce(1)
+        mine.write.mode("append").parquet(path)
+        last = first[-1]["at"]
+        slugs = F.broadcast(mine.select(F.col("slug").alias("_slug")))
+        later = going.where(F.col("at") > last).join(slugs, F.col("slug") == F.col("_slug"), "left_anti")
+        alike = nearest(later, mine.select(F.col("slug").alias("id"), "embedding"))
+        left = written(alike.where(~F.coalesce(F.col("similarity") >= threshold, F.lit(False))).select("at", "slug", "embedding"), "fold-open")
+        drop(going)
+        going = left
+    founded = spark.read.schema(going.schema).parquet(path)
+
+    names = founded.select(F.col("slug").alias("_new"), F.col("at").alias("_since"))
+    known = rows.join(by_slug, F.col("slug") == F.col("_slug"), "left").join(names, (F.col("slug") == F.col("_new")) & (F.col(order) >= F.col("_since")), "left")
+    known = written(known.select(*rows.columns, F.coalesce("_stored", "_new").alias("_tag"), (F.col(order) == F.col("_since")).alias("_own")), "fold-known")
+    tags = stored.select("id", "embedding", F.lit(-(1 << 63)).alias("since")).unionAll(founded.select(F.col("slug").alias("id"), "embedding", F.col("at").alias("since")))
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    by_name = known.where("_tag is not null").select(*own, F.col("_tag").alias("tag_id"), F.when(F.col("_own"), "new").otherwise("slug").alias("how"))
+    by_likeness = nearest(known.where("_tag is null").select(*own), tags, since="since", at=order, **search)
+    return by_name.unionByName(by_likeness.select(*own, F.col("nearest_id").alias("tag_id"), F.lit("similar").alias("how")))
+
+
+def _founders(rows: list, threshold: float) -> list:
+    """Those of some open proposals, in order, that found a tag: none before them has their slug or is like them."""
+    slugs: set[str] = set()
+    units: dict[int, list[np.ndarray]] = {}
+    out = []
+    for r in rows:
+        if r["slug"] in slugs:
+            continue
+        v = np.nan_to_num(np.asarray(r["embedding"] if r["embedding"] is not None else [], float))
+        n = np.linalg.norm(v) if len(v) else 0.0
+        alike = units.setdefault(len(v), [])
+        if n > 0:
+            if alike and (np.asarray(alike) @ (v / n)).max() >= threshold:
+                continue
+            alike.append(v / n)
+        slugs.add(r["slug"])
+        out.append(r)
+    return out
 
 
 def baseline(readable_tags: DataFrame, tags: DataFrame) -> DataFrame:

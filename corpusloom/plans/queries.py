@@ -439,10 +439,31 @@ def _(t):
     return G.resolve_tags(e.where("vec_id % 5 <> 0").select("label", "embedding"), vocabulary)
 
 
-@query("v4_fold_tags")
+#: Similarity from which vectors of the given table are one tag here: about half of them have one as near.
+_ALIKE = 0.35
+#: The plain fold: one proposal after another, with the founded tags in a list.
+_FOLD = f"""WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+p AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, 'tag-' || (vec_id % 150) AS slug, v FROM e WHERE vec_id % 4 <> 0),
+s AS (SELECT CAST(vec_id AS VARCHAR) AS id, 'tag-' || (vec_id % 450) AS slug, v FROM e WHERE vec_id % 4 = 0),
+b AS (SELECT slug AS s_slug, min(id) AS stored FROM s GROUP BY slug),
+n AS (SELECT k, max(c) AS near_c, arg_min(id, (-round(c, 12), id)) AS near_id FROM (SELECT k, s.id, list_cosine_similarity(p.v, s.v) AS c FROM p, s) GROUP BY k),
+q AS MATERIALIZED (SELECT p.*, stored, near_c, near_id FROM p LEFT JOIN b ON slug = s_slug LEFT JOIN n USING (k)),
+f AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(slug VARCHAR, v DOUBLE[])[]) AS made, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS VARCHAR) AS slug, CAST(NULL AS VARCHAR) AS tag_id, CAST(NULL AS VARCHAR) AS how
+  UNION ALL
+  SELECT k, CASE WHEN how = 'new' THEN list_append(made, {{'slug': slug, 'v': v}}) ELSE made END, vec_id, slug, CASE how WHEN 'slug' THEN coalesce(stored, slug) WHEN 'new' THEN slug ELSE alike END, how FROM (
+    SELECT *, CASE WHEN stored IS NOT NULL OR list_contains(list_transform(made, lambda m: m.slug), slug) THEN 'slug' WHEN greatest(near_c, best.c) >= {_ALIKE} THEN 'similar' ELSE 'new' END AS how,
+      CASE WHEN best.c IS NULL OR near_c >= best.c THEN near_id ELSE best.slug END AS alike
+    FROM (SELECT q.*, made, list_sort(list_transform(made, lambda m: {{'c': list_cosine_similarity(m.v, q.v), 'slug': m.slug}}), 'DESC')[1] AS best FROM f JOIN q ON q.k = f.k + 1)))
+SELECT vec_id, slug, tag_id, how FROM f WHERE k > 0"""
+
+
+@query("v4_fold_tags", _FOLD)
 def _(t):
-    e = t.raw("embeddings").select((F.col("vec_id") % 50).alias("doc"), "vec_id", F.concat(F.lit("Tag "), F.col("label").cast("string")).alias("label"), "embedding")
-    return G.fold_tags(e, "vec_id")
+    e = t.raw("embeddings")
+    stored = e.where("vec_id % 4 = 0").select(F.col("vec_id").alias("id"), F.concat(F.lit("tag-"), (F.col("vec_id") % 450).cast("string")).alias("slug"), "embedding")
+    proposals = e.where("vec_id % 4 <> 0").select("vec_id", F.concat(F.lit("Tag "), (F.col("vec_id") % 150).cast("string")).alias("label"), "embedding")
+    return G.fold_tags(proposals, "vec_id", stored, _ALIKE).select("vec_id", "slug", "tag_id", "how")
 
 
 # Entities.

@@ -96,7 +96,7 @@ def test_a_worker_on_the_clock(spark, tmp_path):
     rows = [(p, at(0), "enqueue", "q" if p != "nobody" else "other", p, None, None, None, None, None) for p in ("good", "bad", "dead", "no model", "nobody")]
     spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(f"{inbox}/first")
 
-    def run(until, seconds=60):
+    def run(until, seconds=200):
         query = M.start_worker(spark, inbox, changes, marks, {"q": handle}, ddl, lease_seconds=6)
         end = time.time() + seconds
         try:

@@ -70,7 +70,7 @@ def test_tags(spark):
     asked = spark.createDataFrame([("Rust", None), ("Oxidised", [0.99, 0.14, 0.0]), ("New", [0.0, 0.0, 1.0]), ("Short", [1.0])], "label string, embedding array<double>")
     assert rows(G.resolve_tags(asked, vocabulary), "label", "tag_id", "how") == [("New", "new", "new"), ("Oxidised", "t1", "similar"), ("Rust", "t1", "slug"), ("Short", "short", "new")]
     folded = spark.createDataFrame([("d", 1, "Rust", [1.0, 0.0]), ("d", 2, "rust", None), ("d", 3, "Oxide", [0.99, 0.1]), ("d", 4, "Go", [0.0, 1.0])], "doc string, n int, label string, embedding array<double>")
-    assert rows(G.fold_tags(folded, "n"), "label", "tag") == [("Go", "go"), ("Oxide", "rust"), ("Rust", "rust"), ("rust", "rust")]
+    assert rows(G.fold_tags(folded, "n"), "label", "tag_id") == [("Go", "go"), ("Oxide", "rust"), ("Rust", "rust"), ("rust", "rust")]
     tags = spark.createDataFrame([("1", "ml", "ML"), ("2", "news", "News"), ("3", "mine", "Mine")], "id string, slug string, label string")
     base = G.baseline(spark.createDataFrame([("1", "article", "a"), ("2", "article", "a")], "tag_id string, readable_type string, readable_id string"), tags)
     items = spark.createDataFrame([("i", "article", "a"), ("j", "article", "b")], "item_id string, readable_type string, readable_id string")
