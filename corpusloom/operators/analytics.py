@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,52 @@ def errors(events: DataFrame) -> DataFrame:
     return events.where("outcome = 'failed'").groupBy("error_class").agg(F.count("*").alias("n"))
 
 
+#: Buckets that a range of values is cut into at a time.
+BUCKETS = 4_096
+
+
+def percentiles(rows: DataFrame, wanted: dict[str, list[float]], buckets: int = BUCKETS) -> dict[tuple[str, float], float | None]:
+    """Exact percentiles of numeric columns, interpolated between neighbours; None for a column without values. Nulls and NaN are left out.
+
+    A percentile lies between the values of two ranks. All ranks are looked for at once: the range of each is cut into buckets, their rows
+    are counted, and the bucket that holds the rank is the next range, until it holds one value alone. A pass reduces a range by the number of
+    buckets, so a few are enough, and no task or driver holds more than a count for each bucket.
+    """
+    clean = rows.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in wanted])
+    first = clean.agg(*[f(c).alias(f"{c}_{n}") for c in wanted for f, n in ((F.count, "n"), (F.min, "lo"), (F.max, "hi"))]).first()
+    open_, known = {}, {}
+    places = {(c, p): p * (first[f"{c}_n"] - 1) for c, ps in wanted.items() for p in ps if first[f"{c}_n"]}
+    for (c, _), at in places.items():
+        for rank in {math.floor(at), math.ceil(at)}:
+            open_[c, rank] = (0, first[f"{c}_lo"], first[f"{c}_hi"])  # rows below, and the range
+    while True:
+        known |= {key: lo for key, (_, lo, hi) in open_.items() if lo == hi}
+        open_ = {key: x for key, x in open_.items() if x[1] < x[2]}
+        if not open_:
+            break
+        names = list(open_)
+        in_range = []
+        for i, (c, _) in enumerate(names):
+            _, lo, hi = open_[names[i]]
+            bucket = F.least(F.lit(buckets - 1), F.floor((F.col(c) / 2 - lo / 2) / (hi / 2 - lo / 2) * buckets)).cast("int")
+            in_range.append(F.when(F.col(c).between(lo, hi), F.struct(F.lit(i).alias("i"), bucket.alias("b"), F.col(c).alias("x"))))
+        found = clean.select(F.explode(F.array_compact(F.array(*in_range))).alias("s")).groupBy("s.i", "s.b").agg(F.count("*").alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi")).collect()
+        for i, key in enumerate(names):
+            below = open_[key][0]
+            for r in sorted((r for r in found if r["i"] == i), key=lambda r: r["b"]):
+                if key[1] < below + r["n"]:
+                    open_[key] = (below, r["lo"], r["hi"])
+                    break
+                below += r["n"]
+    value = lambda c, at: known[c, math.floor(at)] + (known[c, math.ceil(at)] - known[c, math.floor(at)]) * (at - math.floor(at))
+    return {(c, p): value(c, places[c, p]) if (c, p) in places else None for c, ps in wanted.items() for p in ps}
+
+
 def latency(events: DataFrame, columns: tuple[str, ...] = ("fetch_ms", "extract_ms")) -> DataFrame:
-    cut = lambda c, p: F.round(F.percentile(c, F.lit(p))).cast("long").alias(f"p{round(100 * p)}_{c}")
-    return events.where("outcome = 'done'").agg(*[cut(c, p) for c in columns for p in (0.5, 0.95)])
+    got = percentiles(events.where("outcome = 'done'"), {c: [0.5, 0.95] for c in columns})
+    names = {f"p{round(100 * p)}_{c}": x for (c, p), x in got.items()}
+    row = events.sparkSession.createDataFrame([tuple(names.values())], ", ".join(f"`{n}` double" for n in names))
+    return row.select(*[F.round(n).cast("long").alias(n) for n in names])
 
 
 def recovery(events: DataFrame, articles: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import analytics as A
 from ..operators import catalog as C
 from ..operators import content as B
 from ..operators import entities as E
+from ..operators import fetches as H
 from ..operators import tags as G
 from ..sources import reads as R
 from ..sources import sinks as K
@@ -580,6 +581,26 @@ def _(t):
     return J.claimable(jobs, F.lit("2024-01-15").cast("timestamp_ntz"), per_queue=5).select("id", "queue_name")
 
 
+_HOP_URL = "CASE WHEN {0} % 97 = 0 THEN concat('http://10.0.0.', CAST({0} % 250 AS VARCHAR), '/', CAST({0} AS VARCHAR)) ELSE concat('http://h', CAST({0} % 17 AS VARCHAR), '.example/', CAST({0} AS VARCHAR)) END"
+
+
+@query("s8_redirects", f"""WITH RECURSIVE r AS (SELECT event_id AS n, CASE event_type WHEN 'click' THEN 302 WHEN 'purchase' THEN 301 WHEN 'error' THEN CASE WHEN user_id % 2 = 0 THEN 404 ELSE 503 END ELSE 200 END AS status,
+  CASE WHEN event_type IN ('click', 'purchase') THEN (event_id * 31 + 7) % 12000 END AS nxt, CASE WHEN user_id % 5 = 0 THEN 'image/png' ELSE 'text/html' END AS kind FROM events),
+c AS (SELECT n AS n0, n AS cur, 0 AS redirects FROM r UNION ALL SELECT n0, nxt, redirects + 1 FROM c JOIN r ON cur = n WHERE nxt IS NOT NULL AND redirects <= 5 AND cur % 97 <> 0),
+l AS (SELECT n0, max(redirects) AS redirects, arg_max(cur, redirects) AS cur FROM c GROUP BY n0),
+e AS (SELECT l.*, status, CASE WHEN redirects > 5 THEN 'too-many-redirects' WHEN cur % 97 = 0 THEN 'blocked-url' WHEN status IS NULL THEN 'network' WHEN status >= 300 THEN 'http-status' WHEN kind <> 'text/html' THEN 'not-html' END AS error_class FROM l LEFT JOIN r ON cur = n)
+SELECT {_HOP_URL.format("n0")} AS url, CASE WHEN redirects <= 5 THEN {_HOP_URL.format("cur")} END AS final_url, redirects, CASE WHEN error_class IS NULL OR error_class IN ('http-status', 'not-html') THEN status END AS status, error_class,
+  coalesce(error_class = 'network' OR (error_class = 'http-status' AND status >= 500), false) AS retryable FROM e""")
+def _(t):
+    named = lambda n: F.expr(_HOP_URL.format(n).replace("VARCHAR", "STRING"))
+    e = t.raw("events").withColumn("to", (F.col("event_id") * 31 + 7) % 12000)
+    on = F.col("event_type").isin("click", "purchase")
+    status = F.when(F.col("event_type") == "click", 302).when(F.col("event_type") == "purchase", 301).when(F.col("event_type") == "error", F.when(F.col("user_id") % 2 == 0, 404).otherwise(503)).otherwise(200)
+    path = F.when(F.col("to") % 97 == 0, named("to")).when(F.col("to") % 17 == F.col("event_id") % 17, F.when(F.col("event_id") % 97 == 0, named("to")).otherwise(F.concat(F.lit("./x/../"), "to"))).otherwise(named("to"))
+    replies = e.select(named("event_id").alias("url"), status.alias("status"), F.when(on, path).alias("location"), F.when(F.col("user_id") % 5 == 0, "image/png").otherwise("text/html").alias("content_type"))
+    return H.follow(replies.select("url"), replies)
+
+
 _LEASE_DAYS = 30
 #: The end of each job of ``_sale_messages`` in closed form: claims come every lease, and an outcome counts if it is of the attempt that runs.
 _SALE_JOBS = f"""WITH m AS (SELECT sale_id AS id, epoch_us(sold_at) AS s, CASE WHEN status IN ('done', 'held') THEN epoch_us(arrived_at) + 3600000000 END AS a, CASE WHEN priority = 5 THEN 2 ELSE 1 END AS attempt, status = 'done' AS ok, coalesce(priority = 1, false) AS fatal, {_LEASE_DAYS} * 86400000000 AS lease FROM sales WHERE sale_id IS NOT NULL),
@@ -623,6 +644,15 @@ def _(t):
     return J.item_states(actions)
 
 
+@query("t9_item_stream", """SELECT id, nullif(list_reduce(list_prepend('none', list(a ORDER BY ts, a)), lambda s, a: CASE WHEN a = 'enqueue' THEN 'unread' WHEN a = 'archive' AND s <> 'none' THEN 'archived' WHEN a = 'start' AND s = 'unread' THEN 'reading' WHEN a = 'finish' AND s NOT IN ('none', 'archived') THEN 'read' WHEN a = 'unread' AND s NOT IN ('none', 'archived') THEN 'unread' ELSE s END), 'none') AS state
+FROM (SELECT user_id AS id, ts, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'archive' ELSE 'unread' END AS a FROM events WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM events)) GROUP BY id""")
+def _(t):
+    e = R.read_stream(t.spark, t.folder, "events")
+    actions = e.select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "finish").when(F.col("event_type") == "error", "archive").otherwise("unread").alias("action"))
+    updates = M.drained(M.stream_item_states(actions, "0 seconds"), scratch(t.spark, "item-stream"))
+    return updates.groupBy("id").agg(F.max_by("state", "batch").alias("state"))
+
+
 @query("t5_idempotent_ingest", "SELECT user_id AS message_id, min(event_id) AS event_id FROM events WHERE user_id % 10 <> 0 GROUP BY user_id UNION ALL SELECT NULL, event_id FROM events WHERE user_id % 10 = 0")
 def _(t):
     mails = t.raw("events").select(F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("message_id"), "event_id")
