@@ -3,9 +3,11 @@
 Nodes are the text blocks of a page and the block elements around them. A classifier gives each block a cost for
 either label by its words, links and marks; elements get costs by their tags and names. These become capacities to
 the two terminals. Smoothness edges join blocks that follow each other, a block and its element, and an element and
-the one around it: uncuttable below an element whose tag or name is plain, weak above it and where nothing is known.
+the one around it: firm below an element whose tag or name tells something, weak above it and where nothing is known. Every
+cost and edge is finite but those of hidden elements, and what a bad tag or name weighs depends on how much of the page's prose is elsewhere.
 The minimum cut, found by max-flow, is the cheapest labelling into content and boilerplate. So a long paragraph in a
-sidebar goes, a short one between long ones stays, and no name of an outer element can veto an article in it.
+sidebar beside an article goes, a short one between long ones stays, and an article that is all of a page's prose stays whatever its
+elements are called.
 """
 
 from __future__ import annotations
@@ -37,12 +39,13 @@ _IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt",
 _BAD_TAGS = {"nav", "footer", "aside", "menu", "dialog", "head"}
 _GOOD_TAGS = {"article", "main"}
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_BAD_NAME = re.compile(
-    r"(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|header|masthead|comments?|commentlist|respond|responses?|discussion|replies|reply|disqus|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|related|recommend\w*|share\w*|sharing|social|widget\w*|toolbar|pagination|pager|copyright|legal|search|complementary|contentinfo|navigation)\d*",
-    re.I,
-)
+#: Names of what surrounds an article, and names that an article may also have.
+_STRONG = r"ads?|adverts?|advertisements?|advertising|adv|sponsor(?:ed|s)?|sponsorships?|nav|navs|navbar|navmenu|navigation|breadcrumbs?|sidebar\w*|side|footer\w*|masthead|comments?|commentlist|respond|responses?|replies|reply|disqus|cookies?|consent|gdpr|popup|modal|subscribe|signup|login|share|shares|sharing|sharebar|pagination|pager|copyright|complementary|contentinfo"
+_WEAK = r"menus?|menubar|promos?|promotions?|banner|header|discussion|notice|notification|alert|overlay|newsletter|related|recommend(?:ed|ations?)?|social|widgets?|toolbar|legal|search"
+_BAD_NAME = re.compile(rf"(?:{_STRONG}|{_WEAK})\d*", re.I)
+_WEAK_NAME = re.compile(rf"(?:{_WEAK})\d*", re.I)
 #: Bad names that make a longer name bad wherever it begins with them.
-_BAD_FIRST = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|footer\w*|masthead|comments?|commentlist|disqus|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|related|recommend\w*|share\w*|sharing|social|widget\w*|toolbar|pagination|pager)\d*", re.I)
+_BAD_FIRST = re.compile(r"(?:ads?|adverts?|advertisements?|sponsor(?:ed|s)?|promos?|nav|navbar|navigation|menu|breadcrumbs?|sidebar\w*|footer\w*|masthead|comments?|commentlist|disqus|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|related|recommend(?:ed|ations?)?|share|sharing|social|widgets?|toolbar|pagination|pager)\d*", re.I)
 _GOOD_NAME = re.compile(r"(?:article\w*|main|content|post|entry|story)\d*", re.I)
 #: Parts of a name that tell of an element's shape or place, and beginnings of names that tell how a page is laid out.
 _SHAPES = set("area bar block body bottom box button buttons card col column container first form global group head holder icon icons inner item items last left lg link links list md module outer panel primary right row secondary section sm strip text title top unit wrap wrapper".split())
@@ -53,10 +56,17 @@ _SCALE = 1000
 #: The classifier's weights before any page is seen, by feature as ``features`` lists them; and the most a block's text may count.
 WEIGHTS = (-1.6, 0.75, -4.0, 0.8, 0.4, 0.3, -0.5)
 MOST = 3.0
-#: Costs of an element of a plain name or tag, of one that a good name or doubtful bad name hints at, and of an article in a badly named element.
-_PLAIN, _GOOD_HINT, _BAD_HINT, _INNER = 1e6, 3.0, -1.0, 2.0
-#: Edges: above an element with costs of its own, below a hint, from containers and from other elements where nothing is known, between next blocks.
-_ABOVE, _HINTED, _CONTAINER, _LOOSE, _NEXT = 0.25, 1.5, 1.0, 1.5, 1.0
+#: What is hidden cannot be content.
+_PLAIN = 1e6
+#: Evidence of an element by its kind: a base, and how often it counts its own prose times the share of the page's prose that is elsewhere.
+_AGAINST = {"tag": (6.0, 8.0), "strong": (2.5, 6.0), "weak": (2.5, 6.0), "doubt": (1.0, 0.0)}
+#: Evidence for content: of a good name, of an article in a badly named element, and for each block of an article or main part with and without prose.
+_GOOD_HINT, _INNER, _MAIN, _BARE = 3.0, 2.0, 3.5, 1.0
+#: A block of this score is prose.
+_PROSE = 0.5
+#: Edges: above an element with evidence of its own, for each block below an element that follows such a one, below a hint, from containers and from
+#: other elements where nothing is known, between next blocks.
+_ABOVE, _FIRM, _HINTED, _CONTAINER, _LOOSE, _NEXT = 0.25, 3.5, 1.5, 1.0, 1.5, 1.0
 #: The first weights, those of words, links and marks, are fitted; the tags of blocks follow a site's template too closely to learn them from it.
 FITTED = 4
 #: Pages that the classifier is fitted on at most, about, and how firmly it keeps to ``WEIGHTS``.
@@ -73,18 +83,20 @@ class Block:
 
 @dataclass(slots=True)
 class Element:
-    """``place``: 1 in a good element, -1 in a bad one, 2 and -2 where that is a hint, 0 elsewhere."""
+    """``place``: 1 in a good element, -1 in a bad one, 2 and -2 where that is a hint, 0 elsewhere; ``kind``: its own evidence, if any."""
 
     tag: str
     outer: int
-    cost: float
+    kind: str
     place: int
-    hidden: bool  # itself or an element around it has a bad tag or is hidden
+    hidden: bool  # itself or an element around it
+    under: bool  # an element around it, or itself, has a bad tag
 
 
-def _name_cues(value: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """Whether a class or id has a good name, a plain bad one, and a doubtful bad one."""
-    good = plain = doubtful = False
+def _name_cues(value: str, in_article: bool) -> tuple[bool, str, bool]:
+    """Whether a class or id has a good name, the kind of a plain bad one, and whether it has a doubtful bad one."""
+    good = doubtful = False
+    plain = ""
     for token in value.lower().split():
         parts = re.split(r"[-_]+", token)
         if parts[0] in _LAYOUT or parts[-1] in _STATES:
@@ -97,36 +109,44 @@ def _name_cues(value: str, in_article: bool) -> tuple[bool, bool, bool]:
         if parts[0] in ("content", "main") and bad == ["sidebar"]:
             doubtful = True  # a part with both
         elif not telling or telling[-1] in bad or _BAD_FIRST.fullmatch(parts[0]):
-            plain = True
+            weak = all(_WEAK_NAME.fullmatch(p) for p in bad) or telling and telling[-1] not in bad
+            plain = plain if plain == "strong" else "weak" if weak else "strong"
         else:
             doubtful = True
     return good, plain, doubtful
 
 
 def _element(tag: str, attrs: str, outer: int, of: Element | None) -> Element:
-    place, hidden = (of.place, of.hidden) if of else (0, False)
+    place, hidden, under = (of.place, of.hidden, of.under) if of else (0, False, False)
     in_article = place == 1
-    good = plain = doubtful = False
+    good = doubtful = False
+    plain = ""
     main, gone = tag in _GOOD_TAGS, tag in _BAD_TAGS or tag == "header" and not in_article
+    hidden |= tag == "head"
     for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            gone = True
+            hidden = True
         elif name != "aria-hidden" and tag not in ("html", "body"):
             main |= name == "role" and value.lower() == "main" or name == "itemprop" and value.lower() == "articlebody"
             cues = _name_cues(value, in_article)
-            good, plain, doubtful = good | cues[0], plain | cues[1], doubtful | cues[2]
-    if gone or hidden:
-        return Element(tag, outer, -_PLAIN, -1, True)
+            good, doubtful = good | cues[0], doubtful | cues[2]
+            plain = cues[1] if plain != "strong" and cues[1] else plain
+    if hidden:
+        return Element(tag, outer, "hidden", -1, True, True)
+    if gone:
+        return Element(tag, outer, "tag", -1, False, True)
+    if under:  # nothing in there speaks for itself but what is bad on its own
+        return Element(tag, outer, plain if plain and not good else "", -1, False, True)
     if plain and not good:
-        return Element(tag, outer, -_PLAIN, -1, False)
+        return Element(tag, outer, plain, -1, False, False)
     if main and not (plain or doubtful):
-        return Element(tag, outer, _INNER if place < 0 else _PLAIN, 1, False)
+        return Element(tag, outer, "inner" if place < 0 else "main", 1, False, False)
     if (doubtful or plain) and place not in (1, -1):
-        return Element(tag, outer, _BAD_HINT, -2, False)
+        return Element(tag, outer, "doubt", -2, False, False)
     if good and place not in (1, -1):
-        return Element(tag, outer, _GOOD_HINT, 2, False)
-    return Element(tag, outer, 0.0, place, False)
+        return Element(tag, outer, "good", 2, False, False)
+    return Element(tag, outer, "", place, False, False)
 
 
 def blocks(page: str) -> tuple[list[Block], list[Element]]:
@@ -292,7 +312,7 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
 
 def _forms(elements: list[Element]) -> None:
     """Makes forms to fill in bad elements: those with no article, main part, good name or heading of a page in them."""
-    wide = [e.tag in ("article", "main", "h1") or e.cost > 0 for e in elements]
+    wide = [e.tag in ("article", "main", "h1") or e.kind in ("main", "inner", "good") for e in elements]
     for k in range(len(elements) - 1, -1, -1):
         if wide[k] and elements[k].outer >= 0:
             wide[elements[k].outer] = True
@@ -301,7 +321,7 @@ def _forms(elements: list[Element]) -> None:
         own = e.tag in ("form", "fieldset") and not wide[k]
         inside[k] = own or e.outer >= 0 and inside[e.outer]
         if inside[k] and e.place != -1:
-            e.place, e.cost = -1, -_PLAIN if own else 0.0
+            e.place, e.kind = -1, "tag" if own else ""
 
 
 def _apart(elements: list[Element], a: int, b: int, most: int = 12) -> int:
@@ -316,21 +336,64 @@ def _apart(elements: list[Element], a: int, b: int, most: int = 12) -> int:
     return steps
 
 
+def evidence(found: list[Block], elements: list[Element], scores: list[float]) -> list[float]:
+    """What each element's tag or name adds to its cost, above 0 for content; 0 for those without evidence of their own.
+
+    A bad name counts against the prose in its element as much as the page has prose elsewhere: where an article is all there is, no name
+    outweighs it, and beside an article a name outweighs any amount of comments. What may itself be an article in a weakly bad element counts as such
+    prose for strongly bad ones, and not the other way.
+    """
+    region = []
+    for k, e in enumerate(elements):  # outer ones come first
+        region.append(k if e.kind else region[e.outer] if e.outer >= 0 else -1)
+    prose, n, has = [0.0] * (len(elements) + 1), [0] * (len(elements) + 1), [False] * (len(elements) + 1)
+    for b, score in zip(found, scores, strict=True):
+        r = region[b.element] if b.element >= 0 else -1
+        prose[r] += max(0.0, score)
+        n[r] += 1
+        has[r] |= score > _PROSE
+    kind_of = lambda r: elements[r].kind if r >= 0 else ""
+    rank = {"hidden": 3, "tag": 2, "strong": 2, "weak": 1}
+    total = [0.0] * 4
+    for r in range(-1, len(elements)):
+        if r < 0 or region[r] == r:
+            total[rank.get(kind_of(r), 0)] += prose[r]
+    out = []
+    for k, e in enumerate(elements):
+        if e.kind == "hidden":
+            out.append(-_PLAIN)
+        elif e.kind in _AGAINST:
+            base, times = _AGAINST[e.kind]
+            elsewhere = sum(total[: rank.get(e.kind, 0)])
+            out.append(-base - times * prose[k] * elsewhere / max(1e-9, prose[k] + elsewhere))
+        else:
+            out.append({"good": _GOOD_HINT, "inner": _INNER, "main": (_MAIN if has[k] else _BARE) * n[k]}.get(e.kind, 0.0))
+    return out
+
+
 def graph(found: list[Block], elements: list[Element], weights: tuple[float, ...] = WEIGHTS) -> tuple[list[int], list[float], dict[tuple[int, int], float]]:
     """Of each block its node, the nodes' costs (above 0: of being boilerplate), and the edges between nodes.
 
-    Blocks and elements that an uncuttable edge joins are one node.
+    Each block is a node, and so is each element with a block in it; all costs are finite but those of hidden elements.
     """
+    scores = [score(b, weights) for b in found]
+    own_cost = evidence(found, elements, scores)
+    below = [0] * len(elements)
+    for b in found:
+        if b.element >= 0:
+            below[b.element] += 1
+    for k in range(len(elements) - 1, -1, -1):
+        if elements[k].outer >= 0:
+            below[elements[k].outer] += below[k]
     group: dict[int, int] = {}
     costs: list[float] = []
     edges: dict[tuple[int, int], float] = {}
 
     def join(a: int, b: int, weight: float) -> None:
-        if a != b:
-            edges[min(a, b), max(a, b)] = edges.get((min(a, b), max(a, b)), 0.0) + weight
+        edges[min(a, b), max(a, b)] = edges.get((min(a, b), max(a, b)), 0.0) + weight
 
     def node(k: int) -> int:
-        """The node of an element; elements without a block in them get none."""
+        """The node of an element."""
         path = []
         while k >= 0 and k not in group:
             path.append(k)
@@ -339,14 +402,12 @@ def graph(found: list[Block], elements: list[Element], weights: tuple[float, ...
         for k in reversed(path):
             e = elements[k]
             around = elements[e.outer].place if e.outer >= 0 else 0
-            if above >= 0 and not e.cost and abs(e.place) == 1 and e.place == around:
-                group[k] = above
-                continue
             group[k] = len(costs)
-            costs.append(e.cost)
+            costs.append(own_cost[k])
             if above >= 0:
                 loose = _LOOSE if e.tag in ("p", "li", "td", "dd", "dt", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") else _CONTAINER
-                join(above, group[k], _ABOVE if e.cost else _HINTED if abs(around) == 2 else loose)
+                follows = abs(e.place) == 1 and e.place == around
+                join(above, group[k], _PLAIN if e.hidden and elements[e.outer].hidden else _ABOVE if e.kind else _FIRM * below[k] if follows else _HINTED if abs(around) == 2 else loose)
             above = group[k]
         return above
 
@@ -354,15 +415,12 @@ def graph(found: list[Block], elements: list[Element], weights: tuple[float, ...
     for i, b in enumerate(found):
         own = node(b.element)
         place = elements[b.element].place if b.element >= 0 else 0
-        if own < 0 or abs(place) != 1:
-            costs.append(0.0)
-            if own >= 0:
-                join(own, len(costs) - 1, _HINTED if abs(place) == 2 else _LOOSE)
-            own = len(costs) - 1
-        costs[own] += score(b, weights)
-        nodes.append(own)
+        costs.append(scores[i])
+        nodes.append(len(costs) - 1)
+        if own >= 0:
+            join(own, nodes[-1], _PLAIN if elements[b.element].hidden else _FIRM if abs(place) == 1 else _HINTED if abs(place) == 2 else _LOOSE)
         if i:
-            join(nodes[-2], own, _NEXT * math.exp(-_apart(elements, found[i - 1].element, b.element) / 2))
+            join(nodes[-2], nodes[-1], _NEXT * math.exp(-_apart(elements, found[i - 1].element, b.element) / 2))
     return nodes, costs, edges
 
 

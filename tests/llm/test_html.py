@@ -18,6 +18,46 @@ def test_one_name_does_not_veto_an_article(name):
     assert H.extract(f'<div class="{name}"><p>{T}</p><p>{T}</p><p>Short.</p></div>') == f"{T}\n{T}\nShort."
 
 
+LONG = "It was said of the place that nobody had gone there in a long time, and those who had gone came back with little to tell of it. " * 3
+MISLEADING = ["navy", "cookie-recipes", "social-science", "legal", "shareholders", "promo-page", "related-work", "newsletter", "search", "overlay", "discussion", "widget", "header", "menus-2024"]
+
+
+@pytest.mark.parametrize("name", MISLEADING)
+def test_an_article_that_is_all_there_is_stays_whatever_it_is_called(name):
+    inner = f"<h1>Title of it</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = "\n".join(["Title of it", LONG.strip(), LONG.strip()])
+    assert H.extract(f'<body><div class="{name}">{inner}</div></body>') == want
+    assert H.extract(f'<body><nav><a href=x>Home</a> <a href=y>Other</a></nav><div class="{name}"><div class="entry-content">{inner}</div></div><footer>Copyright of ours</footer></body>') == want
+    comments = f'<div id="comments"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>'
+    assert H.extract(f'<body><div class="{name}">{inner}</div>{comments}</body>') == want
+
+
+def cheapest(found, elements):
+    """The labels of a page's blocks by trying every labelling of blocks and elements; content where it costs less, boilerplate in a tie."""
+    nodes, costs, edges = H.graph(found, elements)
+    best = (float("inf"), 0, ())
+    for bits in range(1 << len(costs)):
+        cost = sum(max(0.0, c) if not bits >> i & 1 else max(0.0, -c) for i, c in enumerate(costs))
+        cost += sum(w for (a, b), w in edges.items() if (bits >> a & 1) != (bits >> b & 1))
+        best = min(best, (round(cost, 6), bits.bit_count(), bits))
+    return [bool(best[2] >> n & 1) for n in nodes]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class=menu><a href=x>Home</a></div><article><h1>T</h1><p>{T}</p></article><aside><p>{T}</p></aside>",
+        f"<div class=legal><p>{LONG}</p><ul><li><a href=x>One</a></li></ul></div><footer>Rights</footer>",
+        f"<div><p>{T}</p><p>Yes</p><div class=share><a href=x>Share it</a></div></div><div id=comments><p>{T}</p></div>",
+        f"<section><article><a href=x>Read more</a></article></section><div><p>{T}</p></div>",
+    ],
+)
+def test_the_labels_are_those_of_the_cheapest_labelling(page):
+    found, elements = H.blocks(page)
+    H._forms(elements)
+    assert H.label(found, elements) == cheapest(found, elements)
+
+
 def test_forms_around_a_page_and_forms_to_fill_in():
     page = f'<form id=aspnet><div class=nav><a href=x>Home</a></div><div class=content><p>{T}</p><p>Yes.</p></div></form>'
     assert H.extract(page) == f"{T}\nYes."
