@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP_PATTERN, Marks, discard, materialize, table
+from .common import GAP_PATTERN, Marks, discard, free_name, materialize, table
 
 LEADING_TOKENS = 3
-MIN_TOKENS = 3
+MIN_TOKENS = 1
 #: Documents that make a template recurring, and a token constant.
 MIN_DOCS = 3
 #: The percentage of a template's tokens that must be constant.
@@ -59,6 +59,16 @@ def line_index(docs: DataFrame, leading: int, words_only: bool = False) -> DataF
     return lines.select("doc_id", "text_hash", "chars_all", F.transform(pairs, lambda x: F.struct(F.xxhash64(x["m"]).alias("line"), _leaf(x["m"], leading).alias("leaf"), F.length(x["raw"]).alias("chars"), _size(x["m"]).alias("tokens"))).alias("lines"))
 
 
+def _each_once(index: DataFrame) -> DataFrame:
+    """The index with one row for each id and text. Repeated rows are few: only what a filter of bounded size marks is shuffled."""
+    keyed = index.withColumn("key", F.xxhash64("doc_id", "text_hash"))
+    repeated = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-rows")
+    if repeated.isEmpty():
+        return index
+    maybe, others = Marks(repeated).split(keyed, "key")
+    return others.unionByName(maybe.dropDuplicates(["doc_id", "text_hash"])).drop("key")
+
+
 def recurring_lines(docs: DataFrame, index: DataFrame, leading: int, min_docs: int, constant: int, min_tokens: int, words_only: bool = False) -> DataFrame:
     """line: hashes of the masked lines whose template recurs.
 
@@ -66,7 +76,7 @@ def recurring_lines(docs: DataFrame, index: DataFrame, leading: int, min_docs: i
     texts, each different one once, so tokens are spread out for a small part of the corpus. A line or leaf that
     a third of all documents have costs each map task one row.
     """
-    once = index.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["leaf"].alias("leaf"), x["tokens"].alias("tokens"))))).alias("x"))
+    once = _each_once(index).select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["leaf"].alias("leaf"), x["tokens"].alias("tokens"))))).alias("x"))
     once = once.select("doc_id", "text_hash", "x.*").where(F.col("tokens") >= min_tokens)
     by_line = materialize(once.groupBy("line", "leaf").agg(F.count("*").alias("docs")), "line-docs")
     # a document may have several lines of one leaf, so this bound is not below the number of documents
@@ -91,7 +101,7 @@ def recurring_lines(docs: DataFrame, index: DataFrame, leading: int, min_docs: i
     return found
 
 
-def line_templates(docs: DataFrame, leading: int = LEADING_TOKENS, min_docs: int = MIN_DOCS, constant: int = CONSTANT, min_tokens: int = MIN_TOKENS, words_only: bool = False) -> DataFrame:
+def line_templates(docs: DataFrame, leading: int = LEADING_TOKENS, min_docs: int = MIN_DOCS, constant: int = CONSTANT, min_tokens: int = MIN_TOKENS, words_only: bool = True) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, n_lines, n_dropped, n_chars, n_chars_left, a row for each row.
 
     n_lines counts lines with a word; n_chars_left is the text's length without the dropped lines and their line
@@ -106,23 +116,26 @@ def line_templates(docs: DataFrame, leading: int = LEADING_TOKENS, min_docs: int
     return numbered.join(hits, "row", "left").select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_dropped"), F.col("chars_all").alias("n_chars"), left.cast("long").alias("n_chars_left"))
 
 
-def without_templates(docs: DataFrame, leading: int = LEADING_TOKENS, min_docs: int = MIN_DOCS, constant: int = CONSTANT, min_tokens: int = MIN_TOKENS, words_only: bool = False) -> DataFrame:
-    """The rows of ``docs`` with the recurring lines taken out of their texts."""
+def without_templates(docs: DataFrame, leading: int = LEADING_TOKENS, min_docs: int = MIN_DOCS, constant: int = CONSTANT, min_tokens: int = MIN_TOKENS, words_only: bool = True) -> DataFrame:
+    """The rows of ``docs`` with the recurring lines taken out of their texts. Only rows that lose lines, and a few more, are shuffled."""
     index = materialize(line_index(docs, leading, words_only), "line-index")
     gone = recurring_lines(docs, index, leading, min_docs, constant, min_tokens, words_only).withColumnRenamed("line", "gone")
-    mine = index.select("doc_id", "text_hash", F.explode(F.transform("lines", lambda x: x["line"])).alias("line")).join(gone, F.col("line") == F.col("gone")).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drop"))
-    mine = mine.select(F.col("doc_id").alias("of_doc"), "text_hash", "drop")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(docs)).withColumnRenamed("text_hash", "own_hash")
-    joined = rows.join(mine, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("own_hash") == F.col("text_hash")), "left")
-    raw = F.split(F.col("row.text"), "\n")
-    kept = F.transform(F.filter(F.arrays_zip(raw.alias("raw"), masked_lines(raw, words_only).alias("m")), lambda x: ~F.array_contains(F.col("drop"), F.xxhash64(x["m"]))), lambda x: x["raw"])
-    text = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    key, drop = free_name(docs, "_key"), free_name(docs, "_drop")
+    mine = index.select(F.xxhash64("doc_id", "text_hash").alias("of_key"), F.explode(F.transform("lines", lambda x: x["line"])).alias("line")).join(gone, F.col("line") == F.col("gone")).groupBy("of_key").agg(F.collect_set("line").alias(drop))
+    mine = materialize(mine, "lines-of-rows")
+    keyed = docs.withColumn(key, F.xxhash64(*_key(docs)))
+    maybe, others = Marks(mine.select("of_key")).split(keyed, key)
+    joined = maybe.join(mine, F.col(key) == F.col("of_key"), "left")
+    raw = F.split(F.col("text"), "\n")
+    kept = F.transform(F.filter(F.arrays_zip(raw.alias("raw"), masked_lines(raw, words_only).alias("m")), lambda x: ~F.array_contains(F.col(drop), F.xxhash64(x["m"]))), lambda x: x["raw"])
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    changed = joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return others.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(changed)
 
 
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of any number of tokens go down the tree, and masked fields do not count against a template."""
-    return line_templates(table(spark, sf_dir, "documents"), min_tokens=1, words_only=True)
+    return line_templates(table(spark, sf_dir, "documents"))
 
 
 OP6_SQL = r"""

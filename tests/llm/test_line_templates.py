@@ -1,12 +1,18 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from corpusloom.llm import line_templates
 
 from . import brute
 from .test_operators import HARD, hard, none, prose  # noqa: F401
 
 
+#: Lines of three tokens and more, fields counted among a template's tokens, as the plain version has it.
+COUNTED = {"min_tokens": 3, "words_only": False}
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(21)
@@ -36,8 +42,8 @@ def test_matches_brute_force(spark, rows):
         out = [x for x in lines if mask(x) in gone]
         n = len(text or "")
         want.append((d, sum(bool(mask(x)) for x in lines), len(out), n, max(0, n - sum(len(x) + 1 for x in out))))
-    assert sorted(map(tuple, line_templates.line_templates(docs).collect())) == sorted(want)
-    kept = {r["doc_id"]: r["text"] for r in line_templates.without_templates(docs).collect()}
+    assert sorted(map(tuple, line_templates.line_templates(docs, **COUNTED).collect())) == sorted(want)
+    kept = {r["doc_id"]: r["text"] for r in line_templates.without_templates(docs, **COUNTED).collect()}
     assert all(kept[d] == (None if text is None else "\n".join(x for x in text.split("\n") if mask(x) not in gone)) for d, text in rows)
 
 
@@ -80,7 +86,7 @@ def test_query_drops_templates_of_fields(spark, tmp_path):
     got = {r["doc_id"]: r for r in line_templates.op6_line_templates(spark, documents(spark, tmp_path, rows)).collect()}
     assert all(got[i]["n_lines"] == 8 and got[i]["n_dropped"] == 5 for i in range(12))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    left = {r["doc_id"]: r["text"] for r in line_templates.without_templates(docs, min_tokens=1, words_only=True).collect()}
+    left = {r["doc_id"]: r["text"] for r in line_templates.without_templates(docs).collect()}
     assert all(left[i].split("\n") == [rows[i][1].split("\n")[k] for k in (5, 6, 7)] for i in range(12))
 
 
@@ -105,3 +111,15 @@ def test_marks_that_let_all_lines_pass_change_nothing(spark, rows, monkeypatch):
     want = sorted(map(str, line_templates.line_templates(docs).collect()))
     monkeypatch.setattr(common.Marks.__init__, "__defaults__", (64,))
     assert sorted(map(str, line_templates.line_templates(docs).collect())) == want
+
+
+def test_repeated_rows_count_as_one_document(spark, tmp_path):
+    """Three rows alike make no word constant and no template recur; with the others' copies the result is that without copies."""
+    line = "alpha beta gamma delta"
+    once = [(1, f"{line} red"), (2, f"{line} blue"), (3, f"{line} green"), (4, "only in one row"), (5, None)]
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = lambda rows: sorted({(r["doc_id"], r["n_dropped"]) for r in line_templates.line_templates(docs(rows)).collect()})
+    assert dropped(once) == [(1, 1), (2, 1), (3, 1), (4, 0), (5, 0)]
+    assert dropped([*once, once[0], once[0], once[3], once[3], once[4]]) == dropped(once)
+    left = line_templates.without_templates(docs([*once, once[0], once[3]]).withColumn("key", F.lit(1)))
+    assert sorted((r["doc_id"], r["text"], r["key"]) for r in left.where("doc_id < 5").collect()) == [(1, "", 1), (1, "", 1), (2, "", 1), (3, "", 1), (4, "only in one row", 1), (4, "only in one row", 1)]
