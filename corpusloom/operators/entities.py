@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import domain_alias, site_name, slugify
+from ..sources.scratch import written
+from .groups import components
 
 
 def _conflict(a, b, id_keys: tuple[str, ...]):
@@ -18,25 +20,26 @@ def _conflict(a, b, id_keys: tuple[str, ...]):
 
 def _same_ids(rows: DataFrame, id_keys: tuple[str, ...]) -> DataFrame:
     """row, first: the smallest row that shared ids lead to."""
-    label = rows.withColumn("first", F.col("row")).select("row", "first", *id_keys)
-    while True:
-        new = label
-        for k in id_keys:
-            least = new.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min("first").alias("_least"))
-            new = new.join(least, F.col(k) == F.col("_k"), "left").withColumn("first", F.least("first", F.coalesce("_least", "first"))).drop("_k", "_least")
-        if len(id_keys) == 1:
-            return new.select("row", "first")
-        new = new.persist()
-        settled = new.join(label.select(F.col("row").alias("_r"), F.col("first").alias("_f")), F.col("row") == F.col("_r")).where("first <> _f").isEmpty()
-        if settled:
-            return new.select("row", "first")
-        label = new
+    links = None
+    for k in id_keys:
+        hubs = rows.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min("row").alias("b"))
+        mine = rows.where(F.col(k).isNotNull()).join(hubs, F.col(k) == F.col("_k")).select(F.col("row").alias("a"), "b")
+        links = mine if links is None else links.unionAll(mine)
+    if links is None:
+        return rows.select("row", F.col("row").alias("first"))
+    if len(id_keys) == 1:  # the smallest row of an id is all there is to it
+        label = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    else:
+        label = components(links)
+    least = label.groupBy(F.col("label").alias("_l")).agg(F.min("node").alias("first"))
+    named = label.join(least, F.col("label") == F.col("_l")).select("node", "first")
+    return rows.select("row").join(named, F.col("row") == F.col("node"), "left").select("row", F.coalesce("first", "row").alias("first"))
 
 
 def _founders(groups: DataFrame, id_keys: tuple[str, ...]) -> DataFrame:
     """first, founder, place: in the order of a slug's groups, each joins the slug's first entity where no id differs, else is one of its own.
 
-    One task folds the groups of one slug: people of one name in a batch.
+    One task folds the groups of one slug, people of one name in a batch; a slug of one group needs none.
     """
 
     def fold(t: pa.Table) -> pa.Table:
@@ -55,7 +58,10 @@ def _founders(groups: DataFrame, id_keys: tuple[str, ...]) -> DataFrame:
 
     kind = groups.schema["first"].dataType.simpleString()
     schema = to_arrow_schema(groups.select("first", F.col("first").alias("founder"), F.lit(1).alias("place")).schema)
-    return groups.groupBy("slug").applyInArrow(fold, f"first {kind}, founder {kind}, place int")
+    sizes = groups.groupBy(F.col("slug").alias("_slug")).agg(F.count("*").alias("_n"))
+    sized = groups.join(sizes, F.col("slug") == F.col("_slug"))
+    alone = sized.where("_n = 1").select("first", F.col("first").alias("founder"), F.lit(1).alias("place"))
+    return alone.unionByName(sized.where("_n > 1").select(*groups.columns).groupBy("slug").applyInArrow(fold, f"first {kind}, founder {kind}, place int"))
 
 
 def resolve(incoming: DataFrame, existing: DataFrame, id_keys: tuple[str, ...], fill: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -77,12 +83,13 @@ def resolve(incoming: DataFrame, existing: DataFrame, id_keys: tuple[str, ...],
     by_slug = by_slug.groupBy(F.col("n.row").alias("r")).agg(F.min("e.id").alias("hit"))
     found = found.join(by_slug, F.col("row") == F.col("r"), "left").select("row", F.coalesce("id", "hit").alias("id"))
 
-    found = found.persist()  # read by several of the steps below
-    new = rows.join(found.where("id is null").select("row"), "row", "left_semi").persist()
+    found = written(found, "entity-found")  # read by several of the steps below
+    new = written(rows.join(found.where("id is null").select("row"), "row", "left_semi"), "entity-new")
     first = _same_ids(new, id_keys)
     by_row = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row")))
+    first = written(first, "entity-first")
     groups = new.join(first, "row").groupBy("first").agg(F.min_by("slug", "row").alias("slug"), *[by_row(k).alias(k) for k in id_keys])
-    members = first.join(_founders(groups, id_keys), "first").select("row", "founder", "place").persist()
+    members = written(first.join(_founders(groups, id_keys), "first").select("row", "founder", "place"), "entity-members")
     made = new.join(members, "row").groupBy("founder", "place").agg(F.min_by("slug", "row").alias("slug"), F.min_by("name", "row").alias("name"), *[by_row(c).alias(c) for c in (*id_keys, *fill)])
     # numbers that are taken: by what is there, and by slugs of the batch as they are
     used = existing.select("slug").unionByName(made.select("slug")).distinct()

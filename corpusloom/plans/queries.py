@@ -470,10 +470,22 @@ def _(t):
 # Entities.
 
 
-@query("v8_resolve_entity", "SELECT c_custkey AS row, CASE WHEN c_custkey % 3 = 0 AND c_nationkey % 2 = 0 THEN lower(n_name) ELSE trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') END AS id FROM customer JOIN nation ON c_nationkey = n_nationkey")
-def _(t):
-    old = t.raw("nation").select(F.lower("n_name").alias("id"), F.col("n_name").alias("name"), F.lower("n_name").alias("slug"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).alias("ror"))
-    new = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("row"), F.col("n_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey").cast("string")).alias("ror"))
+#: New entities by name alone, by an id, and names whose slugs are taken by others: rows of one name and another id get the next free number.
+@query("v8_resolve_entity", """WITH n AS (SELECT c_custkey AS row, n_name || ' ' || CAST(c_custkey % 3 AS VARCHAR) AS name, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey * 10 + c_custkey % 3 + 1000 * (c_custkey % 5 % 2) AS VARCHAR) END AS ror, c_nationkey AS k, c_custkey % 3 AS m
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, m = 0 AND k % 2 = 0 AS there FROM n),
+g AS (SELECT slug, ror, min(row) AS first FROM s WHERE ror IS NOT NULL AND NOT (there AND ror = CAST(k * 10 AS VARCHAR)) GROUP BY slug, ror),
+f AS (SELECT slug, min(row) AS lone FROM s WHERE ror IS NULL AND NOT there GROUP BY slug),
+p AS (SELECT g.*, row_number() OVER (PARTITION BY slug ORDER BY first) AS place FROM g),
+t AS (SELECT slug, bool_or(there) AS there FROM s GROUP BY slug)
+SELECT s.row, CASE WHEN s.ror IS NULL OR (s.there AND s.ror = CAST(k * 10 AS VARCHAR)) THEN s.slug WHEN place = 1 AND NOT s.there THEN s.slug ELSE s.slug || '-' || CAST(place + CASE WHEN s.there THEN 1 ELSE 0 END AS VARCHAR) END AS id
+FROM s LEFT JOIN p ON s.slug = p.slug AND s.ror = p.ror""")
+def _(t):
+    slug = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")
+    name = F.concat("n_name", F.lit(" "))
+    old = t.raw("nation").where("n_nationkey % 2 = 0").select(slug(F.concat(name, F.lit("0"))).alias("id"), F.concat(name, F.lit("0")).alias("name"), slug(F.concat(name, F.lit("0"))).alias("slug"), (F.col("n_nationkey") * 10).cast("string").alias("ror"))
+    id_ = F.col("c_nationkey") * 10 + F.col("c_custkey") % 3 + 1000 * (F.col("c_custkey") % 5 % 2)
+    new = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("row"), F.concat(name, (F.col("c_custkey") % 3).cast("string")).alias("name"), F.when(F.col("c_custkey") % 2 == 0, id_.cast("string")).alias("ror"))
     return E.resolve(new, old, ("ror",))[0]
 
 

@@ -96,3 +96,16 @@ def test_cells_spare_comparisons(spark):
     both = got.select("id", "nearest_id", "n").join(plain.select("id", F.col("nearest_id").alias("other"), F.col("n").alias("all")), "id").collect()
     assert all(r["nearest_id"] == r["other"] for r in both)
     assert sum(r["n"] for r in both) < 0.2 * sum(r["all"] for r in both)
+
+
+def test_a_long_chain_of_shared_ids_is_one_entity_in_few_steps(spark, monkeypatch):
+    from corpusloom.operators import entities, groups
+
+    steps = []
+    plain = groups.written
+    monkeypatch.setattr(groups, "written", lambda df, name: steps.append(name) or plain(df, name))
+    n = 10_000  # row k shares one id with the row before and another with the row behind
+    rows = [(k, f"a{k // 2}", f"b{(k + 1) // 2}") for k in range(n)] + [(n + 1, None, None), (n + 2, "a-1", None), (n + 3, "a-1", "b-1")]
+    got = {r["row"]: r["first"] for r in entities._same_ids(spark.createDataFrame(rows, "row long, x string, y string"), ("x", "y")).collect()}
+    assert {got[k] for k in range(n)} == {0} and [got[n + k] for k in (1, 2, 3)] == [n + 1, n + 2, n + 2]
+    assert steps.count("group-parents") <= 24
