@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from . import urls as U
-from .markup import main_element, read_text
+from .markup import main_elements, read_text
 from .nested import article_object, ld_objects, ld_text, pick
 
 PAGE_SCHEMA = "title_tag string, html_lang string, canonical string, meta map<string,string>, og map<string,string>, ld_headline string, ld_publisher string, ld_published string, ld_lang string, ld_authors array<string>, text string, body_html string, page_chars int, link_chars int"
@@ -90,11 +90,11 @@ def _page(source: str | None) -> dict:
     names = [n for n in map(ld_text, authors if isinstance(authors, list) else [authors]) if n]
     flat = lambda parts: " ".join("".join(parts).split())
     blank = lambda s: (s or "").strip() or None
-    main = main_element(source or "")
+    main = main_elements(source or "")
     text, body, links = flat(p.main), None, p.links
-    if main is not None:
-        text, body = read_text(main), clean_html((source or "")[main.start : main.end]) or None
-        links = sum(len(read_text(n)) for n in main.walk() if n.tag == "a")
+    if main:
+        text, body = " ".join(filter(None, map(read_text, main))), "".join(clean_html((source or "")[n.start : n.end]) for n in main) or None
+        links = sum(len(read_text(n)) for part in main for n in part.walk() if n.tag == "a")
     return {
         "title_tag": blank(flat([p.title or ""])), "html_lang": p.lang, "canonical": p.canonical, "meta": p.meta, "og": p.og,
         "ld_headline": ld_text(a.get("headline")) or ld_text(a.get("name")), "ld_publisher": ld_text(a.get("publisher")),

@@ -106,11 +106,53 @@ _GOOD = re.compile(r"(?i)article|content|entry|post|story|main|body|text")
 LEAST_PARAGRAPH = 25
 
 
+#: Of the best element's value, what a sibling needs to be part of the same text, and the length of a paragraph that is.
+SIBLING_SHARE, SIBLING_PARAGRAPH = 0.2, 80
+
+
+def main_elements(source: str) -> list[Node]:
+    """The elements that hold a page's main text, in order: the best one of ``main_element`` and those beside it that go on with it.
+
+    A sibling goes on with it if its value is a share of the best one's, or if it is a paragraph of some length with few links. Of an
+    element that has no text of its own, children of a bad name and lists or boxes of links stay out.
+    """
+    best, values = _valued(source)
+    if best is None:
+        return []
+    least = SIBLING_SHARE * values[id(best)]
+    goes_on = lambda n: values.get(id(n), 0.0) >= least or n.tag == "p" and len(read_text(n)) >= SIBLING_PARAGRAPH and _link_share(n) < 0.25
+    beside = best.outer.children if best.outer is not None else [best]
+    return [part for n in beside if n is best or n.tag not in _UNREAD and goes_on(n) for part in _good_parts(n)]
+
+
+def _good_parts(node: Node) -> list[Node]:
+    named = lambda n: f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"
+    bad = lambda n: bool(_BAD.search(named(n))) or n.tag in ("ul", "ol", "dl", "table", "div", "section") and _link_share(n) > 0.5
+    if any(isinstance(p, str) and p.strip() for p in node.parts) or not any(map(bad, node.children)):
+        return [node]
+    return [n for n in node.children if n.tag not in _UNREAD and not bad(n)]
+
+
 def main_element(source: str) -> Node | None:
+    """The best element of ``_valued``: the one that holds most of a page's prose."""
+    return _valued(source)[0]
+
+
+def _link_share(node: Node) -> float:
+    """The share of an element's text that is in links."""
+    all_, links = 0, 0
+    for part in _read(node):
+        size = sum(len(" ".join(p.split())) for p in part.parts if isinstance(p, str))
+        all_ += size
+        links += size if any(a.tag == "a" for a in _around(part, node)) else 0
+    return links / max(1, all_)
+
+
+def _valued(source: str) -> tuple[Node | None, dict[int, float]]:
     """The element that holds most of a page's prose: paragraphs count for the element around them and half for the next one.
 
     A paragraph counts by its length and commas; an element by its names and less the more of its text is links. None where
-    there is no paragraph to speak of.
+    there is no paragraph to speak of. With the values of all elements, by identity.
     """
     scores: dict[int, float] = {}
     nodes: dict[int, Node] = {}
@@ -125,19 +167,14 @@ def main_element(source: str) -> Node | None:
             if at is not None and at.tag not in ("", "html"):
                 nodes[id(at)] = at
                 scores[id(at)] = scores.get(id(at), 0.0) + share * worth
-    best = None
+    best, values = None, {}
     for key, node in nodes.items():
         name = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
         bonus = 5.0 * (node.tag in ("article", "main") or bool(_GOOD.search(name))) - 8.0 * bool(_BAD.search(name))
-        all_, links = 0, 0
-        for part in _read(node):
-            size = sum(len(" ".join(p.split())) for p in part.parts if isinstance(p, str))
-            all_ += size
-            links += size if any(a.tag == "a" for a in _around(part, node)) else 0
-        value = (scores[key] + bonus) * (1 - links / max(1, all_))
+        value = values[key] = (scores[key] + bonus) * (1 - _link_share(node))
         if value > 0 and (best is None or value > best[0]):
             best = (value, node)
-    return best[1] if best else None
+    return best[1] if best else None, values
 
 
 def _around(node: Node, top: Node):

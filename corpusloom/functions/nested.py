@@ -99,11 +99,18 @@ def work_graph(raw: Column) -> Column:
     )
 
 
+_ATOM = "entry array<struct<title: string, summary: string, published: string, author: array<struct<name: string>>>>"
+
+
 def atom_graph(xml: Column) -> Column:
-    """An Atom entry as struct(title, abstract, published, authors): names only."""
-    one = lambda tag: blank_to_null(F.regexp_replace(F.regexp_extract(F.regexp_extract(xml, r"(?s)<entry>(.*?)</entry>", 1), rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), r"\s+", " "))
-    names = F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<author>.*?<name>(.*?)</name>"), F.lit(1)), lambda x: F.trim(x))
-    return F.when(one("title").isNotNull(), F.struct(one("title").alias("title"), one("summary").alias("abstract"), F.left(one("published"), F.lit(10)).try_cast("date").alias("published"), names.alias("authors")))
+    """The first entry of an Atom feed as struct(title, abstract, published, authors): names only; null without an entry or a title."""
+    clean = lambda x: blank_to_null(F.regexp_replace(x, r"\s+", " "))
+
+    def graph(e: Column) -> Column:
+        names = F.filter(F.transform(F.coalesce(e["author"], F.array().cast("array<struct<name: string>>")), lambda a: clean(a["name"])), lambda n: n.isNotNull())
+        return F.when(clean(e["title"]).isNotNull(), F.struct(clean(e["title"]).alias("title"), clean(e["summary"]).alias("abstract"), F.left(F.trim(e["published"]), F.lit(10)).try_cast("date").alias("published"), names.alias("authors")))
+
+    return F.get(F.transform(F.slice(F.from_xml(xml, _ATOM)["entry"], 1, 1), graph), F.lit(0))
 
 
 def model_tags(reply: Column) -> Column:

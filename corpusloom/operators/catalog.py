@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 BROWSABLE = ("article", "paper")
 
 
@@ -43,6 +45,16 @@ def by_title() -> list[Column]:
     return [F.lower("title").asc_nulls_first(), F.col("type").asc(), F.col("id").asc()]
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds rank, from 1 in an order without ties: rows are dealt by ranges of it, and what stands before a range is a sum over ranges."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "ranked")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ahead = placed.groupBy("_part").count().select(F.col("_part").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return placed.withColumn("_n", inside).join(ahead, F.col("_part") == F.col("_of")).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_n") + F.col("_ahead")).cast("long").alias("rank"))
+
+
 def browsable(items: DataFrame) -> DataFrame:
     """What any user may browse: newsletters are private."""
     return items.where(F.col("type").isin(*BROWSABLE))

@@ -133,15 +133,15 @@ def _(t):
     return t.catalog().select("type", "id", "title", "url", F.col("source.name").alias("source"), F.array_join(F.transform("authors", lambda a: a["name"]), "; ").alias("byline"), F.size("authors").cast("bigint").alias("n_authors"))
 
 
-@query("o1_title_order", with_sql("items", "SELECT type, id, title FROM items"))
+@query("o1_title_order", with_sql("items", "SELECT type, id, title, row_number() OVER (ORDER BY lower(title) NULLS FIRST, type, id) AS rank FROM items"))
 def _(t):
-    return C.normalise(t.articles(), t.papers(), t.issues()).orderBy(*C.by_title()).select("type", "id", "title")
+    return C.ranked(C.normalise(t.articles(), t.papers(), t.issues()), *C.by_title()).select("type", "id", "title", "rank")
 
 
-@query("o3_sources", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 4 <> 0")
+@query("o3_sources", "SELECT n_nationkey AS id, n_name AS name, row_number() OVER (ORDER BY lower(n_name), n_nationkey) AS rank FROM nation WHERE n_nationkey % 4 <> 0")
 def _(t):
     kinds = t.sources().withColumn("type", F.when(F.col("id") % 4 == 0, "institution").otherwise("magazine"))
-    return C.source_list(kinds).orderBy(*C.by_name()).select("id", "name")
+    return C.ranked(C.source_list(kinds), *C.by_name()).select("id", "name", "rank")
 
 
 @query("j8_by_author", with_sql("items au", "SELECT type, id, title FROM items WHERE type = 'article' AND id IN (SELECT CAST(readable_id AS VARCHAR) FROM au WHERE author_id = 5)"))
@@ -169,9 +169,10 @@ def _(t):
     return C.reading_queue(t.queue_items(), C.normalise(t.articles(), t.papers(), t.issues())).select("item_id", "user_id", "state", "added_at", "title")
 
 
-@query("o4_queue_of_user", with_sql("queue items", "SELECT q.id AS item_id, state, added_at, title FROM queue q JOIN items i ON readable_type = type AND CAST(readable_id AS VARCHAR) = i.id WHERE state <> 'archived' AND user_id = 11"))
+@query("o4_queue_of_user", with_sql("queue items", "SELECT q.id AS item_id, state, added_at, title, row_number() OVER (ORDER BY added_at DESC, q.id DESC) AS rank FROM queue q JOIN items i ON readable_type = type AND CAST(readable_id AS VARCHAR) = i.id WHERE state <> 'archived' AND user_id = 11"))
 def _(t):
-    return C.reading_queue(t.queue_items(), C.normalise(t.articles(), t.papers(), t.issues()), 11).orderBy(*C.queue_order()).select("item_id", "state", "added_at", "title")
+    mine = C.reading_queue(t.queue_items(), C.normalise(t.articles(), t.papers(), t.issues()), 11)
+    return C.ranked(mine, *C.queue_order()).select("item_id", "state", "added_at", "title", "rank")
 
 
 @query("v14_orphans", with_sql("queue items", "SELECT id FROM queue WHERE CAST(readable_id AS VARCHAR) NOT IN (SELECT id FROM items WHERE type = 'article')"))
@@ -186,10 +187,10 @@ def _(t):
     return C.institutions_of(links, r).select("author_id", F.array_join(F.transform("institutions", lambda x: x["name"]), "; ").alias("institutions"))
 
 
-@query("o2_author_order", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
+@query("o2_author_order", "SELECT s_suppkey AS id, s_name AS name, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 2 = 0 THEN 'A' || s_name ELSE s_name END, s_suppkey) AS rank FROM supplier")
 def _(t):
     a = t.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("A"), "s_name")).alias("sort_name"))
-    return a.orderBy(*C.author_order()).select("id", "name")
+    return C.ranked(a, *C.author_order()).select("id", "name", "rank")
 
 
 @query("wn1_latest_event", with_sql("ee", "SELECT url, event_id, outcome FROM ee QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at DESC, event_id DESC) = 1"))

@@ -59,6 +59,9 @@ def test_nested(spark):
     atom = "<feed><title>q</title><entry><title> A\n b</title><summary>s</summary><published>2021-02-03T00:00:00Z</published><author><name>Ann</name></author><author><name>Bo</name></author></entry></feed>"
     x = values(spark, N.atom_graph, [atom])[0]
     assert (x["title"], x["abstract"], str(x["published"]), x["authors"]) == ("A b", "s", "2021-02-03", ["Ann", "Bo"])
+    hard = '<feed xmlns="http://www.w3.org/2005/Atom"><author><name>The feed</name></author><entry><title type="html">A &amp;amp; B &lt;x&gt;</title><published>no date</published><author><name>Zo&#233; &amp; Co</name></author><author><name> </name></author></entry><entry><title>2</title><author><name>Other</name></author></entry></feed>'
+    x, *none = values(spark, N.atom_graph, [hard, "<feed></feed>", "nope <", None, "<feed><entry><title> </title></entry></feed>"])
+    assert (x["title"], x["abstract"], x["published"], x["authors"]) == ("A &amp; B <x>", None, None, ["Zoé & Co"]) and none == [None] * 4
     assert values(spark, N.header_block, ["De : Ann <a@b>\nObjet : Hi\nnothing"]) == [{"from": "Ann <a@b>", "subject": "Hi"}]
     assert values(spark, lambda x: N.mean_confidence(x, F.array(F.lit(0.5), F.lit(None).cast("double"))), [0.9, None], "double") == [0.7, 0.5]
 

@@ -80,6 +80,20 @@ def test_mails_in_batches(spark):
 T = "A paragraph of the article, with quite a few words in it, and a comma or two."
 
 
+def test_an_article_split_over_siblings_comes_back_whole(spark):
+    words = "A paragraph of this article goes on, and on, and says a few things more than that. "
+    part = lambda k: f"<section><p>{k} {words * 3}</p><p>{words * 2}</p></section>"
+    links = "".join(f"<li><a href=/{k}>A link to some other page of ours, number {k}</a></li>" for k in range(8))
+    page = f"<body><nav>{links}</nav><div class=wrap>{part('One')}<ul>{links}</ul>{part('Two')}<p>Three {words}</p><div class=comments><p>Nice, {words}</p></div>{part('Four')}<script>var x</script></div></body>"
+    text = " ".join(map(markup.read_text, markup.main_elements(page)))
+    assert [text.count(k) for k in ("One", "Two", "Three", "Four", "Nice", "A link", "var x")] == [1, 1, 1, 1, 0, 0, 0]
+    from corpusloom.functions.documents import extract_pages
+
+    row = extract_pages(spark.createDataFrame([(1, "http://x.test/", page)], "page_id long, url string, html string")).first()
+    assert "Four" in row["body_html"] and "script" not in row["body_html"] and "Nice" not in row["body_html"]
+    assert markup.main_elements("<nav>x</nav>") == []
+
+
 def test_main_part_of_a_page(spark):
     page = f'<body><div class="sidebar"><p>{T}</p><p>{T}</p></div><div id="wrap"><div class="entry"><p>{T}</p><p>{T}<script>x()</script></p><ul><li>One</li></ul><p onclick="y()">{T} <a href="javascript:z()">z</a></p></div><div class="comments"><p>{T}</p></div></div></body>'
     node = markup.main_element(page)
