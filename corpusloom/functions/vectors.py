@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,15 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def hashed_embedding(text: Column, buckets: int = 64) -> Column:
-    """Token counts over ``buckets`` hashed buckets: a deterministic stand-in for an embedding model."""
-
-    def embed(s: pd.Series) -> pd.Series:
-        out = []
-        for x in s:
-            v = [0.0] * buckets
-            for w in (x or "").lower().split():
-                v[zlib.crc32(w.encode()) % buckets] += 1.0
-            out.append(v)
-        return pd.Series(out)
-
-    return F.pandas_udf(embed, "array<double>")(text)
+    """Counts of a text's lower-case words of a-z and 0-9 over ``buckets`` hashed buckets: a deterministic stand-in for an embedding model. Null is as empty."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    places = F.array(F.transform(words, lambda w: F.pmod(F.crc32(F.encode(w, "utf-8")), F.lit(buckets)).cast("int")))
+    counts = lambda p: F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.size(F.filter(p, lambda x: x == k)).cast("double"))
+    return F.get(F.transform(places, counts), F.lit(0))

@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import json
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -70,7 +71,9 @@ def test_cosine(spark):
     rows = [([1.0, 0.0, 0.0], [2.0, 0.0, 0.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([1.0], [-1.0], -1.0), ([], [], 0.0), ([0.0], [1.0], 0.0), ([1.0], [1.0, 2.0], 0.0), (None, [1.0], 0.0)]
     got = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, a array<double>, b array<double>").sort("i").select(V.cosine(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in got] == [x[2] for x in rows]
-    assert len(spark.range(1).select(V.hashed_embedding(F.lit("a b a"))).first()[0]) == 64
+    vectors = values(spark, V.hashed_embedding, ["a b, A-c9!", "", None])
+    assert [sum(v) for v in vectors] == [4.0, 0.0, 0.0] and max(vectors[0]) >= 2.0 and {len(v) for v in vectors} == {64}
+    assert all(vectors[0][zlib.crc32(w.encode()) % 64] >= 1 for w in ("a", "b", "c9"))
 
 
 PAGE = """<html lang="en"><head><title>Tag title</title><link rel="canonical" href="https://n.example/a"><meta property="og:site_name" content="News"><meta property="og:url" content="https://n.example/og">
