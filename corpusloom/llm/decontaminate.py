@@ -366,7 +366,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
     document's words up to the passage's end. Null texts and ids of items, and items without words, hold nothing;
     null, empty and short documents hold nothing; a null doc_id passes through. Repeated documents give repeated
     rows, repeated items one. N-grams of an item that are equally rare are all seeds or none is. Extra columns are not
-    looked at; an empty table gives an empty result. Documents are never shuffled.
+    looked at; an empty table gives an empty result. Documents are never shuffled. What a block of items finds is written
+    before the next one is read, so the driver and each task hold one block, however large the benchmark.
     """
     spark, kinds = docs.sparkSession, (dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"])
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, end long"
@@ -392,7 +393,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
                         names=["doc_id", "item_id", "score", "end"],
                     )
 
-        out = out.unionByName(held.mapInArrow(run, schema))
+        out = out.unionByName(materialize(held.mapInArrow(run, schema), "leaks"))
+        shared.destroy()
     return out
 
 

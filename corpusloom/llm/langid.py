@@ -15,11 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices
+from .common import discard, materialize, table, text_slices
 from .words import WordIndex
 
 #: Bound of the sample of labelled rows that the model is fitted on: documents a language on average.
 DOCS_PER_LANGUAGE = 2_000
+#: Numbers that a model of words and languages may have: its largest table.
+MODEL_NUMBERS = 30_000_000
 MAX_ORDER = 4
 #: What a step to the next shorter n-gram costs; alike for all languages.
 BACKOFF = math.log(0.4)
@@ -154,11 +156,12 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, most_numbers: int = MODEL_NUMBERS) -> Model:
     """(doc_id, text, lang) -> a model, from rows with text and lang whose remainder isn't 1.
 
     Of each language a hash of the id picks about ``docs_per_language`` documents, the same in each run; all their words
-    and n-grams are learned, whole.
+    and n-grams are learned, whole. The model is a row of a number a language for each word, and is broadcast: one of more than
+    ``most_numbers`` numbers is an error, never cut.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1))
     size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -167,8 +170,13 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     share = F.create_map(*[F.lit(x) for lang, n in size.items() for x in (lang, min(1.0, docs_per_language / n))])
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.where(draw < share[F.col("lang")]).select("lang", "text")
-    counts = sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Model.fit(counts.toArrow())
+    counts = materialize(sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
+    numbers = counts.select("word").distinct().count() * len(size)
+    if numbers > most_numbers:
+        raise ValueError(f"the model would have {numbers} numbers, more than {most_numbers}: fit it on fewer documents of a language or languages")
+    model = Model.fit(counts.toArrow())
+    discard(counts)
+    return model
 
 
 def _predict(model: Model, piece: pa.RecordBatch) -> tuple[list[str], np.ndarray]:

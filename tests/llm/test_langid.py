@@ -96,3 +96,10 @@ def test_fit_does_not_depend_on_the_order_of_rows(order):
     want = Plain(counts)
     for w in ("kiklop", "banan", "q", "ab"):
         assert np.allclose(m.score(w), want.score(w))
+
+
+def test_a_model_beyond_its_bound_is_an_error(spark):
+    docs = spark.createDataFrame([(i, "".join(chr(97 + int(d)) for d in str(1000 + i)), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    assert langid.train(docs, most_numbers=10_000).languages == ["a", "b"]
+    with pytest.raises(ValueError, match="fewer documents"):
+        langid.train(docs, most_numbers=20)
