@@ -110,3 +110,11 @@ def test_mail(spark):
     assert (got[4]["subject"], got[4]["from_name"], got[4]["forward_kind"]) == ("Inner", "Cy Poe", "rfc822")
     assert got[5]["subject"] is None
     assert D.clean_html('<math><mi>x</mi></math><a href="https://p/a#s">s</a>', "https://p/a") == '<math><mi>x</mi></math><a href="#s">s</a>'
+
+
+def test_fresh_to_fractions_of_a_second(spark):
+    now = F.lit("2024-01-15").cast("timestamp")
+    times = ["2024-01-14 23:55:00", "2024-01-14 23:54:59.5", "2024-01-14 23:55:00.5", "2024-01-15 00:04:59.999999", "2024-01-15 00:05:00", "2024-01-15 00:05:00.000001", None]
+    fresh = lambda **how: values(spark, lambda x: U.is_fresh(now, x.cast("timestamp"), 300, **how), times)
+    assert fresh() == [True, False, True, True, True, False, False]
+    assert fresh(whole=False) == [False, False, True, True, False, False, False]
