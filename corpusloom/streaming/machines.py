@@ -3,23 +3,32 @@
 Messages in event time wait in list state until the watermark has passed them, and are then taken in order, so the result is the
 same however they are split into micro-batches; rows later than the watermark are dropped by Spark. In processing time they
 are taken as they come. A stream that has these machines needs the RocksDB state store (``rocksdb``).
+
+Each call to Spark's state costs Python a round trip, so keys are dealt into buckets by their hash, and the state of a bucket is read and
+written as a whole, in chunks. A checkpoint is bound to its number of buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
+from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.urls import BACKOFF_SECONDS, MAX_ATTEMPTS
 from .jobs import LEASE_SECONDS, RETRY_WITHOUT_MODEL_SECONDS, Fatal
 
+#: Groups that the keys of a stream are dealt into, and entries of a chunk of their state or output.
+BUCKETS, CHUNK = 4_096, 5_000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -39,82 +48,134 @@ def _order(message: tuple) -> tuple:
     return tuple((x is not None, x) for x in message)
 
 
+def _chunks(entries: Iterable) -> Iterator[list]:
+    entries = iter(entries)
+    while chunk := list(islice(entries, CHUNK)):
+        yield chunk
+
+
 class Machine(StatefulProcessor):
-    """Takes the messages of a key in order. A subclass has ``message`` (DDL, ``at`` first: microseconds), ``own`` (DDL) and ``fold``.
+    """Takes the messages of each key of a bucket in order. A subclass has ``message`` (DDL, ``at`` first: microseconds), ``out`` (DDL) and ``fold``.
 
-    ``fold`` gets the key, what is kept of it (or None), its next messages in order and the time until which nothing more comes, and
-    returns what is kept now, rows to send on, and when it wants to be called next without a message (microseconds, or None).
+    ``fold`` gets a key, what is kept of it (or None), its next messages in order and the time until which nothing more comes, and
+    returns what is kept now, rows to send on as tuples (times as microseconds), and when it wants to be called next without a message (microseconds, or None).
     """
 
-    message = own = ""
+    message = out = ""
 
     def __init__(self, event_time: bool) -> None:
         self.event_time = event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.message)
-        self.kept = handle.getValueState("kept", self.own)
-        self.next = handle.getValueState("next", "at long, due long")  # the timer, and when fold wants to be called
+        self.waiting = handle.getListState("waiting", "chunk binary")  # (key, at, the rest of the message as JSON)
+        self.kept = handle.getListState("kept", "chunk binary")  # (key, what is kept of it, when fold wants to be called)
+        self.next = handle.getValueState("next", "at long")  # the bucket's timer
+        names = _names(self.message)[1:]
+
+        @lru_cache(CHUNK)
+        def rest(text: str) -> tuple:
+            fields = json.loads(text)
+            return tuple(fields.get(n) for n in names)
+
+        self._rest = rest
 
-    def fold(self, key: tuple, kept: tuple | None, messages: list[tuple], until: int) -> tuple[tuple | None, list[Row], int | None]:
+    def fold(self, key, kept: tuple | None, messages: list[tuple], until: int) -> tuple[tuple | None, list[tuple], int | None]:
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        new = [tuple(r[name] for name in self._names) for r in rows]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        given = (entry for frame in rows for entry in zip(*(frame[c].tolist() for c in ("id", "at", "message")), strict=True))
         if not self.event_time:
             now = timerValues.getCurrentProcessingTimeInMs() * 1000
-            yield from self._step(key, [(now, *m[1:]) for m in sorted(new, key=_order)], now, None)
+            yield from self._step([(id_, now, text) for id_, _, text in given], now, None)
             return
-        self.waiting.appendList(new)
-        timer, due = self.next.get() if self.next.exists() else (None, None)
-        self._arm(timer, -(-min(m[0] for m in new) // 1000), due)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if not self.next.exists() or self.next.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
+        first = None
+        for chunk in _chunks(given):
+            same: dict[str, str] = {}  # equal texts are stored once
+            self._append(self.waiting, [(id_, at, same.setdefault(text, text)) for id_, at, text in chunk])
+            least = min(at for _, at, _ in chunk)
+            first = least if first is None else min(first, least)
+        self._wake(-(-first // 1000), later=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.next.get() != (expiredTimerInfo.getExpiryTimeInMs(),):
             return  # another one has taken its place
         if not self.event_time:
-            yield from self._step(key, [], timerValues.getCurrentProcessingTimeInMs() * 1000, None)
+            yield from self._step([], timerValues.getCurrentProcessingTimeInMs() * 1000, None)
             return
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(map(tuple, self.waiting.get())) if self.waiting.exists() else []
-        ready = sorted((m for m in waiting if m[0] <= until), key=_order)
-        rest = [m for m in waiting if m[0] > until]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        yield from self._step(key, ready, until, min((m[0] for m in rest), default=None))
-
-    @property
-    def _names(self) -> list[str]:
-        return [part.split()[0] for part in self.message.split(", ")]
-
-    def _step(self, key: tuple, messages: list[tuple], until: int, waits: int | None) -> Iterator[Row]:
-        kept, rows, due = self.fold(key, tuple(self.kept.get()) if self.kept.exists() else None, messages, until)
-        if kept is not None:
-            self.kept.update(kept)
-        timer = self.next.get()[0] if self.next.exists() else None
+        ready, rest = [], []
+        for m in self._all(self.waiting):
+            (ready if m[1] <= until else rest).append(m)
+        self._replace(self.waiting, rest)
+        yield from self._step(ready, until, min((m[1] for m in rest), default=None))
+
+    def _step(self, messages: list[tuple], until: int, waits: int | None) -> Iterator[pd.DataFrame]:
+        of: dict = {}
+        for id_, at, text in messages:
+            of.setdefault(id_, []).append((at, *self._rest(text)))
+        kept = {id_: (own, due) for id_, own, due in self._all(self.kept)}
+        for id_, (_, due) in kept.items():
+            if due is not None and due <= until:
+                of.setdefault(id_, [])
+        rows = []
+        for id_, mine in of.items():
+            own, more, due = self.fold(id_, kept.get(id_, (None, None))[0], sorted(mine, key=_order) if len(mine) > 1 else mine, until)
+            if own is not None:
+                kept[id_] = own, due
+            rows += more
+            if len(rows) >= CHUNK:
+                yield self._frame(rows)
+                rows = []
+        if rows:
+            yield self._frame(rows)
+        if of:
+            self._replace(self.kept, ((id_, own, due) for id_, (own, due) in kept.items()))
+        at = min((x for x in (waits, *(due for _, due in kept.values())) if x is not None), default=None)
+        self._wake(None if at is None else -(-at // 1000), later=True)
+
+    def _wake(self, at: int | None, later: bool) -> None:
+        """The bucket's timer goes to ``at``, and away from an earlier time only if ``later``."""
+        timer = self.next.get()
+        if timer is not None and (timer[0] == at or not later and timer[0] < at):
+            return
         if timer is not None:
-            self.handle.deleteTimer(timer)
+            self.handle.deleteTimer(timer[0])
+        if at is None:
             self.next.clear()
-        at = min((x for x in (due, waits) if x is not None), default=None)
-        if at is not None:
-            self._arm(None, -(-at // 1000), due)
-        yield from rows
-
-    def _arm(self, timer: int | None, at: int, due: int | None) -> None:
-        if timer is not None and timer <= at:
             return
-        if timer is not None:
-            self.handle.deleteTimer(timer)
         self.handle.registerTimer(at)
-        self.next.update((at, due))
+        self.next.update((at,))
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        kinds = {"long": "Int64", "int": "Int32"}
+        columns = zip(("id", *_names(self.out)), ("", *(p.split()[1] for p in self.out.split(", "))), zip(*rows, strict=True), strict=True)
+        return pd.DataFrame({name: pd.array(values, kinds[kind]) if kind in kinds else pd.Series(values, dtype=object if kind else None) for name, kind, values in columns})
+
+    @staticmethod
+    def _append(state, entries: list) -> None:
+        state.appendList([(pickle.dumps(entries, 5),)])
+
+    @staticmethod
+    def _replace(state, entries: Iterable) -> None:
+        packed = [(pickle.dumps(chunk, 5),) for chunk in _chunks(entries)]
+        state.put(packed) if packed else state.clear()
+
+    @staticmethod
+    def _all(state) -> Iterator[tuple]:
+        return (entry for (chunk,) in state.get() for entry in pickle.loads(bytes(chunk)))
 
     def close(self) -> None:
         pass
 
 
+def _names(ddl: str) -> list[str]:
+    return [part.split()[0] for part in ddl.split(", ")]
+
+
 #: What jobs are told: ``what`` is enqueue (with queue_name, payload, run_at or null for now), settle (attempts, ok, fatal, error_class) or wait (attempts).
 JOB_MESSAGE = "at long, what string, queue_name string, payload string, run_at long, attempts int, ok boolean, fatal boolean, error_class string"
-_JOB = "state string, attempts int, queue_name string, payload string, run_at long, locked_until long, error_class string"
+_MICROS = "at long, state string, attempts int, queue_name string, payload string, run_at long, locked_until long, error_class string"
 _CHANGE = "at timestamp, state string, attempts int, queue_name string, payload string, run_at timestamp, locked_until timestamp, error_class string"
 
 
@@ -182,7 +243,7 @@ def run_job(job: Job | None, messages: list[tuple], until: int, lease: int, exac
 
 
 class JobMachine(Machine):
-    message, own = JOB_MESSAGE, _JOB
+    message, out = JOB_MESSAGE, _MICROS
 
     def __init__(self, event_time: bool, lease: int) -> None:
         super().__init__(event_time)
@@ -190,11 +251,7 @@ class JobMachine(Machine):
 
     def fold(self, key, kept, messages, until):
         job, changes = run_job(Job(*kept) if kept else None, messages, until, self.lease, self.event_time)
-        if job is None:
-            return None, [], None
-        when = lambda t: None if t is None else pd.Timestamp(t, unit="us").to_pydatetime()
-        rows = [Row(id=key[0], at=when(c[0]), state=c[1], attempts=c[2], queue_name=c[3], payload=c[4], run_at=when(c[5]), locked_until=when(c[6]), error_class=c[7]) for c in changes]
-        return (job.state, job.attempts, job.queue_name, job.payload, job.run_at, job.locked_until, job.error_class), rows, job.due()
+        return (astuple(job), [(key, *c) for c in changes], job.due()) if job else (None, [], None)
 
 
 def _messages(stream: DataFrame, ddl: str, at: str) -> DataFrame:
@@ -207,7 +264,15 @@ def _messages(stream: DataFrame, ddl: str, at: str) -> DataFrame:
     return stream.select("id", F.col(at).cast("timestamp").alias("_time"), *[column(n, k).alias(n) for n, k in names])
 
 
-def stream_jobs(messages: DataFrame, lease_seconds: int = LEASE_SECONDS, watermark: str | None = None) -> DataFrame:
+def _run(given: DataFrame, machine: Machine, watermark: str | None, buckets: int) -> DataFrame:
+    """The stream of ``_messages`` through a machine: id and its ``out``."""
+    rest = F.to_json(F.struct(*[F.col(n) for n in _names(machine.message)[1:]]))
+    dealt = given.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), "id", "at", rest.alias("message"), "_time")
+    keyed = (dealt.withWatermark("_time", watermark) if watermark else dealt.drop("_time")).groupBy("bucket")
+    return keyed.transformWithStateInPandas(machine, f"id {dict(given.dtypes)['id']}, {machine.out}", "Update", "eventTime" if watermark else "processingTime")
+
+
+def stream_jobs(messages: DataFrame, lease_seconds: int = LEASE_SECONDS, watermark: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """A stream of messages (id, at, what, ...) to changes of jobs: id, at, state, attempts, queue_name, payload, run_at, locked_until, error_class.
 
     ``what`` is enqueue (queue_name, payload, run_at; a job is enqueued once), settle (attempts, ok, fatal, error_class), or wait
@@ -220,9 +285,8 @@ def stream_jobs(messages: DataFrame, lease_seconds: int = LEASE_SECONDS, waterma
     checkpoint goes on where it was.
     """
     given = _messages(messages.where("id is not null and at is not null"), JOB_MESSAGE, "at")
-    keyed = (given.withWatermark("_time", watermark) if watermark else given).groupBy("id")
-    kind = dict(messages.dtypes)["id"]
-    return keyed.transformWithState(JobMachine(bool(watermark), lease_seconds), f"id {kind}, {_CHANGE}", "Update", "eventTime" if watermark else "processingTime")
+    changes = _run(given, JobMachine(bool(watermark), lease_seconds), watermark, buckets)
+    return changes.withColumns({c: F.timestamp_micros(c) for c in ("at", "run_at", "locked_until")})
 
 
 def job_history(messages: DataFrame, until: Column, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
@@ -325,44 +389,44 @@ _NEXT = {"enqueue": lambda s: "unread", "enqueue-if-absent": lambda s: s or "unr
 
 
 class ItemMachine(Machine):
-    message, own = "at long, action string", "state string"
+    message, out = "at long, action string", "state string"
 
     def fold(self, key, kept, messages, until):
         state = kept[0] if kept else None
         for _, action in messages:
             state = _NEXT.get(action, lambda s: s)(state)
-        return (state,), [Row(id=key[0], state=state)] if messages else [], None
+        return (state,), [(key, state)] if messages else [], None
 
 
-def stream_item_states(actions: DataFrame, watermark: str = "1 day") -> DataFrame:
+def stream_item_states(actions: DataFrame, watermark: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """A stream of (id, at, action) to updates (id, state): the fold of ``jobs.item_states`` over all actions up to the watermark.
 
     Late actions within the watermark take their place; actions are never folded before the watermark has passed them.
     """
-    given = _messages(actions.where("id is not null and at is not null"), ItemMachine.message, "at").withWatermark("_time", watermark)
-    return given.groupBy("id").transformWithState(ItemMachine(True), f"id {dict(actions.dtypes)['id']}, state string", "Update", "eventTime")
+    given = _messages(actions.where("id is not null and at is not null"), ItemMachine.message, "at")
+    return _run(given, ItemMachine(True), watermark, buckets)
 
 
 class VersionMachine(Machine):
-    message, own = "at long, version long, forced boolean, row string", "version long"
+    message, out = "at long, version long, forced boolean, row string", "version long, row string"
 
     def fold(self, key, kept, messages, until):
         version, out = (kept[0] if kept else None), []
         for _, new, forced, row in messages:
             if new is not None and (version is None or new > version or forced and new == version):
                 version = new
-                out = [Row(id=key[0], version=new, row=row)]
+                out = [(key, new, row)]
         return None if version is None else (version,), out, None
 
 
-def stream_newest(rows: DataFrame, watermark: str = "1 day") -> DataFrame:
+def stream_newest(rows: DataFrame, watermark: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """A stream of (id, at, version, forced, row) to (id, version, row): what is to replace the row of an id.
 
     In order of ``at``, a row applies if its version is newer than what its id has, or the same and forced; of what applies at once only the last
     one is sent on. Rows that come again, or in another order within the watermark, change nothing.
     """
-    given = _messages(rows.where("id is not null and at is not null"), VersionMachine.message, "at").withWatermark("_time", watermark)
-    return given.groupBy("id").transformWithState(VersionMachine(True), f"id {dict(rows.dtypes)['id']}, version long, row string", "Update", "eventTime")
+    given = _messages(rows.where("id is not null and at is not null"), VersionMachine.message, "at")
+    return _run(given, VersionMachine(True), watermark, buckets)
 
 
 def drained(stream: DataFrame, folder: str) -> DataFrame:

@@ -144,3 +144,69 @@ def test_versions(spark, tmp_path):
     for r in sorted(got, key=lambda r: r.batch):
         last[r.id] = (r.version, r.row)
     assert last == {"a": (3, "a3"), "b": (2, "b2 forced")}
+
+
+class Counted:
+    """The state of one bucket, which counts the round trips to it."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getListState(self, name, ddl):  # noqa: N802
+        return self._State(self, list)
+
+    def getValueState(self, name, ddl):  # noqa: N802
+        return self._State(self, lambda: None)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+    class _State:
+        def __init__(self, owner, empty):
+            self.owner, self.empty, self.value = owner, empty, empty()
+
+        def _set(self, value):
+            self.owner.calls += 1
+            self.value = value
+
+        def get(self):
+            self.owner.calls += 1
+            return self.value
+
+        update = put = _set
+
+        def appendList(self, values):  # noqa: N802
+            self._set([*self.value, *values])
+
+        def clear(self):
+            self._set(self.empty())
+
+
+def test_a_bucket_of_many_keys_takes_few_round_trips():
+    """Also: what lies behind the watermark is taken, in order, the rest waits, and each key is folded by itself."""
+    pd = pytest.importorskip("pandas")
+    state, machine = Counted(), M.ItemMachine(True)
+    machine.init(state)
+    n = 3_000
+    rows = [(k, 1_000_000 * t, f'{{"action":"{a}"}}') for t, a in ((9, "archive"), (2, "start"), (1, "enqueue")) for k in range(n)]
+    clock = lambda ms: type("T", (), {"getCurrentWatermarkInMs": lambda self: ms, "getExpiryTimeInMs": lambda self: min(state.timers)})()
+    out = []
+    list(machine.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["id", "at", "message"])]), clock(0)))
+    for watermark in (5_000, 9_000):
+        at = clock(watermark)
+        out.append({r.id: r.state for f in machine.handleExpiredTimer((0,), at, at) for r in f.itertuples()})
+    assert out == [dict.fromkeys(range(n), "reading"), dict.fromkeys(range(n), "archived")]
+    assert state.calls < 40
+
+
+def test_items_in_one_bucket(spark, tmp_path):
+    rows = [(k % 50, at(k), ACTIONS[k * k % 7]) for k in range(600)] + [(None, at(3), "enqueue"), (99, at(100_000), "enqueue")]
+    ddl = "id long, at timestamp, action string"
+    got = stream(spark, tmp_path, rows, ddl, [rows[:300], rows[300:]], lambda s: M.stream_item_states(s, "1 hour", buckets=1))
+    last = {r.id: r.state for r in sorted(got, key=lambda r: r.batch)}
+    assert last == {r.id: r.state for r in J.item_states(spark.createDataFrame(rows, ddl)).where("id <> 99").collect()}
