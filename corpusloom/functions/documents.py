@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import email.utils
+import gc
 import html
 import json
 import re
@@ -11,6 +12,7 @@ from email.message import EmailMessage
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,10 +106,25 @@ def _page(source: str | None) -> dict:
     }
 
 
+#: Pages whose parts are Python objects at a time.
+PAGES_AT_ONCE = 64
+
+
+def _signals(pages: pa.Array) -> pa.Array:
+    """``_page`` of each page as Arrow structs; no more than some pages at a time are held as objects."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<string>": pa.list_(pa.string())}
+    kind = pa.struct([(name, kinds[k]) for name, k in (part.split() for part in PAGE_SCHEMA.split(", "))])
+    done = [pa.array([], kind)]
+    for k in range(0, len(pages), PAGES_AT_ONCE):
+        some = [_page(x) for x in pages.slice(k, PAGES_AT_ONCE).to_pylist()]
+        done.append(pa.array([p | {"meta": list(p["meta"].items()), "og": list(p["og"].items())} for p in some], kind))
+        gc.collect()  # trees of elements refer to themselves
+    return pa.concat_arrays(done)
+
+
 def page_signals(source: Column) -> Column:
     """What a page declares and its main text, as a struct."""
-    keep = [c.split()[0] for c in re.sub(r"<[^>]*>", "", PAGE_SCHEMA).split(", ")]
-    return F.pandas_udf(lambda s: pd.DataFrame([_page(x) for x in s], columns=keep), PAGE_SCHEMA)(source)
+    return F.arrow_udf(_signals, PAGE_SCHEMA)(source)
 
 
 def body_confidence(words: Column, link_density: Column, page_ratio: Column) -> Column:

@@ -3,6 +3,7 @@ import hmac
 import json
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions import documents as D
@@ -118,3 +119,23 @@ def test_fresh_to_fractions_of_a_second(spark):
     fresh = lambda **how: values(spark, lambda x: U.is_fresh(now, x.cast("timestamp"), 300, **how), times)
     assert fresh() == [True, False, True, True, True, False, False]
     assert fresh(whole=False) == [False, False, True, True, False, False, False]
+
+
+def test_few_pages_are_objects_at_a_time(monkeypatch):
+    class Page(dict):
+        live = most = 0
+
+        def __init__(self, fields):
+            super().__init__(fields)
+            Page.live += 1
+            Page.most = max(Page.most, Page.live)
+
+        def __del__(self):
+            Page.live -= 1
+
+    plain = D._page
+    monkeypatch.setattr(D, "_page", lambda source: Page(plain(source)))
+    source = '<html lang="en"><head><title>T</title><meta name="a" content="b"></head><body><p>one</p></body></html>'
+    got = D._signals(pa.array([source, None] * 500)).to_pylist()
+    assert len(got) == 1000 and Page.most <= 2 * D.PAGES_AT_ONCE
+    assert (got[0]["title_tag"], got[0]["html_lang"], got[0]["meta"], got[998]["text"], got[999]["text"], got[999]["meta"]) == ("T", "en", [("a", "b")], "one", "", [])
