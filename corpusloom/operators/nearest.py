@@ -3,7 +3,8 @@
 A vocabulary of bounded size is broadcast and compared by matrix products. A larger one is cut into cells around pivots,
 a bounded sample of it. The angles between a vector and a pivot, and between the pivot and the rim of its cell, bound the
 angle to anything in the cell: a vector is first compared with the cell that may be nearest, and then with those alone
-that could hold something as near. Cells and the vectors that visit them meet in blocks of bounded size on the executors.
+that could hold something as near. Small cells share a block and large ones have several; a vector is sent once to each block that
+has a cell for it, with the set of its cells, so what is sent grows with the number of blocks and not of cells.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from ..sources.scratch import drop, written
 
 #: Numbers of a vocabulary that is broadcast as it is: 16 MB.
 BROADCAST_NUMBERS = 2_000_000
-#: Cells of a larger one, and vectors of a block.
-PIVOTS, BLOCK_ROWS = 256, 4_096
+#: Cells of a larger one, and vectors of a block, which has no more numbers than a vocabulary that is broadcast.
+PIVOTS, BLOCK_ROWS = 256, 32_768
 #: Similarities that are held at a time, and what they may differ by to be taken for equal.
 _SCORES, _SAME = 4_000_000, 1e-12
 #: What a bound may be off by.
@@ -107,6 +108,21 @@ def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(m @ pivots.T, -1.0, 1.0))
 
 
+def _packed(sizes: dict[int, int], block_rows: int) -> dict[int, tuple[int, int]]:
+    """The first block of each cell and how many it has: one that small cells share, or several of its own."""
+    out, at, room = {}, 0, block_rows
+    for c, n in sorted(sizes.items()):
+        times = math.ceil(n / block_rows)
+        if n > room and room < block_rows:
+            at, room = at + 1, block_rows
+        out[c] = at, times
+        if times > 1:
+            at, room = at + times, block_rows
+        else:
+            room -= n
+    return out
+
+
 def _cell_search(queries: DataFrame, vocabulary: DataFrame, schema: str, pivots: int, block_rows: int) -> DataFrame:
     spark = queries.sparkSession
     id_kind = dict(vocabulary.dtypes)["id"]
@@ -131,17 +147,21 @@ def _cell_search(queries: DataFrame, vocabulary: DataFrame, schema: str, pivots:
     vector_kind = dict(vocabulary.dtypes)["vector"]
     cells = written(vocabulary.mapInArrow(placed, f"id {id_kind}, vector {vector_kind}, since long, cell int, angle double"), "nearest-cells")
     stats = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()  # a row a cell at most
-    rims = {r["cell"]: (max(1, math.ceil(r["n"] / block_rows)), r["low"], r["high"]) for r in stats}
+    rims, dealt_cells = {r["cell"]: (r["low"], r["high"]) for r in stats}, _packed({r["cell"]: r["n"] for r in stats}, block_rows)
     shared = spark.sparkContext.broadcast(rims)
+    cells_of: dict[int, list[int]] = {}
+    for c, (start, n) in dealt_cells.items():
+        for block in range(start, start + n):
+            cells_of.setdefault(block, []).append(c)
 
     def visits(first: bool):
-        """(row, vector, at, best) -> the blocks that a row is to be compared with: those of its first cell, or of all others that may hold something as near."""
+        """(row, vector, at, best) -> the blocks with cells that a row is to be compared with, as a set of bits: its first cell, or all others that may hold something as near."""
 
         def run(batches):
             for batch in batches:
                 vectors, best = batch.column("vector"), batch.column("best").to_numpy(zero_copy_only=False)
                 widths = _widths(vectors)
-                at, cell, block = [], [], []
+                wanted = np.zeros((batch.num_rows, lost + 1), bool)
                 for width in np.unique(widths[widths > 0]).tolist():
                     rows = np.flatnonzero(widths == width)
                     m = _unit(vectors, rows, width)
@@ -150,7 +170,7 @@ def _cell_search(queries: DataFrame, vocabulary: DataFrame, schema: str, pivots:
                         full = np.array([int(c) in shared.value for c in names])  # a pivot's equal may have taken all of its cell
                         names, pivot = names[full], pivot[full]
                         a = _angles(m, pivot)
-                        low, high = (np.array([shared.value[int(c)][k] for c in names]) for k in (1, 2))
+                        low, high = (np.array([shared.value[int(c)][k] for c in names]) for k in (0, 1))
                         bound = np.maximum(np.maximum(a - high, low - a), 0.0)
                     else:
                         names, bound = np.zeros(0, int), np.zeros((len(rows), 0))
@@ -164,39 +184,49 @@ def _cell_search(queries: DataFrame, vocabulary: DataFrame, schema: str, pivots:
                     else:
                         limit = np.where(np.isnan(best[rows]), np.pi, np.arccos(np.clip(best[rows], -1, 1))) + _SLACK
                         pick = (bound <= limit[:, None]) & (np.arange(len(names))[None, :] != own[:, None])
-                    i, j = np.nonzero(pick)
-                    times = np.array([shared.value[int(c)][0] for c in names])[j]
-                    at.append(np.repeat(rows[i], times))
-                    cell.append(np.repeat(names[j], times))
-                    block.append(np.concatenate([np.arange(n) for n in times.tolist()]) if len(times) else np.zeros(0, int))
-                at, cell, block = (np.concatenate(x).astype(int) if x else np.zeros(0, int) for x in (at, cell, block))
-                for k in range(0, len(at), 20_000):
-                    some = pa.array(at[k : k + 20_000])
-                    yield pa.RecordBatch.from_arrays([batch.column("row").take(some), vectors.take(some), batch.column("at").take(some), pa.array(cell[k : k + 20_000], pa.int32()), pa.array(block[k : k + 20_000], pa.int32())], names=["row", "vector", "at", "cell", "block"])
+                    wanted[np.ix_(rows, names)] = pick
+                bits = np.packbits(wanted, axis=1)
+                for block, of in cells_of.items():
+                    at = np.flatnonzero(wanted[:, of].any(axis=1))
+                    for k in range(0, len(at), 20_000):
+                        some = at[k : k + 20_000]
+                        took = pa.array(some)
+                        yield pa.RecordBatch.from_arrays([batch.column("row").take(took), vectors.take(took), batch.column("at").take(took), pa.array(np.full(len(some), block), pa.int32()), pa.array([x.tobytes() for x in bits[some]], pa.binary())], names=["row", "vector", "at", "block", "cells"])
 
         return run
 
-    counts = F.create_map(*[F.lit(x) for c, (n, _, _) in rims.items() for x in (c, n)])
-    blocked = cells.withColumn("block", F.pmod(F.xxhash64("id"), counts[F.col("cell")]).cast("int"))
+    start, times = (F.create_map(*[F.lit(x) for c, at in dealt_cells.items() for x in (c, at[k])]) for k in (0, 1))
+    blocked = cells.withColumn("block", (start[F.col("cell")] + F.pmod(F.xxhash64("id"), times[F.col("cell")])).cast("int"))
+    part_rows = max(1, block_rows // 2)
     query_kind = dict(queries.dtypes)["vector"]
 
     def compare(given: DataFrame, first: bool) -> DataFrame:
-        going = written(given.mapInArrow(visits(first), f"row long, vector {query_kind}, at long, cell int, block int"), "nearest-visits")
+        going = written(given.mapInArrow(visits(first), f"row long, vector {query_kind}, at long, block int, cells binary"), "nearest-visits")
         # where many rows visit a block, it comes once for each so many of them
-        parts = going.groupBy("cell", "block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
-        of = parts.select(F.col("cell").alias("_c"), F.col("block").alias("_b"), "parts")
-        on = (F.col("cell") == F.col("_c")) & (F.col("block") == F.col("_b"))
-        dealt = going.join(of, on).select("row", "vector", "at", "cell", "block", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"))
-        copies = blocked.join(of, on).select("id", "vector", "since", F.col("cell").alias("cell2"), F.col("block").alias("block2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2"))
+        parts = going.groupBy("block").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+        of, on = F.broadcast(parts.select(F.col("block").alias("_b"), "parts")), F.col("block") == F.col("_b")  # a row a block
+        dealt = going.join(of, on).select("row", "vector", "at", "cells", "block", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"))
+        copies = blocked.join(of, on).select("id", "vector", "since", "cell", F.col("block").alias("block2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2"))
 
         def meet(q: pa.Table, v: pa.Table) -> pa.Table:
             v = _sorted_by_id(v)
-            ids, since = _column(v, "id"), _column(v, "since").to_numpy(zero_copy_only=False)
-            place, score, compared = _best(q, ids, _by_width(_column(v, "vector")), since)
+            ids, since, cell = _column(v, "id"), _column(v, "since").to_numpy(zero_copy_only=False), _column(v, "cell").to_numpy(zero_copy_only=False)
+            bits = np.frombuffer(b"".join(q.column("cells").to_pylist()), np.uint8).reshape(q.num_rows, (lost + 8) // 8)
+            place, score, compared = np.full(q.num_rows, -1), np.full(q.num_rows, -np.inf), np.zeros(q.num_rows, np.int64)
+            for c in np.unique(cell).tolist():
+                rows, own = np.flatnonzero(bits[:, c >> 3] >> (7 - (c & 7)) & 1), np.flatnonzero(cell == c)
+                if not len(rows):
+                    continue
+                at, top, n = _best(q.take(pa.array(rows)), ids, _by_width(_column(v.take(pa.array(own)), "vector")), since[own])
+                compared[rows] += n
+                rows, at, top = rows[at >= 0], own[at[at >= 0]], top[at >= 0]
+                same = np.abs(top - score[rows]) <= _SAME
+                place[rows] = np.where(same, np.minimum(at, place[rows]), np.where(top > score[rows], at, place[rows]))
+                score[rows] = np.maximum(score[rows], top)
             score[place < 0] = np.nan
             return pa.table({"row": q.column("row"), "id": ids.take(pa.array(np.maximum(place, 0), mask=place < 0)), "score": pa.array(score, from_pandas=True), "compared": pa.array(compared)})
 
-        met = dealt.groupBy("cell", "block", "part").cogroup(copies.groupBy("cell2", "block2", "part2")).applyInArrow(meet, schema)
+        met = dealt.groupBy("block", "part").cogroup(copies.groupBy("block2", "part2")).applyInArrow(meet, schema)
         found = written(met, "nearest-met")
         drop(going)
         return found
@@ -221,7 +251,8 @@ def nearest(proposals: DataFrame, vocabulary: DataFrame, id_: str = "id", vector
     keyed = written(proposals.select(*own, F.monotonically_increasing_id().alias("_row"), (F.col(at).cast("long") if at else F.lit((1 << 63) - 1)).alias("_at")), "nearest-queries")
     queries = keyed.where(F.size(vector) > 0).select(F.col("_row").alias("row"), F.col(vector).alias("vector"), F.col("_at").alias("at"))
     schema = f"row long, id {dict(v.dtypes)['id']}, score double, compared long"
-    numbers = v.agg(F.sum(F.size("vector"))).first()[0] or 0
+    numbers, rows = v.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)), F.count("*")).first()
+    block_rows = min(block_rows, max(1, BROADCAST_NUMBERS * rows // max(1, numbers)))
     found = _broadcast_search(queries, v, schema) if numbers <= broadcast_numbers else _cell_search(queries, v, schema, pivots, block_rows)
     best = found.groupBy("row").agg(F.max("score").alias("_best"), F.sum("compared").alias("_n"), F.collect_list(F.when(F.col("score").isNotNull(), F.struct("score", "id"))).alias("_all"))
     smallest = F.array_min(F.transform(F.filter("_all", lambda x: x["score"] >= F.col("_best") - _SAME), lambda x: x["id"]))

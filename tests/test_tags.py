@@ -109,3 +109,17 @@ def test_a_long_chain_of_shared_ids_is_one_entity_in_few_steps(spark, monkeypatc
     got = {r["row"]: r["first"] for r in entities._same_ids(spark.createDataFrame(rows, "row long, x string, y string"), ("x", "y")).collect()}
     assert {got[k] for k in range(n)} == {0} and [got[n + k] for k in (1, 2, 3)] == [n + 1, n + 2, n + 2]
     assert steps.count("group-parents") <= 24
+
+
+def test_a_vector_is_sent_once_to_a_block_of_many_cells(spark, monkeypatch):
+    from corpusloom.operators import nearest as module
+
+    sent, plain = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: (lambda out: sent.append(out.count()) or out if name == "nearest-visits" else out)(plain(df, name)))
+    rng = np.random.default_rng(5)  # without clusters bounds rule out nothing
+    make = lambda n: [(i, rng.normal(size=30).tolist()) for i in range(n)]
+    v, q = (spark.createDataFrame(make(n), "id long, embedding array<double>") for n in (400, 100))
+    got = nearest(q, v, compared="n", broadcast_numbers=0, pivots=40, block_rows=200)
+    found, plainly = ({r["id"]: (r["nearest_id"], r["n"]) for r in x.collect()} for x in (got, nearest(q, v, compared="n")))
+    assert {k: x[0] for k, x in found.items()} == {k: x[0] for k, x in plainly.items()} and sum(n for _, n in found.values()) > 0.9 * 400 * 100
+    assert sent[0] == 100 and sent[1] <= 100 * 4
